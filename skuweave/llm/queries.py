@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from skuweave.llm.lines import OP4_SQL, op4_lines
 from skuweave.llm.mixing import op1_mix
+from skuweave.llm.quality import OP10_SQL, op10_quality
 from skuweave.llm.sharding import op3_shards
 
 QUERIES = {
     "op1_mix": op1_mix,
     "op3_shards": op3_shards,
     "op4_lines": op4_lines,
+    "op10_quality": op10_quality,
 }
 
-ORACLES = {"op4_lines": OP4_SQL}
+ORACLES = {"op4_lines": OP4_SQL, "op10_quality": OP10_SQL}
