@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from skuweave.llm.lines import OP4_SQL, op4_lines
 from skuweave.llm.mixing import op1_mix
+from skuweave.llm.packing import op5_pack
 from skuweave.llm.quality import OP10_SQL, op10_quality
 from skuweave.llm.sharding import op3_shards
+from skuweave.llm.tokens import op7_tokens
 
 QUERIES = {
     "op1_mix": op1_mix,
     "op3_shards": op3_shards,
     "op4_lines": op4_lines,
+    "op5_pack": op5_pack,
+    "op7_tokens": op7_tokens,
     "op10_quality": op10_quality,
 }
 
