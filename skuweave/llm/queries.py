@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skuweave.llm.lines import OP4_SQL, op4_lines
 from skuweave.llm.mixing import op1_mix
+from skuweave.llm.nearjoin import op8_jaccard
 from skuweave.llm.packing import op5_pack
 from skuweave.llm.quality import OP10_SQL, op10_quality
 from skuweave.llm.sharding import op3_shards
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_lines": op4_lines,
     "op5_pack": op5_pack,
     "op7_tokens": op7_tokens,
+    "op8_jaccard": op8_jaccard,
     "op10_quality": op10_quality,
 }
 
