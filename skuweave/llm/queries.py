@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skuweave.llm.embedjoin import op9_embeddings
 from skuweave.llm.lines import OP4_SQL, op4_lines
 from skuweave.llm.mixing import op1_mix
 from skuweave.llm.nearjoin import op8_jaccard
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_pack": op5_pack,
     "op7_tokens": op7_tokens,
     "op8_jaccard": op8_jaccard,
+    "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
 }
 
