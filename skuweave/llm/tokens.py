@@ -6,6 +6,8 @@ import json
 import os
 import re
 import zlib
+from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,22 +17,22 @@ from pyspark.sql import functions as F
 from skuweave.llm.common import NO_ID, documents, new_path, parts
 
 #: Words remembered with their ids by each Python worker.
-MEMO = 400_000
+MEMO = 600_000
 #: Characters whose lower case, composition and white space are alike in Python and in the tokenizer.
 _PLAIN = re.compile("[\t-\r\x20-~À-įı-ňŊ-ž]*")
-_WORD_THEN_MARKS = re.compile(r"([^\W\d_]+)((?:[^\w\s]|_)+)")
+#: Where a full stop or comma may be part of a longer token.
+_RUN = re.compile(r"[^\w\s]{2}|['_]")
 
 
 class _Words(dict):
     """Ids, as little-endian bytes, by lower-case word; unknown words are encoded when asked for."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, letters, other):
+        self.letters, self.other = letters, other
 
     def __missing__(self, word):
-        m = _WORD_THEN_MARKS.fullmatch(word)
-        ids = self[m[1]] + self[m[2]] if m else np.array(self.encode(word), dtype="<u4").tobytes()
-        self[word] = ids
+        ids = (self.letters if word.isalpha() else self.other).encode(word, add_special_tokens=False).ids
+        self[word] = ids = array("I", ids).tobytes()
         return ids
 
 
@@ -38,7 +40,8 @@ class Encoder:
     """Ids of texts by a ``tokenizers`` file, without special tokens, as little-endian unsigned 32-bit bytes.
 
     Files that lower-case and split at white space are fed word by word, each distinct word once; a text with characters
-    on which Python and the tokenizer might differ goes through the tokenizer whole.
+    on which Python and the tokenizer might differ goes through the tokenizer whole.  A lone full stop or comma is a
+    token's end on either side, so it is set apart first and words are met without it.
     """
 
     def __init__(self, path: str):
@@ -48,21 +51,31 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         with open(path) as f:
-            spec = json.dumps({k: v for k, v in json.load(f).items() if k in ("normalizer", "pre_tokenizer")})
-        self.by_word = '"Lowercase"' in spec and '"Removed"' in spec
-        self.words = _Words(self._ids)
-
-    def _ids(self, text: str) -> list:
-        return self.whole.encode(text, add_special_tokens=False).ids
+            spec = json.load(f)
+        kind = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
+        self.by_word = '"Lowercase"' in kind and '"Removed"' in kind and '"ByteLevel"' in kind
+        self.words = None
+        if self.by_word:
+            # Lower-case letters need neither normalizer nor split.
+            spec |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}}
+            self.words = _Words(Tokenizer.from_str(json.dumps(spec)), self.whole)
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
         if not self.by_word or not _PLAIN.fullmatch(text):
-            return np.array(self._ids(text), dtype="<u4").tobytes()
-        words = self.words
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        words, text = self.words, text.lower()
         if len(words) > MEMO:
             words.clear()
-        return b"".join([words[w] for w in text.lower().split()])
+        if not _RUN.search(text):
+            text = text.replace(".", " . ").replace(",", " , ")
+        return b"".join([words[w] for w in text.split()])
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder for each file and Python worker, so that tasks share the words it remembers."""
+    return Encoder(path)
 
 
 def encoded(path: str, end: int):
@@ -71,7 +84,7 @@ def encoded(path: str, end: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part, at = Encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(path), TaskContext.get().partitionId(), 0
         tail = np.array([end], dtype="<u4").tobytes()
         for b in batches:
             ids = [encode(t) + tail for t in b.column(1).to_pylist()]
