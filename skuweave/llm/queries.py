@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skuweave.llm.embedjoin import op9_embeddings
+from skuweave.llm.langid import op2_language
 from skuweave.llm.lines import OP4_SQL, op4_lines
 from skuweave.llm.mixing import op1_mix
 from skuweave.llm.nearjoin import op8_jaccard
@@ -10,12 +11,15 @@ from skuweave.llm.packing import op5_pack
 from skuweave.llm.quality import OP10_SQL, op10_quality
 from skuweave.llm.sharding import op3_shards
 from skuweave.llm.tokens import op7_tokens
+from skuweave.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_language": op2_language,
     "op3_shards": op3_shards,
     "op4_lines": op4_lines,
     "op5_pack": op5_pack,
+    "op6_toxicity": op6_toxicity,
     "op7_tokens": op7_tokens,
     "op8_jaccard": op8_jaccard,
     "op9_embeddings": op9_embeddings,
