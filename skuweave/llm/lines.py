@@ -39,12 +39,13 @@ def line_keys(min_chars: int):
 
 
 def line_filter(min_chars: int):
-    """Arrow batches (id, text, drop) to (id, text, kept, n_lines, n_dropped); drop: hashes whose lines go."""
+    """Arrow batches (..., text, drop) to (..., kept, n_lines, n_dropped); drop: hashes whose lines go."""
 
     def run(batches):
         for b in batches:
             kept, lines, dropped = [], [], []
-            for text, drop in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            *rest, texts, drops = b.columns
+            for text, drop in zip(texts.cast(pa.binary()).to_pylist(), drops.to_pylist(), strict=True):
                 all_ = (text or b"").split(b"\n")
                 if drop:
                     gone = set(drop)
@@ -55,8 +56,8 @@ def line_filter(min_chars: int):
                 lines.append(len(all_))
                 dropped.append(len(all_) - len(stay))
             yield pa.record_batch(
-                [b.column(0), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
-                names=["id", "kept", "n_lines", "n_dropped"],
+                [*rest, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
+                names=[*b.schema.names[:-2], "kept", "n_lines", "n_dropped"],
             )
 
     return run
@@ -86,11 +87,20 @@ def dedup_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", m
     in at least ``min_docs`` documents lose all their lines except in the smallest id that holds them.  Null or empty
     text: one empty line.  Rows with a null id count as one document, above all others; repeated rows are each returned.
     """
+    slim = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
+    return dedup_lines_in(slim, ident="id", min_chars=min_chars, min_docs=min_docs).select("id", "kept", "n_lines", "n_dropped")
+
+
+def dedup_lines_in(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """docs, all its columns but the text as they are, with kept, n_lines and n_dropped for dedup_lines()."""
     drops = repeated_lines(docs, ident, text, min_chars, min_docs).select(
-        F.col("id").alias("__sw_id"), F.transform("drop", lambda d: F.concat(F.unhex(F.lpad(F.hex(d.h1), 16, "0")), F.unhex(F.lpad(F.hex(d.h2), 16, "0")))).alias("drop")
+        F.col("id").alias("__sw_id"), F.transform("drop", lambda d: F.concat(F.unhex(F.lpad(F.hex(d.h1), 16, "0")), F.unhex(F.lpad(F.hex(d.h2), 16, "0")))).alias("__sw_drop")
     )
-    slim = docs.select(F.col(ident).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(ident), F.lit(NO_ID)).alias("__sw_id"))
-    return slim.join(drops, "__sw_id", "left").select("id", "text", "drop").mapInArrow(line_filter(min_chars), "id long, kept string, n_lines long, n_dropped long")
+    rest = [c for c in docs.columns if c not in (text, "kept", "n_lines", "n_dropped")]
+    slim = docs.select(*rest, F.col(text).alias("__sw_text"), F.coalesce(F.col(ident), F.lit(NO_ID)).alias("__sw_id")).join(drops, "__sw_id", "left")
+    types = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in rest) + ", kept string, n_lines long, n_dropped long"
+    return slim.select(*rest, "__sw_text", "__sw_drop").mapInArrow(line_filter(min_chars), schema)
 
 
 def op4_lines(spark, sf_dir: str) -> DataFrame:

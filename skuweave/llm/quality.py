@@ -123,14 +123,14 @@ def cutoffs(scored: DataFrame, grid: dict, alpha: float, delta: float) -> DataFr
     return kept.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, ident: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Per row of docs: ident, the statistics, base_failed, failed (names of rules over their cutoff), kept.
+def quality(docs: DataFrame, labels: DataFrame, *, ident: str = "doc_id", text: str = "text", stratum: str = "lang", label: str = "quality", alpha: float = ALPHA, delta: float = DELTA, carry: list = ()) -> DataFrame:
+    """Per row of docs: ident, the columns named in carry, the statistics, base_failed, failed (names of rules over their cutoff), kept.
 
     base_failed: under 10 words, or repeated windows cover over a fifth of the words.  labels: (ident, label), 1 for
     good; rows with a null and repeated ids count once or not at all (any 0 makes a document bad).  A stratum without
     enough labels, or none, has no cutoffs and rejects by base_failed alone.  A null stratum is one of its own.
     """
-    stats = cut(statistics(docs, ident, text, F.coalesce(F.col(stratum), F.lit("")).alias("__stratum")))
+    stats = cut(statistics(docs, ident, text, *carry, F.coalesce(F.col(stratum), F.lit("")).alias("__stratum")))
     rules = values()
     known = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull()).groupBy(F.col(ident).alias("__id")).agg((F.min(label) == 1).alias("good"))
     scored = stats.join(known, F.col(ident) == F.col("__id")).select(F.col("__stratum").alias("stratum"), "good", *[c.alias(r) for r, c in rules.items()])
