@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuweave.llm.common import bounded, cut, documents, new_path
+from skuweave.llm.common import bounded, cut, documents, new_path, small_batches
 from skuweave.llm.lines import dedup_lines_in
 from skuweave.llm.mixing import mix, words
 from skuweave.llm.nearjoin import COPIES, near_duplicates
@@ -36,6 +36,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines; every document stays, if need be with an empty text.  n_chars is counted again."""
+    small_batches(spark)
     out = dedup_lines_in(docs.select(COLUMNS)).withColumn("text", F.col("kept"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 

@@ -18,7 +18,19 @@ SPACE_BYTES = SPACE.encode()
 NO_ID = 2**63 - 1
 
 
+#: Rows that go to Python at once, where the session has Spark's own setting: texts are long, and both sides hold a batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch from Spark's default, which is meant for narrow rows; a setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -40,6 +52,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder; a lost executor can't take it along."""
     shared_dir(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

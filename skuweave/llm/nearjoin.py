@@ -25,7 +25,7 @@ WORDS = 5
 #: Similarity at least NUM / DEN.
 NUM, DEN = 3, 4
 #: Words remembered with their hash by each Python worker.
-MEMO = 500_000
+MEMO = 200_000
 #: Hashes and texts that a task gathers before it deals them out.
 FLUSH_HASHES, FLUSH_TEXTS = 1_000_000, 60_000
 #: Texts in a block of a cluster; a node's children; copies listed for a broadcast.
