@@ -178,7 +178,7 @@ def learn(labelled: DataFrame, text: str, label: str, ident: str, limit: int = T
     rows = known.where("label = 1").select(F.monotonically_increasing_id().alias("row"), "text").mapInArrow(_holders(wanted), "row long, term string")
     for r in rows.collect():  # toxic documents of the bounded sample only
         holders.setdefault(r.term, []).append(r.row)
-    model = {"lexicon": choose(passed, holders, n_toxic, n_clean, sure), "prior": math.log((n_toxic + 1) / (n_clean + 1)), "exceptions": {}}
+    model = {"lexicon": choose(passed, holders, n_toxic, n_clean, sure), "prior": math.log((n_toxic + 1) / (n_clean + 10)), "exceptions": {}}
     sent = spark.sparkContext.broadcast(model)
     around = known.select("label", "text").mapInArrow(_phrases(sent), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     free = around.where((F.col("clean") >= 3) & (F.col("clean") >= 9 * F.col("toxic"))).orderBy(F.desc("clean"), "phrase").limit(CANDIDATES).collect()
