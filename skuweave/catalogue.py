@@ -16,6 +16,7 @@ from skuweave.operators import match as M
 from skuweave.operators import retrieval as R
 from skuweave.operators import score as S
 from skuweave.operators import submission as B
+from skuweave.operators.store import stored
 from skuweave.plans import questions as Q
 from skuweave.sources import ingest as I
 from skuweave.sources.pages import deep_get, parse_pages
@@ -250,7 +251,7 @@ SELECT source_id, listing_id, round(score, 4)::DOUBLE AS score, method FROM y WH
 
 
 def _cascade(spark, sf):
-    s, t = with_signals(sources(spark, sf)), with_signals(listings(spark, sf))
+    s, t = stored(with_signals(sources(spark, sf))), stored(with_signals(listings(spark, sf)))
     pairs = S.flags(M.pair_up(M.candidates(s, t, "source_id"), s, t, "source_id")).where("veto is null")
     return S.scores(pairs, F.lit(0.0)).where("matched").select(F.col("s_id").alias("source_id"), F.col("t_id").alias("listing_id"), "score", "method")
 
@@ -326,8 +327,8 @@ def submission_merge(spark, sf):
   SELECT hits, found, truth, sources, covered, round(30 * hits / truth + 10 * hits / found + 10 * covered / sources, 6) AS score FROM c""",
 )
 def quality_score(spark, sf):
-    found = _cascade(spark, sf).select(F.col("source_id").alias("s_id"), F.col("listing_id").alias("key"))
-    truth = ean_overlap_join(spark, sf).select(F.col("source_id").alias("s_id"), F.col("listing_id").alias("key"))
+    found = stored(_cascade(spark, sf).select(F.col("source_id").alias("s_id"), F.col("listing_id").alias("key")))
+    truth = stored(ean_overlap_join(spark, sf)).select(F.col("source_id").alias("s_id"), F.col("listing_id").alias("key"))
     return B.quality_score(found, truth, sources(spark, sf).select(F.col("source_id").alias("s_id"))).select("hits", "found", "truth", "sources", "covered", "score")
 
 

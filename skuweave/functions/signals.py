@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuweave.functions import vocabulary as V
-from skuweave.functions.text import normalize, strip_accents, tokens
+from skuweave.functions.text import bind, normalize, strip_accents, tokens
 
 
 
@@ -29,40 +29,47 @@ def spec_values(specs: Column, keys: list) -> list:
     return [F.try_element_at(specs, F.lit(k)) for k in keys]
 
 
+def first_of(values: list, f) -> Column:
+    """The first result of f over the values that isn't null; f is planned once for all of them."""
+    return F.get(F.array_compact(F.transform(F.array(*values), f)), 0)
+
+
 def brand_value(c: Column) -> Column:
     """First word but company forms, upper case; null for retailers."""
     first = F.get(F.filter(tokens(normalize(c)), lambda t: ~t.isin(V.COMPANY_FORMS)), 0)
-    return F.when(~first.isin(V.RETAILER_TOKENS), F.upper(first))
+    return bind(first, lambda w: F.when(~w.isin(V.RETAILER_TOKENS), F.upper(w)))
 
 
-def brand(name: Column, own: Column, specs: Column) -> Column:
-    first = F.get(tokens(normalize(name)), 0)
-    return F.coalesce(brand_value(own), *[brand_value(v) for v in spec_values(specs, V.BRAND_KEYS)], F.when(first.isin(V.KNOWN_BRANDS), F.upper(first)))
+def brand(name_norm: Column, own: Column, specs: Column) -> Column:
+    known = bind(F.get(tokens(name_norm), 0), lambda w: F.when(w.isin(V.KNOWN_BRANDS), F.upper(w)))
+    return F.coalesce(first_of([own, *spec_values(specs, V.BRAND_KEYS)], brand_value), known)
 
 
 def numeric_id(c: Column, least: int = 8, most: int = 14) -> Column:
-    digits = F.regexp_replace(c, r"\D", "")
-    return F.when(F.length(digits).between(least, most), digits)
+    return bind(F.regexp_replace(c, r"\D", ""), lambda d: F.when(F.length(d).between(least, most), d))
 
 
-def distinct_sorted(values: list) -> Column:
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*values))))
+def distinct_sorted(values: list, f) -> Column:
+    return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.array(*values), f))))
 
 
 def eans(ean: Column, specs: Column) -> Column:
-    return distinct_sorted([numeric_id(v) for v in [ean, *spec_values(specs, V.EAN_KEYS)]])
+    return distinct_sorted([ean, *spec_values(specs, V.EAN_KEYS)], lambda v: numeric_id(v))
 
 
 def asins(own: Column, specs: Column) -> Column:
-    fit = lambda v: F.when(F.upper(F.trim(v)).rlike("^B[0-9A-Z]{9}$"), F.upper(F.trim(v)))
-    return distinct_sorted([fit(v) for v in [own, *spec_values(specs, V.ASIN_KEYS)]])
+    fit = lambda v: bind(F.upper(F.trim(v)), lambda u: F.when(u.rlike("^B[0-9A-Z]{9}$"), u))
+    return distinct_sorted([own, *spec_values(specs, V.ASIN_KEYS)], fit)
 
 
 def canonical_model(c: Column) -> Column:
     """Upper case letters and digits of a model number; null if it is short, blocked, a size, or lacks either."""
     text = F.regexp_replace(F.upper(strip_accents(c)), r"[\s/]+", "")
     text = F.replace(F.regexp_replace(text, "[^A-Z0-9.+-]", ""), F.lit("+"), F.lit("PLUS"))
-    text = F.regexp_replace(text, "[^A-Z0-9]", "")
+    return bind(F.regexp_replace(text, "[^A-Z0-9]", ""), _proper_model)
+
+
+def _proper_model(text: Column) -> Column:
     bad = text.rlike(r"^(?:\d+|\d{2,4}X\d{2,4}(?:X\d{1,4})?|\d+(?:ML|W|V|HZ))$") | ~text.rlike("[A-Z]") | ~text.rlike("[0-9]")
     return F.when((F.length(text) >= V.MODEL_MIN_LEN) & ~text.isin(V.MODEL_BLOCKLIST) & ~bad, text)
 
@@ -95,22 +102,28 @@ def _joined_windows(name: Column) -> Column:
         digits = count(w, "[0-9]")
         some = (count(w, "^[0-9]+$") > 0) & (F.size(alpha) > 0)
         enough = (count(w, "[A-Z][0-9]|[0-9][A-Z]") > 0) | (digits >= 2) | (F.size(alpha) >= 2)
-        return (F.size(w) >= 2) & ~F.arrays_overlap(w, stop) & some & enough & ~long_alpha
+        return ~F.arrays_overlap(w, stop) & (F.size(w) >= 2) & some & enough & ~long_alpha
 
     def at(i):
         return F.transform(F.array(*[F.lit(k) for k in range(2, 6)]), lambda k: F.slice(pieces, i, k))
 
     n = F.size(pieces)
-    windows = F.when(n >= 2, F.flatten(F.transform(F.sequence(F.lit(1), n), at))).otherwise(F.array().cast("array<array<string>>"))
+    # A window needs a word of digits alone; most names have none.
+    some_number = name.rlike("(?<![A-Z0-9])[0-9]+(?![A-Z0-9])")
+    windows = F.when((n >= 2) & some_number, F.flatten(F.transform(F.sequence(F.lit(1), n), at))).otherwise(F.array().cast("array<array<string>>"))
     return F.transform(F.filter(windows, fits), lambda w: canonical_model(F.array_join(w, "")))
 
 
-def models(name: Column, specs: Column) -> tuple[Column, Column, Column]:
-    """Candidates from spec fields and the name's words, and from joined words: (certain, joined, kept)."""
-    upper = F.upper(strip_accents(F.coalesce(name, F.lit(""))))
+def certain_models(upper: Column, specs: Column) -> Column:
+    """Candidates from spec fields and the name's words."""
     raw = F.regexp_extract_all(upper, F.lit(r"(\b[A-Z0-9]{2,}(?:[.\-/][A-Z0-9]{1,})*\b)"), F.lit(1))
-    certain = F.concat(F.array(*[canonical_model(v) for v in spec_values(specs, V.MODEL_KEYS)]), F.transform(raw, canonical_model))
-    return F.array_distinct(F.array_compact(certain)), F.array_distinct(F.array_compact(_joined_windows(upper))), upper
+    every = F.concat(F.array(*spec_values(specs, V.MODEL_KEYS)), raw)
+    return F.array_distinct(F.array_compact(F.transform(every, canonical_model)))
+
+
+def joined_models(upper: Column) -> Column:
+    """Candidates from neighbouring words of the name."""
+    return F.array_distinct(F.array_compact(_joined_windows(upper)))
 
 
 def name_tokens(normalized: Column) -> Column:
@@ -118,20 +131,23 @@ def name_tokens(normalized: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(tokens(normalized), lambda t: ~useless(t))))
 
 
+def _number(c: Column) -> Column:
+    return F.replace(c, F.lit(","), F.lit(".")).try_cast("double")
+
+
 def _inch(c: Column) -> Column:
-    found = F.regexp_extract(c, r'(?i)(\d{2,3}(?:[.,]\d+)?)\s*(?:"|zoll|inch)', 1)
-    return F.replace(found, F.lit(","), F.lit(".")).try_cast("double")
+    return _number(F.regexp_extract(c, r'(?i)(\d{2,3}(?:[.,]\d+)?)\s*(?:"|zoll|inch)', 1))
 
 
-def screen_inches(name: Column, specs: Column) -> Column:
+def screen_inches(plain_name: Column, specs: Column) -> Column:
     """From the name, then the size fields; centimetres count if the field or text is about screens."""
-    out = [_inch(strip_accents(name))]
-    for key, value in zip(V.SIZE_KEYS, spec_values(specs, V.SIZE_KEYS), strict=True):
-        text = strip_accents(value)
-        cm = F.replace(F.regexp_extract(text, r"(?i)(\d{2,3}(?:[.,]\d+)?)\s*cm", 1), F.lit(","), F.lit(".")).try_cast("double")
-        about = F.lit(True) if "bildschirm" in key.lower() else F.lower(text).contains("zoll")
-        out += [_inch(text), F.when(about, F.round(cm / 2.54, 1))]
-    return F.coalesce(*out)
+    fields = [F.struct(F.lit("bildschirm" in k.lower()).alias("screen"), v.alias("text")) for k, v in zip(V.SIZE_KEYS, spec_values(specs, V.SIZE_KEYS), strict=True)]
+
+    def one(x):
+        cm = lambda t: _number(F.regexp_extract(t, r"(?i)(\d{2,3}(?:[.,]\d+)?)\s*cm", 1))
+        return bind(strip_accents(x.text), lambda t: F.coalesce(_inch(t), F.when(x.screen | F.lower(t).contains("zoll"), F.round(cm(t) / 2.54, 1))))
+
+    return F.coalesce(_inch(plain_name), first_of(fields, one))
 
 
 def kind(text: Column) -> Column:
@@ -150,23 +166,23 @@ def with_signals(products: DataFrame) -> DataFrame:
     """
     have = set(products.columns)
     col = lambda c, t="string": F.col(c) if c in have else F.lit(None).cast(t)
-    df = products.withColumn("__specs", clean_specs(col("specifications", "map<string,string>"))).withColumn("name_norm", normalize(col("name")))
-    certain, joined, _ = models(col("name"), F.col("__specs"))
-    df = df.withColumn("__certain", certain).withColumn("__joined", joined)
+    df = products.withColumn("__specs", clean_specs(col("specifications", "map<string,string>"))).withColumn("__plain", F.coalesce(strip_accents(col("name")), F.lit("")))
+    df = df.withColumn("__upper", F.upper("__plain")).withColumn("name_norm", normalize(F.col("__plain")))
+    df = df.withColumn("__certain", certain_models(F.col("__upper"), F.col("__specs"))).withColumn("__joined", joined_models(F.col("__upper")))
+    df = df.withColumn("__all", F.concat("__certain", "__joined"))
     plain = lambda a: F.filter(a, lambda m: ~is_generic_model(m))
-    generic = F.filter(F.concat("__certain", "__joined"), is_generic_model)
-    family = F.array_union(F.flatten(F.transform(plain(F.concat("__certain", "__joined")), family_variants)), generic)
-    df = df.withColumn("strong_models", F.array_sort(plain("__certain"))).withColumn("__family", family)
-    df = df.withColumn("family_models", F.array_sort(F.array_except("__family", "strong_models")))
-    text = normalize(F.concat_ws(" ", col("name"), F.map_values("__specs")))
+    family = F.array_union(F.flatten(F.transform(plain(F.col("__all")), family_variants)), F.filter("__all", is_generic_model))
+    df = df.withColumn("strong_models", F.array_sort(plain(F.col("__certain")))).withColumn("__family", family)
+    text = F.when(F.size("__specs") == 0, F.col("name_norm")).otherwise(normalize(F.concat_ws(" ", col("name"), F.map_values("__specs"))))
     return (
-        df.withColumn("brand_norm", brand(col("name"), col("brand"), F.col("__specs")))
+        df.withColumn("family_models", F.array_sort(F.array_except("__family", "strong_models")))
+        .withColumn("brand_norm", brand(F.col("name_norm"), col("brand"), F.col("__specs")))
         .withColumn("eans", eans(col("ean"), F.col("__specs")))
         .withColumn("asins", asins(col("asin"), F.col("__specs")))
         .withColumn("tokens", name_tokens(F.col("name_norm")))
-        .withColumn("kind", kind(text))
-        .withColumn("screen_size_inch", screen_inches(col("name"), F.col("__specs")))
-        .drop("__specs", "__certain", "__joined", "__family")
+        .withColumn("kind", bind(text, kind))
+        .withColumn("screen_size_inch", screen_inches(F.col("__plain"), F.col("__specs")))
+        .drop("__specs", "__plain", "__upper", "__certain", "__joined", "__all", "__family")
     )
 
 

@@ -12,9 +12,14 @@ def blank_to_null(c: Column) -> Column:
 
 def strip_accents(c: Column) -> Column:
     """Compatibility decomposition without combining marks; the stroke of the Polish l stays."""
+    return bind(c, _strip_accents)
+
+
+def _strip_accents(c: Column) -> Column:
     guarded = F.translate(c, "łŁ", "\ue000\ue001")
     bare = F.java_method(F.lit("org.apache.commons.lang3.StringUtils"), F.lit("stripAccents"), guarded)
-    return F.when(c.isNotNull(), F.translate(bare, "\ue000\ue001", "łŁ"))
+    # Text of single bytes has no accents; the reflective call is for the rest (and would make a null the word).
+    return F.when(F.length(c) == F.octet_length(c), c).when(c.isNotNull(), F.translate(bare, "\ue000\ue001", "łŁ"))
 
 
 def normalize(c: Column) -> Column:
@@ -23,6 +28,11 @@ def normalize(c: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " ")), F.lit(""))
 
 
+def bind(c: Column, f) -> Column:
+    """f of c with c computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def tokens(normalized: Column) -> Column:
     return F.filter(F.split(normalized, " "), lambda t: t != "")
 

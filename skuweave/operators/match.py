@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skuweave.operators.score import THRESHOLD, flags, ratio_bound, scores, sequence_ratio
+from skuweave.operators.store import stored
 
 SIGNALS = ["brand_norm", "kind", "screen_size_inch", "eans", "asins", "strong_models", "family_models", "name_norm", "tokens"]
 KEEP_ALWAYS = ["direct_ref", "gtin", "asin", "model"]
@@ -50,7 +51,7 @@ def pair_up(pairs: DataFrame, sources: DataFrame, targets: DataFrame, source_id:
 
 
 def match(sources: DataFrame, targets: DataFrame, *, threshold: float = THRESHOLD, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = ("reference", "retailer", "name")) -> DataFrame:
-    """Matched pairs with score, method and reasons; all signals come from with_signals().
+    """Matched pairs with score, method and reasons; all signals come from with_signals() and are computed once.
 
     Vetoed pairs are dropped before the ratio; then pairs whose score at the highest possible ratio stays below the
     threshold, which loses nothing for thresholds up to 0.89.  Only what is left reaches the Arrow function.
@@ -59,6 +60,7 @@ def match(sources: DataFrame, targets: DataFrame, *, threshold: float = THRESHOL
     """
     if not 0.74 < threshold:
         raise ValueError("blocking is lossless for thresholds over 0.74 only")
+    sources, targets = stored(sources), stored(targets)
     pairs = flags(pair_up(candidates(sources, targets, source_id, target_id), sources, targets, source_id, target_id, extra))
     direct = F.coalesce(F.col("s_reference") == F.col("t_reference"), F.lit(False)) if "reference" in extra else F.lit(False)
     pairs = pairs.where(F.col("veto").isNull() | direct)
