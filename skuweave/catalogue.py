@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuweave.functions import text as T
+from skuweave.functions import enrich as E
 from skuweave.functions import vocabulary as V
 from skuweave.functions.signals import with_signals
 from skuweave.operators import match as M
@@ -122,7 +123,7 @@ def canonical_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.canonical_url(u).alias("canonical"), T.url_host(u).alias("host"), T.make_ref(u).alias("ref"), T.blank_to_null(T.url_category(u)).alias("category"))
 
 
-@query("page_titles", r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title, len(regexp_extract_all(html, '(?i)<a\s[^>]*href='))::BIGINT AS links FROM pages")
+@query("page_titles", r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') AS title, len(regexp_extract_all(html, '(?i)<a\s[^>]*href='))::BIGINT AS links FROM pages")
 def page_titles(spark, sf):
     h = F.col("html")
     return table(spark, sf, "pages").select("page_id", T.clean_title(T.html_title(h)).alias("title"), F.regexp_count(h, F.lit(r"(?i)<a\s[^>]*href=")).cast("long").alias("links"))
@@ -162,6 +163,36 @@ def search_terms(spark, sf):
     return with_signals(sources(spark, sf)).select("source_id", F.array_join(terms(), " | ").alias("terms"))
 
 
+@query(
+    "enriched_products",
+    f"""SELECT listing_id, CASE WHEN contains(name, ' 55 Zoll') THEN 55.0 END AS size, CASE WHEN contains(name, ' 55 Zoll') THEN 'Zoll' END AS unit, CAST(NULL AS VARCHAR) AS resolution,
+  CASE kind WHEN 'tv' THEN 'tv' WHEN 'headphone' THEN 'headphone' WHEN 'kettle' THEN 'kitchen_appliance' WHEN 'toaster' THEN 'kitchen_appliance' ELSE 'other' END AS product_type FROM ({_signals_sql(SQL_LISTINGS)})""",
+)
+def enriched_products(spark, sf):
+    df = E.enrich(with_signals(listings(spark, sf).withColumn("specifications", F.lit(None).cast("map<string,string>"))))
+    return df.select("listing_id", "size", F.col("size_unit").alias("unit"), "resolution", "product_type")
+
+
+@query("point_ids", "SELECT page_id, CAST(('0x' || substr(md5(url), 17, 16))::UBIGINT & 9223372036854775807::UBIGINT AS BIGINT) AS id FROM pages")
+def point_ids(spark, sf):
+    return table(spark, sf, "pages").select("page_id", E.point_id(F.col("url")).alias("id"))
+
+
+@query("site_queries")
+def site_queries(spark, sf):
+    q = E.site_queries("expert.at", F.col("name"), F.lit(None).cast("string"), F.col("ean"), F.create_map().cast("map<string,string>"))
+    return sources(spark, sf).select("source_id", F.array_join(q, " | ").alias("queries"))
+
+
+@query("chat_search")
+def chat_search(spark, sf):
+    """One question through the whole engine: reading it, choosing sources, candidates, matching, caps and top-k."""
+    from skuweave.plans.engine import Question, search
+
+    s = with_signals(sources(spark, sf).withColumn("brand", F.lit(None).cast("string")))
+    return search(spark, Question("Show all TVs under 1500 euros"), s, with_signals(listings(spark, sf)))[0]
+
+
 @query(
     "listing_keys",
     f"""SELECT listing_id, {_NORM.format("retailer")} || '|url|https://' || regexp_extract(url, 'https://www\\.([^/]*)', 1) || regexp_replace(regexp_extract(url, 'https://[^/]*([^?]*)', 1), '/+', '/', 'g') AS k FROM ({SQL_LISTINGS})""",
@@ -379,9 +410,10 @@ _BETWEEN = rf"(?:between|zwischen)\s*{_AMOUNT}\s*(?:and|und|-)\s*{_AMOUNT}"
 _FILLER = _quoted([*V.NON_ANCHOR_TOKENS, *sorted({w for key in V.RETAILER_KEYWORDS for w in key.split()})])
 _KIND_WORDS = "list_concat([], " + ", ".join(f"CASE WHEN list_contains(kinds, '{k}') THEN {_quoted(sorted({w for key in keys for w in key.split()}))} ELSE [] END" for k, keys in V.KIND_KEYWORDS.items()) + ")"
 _NUM = "[0-9]+(?:[.,][0-9]+)?"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _READ = f"""
 SELECT *, list_sort(list_filter(toks, lambda t: length(t) >= 3 AND NOT list_contains({_FILLER}, t) AND NOT list_contains(own, t) AND NOT regexp_full_match(t, '{_NUM}'))) AS anchors,
-  trim(coalesce(text, '')) <> '' AND (len(refs) > 0 OR len(cats) > 0 OR len(kinds) > 0 OR len(list_filter(toks, lambda t: NOT list_contains({_quoted([*V.QUERY_STOPWORDS, *V.FILTER_TOKENS])}, t) AND NOT regexp_full_match(t, '{_NUM}'))) > 0) AS anchored
+  trim(coalesce(text, ''), {_WHITE}) <> '' AND (len(refs) > 0 OR len(cats) > 0 OR len(kinds) > 0 OR len(list_filter(toks, lambda t: NOT list_contains({_quoted([*V.QUERY_STOPWORDS, *V.FILTER_TOKENS])}, t) AND NOT regexp_full_match(t, '{_NUM}'))) > 0) AS anchored
 FROM (SELECT *, {_KIND_WORDS} AS own FROM (SELECT *, {_picked(_kind_tests())} AS kinds, {_picked([(c, f"list_has_any(toks, {_quoted(ks)})") for c, ks in V.CATEGORY_KEYWORDS.items()])} AS cats,
   {_picked([(v, f"contains(q, '{k}')") for k, v in V.RETAILER_KEYWORDS.items()])} AS shops,
   list_transform(regexp_extract_all(coalesce(text, ''), '(?i)\\bP_[A-Z0-9]{{8}}\\b'), lambda r: upper(r)) AS refs,
@@ -412,7 +444,7 @@ def question_signals(spark, sf):
 @query(
     "followup_questions",
     f"""SELECT conv_id, turn, CASE WHEN cur <> '' AND NOT anchored AND (len(shops) > 0 OR low IS NOT NULL OR high IS NOT NULL OR len(toks) <= 4) AND before IS NOT NULL THEN before || ' ' || cur ELSE cur END AS effective
-  FROM (SELECT *, trim(coalesce(text, '')) AS cur, last_value(CASE WHEN anchored THEN trim(text) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({_READ}))""",
+  FROM (SELECT *, trim(coalesce(text, ''), {_WHITE}) AS cur, last_value(CASE WHEN anchored THEN trim(text, {_WHITE}) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({_READ}))""",
 )
 def followup_questions(spark, sf):
     return Q.effective_questions(said(spark, sf), "text", "conv_id", "turn").select("conv_id", "turn", F.col("q_effective").alias("effective"))

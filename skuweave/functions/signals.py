@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuweave.functions import vocabulary as V
-from skuweave.functions.text import bind, normalize, strip_accents, tokens
+from skuweave.functions.text import bind, normalize, strip, strip_accents, tokens
 
 
 
@@ -58,7 +58,7 @@ def eans(ean: Column, specs: Column) -> Column:
 
 
 def asins(own: Column, specs: Column) -> Column:
-    fit = lambda v: bind(F.upper(F.trim(v)), lambda u: F.when(u.rlike("^B[0-9A-Z]{9}$"), u))
+    fit = lambda v: bind(F.upper(strip(v)), lambda u: F.when(u.rlike("^B[0-9A-Z]{9}$"), u))
     return distinct_sorted([own, *spec_values(specs, V.ASIN_KEYS)], fit)
 
 
@@ -205,14 +205,14 @@ def listing_key(retailer: Column, url: Column) -> Column:
 def search_terms(max_terms: int = 6) -> Column:
     """Over with_signals() rows: barcodes, ASINs, models and names to search for, without repeats whatever the case."""
     b = F.initcap(F.lower(F.coalesce("brand_norm", F.lit(""))))
-    name = F.trim(F.coalesce("name", F.lit("")))
+    name = strip(F.coalesce("name", F.lit("")))
     both = lambda x: F.concat(b, F.lit(" "), x)
     by_model = F.flatten(F.transform("strong_models", lambda m: F.when(b != "", F.array(both(m), m)).otherwise(F.array(m))))
     words_ = F.slice(F.filter(F.split(name, r"\s+"), lambda t: F.length(t) > 2), 1, 6)
     tail = F.array_compact(
         F.array(F.when((b != "") & (name != ""), both(name)), F.when(name != "", name), F.when((b != "") & (F.size(words_) > 0), both(F.array_join(F.slice(words_, 1, 4), " "))))
     )
-    every = F.filter(F.transform(F.concat("eans", "asins", by_model, tail), lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))), lambda t: t != "")
+    every = F.filter(F.transform(F.concat("eans", "asins", by_model, tail), lambda t: strip(F.regexp_replace(t, r"\s+", " "))), lambda t: t != "")
     seen = F.transform(every, F.lower)
     first = F.filter(every, lambda t, i: F.array_position(seen, F.lower(t)) == i + 1)
     return F.slice(first, 1, max_terms)

@@ -6,8 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What stripping takes off: F.trim() alone leaves tabs and line ends.
+WHITE = " \t\n\r\x0b\x0c"
+
+
+def strip(c: Column) -> Column:
+    return F.btrim(c, F.lit(WHITE))
+
+
 def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
+    return F.when(strip(c) != "", c)
 
 
 def strip_accents(c: Column) -> Column:
@@ -56,7 +64,7 @@ def canonical_url(c: Column) -> Column:
     path = F.regexp_replace(path, "/+$", "")
     rooted = F.when((path == "") | path.startswith("/"), path).otherwise(F.when(host != "", F.concat(F.lit("/"), path)).otherwise(path))
     joint = F.when((host != "") | (path == "") | path.startswith("/"), F.lit("://")).otherwise(F.lit(":"))
-    return F.when(F.trim(c) != "", F.concat(scheme, joint, host, rooted))
+    return F.when(strip(c) != "", F.concat(scheme, joint, host, rooted))
 
 
 def make_ref(url: Column, prefix: str = "P_SC_") -> Column:
@@ -84,7 +92,7 @@ def clean_name(c: Column) -> Column:
 
 
 def html_title(c: Column) -> Column:
-    return blank_to_null(F.trim(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return blank_to_null(strip(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def clean_title(title: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from skuweave.functions import vocabulary as V
 from skuweave.functions.signals import words
-from skuweave.functions.text import normalize, tokens
+from skuweave.functions.text import normalize, strip, tokens
 
 NUMBER = r"^[0-9]+(?:[.,][0-9]+)?$"
 
@@ -97,13 +97,13 @@ def read_questions(df: DataFrame, text: str) -> DataFrame:
     df = df.withColumn("q_anchors", anchors(F.col("q_tokens"), F.col("q_kinds")))
     other = F.exists("q_tokens", lambda t: ~t.isin([*V.QUERY_STOPWORDS, *V.FILTER_TOKENS]) & ~t.rlike(NUMBER))
     named = (F.size("q_refs") > 0) | (F.size("q_categories") > 0) | (F.size("q_kinds") > 0)
-    return df.withColumn("q_anchored", (F.trim(F.coalesce(F.col(text), F.lit(""))) != "") & (named | other))
+    return df.withColumn("q_anchored", (strip(F.coalesce(F.col(text), F.lit(""))) != "") & (named | other))
 
 
 def effective_questions(df: DataFrame, text: str, conversation: str, turn: str) -> DataFrame:
     """read_questions(df) with q_effective: a question that only filters is put after the last one that is anchored."""
     df = read_questions(df, text)
-    current = F.trim(F.coalesce(F.col(text), F.lit("")))
+    current = strip(F.coalesce(F.col(text), F.lit("")))
     earlier = Window.partitionBy(conversation).orderBy(turn).rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("q_anchored"), current), ignorenulls=True).over(earlier)
     filters = (F.size("q_retailers") > 0) | F.col("q_min").isNotNull() | F.col("q_max").isNotNull() | (F.size("q_tokens") <= 4)

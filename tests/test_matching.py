@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from skuweave.functions import enrich as E
 from skuweave.functions import text as T
 from skuweave.functions.signals import search_terms, with_signals
 from skuweave.operators import match as M
@@ -201,6 +202,64 @@ def test_bm25(spark):
     assert [(r.query_id, r.doc_id) for r in sorted(out, key=lambda r: r["rank"])] == [(7, 2), (7, 1)]
 
 
+def test_enrichment(spark):
+    df = products(spark, {"name": "Sony Full HD 43,5 Zoll", "specifications": {"Marke": "Sony", "Modellnummer": "KD43X"}}, {"name": "Kabel", "specifications": {"Kabellänge": "1,5 m"}}, {"name": None})
+    a, b, c = E.enrich(df).orderBy("reference").collect()
+    assert (a.size, a.size_unit, a.resolution, a.model_number) == (43.5, "Zoll", "FHD", "KD43X")
+    assert a.chunk.startswith("Product name: Sony Full HD 43,5 Zoll.\nProduct type: ") and a.chunk.endswith("Specifications:\nMarke: Sony\nModellnummer: KD43X")
+    assert (b.size, b.size_unit, b.product_type) == (1.5, "m", "other") and c.size is None
+
+
+def test_site_queries(spark):
+    q = lambda n, e=None: E.site_queries("x.at", F.col("name"), F.lit(None).cast("string"), F.col("ean"), F.create_map().cast("map<string,string>"))
+    df = spark.createDataFrame([(1, "Sony KD-43X80L TV", "4548736150"), (2, "Kabel 500ML weiss rund lang breit", None)], "i int, name string, ean string")
+    a, b = [r.q for r in df.select("i", q("name").alias("q")).orderBy("i").collect()]
+    assert a[:3] == ["site:x.at 4548736150", "site:x.at Sony KD-43X80L", 'site:x.at "KD-43X80L"'] and len(a) == 4
+    assert b == ['site:x.at "Kabel 500ML weiss rund lang breit"', "site:x.at Kabel 500ML weiss rund lang"]
+
+
+def test_point_id(spark):
+    import hashlib
+
+    assert column(spark, ["a", "b", "xyz"], E.point_id) == [int(hashlib.md5(x.encode()).hexdigest(), 16) % 2**63 for x in ("a", "b", "xyz")]
+
+
+def test_replies(spark):
+    got = column(spark, ['```json\n{"needs_search": true, "filters": {"a": "b"}}\n```', "no"], E.agent_reply)
+    assert got[0].needs_search and got[0].filters == {"a": "b"} and not got[1].needs_search
+    df = spark.createDataFrame([("P_A: MATCH\n[P_B]: no_match.\n", ["P_A", "P_B"])], "t string, known array<string>")
+    assert [r.reference for r in E.decisions(df, "t", "known").collect()] == ["P_A"]
+    bad = spark.createDataFrame([("P_C: MATCH", ["P_A"])], "t string, known array<string>")
+    with pytest.raises(Exception, match="unexpected line"):
+        E.decisions(bad, "t", "known").collect()
+    hits = spark.createDataFrame([("T", "https://x.at", None)], "title string, url string, price double")
+    assert E.web_competitors(hits).first().reference.startswith("P_WS_")
+
+
+def test_product_urls(spark):
+    df = spark.createDataFrame([("https://x/a~p1", "Expert AT"), ("https://x/service-center/a-12345.html", "electronic4you.at"), ("https://x/a-12345.html", "electronic4you.at"), ("https://x/details.php?artnr= 1", "E-Tec"), ("https://x", "Other"), ("", "Other"), (None, "Expert AT")], "u string, r string")
+    assert [r[0] for r in df.select(B.is_product_url(F.col("u"), F.col("r"))).collect()] == [True, False, True, True, True, False, False]
+
+
+def test_engine(spark):
+    from skuweave.plans.engine import Question, answer, search
+
+    names = ["Samsung KX101B OLED Fernseher 55 Zoll", "LG KX102B Toaster", "Bosch KX103B Waschmaschine"]
+    s = with_signals(spark.createDataFrame([(f"P_0000000{i}", n, None, "c") for i, n in enumerate(names)], "reference string, name string, brand string, category string"))
+    rows = [(i * 10 + k, f"T{i}{k}", n, None, "c", "Amazon AT" if k else "Expert AT", f"https://x.at/{i}/{k}", 100.0 * (k + 1), True) for i, n in enumerate(names) for k in range(3)]
+    t = with_signals(spark.createDataFrame(rows, "listing_id int, reference string, name string, brand string, category string, retailer string, url string, price_eur double, visible boolean"))
+    out, n = search(spark, Question("Show toasters under 250 from Amazon"), s, t)
+    assert [(r.source_reference, r.reference) for r in out.collect()] == [("P_00000001", "T11")] and n["kind_filter"] == ["toaster"] and n["total_links"] == 1
+    assert "LG KX102B Toaster at Amazon AT for 200.00 EUR" in answer(out, n)
+    out, n = search(spark, Question("P_00000000"), s, t)
+    assert sorted(r.reference for r in out.collect()) == ["T00", "T01", "T02"]
+    shown = spark.createDataFrame([("P_00000000", "ref:T00")], "s_id string, key string")
+    out, n = search(spark, Question("any more results?", ["P_00000000"], shown, ["P_00000000"]), s, t)
+    assert sorted(r.reference for r in out.collect()) == ["T01", "T02"] and n["follow_up_expand"] and n["excluded_previous_links"] == 1
+    out, n = search(spark, Question("all vacuums"), s, t)
+    assert n["total_links"] == 0 and answer(out, n) == "No matching products were found."
+
+
 def test_stream_upsert(spark, tmp_path):
     from skuweave.streaming.incremental import upsert_into
 
