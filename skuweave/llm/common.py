@@ -137,10 +137,13 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        # Minima are kept before the join, so that both of its sides come straight from a shuffle and Spark can split
+        # a vertex with very many neighbours.
+        least = cut(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m")))
         # Large star: every larger neighbour of v is linked to the smallest of v and its neighbours.
         large = both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("v != u").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("v").agg(F.min("u").alias("m")))
         # Small star: v and its smaller neighbours are linked to the smallest of them.
         small = large.join(least, "v").select(F.explode(F.array("v", "u")).alias("v"), F.col("m").alias("u")).where("v != u").distinct()
         edges = cut(small)
