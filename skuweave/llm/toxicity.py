@@ -26,30 +26,41 @@ STEMS = (3, 4, 5, 6, 7, 8)
 CANDIDATES = 200_000
 
 # Characters that look like Latin letters.
-HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁѵԝɡαορντικυβ", "aeopcyxijshdvwgaopvtikub")
-# Digits and signs that stand for letters inside a word.
-DIGITS = str.maketrans("0134578@$!|", "oieastbasil")
+HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁѵԝмткнвɡαορντικυβı", "aeopcyxijshdvwmtkhbgaopvtikubi")
+# Digits and signs that stand for letters inside a word; some stand for one of two.
+DIGITS = [str.maketrans("0134578@$!|", "oieastbasil"), str.maketrans("0134578@$!|", "oleastbasll")]
 
-_WORD = re.compile(r"[^\s]+")
 _MIXED = re.compile(r"(?=\S*[^\W\d_])(?=\S*[0-9@$!|])\S+")
+_EITHER = re.compile("[1!]")
 _OTHER = re.compile(r"[^a-zà-öø-ÿœß ]+")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 
 
-def fold(text: str) -> str:
-    """The text with a space before and after each word: homoglyphs and digit substitutions undone, marks dropped."""
+def folds(text: str) -> list:
+    """The text with a space before and after each word: homoglyphs and digit substitutions undone, marks dropped.
+
+    One or two readings, of the same length, for signs that stand for one of two letters.
+    """
     if not text.isascii():
         text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text).lower().translate(HOMOGLYPHS))
     else:
         text = text.lower()
 
-    def digits(m):
-        word = m[0]
-        core = word.strip(".,;:!?()[]\"'")
-        return word.replace(core, core.translate(DIGITS), 1) if core else word
+    def reading(table):
+        def digits(m):
+            word = m[0]
+            core = word.strip(".,;:!?()[]\"'")
+            return word.replace(core, core.translate(table), 1) if core else word
+
+        return " " + " ".join(_OTHER.sub(" ", _MIXED.sub(digits, text)).split()) + " "
 
-    text = _MIXED.sub(digits, text)
-    return " " + " ".join(_OTHER.sub(" ", text).split()) + " "
+    first = reading(DIGITS[0])
+    second = reading(DIGITS[1]) if _EITHER.search(text) else first
+    return [first] if first == second else [first, second]
+
+
+def fold(text: str) -> str:
+    return folds(text)[0]
 
 
 def terms_of(folded: str) -> set:
@@ -214,8 +225,10 @@ class Scorer:
 
     def __call__(self, text: str | None) -> tuple[float, int]:
         """Probability that the label is 1, and the number of matches outside exceptions."""
-        folded = fold(text or "")
+        folded, *other = folds(text or "")
         hits = self.matches(folded)
+        for reading in other:
+            hits = self.matches(reading) | hits
         n_words = folded.count(" ") - 1
         # Evidence fades where matches are rarer than one in a thousand words.
         total = sum(hits.values()) / (1 + max(0, n_words - 1000 * len(hits)) / 4000)

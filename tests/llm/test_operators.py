@@ -291,9 +291,9 @@ def test_toxicity(spark, edge_dir, rows):
 
 
 def test_toxicity_folding_and_exceptions():
-    model = {"lexicon": {" idiot ": 6.0, " clow": 6.0}, "prior": -2.0, "exceptions": {" clown fish ": 5}}
+    model = {"lexicon": {" idiot ": 6.0, " clow": 6.0, " loser ": 6.0}, "prior": -2.0, "exceptions": {" clown fish ": 5}}
     score = toxicity.Scorer(model)
-    for text in ("you IDIOT here", "you 1d10t here", "you іdіоt here", "such clowns"):
+    for text in ("you IDIOT here", "you 1d10t here", "a 1o$er!", "a c1own", "Мy МОRОN ѕuch СLОWNѕ", "you іdіоt here", "such clowns"):
         assert score(text)[0] > 0.3, text
     for text in ("", None, "idiotic ideas", "a clown fish swims"):
         assert score(text)[0] < 0.3, text
