@@ -103,7 +103,7 @@ def select_sources(sources: DataFrame, signals: dict, max_sources: int) -> DataF
         df = _soft(df, normalize(F.col("category")).isin([_plain(c) for c in signals["q_categories"]]))
     df = _soft(df.where(kind), anchored)
     if any(w in signals["q_norm"] for w in ALL_WORDS):
-        return ordered(df, "reference")
+        return df.withColumn("place", F.lit(0))  # as many as there are: no single-task numbering
     if not signals["q_norm"]:
         return ordered(df.orderBy("reference").limit(max_sources), "reference")
     scored = stored(df.withColumn("relevance", relevance(signals)))
@@ -135,7 +135,7 @@ def search(spark: SparkSession, question: Question, sources: DataFrame, targets:
     else:
         chosen = select_sources(sources, signals, max_sources)
     chosen = stored(chosen)
-    first = chosen.orderBy("place").select("category").first()
+    first = chosen.orderBy("place", "reference").select("category").first()
     found = M.candidate_filter(
         targets, category=first.category if first else None, kinds=signals["q_kinds"], retailers=signals["q_retailers"], min_price=signals["q_min"], max_price=signals["q_max"]
     )
@@ -148,7 +148,7 @@ def search(spark: SparkSession, question: Question, sources: DataFrame, targets:
     else:
         fit = chosen
     matched = M.match(fit, found, extra=("reference", "retailer", "name", "url", "price_eur", "visible", "category", "__key"))
-    matched = matched.join(F.broadcast(chosen.select(F.col("reference").alias("s_id"), F.col("category").alias("s_category"))), "s_id")
+    matched = matched.join(chosen.select(F.col("reference").alias("s_id"), F.col("category").alias("s_category")), "s_id")
     alike = normalize(F.col("s_category")) == normalize(F.col("t_category"))
     blank = (normalize(F.col("s_category")) == "") | (normalize(F.col("t_category")) == "")
     matched = matched.where(~F.col("t_visible") | blank | alike)
