@@ -18,7 +18,7 @@ SAMPLE = 20_000
 #: Leading dimensions: of the grid, of boxes, of the first part of a dot product.
 GRID, BOX, FIRST = 8, 16, 32
 #: Vectors in a block, in an interval at the recursion's end; partners that one task joins a block with; blocks at most.
-BLOCK, LEAF, PARTNERS, BLOCKS = 2048, 256, 8, 20_000
+BLOCK, LEAF, PARTNERS, BLOCKS = 2048, 256, 8, 3000
 
 
 def axes(sample: np.ndarray, dims: int) -> np.ndarray:

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skuweave.llm.common import NO_ID, SPACE_BYTES, cut, documents
+from skuweave.llm.common import SPACE_BYTES, cut, documents
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -69,7 +69,7 @@ def repeated_lines(docs: DataFrame, ident: str, text: str, min_chars: int, min_d
     A key's count of documents and smallest id come from a pre-aggregated group-by; only keys over the threshold meet
     the (document, key) rows again, in a sort-merge join whose large keys Spark splits.
     """
-    slim = docs.select(F.coalesce(F.col(ident), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
+    slim = docs.where(F.col(ident).isNotNull()).select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
     pairs = cut(slim.mapInArrow(line_keys(min_chars), "id long, h1 long, h2 long"))
     if min_docs == 2:
         counts = pairs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
@@ -85,7 +85,8 @@ def dedup_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", m
 
     A line's key is the line stripped of ASCII white space, A-Z lower-cased.  Keys of at least ``min_chars`` code points
     in at least ``min_docs`` documents lose all their lines except in the smallest id that holds them.  Null or empty
-    text: one empty line.  Rows with a null id count as one document, above all others; repeated rows are each returned.
+    text: one empty line.  Rows with a null id neither count nor lose lines, so that they never gather under one key;
+    rows that share an id are one document and are each returned.
     """
     slim = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
     return dedup_lines_in(slim, ident="id", min_chars=min_chars, min_docs=min_docs).select("id", "kept", "n_lines", "n_dropped")
@@ -97,7 +98,7 @@ def dedup_lines_in(docs: DataFrame, *, ident: str = "doc_id", text: str = "text"
         F.col("id").alias("__sw_id"), F.transform("drop", lambda d: F.concat(F.unhex(F.lpad(F.hex(d.h1), 16, "0")), F.unhex(F.lpad(F.hex(d.h2), 16, "0")))).alias("__sw_drop")
     )
     rest = [c for c in docs.columns if c not in (text, "kept", "n_lines", "n_dropped")]
-    slim = docs.select(*rest, F.col(text).alias("__sw_text"), F.coalesce(F.col(ident), F.lit(NO_ID)).alias("__sw_id")).join(drops, "__sw_id", "left")
+    slim = docs.select(*rest, F.col(text).alias("__sw_text"), F.col(ident).cast("long").alias("__sw_id")).join(drops, "__sw_id", "left")
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in rest) + ", kept string, n_lines long, n_dropped long"
     return slim.select(*rest, "__sw_text", "__sw_drop").mapInArrow(line_filter(min_chars), schema)

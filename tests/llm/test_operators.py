@@ -169,13 +169,12 @@ def test_lines(spark, edge_dir, rows):
     keys = lambda t: [lower(x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")]
     for r in rows:
         for k in keys(r.text):
-            if len(k) >= 10:
-                docs[k].add(NO_ID if r.doc_id is None else r.doc_id)
+            if len(k) >= 10 and r.doc_id is not None:
+                docs[k].add(r.doc_id)
     want = Counter()
     for r in rows:
-        own = NO_ID if r.doc_id is None else r.doc_id
         lines = (r.text or "").split("\n")
-        stay = [x for x, k in zip(lines, keys(r.text)) if len(docs.get(k, ())) < 2 or min(docs[k]) == own]
+        stay = [x for x, k in zip(lines, keys(r.text)) if len(docs.get(k, ())) < 2 or r.doc_id in (None, min(docs[k]))]
         want[r.doc_id, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()] += 1
     assert Counter(tuple(r) for r in queries.QUERIES["op4_lines"](spark, edge_dir).collect()) == want
 
