@@ -57,3 +57,41 @@ def category_from_file(name):
     """tv_&_audio from source_products_tv_&_audio.json, words for underscores."""
     stem = F.regexp_replace(F.regexp_replace(name, r"\.json$", ""), r"^(?:source_products|target_pool|matched|raw)_", "")
     return F.trim(F.replace(stem, F.lit("_"), F.lit(" ")))
+
+
+def seed_targets(visible: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Both pools as prepared targets, one row per reference and retailer; of a listing in both the visible one stays."""
+    both = prepare_targets(visible, True).unionByName(prepare_targets(hidden, False), allowMissingColumns=True)
+    return first_wins(both, ["reference", "retailer"], F.desc("visible"), "name", "url")
+
+
+def not_visited(df: DataFrame, visited: DataFrame, keys: list) -> DataFrame:
+    """Rows still to be done: those whose keys weren't seen before."""
+    return df.join(visited.select(*keys).distinct(), keys, "left_anti")
+
+
+def pool_records(scraped: DataFrame) -> DataFrame:
+    """Scraped hits (source_reference, scraped: array of structs) as listings named after their address, one per shop and URL."""
+    from skuweave.functions.text import make_ref, url_category, url_slug_name
+    from skuweave.operators.submission import is_product_url
+
+    hits = scraped.select("source_reference", F.explode_outer("scraped").alias("h")).where("h.url is not null").select("source_reference", "h.*")
+    hits = hits.where(is_product_url(F.col("url"), F.col("retailer")))
+    rows = hits.select(make_ref(F.col("url")).alias("reference"), url_slug_name(F.col("url")).alias("name"), "retailer", "url", url_category(F.col("url")).alias("category"), "source_reference")
+    return first_wins(rows.where(F.length("name") >= 3), ["retailer", "url"], "source_reference").orderBy("retailer", "name", "url")
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").json(path)
+
+
+CANDIDATES = """
+CREATE OR REPLACE TEMPORARY FUNCTION target_candidates(p_category STRING DEFAULT NULL, p_kinds ARRAY<STRING> DEFAULT NULL, p_retailers ARRAY<STRING> DEFAULT NULL, p_min DOUBLE DEFAULT NULL, p_max DOUBLE DEFAULT NULL)
+RETURNS TABLE RETURN SELECT * FROM {table} WHERE (NOT visible OR p_category IS NULL OR category = p_category) AND (p_kinds IS NULL OR kind IS NULL OR array_contains(p_kinds, kind))
+AND (p_retailers IS NULL OR array_contains(p_retailers, retailer)) AND (p_min IS NULL OR price_eur IS NULL OR price_eur >= p_min) AND (p_max IS NULL OR price_eur IS NULL OR price_eur <= p_max)
+"""
+
+
+def register_candidates(spark: SparkSession, table: str) -> None:
+    """The candidate filter as a SQL table function, target_candidates(...), over a table or view of prepared targets."""
+    spark.sql(CANDIDATES.format(table=table))

@@ -7,12 +7,14 @@ import json
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import MapType, StringType, StructField, StructType
 
 from skuweave.functions.text import clean_title, coerce_price, html_title, url_category, url_host, url_slug_name
 
 LD_JSON = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
-RECORD = StructType([StructField(c, StringType()) for c in ("name", "brand", "ean", "price", "image", "category")])
+FIELDS = ["name", "brand", "ean", "price", "image", "category"]
+RECORD = StructType([StructField(c, StringType()) for c in FIELDS] + [StructField("specifications", MapType(StringType(), StringType()))])
+NEXT_DATA = r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 #: Objects deeper than this aren't searched.
 DEPTH = 32
 
@@ -67,30 +69,57 @@ def _product(blob):
     return None
 
 
+def _text(v):
+    if isinstance(v, dict):
+        v = v.get("name") or v.get("url")
+    if isinstance(v, list):
+        return _text(v[0]) if v else None
+    return v if isinstance(v, str) else None if v is None else json.dumps(v)
+
+
+def _specifications(p: dict) -> dict:
+    """Named properties first, then the product's own plain values, then the description's first 800 characters."""
+    out: dict = {}
+    extra = p.get("additionalProperty")
+    for x in extra if isinstance(extra, list) else [extra]:
+        if isinstance(x, dict) and x.get("name") and x.get("value") not in (None, ""):
+            out.setdefault(str(x["name"]), _text(x["value"]))
+    for k, v in p.items():
+        if not k.startswith("@") and k not in ("name", "description") and isinstance(v, (str, int, float)) and v != "":
+            out.setdefault(k, str(v))
+    if isinstance(p.get("description"), str) and p["description"]:
+        out.setdefault("description", p["description"][:800])
+    return out
+
+
+def _record(texts) -> tuple:
+    blobs = []
+    for t in texts if texts is not None else []:
+        try:
+            blobs.append(json.loads(t))
+        except ValueError:
+            continue
+    p = next((x for x in map(_product, blobs) if x), {})
+    offer = p.get("offers")
+    offer = offer[0] if isinstance(offer, list) and offer else offer
+    price = (offer.get("price") or offer.get("lowPrice")) if isinstance(offer, dict) else None
+    ean = next((p[k] for k in ("gtin13", "gtin", "gtin14", "gtin12", "gtin8", "ean") if p.get(k)), None)
+    first = [p.get("name"), p.get("brand"), ean, price, p.get("image"), p.get("category")]
+    # What the product lacks is looked for anywhere in the page's data.
+    names = [("productname", "producttitle"), ("brand", "manufacturer"), ("gtin13", "gtin", "ean", "eancode"), ("price", "currentprice", "sellingprice"), ("imageurl", "image"), ("categoryname", "category")]
+    found = [_text(v) or (_text(_deep(blobs, keys)) if blobs else None) for v, keys in zip(first, names, strict=True)]
+    return (*found, _specifications(p) or None)
+
+
 @F.pandas_udf(RECORD)
 def schema_product(blobs: pd.Series) -> pd.DataFrame:
-    """Fields of the first schema.org product among a page's JSON texts."""
-    rows = []
-    for texts in blobs:
-        found = None
-        for t in texts if texts is not None else []:
-            try:
-                found = found or _product(json.loads(t))
-            except ValueError:
-                continue
-        p = found or {}
-        text = lambda v: v if isinstance(v, str) else None if v is None else str(v.get("name")) if isinstance(v, dict) else str(v[0]) if isinstance(v, list) and v else str(v)
-        offer = p.get("offers")
-        offer = offer[0] if isinstance(offer, list) and offer else offer
-        price = (offer.get("price") or offer.get("lowPrice")) if isinstance(offer, dict) else None
-        ean = next((p[k] for k in ("gtin13", "gtin", "gtin14", "gtin12", "gtin8", "ean") if p.get(k)), None)
-        rows.append((text(p.get("name")), text(p.get("brand")), text(ean), text(price), text(p.get("image")), text(p.get("category"))))
-    return pd.DataFrame(rows, columns=["name", "brand", "ean", "price", "image", "category"])
+    """Fields of the first schema.org product among a page's JSON texts, else from anywhere in them."""
+    return pd.DataFrame([_record(texts) for texts in blobs], columns=[*FIELDS, "specifications"])
 
 
 def parse_pages(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
     """A record per page: schema.org fields first, then title and address; useful: any field was found beside the name."""
-    blobs = F.regexp_extract_all(F.col(html), F.lit(LD_JSON), F.lit(1))
+    blobs = F.concat(*[F.regexp_extract_all(F.col(html), F.lit(p), F.lit(1)) for p in (LD_JSON, NEXT_DATA)])
     df = pages.withColumn("p", schema_product(blobs)).withColumn("title", clean_title(html_title(F.col(html))))
     return df.select(
         *[c for c in pages.columns if c not in (html, "name", "category")],
@@ -100,6 +129,7 @@ def parse_pages(pages: DataFrame, *, url: str = "url", html: str = "html") -> Da
         coerce_price(F.col("p.price")).alias("price_eur"),
         F.col("p.image").alias("image_url"),
         F.coalesce("p.category", url_category(F.col(url))).alias("category"),
+        F.col("p.specifications").alias("specifications"),
         url_host(F.col(url)).alias("host"),
         F.coalesce("p.ean", "p.name", "p.brand", "p.image", "p.price", "title").isNotNull().alias("useful"),
     )

@@ -182,6 +182,54 @@ def test_pages(spark):
     assert column(spark, ['{"a":{"K":"deep"},"b":[{"k":1}]}', "no json", None, '{"k":""}'], deep_get("k")) == ["deep", None, None, None]
 
 
+def test_page_data_beside_products(spark):
+    html = '<script id="__NEXT_DATA__" type="x">{"props":{"productName":"Deep","ean":"4242003867112","x":[{"price":12.5}]}}</script>'
+    ld = '<script type="application/ld+json">{"@type":"Product","name":"P","color":"red","additionalProperty":[{"name":"Watt","value":900}],"description":"d"}</script>'
+    df = spark.createDataFrame([(1, "https://x.at", html), (2, "https://x.at", ld), (3, "https://x.at", '<script type="application/ld+json">{broken</script>')], "i int, url string, html string")
+    a, b, c = parse_pages(df).orderBy("i").collect()
+    assert (a.name, a.ean, a.price_eur, a.specifications) == ("Deep", "4242003867112", 12.5, None)
+    assert (b.name, b.specifications) == ("P", {"Watt": "900", "color": "red", "description": "d"}) and not c.useful
+
+
+def shop_hits(text):
+    return [(text + " one", "https://x.at/1", 9.5), (text + " two", "https://x.at/2", None)]
+
+
+def test_search_source(spark):
+    from skuweave.sources import search
+
+    search.register(spark)
+    read = spark.read.format("product_search").option("queries", '["tv", "hob"]')
+    assert read.load().count() == 0
+    rows = read.option("provider", "tests.test_matching:shop_hits").load().orderBy("query", "rank").collect()
+    assert [(r.query, r["rank"], r.title) for r in rows] == [("hob", 1, "hob one"), ("hob", 2, "hob two"), ("tv", 1, "tv one"), ("tv", 2, "tv two")]
+
+
+def test_seed_and_pools(spark):
+    cols = "reference string, name string, brand string, ean string, category string, price_eur double, retailer string, url string"
+    seen = spark.createDataFrame([("a", "n1", None, None, "c", 5.0, "R", "https://x.at/1")], cols)
+    more = spark.createDataFrame([("a", "n2", None, None, "c", 5.0, "R", "https://x.at/2"), ("b", "n3", None, None, "d", 50.0, "R", "https://x.at/3"), (None, "n4", None, None, "d", 5.0, "R", None)], cols)
+    out = I.seed_targets(seen, more)
+    assert sorted((r.reference, r.name, r.visible) for r in out.collect()) == [("a", "n1", True), ("b", "n3", False)]
+    out.createOrReplaceTempView("prepared")
+    I.register_candidates(spark, "prepared")
+    assert [r.reference for r in spark.sql("SELECT * FROM target_candidates('c', p_max => 10)").collect()] == ["a"]
+    assert I.not_visited(more, seen, ["reference"]).count() == 2
+    hits = spark.createDataFrame([("s", [("Other", "https://x.at/shop/red-ring-12.html"), ("Other", "https://x.at/shop/red-ring-12.html"), ("Expert AT", "https://x.at/list")])], "source_reference string, scraped array<struct<retailer:string,url:string>>")
+    assert [(r.name, r.category) for r in I.pool_records(hits).collect()] == [("red ring", "shop")]
+
+
+def test_report_and_multi_term(spark):
+    shown = spark.createDataFrame([("s", "A", None)], "s_id string, retailer string, url string")
+    hidden = spark.createDataFrame([("t", "Expert AT", "https://x/list")], "s_id string, retailer string, url string")
+    out = {r.retailer: (r.competitors, r.skipped) for r in B.report(shown, hidden, spark.createDataFrame([("s",), ("t",)], "s_id string")).collect()}
+    assert out == {"A": (1, 0), "Expert AT": (0, 1), None: (1, 0)}
+    docs = spark.createDataFrame([(1, "red ring"), (2, "blue ring ring"), (3, "green")], "d int, t string")
+    asked = spark.createDataFrame([("x", "ring"), ("x", "red ring"), ("y", "green")], "source string, term string")
+    got = R.bm25_multi(docs, asked, 1, doc_id="d", doc_text="t").collect()
+    assert {(r.source, r.doc_id) for r in got} == {("x", 1), ("x", 2), ("y", 3)}
+
+
 def test_submission(spark):
     cols = "s_id string, rank int, reference string, retailer string, name string, url string, price double"
     shown = spark.createDataFrame([("s", 1, "r1", "Expert AT", "a", "https://x.at/a", 20.0)], cols)
