@@ -17,48 +17,51 @@ from skuweave.llm.nearjoin import COPIES, near_duplicates
 from skuweave.llm.packing import pack_documents
 from skuweave.llm.quality import quality
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-ROW = "__sw_row"
+#: The stages' own column names, which tables aren't expected to have.
+ROW, TIMES, COPY = "__sw_row", "__sw_times", "__sw_copy"
+LINES = ("__sw_kept", "__sw_lines", "__sw_dropped")
 
 
 def _keep(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the rows named by ROW in gone: a broadcast if they are few, else a shuffle of both."""
     gone = cut(gone.select(ROW))
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(bounded(gone, gone.count(), COPIES), ROW, "left_anti").select(COLUMNS)
+    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(bounded(gone, gone.count(), COPIES), ROW, "left_anti").select(docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents by the base rules and the certified cutoffs; the texts of the others are left as they are."""
-    rows = docs.select(COLUMNS).withColumn(ROW, F.monotonically_increasing_id())
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
     judged = quality(rows, documents(spark, sf_dir, "labels"), carry=[ROW])
-    return _keep(docs.select(COLUMNS), judged.where("not kept"))
+    return _keep(docs, judged.where("not kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines; every document stays, if need be with an empty text.  n_chars is counted again."""
     small_batches(spark)
-    out = dedup_lines_in(docs.select(COLUMNS)).withColumn("text", F.col("kept"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    out = dedup_lines_in(docs, names=LINES).withColumn("text", F.col(LINES[0]))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the row with the smallest id, of those the first."""
-    found = near_duplicates(docs.select(COLUMNS))
+    found = near_duplicates(docs)
     found = cut(found.select("id", F.col("row").alias(ROW), "n_shingles", "component"))
     # Only rows whose component isn't their own id go, and of repeated ids all but the first row of the component.
     ids = found.where("n_shingles > 0")
     first = ids.where("id <=> component").groupBy("component").agg(F.min(ROW).alias("first"), F.count("*").alias("n"))
     again = ids.where("id <=> component").join(first.where("n > 1"), "component").where(F.col(ROW) != F.col("first"))
     gone = ids.where("not (id <=> component)").select(ROW).unionByName(again.select(ROW))
-    return _keep(docs.select(COLUMNS), gone)
+    return _keep(docs, gone)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice; documents without words aren't taken."""
-    rows = docs.select(COLUMNS).withColumn(ROW, F.monotonically_increasing_id())
-    taken = mix(rows, ident=ROW, size=words(F.col("text")), members=F.array("source")).select(F.col("id").alias(ROW), "taken", F.size("routes").alias("times")).where("taken > 0")
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    taken = mix(rows, ident=ROW, size=words(F.col("text")), members=F.array("source")).where("taken > 0").select(F.col("id").alias(ROW), F.size("routes").alias(TIMES))
     again = rows.join(taken, ROW)
-    return again.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(COLUMNS)
+    return again.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col(TIMES)))).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

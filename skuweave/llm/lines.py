@@ -38,8 +38,8 @@ def line_keys(min_chars: int):
     return run
 
 
-def line_filter(min_chars: int):
-    """Arrow batches (..., text, drop) to (..., kept, n_lines, n_dropped); drop: hashes whose lines go."""
+def line_filter(min_chars: int, names: tuple):
+    """Arrow batches (..., text, drop) to (..., kept, n_lines, n_dropped) under these names; drop: hashes whose lines go."""
 
     def run(batches):
         for b in batches:
@@ -57,7 +57,7 @@ def line_filter(min_chars: int):
                 dropped.append(len(all_) - len(stay))
             yield pa.record_batch(
                 [*rest, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
-                names=[*b.schema.names[:-2], "kept", "n_lines", "n_dropped"],
+                names=[*b.schema.names[:-2], *names],
             )
 
     return run
@@ -92,16 +92,19 @@ def dedup_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", m
     return dedup_lines_in(slim, ident="id", min_chars=min_chars, min_docs=min_docs).select("id", "kept", "n_lines", "n_dropped")
 
 
-def dedup_lines_in(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs, all its columns but the text as they are, with kept, n_lines and n_dropped for dedup_lines()."""
+def dedup_lines_in(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, names: tuple = ("kept", "n_lines", "n_dropped")) -> DataFrame:
+    """docs, all its columns but the text as they are, with dedup_lines()'s results under ``names``.
+
+    A column of docs that has one of these names is replaced.
+    """
     drops = repeated_lines(docs, ident, text, min_chars, min_docs).select(
         F.col("id").alias("__sw_id"), F.transform("drop", lambda d: F.concat(F.unhex(F.lpad(F.hex(d.h1), 16, "0")), F.unhex(F.lpad(F.hex(d.h2), 16, "0")))).alias("__sw_drop")
     )
-    rest = [c for c in docs.columns if c not in (text, "kept", "n_lines", "n_dropped")]
+    rest = [c for c in docs.columns if c not in (text, *names)]
     slim = docs.select(*rest, F.col(text).alias("__sw_text"), F.col(ident).cast("long").alias("__sw_id")).join(drops, "__sw_id", "left")
     types = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in rest) + ", kept string, n_lines long, n_dropped long"
-    return slim.select(*rest, "__sw_text", "__sw_drop").mapInArrow(line_filter(min_chars), schema)
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), f"`{names[0]}` string, `{names[1]}` long, `{names[2]}` long"])
+    return slim.select(*rest, "__sw_text", "__sw_drop").mapInArrow(line_filter(min_chars, names), schema)
 
 
 def op4_lines(spark, sf_dir: str) -> DataFrame:
