@@ -282,6 +282,18 @@ def test_tokens(spark, edge_dir, rows):
     assert ids == sorted(ids)
 
 
+def test_token_files_are_pruned_by_id(spark, tmp_path):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('text number ', id) AS text")
+    tokens.write_tokens(docs, str(tmp_path / "t"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    one = tokens.read_tokens(spark, str(tmp_path / "t")).where("doc_id = 4321")
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,4321)]" in one._jdf.queryExecution().toString()
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert one.first().ids == [*t.encode("text number 4321", add_special_tokens=False).ids, 2]
+    files = sorted(p.name for p in (tmp_path / "t").glob("part-*"))
+    firsts = [spark.read.orc(str(tmp_path / "t" / f)).agg({"doc_id": "min"}).first()[0] for f in files]
+    assert firsts == sorted(firsts)
+
+
 def test_toxicity(spark, edge_dir, rows):
     got = queries.QUERIES["op6_toxicity"](spark, edge_dir).collect()
     assert len(got) == len(rows)
