@@ -17,31 +17,41 @@ from pyspark.sql import functions as F
 from skuweave.llm.common import NO_ID, documents, new_path, parts
 
 #: Words remembered with their ids by each Python worker.
-MEMO = 600_000
+MEMO = 1_000_000
 #: Characters whose lower case, composition and white space are alike in Python and in the tokenizer.
 _PLAIN = re.compile("[\t-\r\x20-~À-įı-ňŊ-ž]*")
-#: Where a full stop or comma may be part of a longer token.
-_RUN = re.compile(r"[^\w\s]{2}|['_]")
+# Byte-level models name each byte by a character; bytes that aren't printable follow from 256.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_NAMES = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
 class _Words(dict):
-    """Ids, as little-endian bytes, by lower-case word; unknown words are encoded when asked for."""
+    """Ids, as little-endian bytes, by lower-case word; unknown words are encoded when asked for.
 
-    def __init__(self, letters, other):
-        self.letters, self.other = letters, other
+    A word with a full stop or comma after its letters is its letters and the mark, so it isn't kept itself.
+    """
+
+    def __init__(self, model, whole):
+        self.model, self.whole = model, whole
 
     def __missing__(self, word):
-        ids = (self.letters if word.isalpha() else self.other).encode(word, add_special_tokens=False).ids
-        self[word] = ids = array("I", ids).tobytes()
-        return ids
+        if word.isalpha():
+            # Lower-case letters need neither normalizer nor split, only the model.
+            named = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)
+            ids = [t.id for t in self.model.tokenize(named)]
+        elif word[-1] in ".," and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        else:
+            ids = self.whole.encode(word, add_special_tokens=False).ids
+        self[word] = out = array("I", ids).tobytes()
+        return out
 
 
 class Encoder:
     """Ids of texts by a ``tokenizers`` file, without special tokens, as little-endian unsigned 32-bit bytes.
 
     Files that lower-case and split at white space are fed word by word, each distinct word once; a text with characters
-    on which Python and the tokenizer might differ goes through the tokenizer whole.  A lone full stop or comma is a
-    token's end on either side, so it is set apart first and words are met without it.
+    on which Python and the tokenizer might differ goes through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -54,22 +64,16 @@ class Encoder:
             spec = json.load(f)
         kind = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
         self.by_word = '"Lowercase"' in kind and '"Removed"' in kind and '"ByteLevel"' in kind
-        self.words = None
-        if self.by_word:
-            # Lower-case letters need neither normalizer nor split.
-            spec |= {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}}
-            self.words = _Words(Tokenizer.from_str(json.dumps(spec)), self.whole)
+        self.words = _Words(self.whole.model, self.whole) if self.by_word else None
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
         if not self.by_word or not _PLAIN.fullmatch(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words, text = self.words, text.lower()
+        words = self.words
         if len(words) > MEMO:
             words.clear()
-        if not _RUN.search(text):
-            text = text.replace(".", " . ").replace(",", " , ")
-        return b"".join([words[w] for w in text.split()])
+        return b"".join([words[w] for w in text.lower().split()])
 
 
 @cache
