@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -91,6 +93,13 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     )
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at a task's end: workers live on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def local_forest(pairs: np.ndarray) -> np.ndarray:
     """A (child, root) row for every vertex of the n x 2 links that isn't its component's smallest."""
     ids, flat = np.unique(pairs.ravel(), return_inverse=True)
@@ -126,14 +135,21 @@ def _forest_batches(batches):
         yield pa.record_batch([pa.array(f[:, 0]), pa.array(f[:, 1])], names=["v", "u"])
 
 
+#: Links of which one task makes components at once (16 bytes each); more go through rounds over all executors.
+LOCAL_LINKS = 500_000
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, root) for every vertex of the links (v, u), two longs; root is the component's smallest vertex.
 
-    Each partition first shrinks its links to a forest; then large-star and small-star rounds (Kiveris et al. 2014)
-    over DataFrames run until nothing changes, each kept in the shared folder.  No links reach the driver.
+    Each partition first shrinks its links to a forest.  Up to LOCAL_LINKS links are left to one task; for more,
+    large-star and small-star rounds (Kiveris et al. 2014) over DataFrames run until nothing changes, each kept in the
+    shared folder.  No links reach the driver.
     """
     edges = links.select("v", "u").where("v != u").mapInArrow(_forest_batches, "v long, u long").distinct()
     edges = cut(edges)
+    if edges.count() <= LOCAL_LINKS:
+        return cut(edges.coalesce(1).mapInArrow(_forest_batches, "v long, u long").withColumnRenamed("u", "root"))
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skuweave.llm.common import SPACE_BYTES, cut, documents
+from skuweave.llm.common import SPACE_BYTES, cut, documents, give_back
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -34,6 +34,7 @@ def line_keys(min_chars: int):
                 keys += own
             both = np.frombuffer(b"".join(keys), dtype=">i8").reshape(-1, 2)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64))], names=["id", "h1", "h2"])
+        give_back()
 
     return run
 
@@ -59,6 +60,7 @@ def line_filter(min_chars: int, names: tuple):
                 [*rest, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())],
                 names=[*b.schema.names[:-2], *names],
             )
+        give_back()
 
     return run
 

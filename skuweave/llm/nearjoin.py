@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skuweave.llm.common import NO_ID, bounded, components, cut, documents, parts
+from skuweave.llm.common import NO_ID, bounded, components, cut, documents, give_back, parts
 
 WORDS = 5
 #: Similarity at least NUM / DEN.
@@ -27,7 +27,7 @@ NUM, DEN = 3, 4
 #: Words remembered with their hash by each Python worker.
 MEMO = 200_000
 #: Hashes and texts that a task gathers before it deals them out.
-FLUSH_HASHES, FLUSH_TEXTS = 1_000_000, 60_000
+FLUSH_HASHES, FLUSH_TEXTS = 500_000, 60_000
 #: Texts in a block of a cluster; a node's children; copies listed for a broadcast.
 BLOCK, LEAF, FAN, COPIES = 128, 8, 4, 4_000_000
 
@@ -93,6 +93,8 @@ def _dealt(buckets: int, size: int):
                 memo.clear()
         if nodes:
             yield flush(part, nodes, sets)
+        del memo, nodes, sets
+        give_back()
 
     return run
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skuweave.llm.common import cut, documents, numbered
+from skuweave.llm.common import cut, documents, give_back, numbered
 
 CAPACITY = 2048
 
@@ -202,6 +202,8 @@ def pieces_of(ranks: str, pattern: str, end: int, capacity: int, with_ids: bool
                         own.append(flat[x:y].astype(np.int32))
             cols = [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()), *[pa.array(c, pa.int64()) for c in (start, length, crc)]]
             yield pa.record_batch(cols + [pa.array(own, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+        del encode
+        give_back()
 
     return run
 

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from skuweave.llm import embedjoin, langid, mixing, nearjoin, packing, quality, queries, sharding, tokens, toxicity
+from skuweave.llm import common, embedjoin, langid, mixing, nearjoin, packing, quality, queries, sharding, tokens, toxicity
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 NO_ID = 2**63 - 1
@@ -363,6 +363,7 @@ def test_near(spark, edge_dir, rows):
 def test_near_large_group(spark, monkeypatch):
     """A group of near copies in several blocks, chains of links, and a passage that unrelated texts share."""
     monkeypatch.setattr(nearjoin, "BLOCK", 16)
+    monkeypatch.setattr(common, "LOCAL_LINKS", 0)  # rounds, not one task
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
     passage = [f"p{i}" for i in range(55)]
