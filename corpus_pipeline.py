@@ -47,13 +47,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the row with the smallest id, of those the first."""
     found = near_duplicates(docs)
-    found = cut(found.select("id", F.col("row").alias(ROW), "n_shingles", "component"))
-    # Only rows whose component isn't their own id go, and of repeated ids all but the first row of the component.
-    ids = found.where("n_shingles > 0")
-    first = ids.where("id <=> component").groupBy("component").agg(F.min(ROW).alias("first"), F.count("*").alias("n"))
-    again = ids.where("id <=> component").join(first.where("n > 1"), "component").where(F.col(ROW) != F.col("first"))
-    gone = ids.where("not (id <=> component)").select(ROW).unionByName(again.select(ROW))
-    return _keep(docs, gone)
+    return _keep(docs, found.where("row != first").select(F.col("row").alias(ROW)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

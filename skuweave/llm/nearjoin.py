@@ -281,11 +281,12 @@ def class_links(texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
-    """Per row of docs: id, row (its number in the input, as monotonically_increasing_id()), n_shingles, component.
+    """Per row of docs: id, row (its number in the input, as monotonically_increasing_id()), n_shingles, component, first.
 
     component: the smallest id reachable by links (similarity at least NUM / DEN).  Null, empty and blank texts have no
     shingles and link with nothing, copies included: their component is their own id.  A null id counts as the largest;
-    its component is null if no other id is in reach.  Repeated rows are copies of each other.
+    its component is null if no other id is in reach.  Repeated rows are copies of each other.  first: the row number of
+    the component's representative, the row with the smallest id and of those the first; it tells null-id components apart.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(ident).cast("long").alias("id"), body.alias("text")).withColumn("row", F.monotonically_increasing_id())
@@ -302,15 +303,15 @@ def near_duplicates(docs: DataFrame, *, ident: str = "doc_id", text: str = "text
     dealt = dealt.groupBy("bucket").applyInArrow(_shared, "part long, kind int, data binary")
     sets = cut(dealt.groupBy("part").applyInArrow(_prefixes, "node long, n long, prefix array<long>, shared binary"))
     found = components(class_links(sets))
-    classes = firsts.groupBy("node").agg(F.min("first.id").alias("first")).join(sets.groupBy("node").agg(F.max("n").alias("n")), "node")
+    classes = firsts.groupBy("node").agg(F.min("first").alias("first")).join(sets.groupBy("node").agg(F.max("n").alias("n")), "node")
     classes = classes.join(found, F.col("node") == F.col("v"), "left").select("node", "n", "first", F.coalesce("root", "node").alias("root"))
     classes = cut(classes)
     least = cut(classes.groupBy("root").agg(F.min("first").alias("least")))
     classes = cut(classes.join(least, "root").select("node", "n", "least"))
     out = slim.join(classes, "node")
-    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))
+    component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least.id"))
     null = lambda c: F.nullif(c, F.lit(NO_ID))
-    return out.select(null(F.col("id")).alias("id"), "row", F.col("n").alias("n_shingles"), null(component).alias("component"))
+    return out.select(null(F.col("id")).alias("id"), "row", F.col("n").alias("n_shingles"), null(component).alias("component"), F.when(F.col("n") == 0, F.col("row")).otherwise(F.col("least.row")).alias("first"))
 
 
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -57,6 +57,17 @@ def test_one_of_each_group_stays(steps):
     assert not Counter((r.doc_id, r.text) for r in after) - texts
 
 
+def test_one_of_each_group_without_ids_stays(spark, tmp_path):
+    """Two groups of copies whose ids are all null, one that a smaller id joins, and texts without words."""
+    texts = [" ".join(f"{g}{k}" for k in range(30)) for g in "abc"]
+    data = [(None, texts[0])] * 5 + [(None, texts[1])] * 4 + [(None, texts[1] + " tail")] * 2 + [(None, texts[2]), (7, texts[2]), (7, texts[2]), (9, texts[2])] + [(None, "")] * 2 + [(None, None), (11, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(2)
+    docs.write.parquet(str(tmp_path / "d"))
+    got = P.near_dedup(spark, spark.read.parquet(str(tmp_path / "d")), "").collect()
+    kept = Counter((r.doc_id, (r.text or "")[:2]) for r in got)
+    assert kept == Counter({(None, "a0"): 1, (None, "b0"): 1, (7, "c0"): 1, (None, ""): 3, (11, ""): 1})
+
+
 def test_mix_takes_whole_documents_up_to_twice(steps):
     before, after = steps["n-gram Jaccard join"], steps["mixing sources"]
     size = lambda r: len(WORDS.findall(r.text or ""))
