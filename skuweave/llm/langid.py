@@ -14,6 +14,8 @@ TRAIN = 30_000
 #: n-gram length in bytes and table size (a power of two).
 GRAM, TABLE = 3, 1 << 16
 STEPS, SMOOTH = 12, 0.1
+#: Rounding that a bound on a log likelihood is given.
+SLACK = 1e-3
 #: Languages beyond this are refused: each has a table of its own.
 MAX_LANGS = 512
 
@@ -64,9 +66,10 @@ def train(docs: DataFrame, text: str, lang: str, ident: str, limit: int = TRAIN)
 def mixture(places: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, float]:
     """Languages' shares of a text and the probability of the leading one, from its n-grams' places.
 
-    Starts from the single best language and adds the one that raises the likelihood most, shares fitted by EM, for as
-    long as twice the log likelihood gained exceeds log(n) per language (BIC); n-grams of a text depend on one another,
-    so their number counts for a third.
+    Starts from the single best language and adds the one of all others that raises the likelihood most, shares fitted by
+    EM, for as long as twice the log likelihood gained exceeds log(n) per language (BIC); n-grams of a text depend on one
+    another, so their number counts for a third.  At the end languages that the others make needless go.  A language isn't fitted where the likelihood's slope at the current
+    shares, which bounds its gain (the likelihood is concave), stays below the penalty or the best gain so far.
     """
     uniq, n = np.unique(places, return_counts=True)
     lp = logp[:, uniq]
@@ -79,21 +82,45 @@ def mixture(places: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, float]:
     shares[chosen[0]] = 1
     p = np.exp(lp - lp.max(axis=0))
     base = float(weight @ lp.max(axis=0))
-    for k in order[1:4]:
-        ids = [*chosen, int(k)]
-        pi = np.full(len(ids), 1 / len(ids))
+
+    def fit(ids, pi):
         q = p[ids]
+        pi = pi / pi.sum()
         for _ in range(STEPS):
             r = pi[:, None] * q
-            mix = r.sum(axis=0)
-            pi = (r / mix) @ weight
+            pi = (r / r.sum(axis=0)) @ weight
             pi /= pi.sum()
-        total = base + float(weight @ np.log(pi @ q))
-        if 2 * (total - best) <= np.log(max(2.0, weight.sum())):
+        return pi, base + float(weight @ np.log(pi @ q))
+
+    n_words = float(weight.sum())
+    penalty = float(np.log(max(2.0, n_words))) / 2
+    while len(chosen) < len(logp):
+        # The most that each language can add, by the slope towards it or towards one that is in already.
+        slope = p @ (weight / (shares[chosen] @ p[chosen]))
+        bound = np.maximum(slope, slope[chosen].max()) - n_words
+        bound[chosen] = -np.inf
+        gain, fitted = penalty, None
+        for k in order[np.argsort(-bound[order], kind="stable")]:
+            if bound[k] + SLACK <= gain:
+                break
+            ids = [*chosen, int(k)]
+            pi, total = fit(ids, np.append(shares[chosen] * (1 - 1 / len(ids)), 1 / len(ids)))
+            if total - best > gain:
+                gain, fitted = total - best, (ids, pi, total)
+        if fitted is None:
+            break
+        chosen, pi, best = fitted
+        shares[:] = 0
+        shares[chosen] = pi
+    # What the languages added later make needless goes again, such as a first one between two others.
+    while len(chosen) > 2:
+        parts = [(k, *fit(ids, shares[ids] + 1e-6)) for k in chosen for ids in [[c for c in chosen if c != k]]]
+        k, pi, total = max(parts, key=lambda x: x[2])
+        if best - total > penalty:
             break
-        chosen, best = ids, total
+        chosen, best = [c for c in chosen if c != k], total
         shares[:] = 0
-        shares[ids] = pi
+        shares[chosen] = pi
     top = int(np.argmax(shares))
     sure = float(shares[top] / shares.sum()) * (float(lead[top] / lead.sum()) if len(chosen) == 1 else 1.0)
     return shares, min(1.0, max(0.0, sure))

@@ -136,6 +136,23 @@ def test_mixture_of_two_languages():
     assert shares[0] == pytest.approx(0.7, abs=0.06) and shares[2] == pytest.approx(0.3, abs=0.06) and shares[1] == 0 and 0.6 < sure < 0.8
 
 
+def test_mixture_beyond_the_first_languages():
+    """Six languages in one text; and a minor language behind three that are close to the leading one."""
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet(np.full(langid.TABLE, 0.01), size=8)
+    logs = lambda x: np.log(x + 1e-9).astype(np.float32)
+    parts = {7: 600, 0: 500, 2: 400, 3: 300, 5: 300, 6: 300}
+    places = np.concatenate([rng.choice(langid.TABLE, n, p=p[k]) for k, n in parts.items()])
+    shares, sure = langid.mixture(places, logs(p))
+    assert set(np.flatnonzero(shares)) == set(parts) and sure < 0.35
+    assert all(shares[k] == pytest.approx(n / 2400, abs=0.04) for k, n in parts.items())
+    near = [0.9 * p[0] + 0.1 * p[k] for k in (4, 5, 6)]
+    q = np.array([p[0], *near, p[1]])
+    places = np.concatenate([rng.choice(langid.TABLE, 800, p=p[0]), rng.choice(langid.TABLE, 200, p=p[1])])
+    shares, sure = langid.mixture(places, logs(q))
+    assert set(np.flatnonzero(shares)) == {0, 4} and shares[4] == pytest.approx(0.2, abs=0.04) and sure < 0.9
+
+
 def test_shards(spark, edge_dir, rows):
     got = queries.QUERIES["op3_shards"](spark, edge_dir).collect()
     text = lambda t: (t or "").encode()
