@@ -32,31 +32,59 @@ DIGITS = [str.maketrans("0134578@$!|", "oieastbasil"), str.maketrans("0134578@$!
 
 _MIXED = re.compile(r"(?=\S*[^\W\d_])(?=\S*[0-9@$!|])\S+")
 _EITHER = re.compile("[1!]")
-_OTHER = re.compile(r"[^a-zà-öø-ÿœß ]+")
+_ALIKE = re.compile("[" + "".join(map(chr, HOMOGLYPHS)) + "]")
+_WORD = re.compile(r"[\w@$!|]+")
+_LATIN = re.compile("[a-zà-öø-ÿœß]")
+
+
+def _class(test) -> str:
+    """The characters for which test holds, as the inside of a regular expression's class."""
+    out, start = [], None
+    for c in range(0x110001):
+        ok = c < 0x110000 and test(c)
+        if ok and start is None:
+            start = c
+        elif not ok and start is not None:
+            out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return "".join(out)
+
+
+#: All but letters of any script and the marks that are part of words in some (not the accents for any letter).
+_OTHER = re.compile("[^ " + _class(lambda c: unicodedata.category(chr(c))[0] in "LM" and not 0x300 <= c < 0x370) + "]+")
+_OTHER_ASCII = re.compile("[^a-z ]+")
+#: Runs of letters of scripts that put no spaces between words; pieces of such lengths are terms wherever they stand.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{2,}")
+PIECES = (2, 3, 4)
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 
 
 def folds(text: str) -> list:
     """The text with a space before and after each word: homoglyphs and digit substitutions undone, marks dropped.
 
-    One or two readings, of the same length, for signs that stand for one of two letters.
+    Letters of all scripts stay.  Homoglyphs are undone in words that hold Latin letters too; words of look-alikes alone
+    are left as they are, and undone in readings of their own.  One to four readings, of the same length, for these and
+    for signs that stand for one of two letters; the first is the text's own.
     """
+    texts, other = [text.lower()], _OTHER_ASCII
     if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text).lower().translate(HOMOGLYPHS))
-    else:
-        text = text.lower()
-
-    def reading(table):
+        text, other = _HIDDEN.sub("", unicodedata.normalize("NFKC", text).lower()), _OTHER
+        texts = [text]
+        if _ALIKE.search(text):
+            texts = [_WORD.sub(lambda m: m[0].translate(HOMOGLYPHS) if _LATIN.search(m[0]) else m[0], text)]
+            if _ALIKE.search(texts[0]):
+                texts.append(text.translate(HOMOGLYPHS))
+
+    def reading(text, table):
         def digits(m):
             word = m[0]
             core = word.strip(".,;:!?()[]\"'")
             return word.replace(core, core.translate(table), 1) if core else word
 
-        return " " + " ".join(_OTHER.sub(" ", _MIXED.sub(digits, text)).split()) + " "
+        return " " + " ".join(other.sub(" ", _MIXED.sub(digits, text)).split()) + " "
 
-    first = reading(DIGITS[0])
-    second = reading(DIGITS[1]) if _EITHER.search(text) else first
-    return [first] if first == second else [first, second]
+    tables = DIGITS if _EITHER.search(text) else DIGITS[:1]
+    return list(dict.fromkeys(reading(t, table) for t in texts for table in tables))
 
 
 def fold(text: str) -> str:
@@ -64,11 +92,14 @@ def fold(text: str) -> str:
 
 
 def terms_of(folded: str) -> set:
-    """Terms of a folded text: whole words as `` word ``, their beginnings as `` begin``."""
+    """Terms of a folded text: whole words as `` word ``, their beginnings as `` begin``, pieces of unspaced runs."""
     words = set(folded.split())
     out = {f" {w} " for w in words if len(w) >= 3}
     for k in STEMS:
         out.update(" " + w[:k] for w in words if len(w) > k)
+    if not folded.isascii():
+        for run in set(_UNSPACED.findall(folded)):
+            out.update(run[i : i + k] for k in PIECES for i in range(len(run) - k + 1))
     return out
 
 

@@ -343,6 +343,32 @@ def test_toxicity_learns(spark):
     assert np.mean(held) > 0.99
 
 
+def test_toxicity_folding_keeps_all_scripts():
+    assert toxicity.fold("Дурак ещё, ΒΛΑΚΑΣ! żółć ağır čeština أحمق मूर्ख 你是傻瓜。") == " дурак ещё βλακας żółć ağir čeština أحمق मूर्ख 你是傻瓜 "
+    assert toxicity.fold("МОRОN сор") == " moron сор " and " moron cop " in toxicity.folds("МОRОN сор")
+    score = toxicity.Scorer({"lexicon": {" дурак ": 6.0, " أحمق ": 6.0, "傻瓜": 6.0, " głupek ": 6.0, " ass ": 6.0}, "prior": -2.0, "exceptions": {}})
+    for text in ("ты ДУРАК!", "يا أحمق", "你是傻瓜。", "ty Głupek", "аѕѕ", "such an аss"):
+        assert score(text)[0] > 0.3, text
+    for text in ("не так", "你好吗", "gupek", "g upek"):
+        assert score(text)[0] < 0.3, text
+
+
+def test_toxicity_learns_other_scripts(spark):
+    rng = np.random.default_rng(3)
+    data = []
+    for i in range(600):
+        bad = i % 6 == 0
+        words = [f"слово{chr(1072 + k)}" for k in rng.integers(0, 20, 30)] if i % 2 else ["".join(chr(0x4E00 + k) for k in rng.integers(0, 200, 12)) for _ in range(6)]
+        if bad:
+            words[3] = "дуралей" if i % 12 == 3 or i % 2 else words[3][:5] + "傻瓜" + words[3][5:]
+        data.append((i, " ".join(words), int(bad)))
+    data += [(600 + i, " ".join([f"слово{chr(1072 + k)}" for k in rng.integers(0, 20, 30)] + ["дуралей"] * (i % 6 == 0)), int(i % 6 == 0)) for i in range(600)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    score = toxicity.Scorer(toxicity.learn(df.where("doc_id % 5 > 0"), "text", "toxic", "doc_id"))
+    held = [(score(t)[0] >= 0.3) == bool(y) for i, t, y in data if i % 5 == 0]
+    assert np.mean(held) > 0.99
+
+
 def components(n, links):
     root = list(range(n))
 
