@@ -341,7 +341,8 @@ def upsert_merge(spark, sf):
 
 
 def _parted(spark, sf):
-    hits = M.top_k(_cascade(spark, sf), 12, ["source_id"], F.desc("score"), "listing_id").join(listings(spark, sf), "listing_id")
+    found = match_full(spark, sf).select(F.col("s_id").alias("source_id"), F.col("t_id").alias("listing_id"), "score", "method")
+    hits = M.top_k(found, 12, ["source_id"], F.desc("score"), "listing_id").join(listings(spark, sf), "listing_id")
     hits = hits.select(F.col("source_id").alias("s_id"), "rank", "reference", "retailer", "name", "url", F.col("price_eur").alias("price"), "visible")
     return hits.where("visible").drop("visible"), hits.where("not visible").drop("visible")
 
