@@ -1,16 +1,50 @@
-"""Keeping what several parts of a plan read."""
+"""Keeping what several parts of a plan read, in the folder that all executors share."""
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder that ``spark.checkpoint.dir`` names (one of our own where the session names none)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names (or that was set on the context).
+
+    Where neither is set, a local session gets a folder of its own; on a cluster that is an error, since other executors
+    couldn't read a folder of this machine.
+    """
+    sc = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = os.path.join(tempfile.gettempdir(), "skuweave-checkpoints")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "skuweave-checkpoints"))
+        sc.setCheckpointDir(at)
+    return at
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder; a lost executor can't take it along.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes it when nothing refers to it any more.
+    """
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Steps of a plan that yield the same rows in the same places whenever they run.
+_STEADY = ("Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "SubqueryAlias", "Range", "View", "Union", "Generate")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df if its rows come in the same places on every run, else a stored copy.
+
+    Row numbers by place are the same in two runs over a plain scan; after a shuffle they needn't be.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line.lstrip(" +-:").split(" ", 1)[0].split("(", 1)[0] for line in plan.splitlines()]
+    steady = all(not s or s.startswith(_STEADY) for s in steps) and not re.search(r"\b(rand|randn|uuid|shuffle)\(", plan)
+    return df if steady else stored(df)

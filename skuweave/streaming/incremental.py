@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skuweave.operators.store import shared_dir
 from skuweave.sources.ingest import first_wins, upsert
 
 
@@ -47,7 +47,6 @@ def upsert_into(table: str, keys: list, order: list):
 def run_to_end(stream: DataFrame) -> DataFrame:
     """Runs a stream over what is there now, into Parquet in the folder that spark.checkpoint.dir names, and reads it."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "skuweave-streams")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows")
