@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
 import uuid
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skuweave.operators.store import shared_dir, stored
+
 #: The white space that separates words, as the characters of ``[\x20\x09-\x0D]``.
 SPACE = " \t\n\x0b\x0c\r"
 SPACE_BYTES = SPACE.encode()
@@ -36,26 +36,14 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where the session names none."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), "skuweave-checkpoints")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at)
-    return at
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder; a lost executor can't take it along."""
-    shared_dir(df.sparkSession)
     small_batches(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df)
 
 
 def parts(spark: SparkSession) -> int:
@@ -93,6 +81,65 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     )
 
 
+def _ends(group: str, weight: str):
+    """One row for a sorted partition: its first and last group and the last one's sum."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        first = last = None
+        total = 0
+        for b in batches:
+            if b.num_rows:
+                g, w = b.column(group).to_numpy(), b.column(weight).to_numpy()
+                tail = int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
+                total = (total if tail == 0 and g[-1] == last else 0) + int(w[tail:].sum())
+                first, last = g[0] if first is None else first, g[-1]
+        if first is not None:
+            yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), *(pa.array([int(x)], pa.int64()) for x in (first, last, total))], names=["part", "first", "last", "total"])
+
+    return run
+
+
+def _prefix_sums(group: str, weight: str, carried: dict):
+    def run(batches):
+        from pyspark import TaskContext
+
+        last, total = carried.get(TaskContext.get().partitionId(), (None, 0))
+        for b in batches:
+            if b.num_rows:
+                g, w = b.column(group).to_numpy(), b.column(weight).to_numpy()
+                ahead = np.cumsum(w) - w
+                start = np.concatenate([[True], g[1:] != g[:-1]])
+                base = ahead[start][np.cumsum(start) - 1]
+                out = ahead - base
+                if g[0] == last:
+                    out[: len(g) if not start[1:].any() else int(np.flatnonzero(start[1:])[0]) + 1] += total
+                last, total = g[-1], int(out[-1] + w[-1])
+                yield pa.record_batch([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "__sw_ahead"])
+
+    return run
+
+
+def running(df: DataFrame, group: str, order: list, weight: str, name: str) -> DataFrame:
+    """df with ``name``: the sum of ``weight`` (a long) over the rows before this one in its ``group`` (a long), in order.
+
+    No window, so a group may hold any part of all rows: one range shuffle, then each sorted partition is summed where it
+    lies; a row for each partition goes to the driver, which carries sums over to the partitions that a group runs into.
+    Rows that tie in ``order`` follow in the order of their place in the input.
+    """
+    tie = "__sw_tie"
+    keys = [F.col(group), *order, F.col(tie)]
+    placed = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(parts(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    kept = cut(placed.drop(tie))
+    carried, before = {}, (None, 0)
+    for r in sorted(kept.select(group, weight).mapInArrow(_ends(group, weight), "part long, first long, last long, total long").collect()):
+        carried[r.part] = before
+        before = (r.last, r.total + (before[1] if r.first == r.last == before[0] else 0))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), "__sw_ahead long"])
+    return kept.mapInArrow(_prefix_sums(group, weight, carried), schema).withColumnRenamed("__sw_ahead", name)
+
+
 def give_back() -> None:
     """Returns freed memory to the system at a task's end: workers live on beside the next stage's."""
     pa.default_memory_pool().release_unused()
@@ -135,7 +182,8 @@ def _forest_batches(batches):
         yield pa.record_batch([pa.array(f[:, 0]), pa.array(f[:, 1])], names=["v", "u"])
 
 
-#: Links of which one task makes components at once (16 bytes each); more go through rounds over all executors.
+#: Links that are finished in one task (16 bytes each, so 8 MB at most): a round over all executors costs more than that.
+#: A parameter of the speed alone; both ways give the same components.
 LOCAL_LINKS = 500_000
 
 

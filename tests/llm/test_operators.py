@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from skuweave.llm import common, embedjoin, langid, mixing, nearjoin, packing, quality, queries, sharding, tokens, toxicity
+from skuweave.llm import common, embedjoin, langid, lines, mixing, nearjoin, packing, quality, queries, sharding, tokens, toxicity
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 NO_ID = 2**63 - 1
@@ -181,19 +181,44 @@ def test_permutation(n, seed):
     assert (sharding.permute(out, n, seed, back=True) == np.arange(n)).all()
 
 
-def test_lines(spark, edge_dir, rows):
+def brute_lines(rows):
+    """(doc_id, lines, dropped, sha256 of the rest) of each row; a null id is a document above all, in input order."""
     docs = defaultdict(set)
     keys = lambda t: [lower(x.strip(" \t\n\x0b\x0c\r")) for x in (t or "").split("\n")]
-    for r in rows:
-        for k in keys(r.text):
-            if len(k) >= 10 and r.doc_id is not None:
-                docs[k].add(r.doc_id)
-    want = Counter()
-    for r in rows:
+    name = lambda k, r: (r.doc_id is None, k if r.doc_id is None else r.doc_id)
+    for k, r in enumerate(rows):
+        for x in keys(r.text):
+            if len(x) >= 10:
+                docs[x].add(name(k, r))
+    out = []
+    for k, r in enumerate(rows):
         lines = (r.text or "").split("\n")
-        stay = [x for x, k in zip(lines, keys(r.text)) if len(docs.get(k, ())) < 2 or r.doc_id in (None, min(docs[k]))]
-        want[r.doc_id, len(lines), len(lines) - len(stay), hashlib.sha256("\n".join(stay).encode()).hexdigest()] += 1
-    assert Counter(tuple(r) for r in queries.QUERIES["op4_lines"](spark, edge_dir).collect()) == want
+        stay = [x for x, y in zip(lines, keys(r.text)) if len(docs.get(y, ())) < 2 or name(k, r) == min(docs[y])]
+        out.append((r.doc_id, len(lines), len(lines) - len(stay), "\n".join(stay)))
+    return out
+
+
+def digest(out):
+    return Counter((i, n, d, hashlib.sha256(t.encode()).hexdigest()) for i, n, d, t in out)
+
+
+def test_lines(spark, edge_dir, rows):
+    assert Counter(tuple(r) for r in queries.QUERIES["op4_lines"](spark, edge_dir).collect()) == digest(brute_lines(rows))
+
+
+def test_lines_of_rows_without_ids(spark, tmp_path):
+    """Many null ids: each counts, loses what others hold before it, and none gather under one key of the join."""
+    data = [(None if i % 4 else i, f"a passage that all rows share\nown line number {i}\nline of every third {i % 3}") for i in range(400)]
+    data += [(None, "only rows without an id\nrest"), (None, "only rows without an id\nrest"), (None, None), (None, "")]
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = lines.dedup_lines(docs)
+    assert Counter((r.id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out.collect()) == digest(brute_lines(docs.collect()))
+    three = lines.dedup_lines(docs, min_docs=3)
+    assert three.where("kept like 'only rows%'").count() == 2
+    # The same rows after a shuffle, whose order may differ when it runs again: one holder stays.
+    again = lines.dedup_lines(docs.repartition(5, "text")).collect()
+    assert sum("a passage that all rows share" in r.kept for r in again) == 1 and sum(r.kept.startswith("only rows") for r in again) == 1
 
 
 @pytest.mark.parametrize("capacity,longest", [(10, 10), (100, 60), (2048, 2048), (2048, 300)])

@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline as P
 from skuweave.llm import queries
-from tests.llm.test_operators import WORDS, brute_near
+from tests.llm.test_operators import brute_lines, brute_near, WORDS
 
 
 @pytest.fixture(scope="session")
@@ -34,17 +34,7 @@ def test_quality_rejects_what_the_rules_reject(spark, edge_dir, steps):
 
 
 def test_lines_go(steps):
-    keys = lambda t: [x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)}) for x in (t or "").split("\n")]
-    before = steps["quality rules"]
-    holders = {}
-    for r in before:
-        for k in keys(r.text):
-            if len(k) >= 10 and r.doc_id is not None:
-                holders.setdefault(k, set()).add(r.doc_id)
-    want = Counter()
-    for r in before:
-        text = "\n".join(x for x, k in zip((r.text or "").split("\n"), keys(r.text)) if len(holders.get(k, ())) < 2 or r.doc_id in (None, min(holders[k])))
-        want[r.doc_id, hashlib.sha256(text.encode()).hexdigest(), len(text)] += 1
+    want = Counter((i, hashlib.sha256(t.encode()).hexdigest(), len(t)) for i, _, _, t in brute_lines(steps["quality rules"]))
     assert Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest(), r.n_chars) for r in steps["line dedup"]) == want
 
 
