@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skuweave.llm.common import NO_ID, documents, new_path, parts
+from skuweave.llm.packing import special_strings
 
 #: Words remembered with their ids by each Python worker.
 MEMO = 1_000_000
@@ -48,10 +49,10 @@ class _Words(dict):
 
 
 class Encoder:
-    """Ids of texts by a ``tokenizers`` file, without special tokens, as little-endian unsigned 32-bit bytes.
+    """Ids of texts by a ``tokenizers`` file, with add_special_tokens=False, as little-endian unsigned 32-bit bytes.
 
     Files that lower-case and split at white space are fed word by word, each distinct word once; a text with characters
-    on which Python and the tokenizer might differ goes through the tokenizer whole.
+    on which Python and the tokenizer might differ, or with the string of an added token, goes through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -59,16 +60,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path) as f:
             spec = json.load(f)
         kind = json.dumps([spec["normalizer"], spec["pre_tokenizer"]])
         self.by_word = '"Lowercase"' in kind and '"Removed"' in kind and '"ByteLevel"' in kind
         self.words = _Words(self.whole.model, self.whole) if self.by_word else None
+        self.special = special_strings(path)
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
-        if not self.by_word or not _PLAIN.fullmatch(text):
+        if not self.by_word or not _PLAIN.fullmatch(text) or self.special.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = self.words
         if len(words) > MEMO:
@@ -110,7 +111,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, ident: str = "do
 
     Columns: doc_id, part (file), start_in_part, n_tokens, ids.  Null or empty text: the end id alone.  The text is
     range-shuffled once and encoded where it lands; integers are run-length encoded (RLE v2), each stripe has row
-    indexes and a Bloom filter on doc_id, so readers split files by stripe and skip stripes by metadata.
+    indexes and a Bloom filter on doc_id, so readers split files by stripe and skip stripes by metadata.  An empty table
+    gives files without rows; other columns of docs are ignored, whatever their names.
     """
     tie = "__sw_tie"
     slim = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn(tie, F.monotonically_increasing_id())
@@ -159,6 +161,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_tokens(spark, sf_dir: str) -> DataFrame:
+    """All documents written as ORC and read back; nulls, empty texts and repeated rows as in write_tokens()."""
     import public_tokenizers
 
     path = new_path(spark, "tokens")

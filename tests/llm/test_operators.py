@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -267,7 +268,6 @@ def test_dominance_is_optimal_on_small_instances():
 
 def test_pack(spark, edge_dir, rows):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter()
     for r in rows:
         ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4")
@@ -289,15 +289,27 @@ def test_pack(spark, edge_dir, rows):
     assert len(bins) <= -(-sum(r.length for r in got) // 2048) + 2
 
 
+@cache
+def byte_encoders():
+    P = public_tokenizers
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.byte_encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.text(max_size=60))
+@given(st.lists(st.one_of(st.text(max_size=30), st.sampled_from(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>"])), max_size=4).map("".join))
 def test_both_byte_encoders_agree(text):
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(test_both_byte_encoders_agree, "t") else test_both_byte_encoders_agree.t
-    t.encode_special_tokens = True
-    test_both_byte_encoders_agree.t = t
-    if not hasattr(test_both_byte_encoders_agree, "e"):
-        test_both_byte_encoders_agree.e = packing.byte_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    assert test_both_byte_encoders_agree.e.encode_ordinary(text) == t.encode(text, add_special_tokens=False).ids
+    t, e = byte_encoders()
+    assert e(text) == t.encode(text, add_special_tokens=False).ids
+
+
+def test_strings_of_added_tokens():
+    _, e = byte_encoders()
+    assert e("a <|endoftext|> b") == [64, 220, 50256, 275]
+    word = tokens.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert np.frombuffer(word("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for text in ("x<|startoftext|>y <|ENDOFTEXT|> z", "<|endoftext|>" * 3, "<|endof text|>"):
+        assert np.frombuffer(word(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
@@ -309,7 +321,6 @@ def test_word_encoder(text):
 
 def test_tokens(spark, edge_dir, rows):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     got = queries.QUERIES["op7_tokens"](spark, edge_dir).collect()
     want = Counter()
     for r in rows:
