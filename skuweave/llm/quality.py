@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skuweave.llm.common import SPACE, bounded, cut, documents
 
@@ -23,14 +22,14 @@ GRID = {
 }
 #: Good documents of a stratum that one rule may reject at most, and the chance that any cutoff used breaks that.
 ALPHA, DELTA = 0.005, 0.05
-#: Terms of the binomial sum that are added one by one; the rest is bounded from above by a geometric series.
-TERMS = 4096
+#: Standard deviations of a binomial sum that are added term by term; what is left is under exp(-72) of the sum.
+SPREAD = 12
 
 
 def statistics(docs: DataFrame, ident: str, text: str, *extra) -> DataFrame:
     """Per row: ident, extra, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_caps, n_bangs.
 
-    Null text counts as none.  One pass over the text without a shuffle: windows are hashed (64 bits) into an array, and
+    Null text counts as none; repeated rows are counted each; no rows for an empty table.  One pass over the text without a shuffle: windows are hashed (64 bits) into an array, and
     only documents in which a hash repeats sort that array to find the repeated windows and the words they cover.
     """
     t = F.coalesce(F.col(text), F.lit(""))
@@ -89,16 +88,17 @@ def _ln_factorial(n):
 def binomial_tail(k, n, p: float):
     """P(X <= k) for X ~ Bin(n, p), as a column; 1 where k is at the mean or over it.
 
-    Sums downwards from the term at k (exact up to TERMS terms, beyond that bounded from above).
+    The exact sum, downwards from the term at k.  Below the mean the j-th term from there is at most exp(-j * j / 2np) of
+    the first, so terms beyond SPREAD standard deviations are less than what a double can tell, and aren't added.
     """
     ln_top = _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k) + k * F.log(F.lit(p)) + (n - k) * F.log(F.lit(1 - p))
     start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
     down = lambda a, j: a.t * (k - j) / (n - k + j + 1) * F.lit((1 - p) / p)
-    steps = F.when(k > 0, F.sequence(F.lit(0), F.least(k, F.lit(TERMS)).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    total = F.aggregate(steps, start, lambda a, j: F.struct(down(a, j).alias("t"), (a.s + down(a, j)).alias("s")), lambda a: F.struct(a.s.alias("s"), a.t.alias("t")))
-    ratio = k.cast("double") / (n - k + 1) * F.lit((1 - p) / p)
-    rest = F.when(k > TERMS, total.t * ratio / (1 - ratio)).otherwise(F.lit(0.0))
-    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(ln_top) * (total.s + rest)))
+    terms = F.least(k, F.ceil(F.sqrt(n * F.lit(p)) * SPREAD) + 64)
+    below = (k > 0) & (k < n * p)
+    steps = F.when(below, F.sequence(F.lit(0), terms.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(steps, start, lambda a, j: F.struct(down(a, j).alias("t"), (a.s + down(a, j)).alias("s")), lambda a: a.s)
+    return F.when(k >= n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(ln_top) * total))
 
 
 def cutoffs(scored: DataFrame, grid: dict, alpha: float, delta: float) -> DataFrame:
@@ -116,7 +116,9 @@ def cutoffs(scored: DataFrame, grid: dict, alpha: float, delta: float) -> DataFr
         for c in cs
     ]
     counts = scored.groupBy("stratum").agg(F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("n_bad"), F.array(*sums).alias("tries"))
-    tests = cut(counts).select("*", F.count("*").over(Window.partitionBy(F.lit(1))).alias("strata")).withColumn("x", F.explode("tries")).select("stratum", "n", "n_bad", "strata", "x.*")
+    counts = cut(counts)
+    strata = F.broadcast(counts.agg(F.count("*").alias("strata")))  # a single row
+    tests = counts.crossJoin(strata).withColumn("x", F.explode("tries")).select("stratum", "n", "n_bad", "strata", "x.*")
     gain = F.col("bad") / F.greatest("n_bad", F.lit(1)) - F.col("k") / F.greatest("n", F.lit(1))
     sure = binomial_tail(F.col("k"), F.col("n"), alpha) <= delta / len(tries) / F.col("strata")
     kept = tests.withColumn("gain", gain).where((F.col("gain") > 0) & sure)
@@ -128,7 +130,9 @@ def quality(docs: DataFrame, labels: DataFrame, *, ident: str = "doc_id", text:
 
     base_failed: under 10 words, or repeated windows cover over a fifth of the words.  labels: (ident, label), 1 for
     good; rows with a null and repeated ids count once or not at all (any 0 makes a document bad).  A stratum without
-    enough labels, or none, has no cutoffs and rejects by base_failed alone.  A null stratum is one of its own.
+    enough labels, or none, has no cutoffs and rejects by base_failed alone.  A null stratum is one of its own.  A null id
+    has no label; repeated rows are judged each by itself; empty docs give no rows, empty labels no cutoffs.  Values equal
+    to a cutoff pass.  Other columns are ignored, whatever their names.
     """
     stats = cut(statistics(docs, ident, text, *carry, F.coalesce(F.col(stratum), F.lit("")).alias("__stratum")))
     rules = values()
@@ -144,6 +148,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, ident: str = "doc_id", text:
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
+    """quality() of all documents by the table of labels; nulls, empty and repeated rows as there."""
     out = quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
