@@ -490,6 +490,27 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     assert got == {i: (int(near[i].sum()) - 1, comp[i]) for i in range(len(x))}
 
 
+def test_embeddings_of_several_lengths(spark, monkeypatch):
+    """Vectors of three lengths, one of them rare: each is compared with its own; many blocks, so several levels of intervals."""
+    monkeypatch.setattr(embedjoin, "BLOCK", 64)
+    monkeypatch.setattr(embedjoin, "BLOCK_BYTES", 64 * 64)
+    rng = np.random.default_rng(7)
+    data = []
+    for d, n in ((3, 900), (20, 1200), (2, 3)):
+        c = rng.normal(size=(n // 3, d))
+        data += [c[i % len(c)] + rng.normal(size=d) * 0.1 * (i % 3) for i in range(n - 2)] + [c[0], c[0]]
+    rng.shuffle(data)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "vec_id long, embedding array<double>").repartition(5)
+    near = np.zeros((len(data), len(data)), dtype=bool)
+    for d in (2, 3, 20):
+        at = np.array([i for i, v in enumerate(data) if len(v) == d])
+        u = np.array([data[i] / np.linalg.norm(data[i]) for i in at])
+        near[np.ix_(at, at)] = u @ u.T >= 0.9
+    comp = components(len(data), [(int(a), int(b)) for a, b in np.argwhere(np.triu(near, 1))])
+    got = {r.id: (r.n_links, r.component) for r in embedjoin.near_vectors(df).collect()}
+    assert got == {i: (int(near[i].sum()) - 1, comp[i]) for i in range(len(data))}
+
+
 def test_quality_statistics(spark, edge_dir, rows):
     got = queries.QUERIES["op10_quality"](spark, edge_dir).collect()
     want = Counter()
