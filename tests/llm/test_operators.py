@@ -458,6 +458,28 @@ def test_near_large_group(spark, monkeypatch):
     assert Counter((r.id, r.n_shingles, r.component) for r in out) == Counter(brute_near(df.collect()))
 
 
+def test_near_passage_in_all_texts(spark, monkeypatch):
+    """One passage in every text, so one cluster of many blocks: near copies, chains, and texts that can't link."""
+    monkeypatch.setattr(nearjoin, "BLOCK", 8)
+    monkeypatch.setattr(nearjoin, "WIDE", 3)
+    monkeypatch.setattr(nearjoin, "FLUSH_TEXTS", 60)  # several parts a task, with hot hashes in each
+    rng = np.random.default_rng(9)
+    passage = [f"p{i}" for i in range(60)]
+    data = []
+    for i in range(160):  # near copies around the passage
+        data.append(" ".join(passage + [f"n{k}" for k in range(20)] + [f"e{i}"] * int(rng.integers(0, 4))))
+    for i in range(120):  # a chain: each shares most with the next, little with those further on
+        data.append(" ".join(passage + [f"c{k}" for k in range(4 * i, 4 * i + 40)]))
+    for i in range(80):  # two families of other texts
+        data.append(" ".join(passage[:55] + [f"f{i % 2}x{k}" for k in range(90 + i % 5)] + [f"o{i}y{k}" for k in range(3)]))
+    for i in range(60):  # alone but for the passage and a common rest
+        data.append(" ".join(passage + [f"r{k}" for k in range(30)] + [f"a{i}z{k}" for k in range(27)]))
+    order = rng.permutation(len(data))
+    df = spark.createDataFrame([(int(i), data[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    out = nearjoin.near_duplicates(df).collect()
+    assert Counter((r.id, r.n_shingles, r.component) for r in out) == Counter(brute_near(df.collect()))
+
+
 def test_tree_links_lose_no_component():
     rng = np.random.default_rng(4)
     for _ in range(20):
