@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skuweave.llm import common, embedjoin, langid, lines, mixing, nearjoin, packing, quality, queries, sharding, tokens, toxicity
@@ -106,15 +107,65 @@ def test_mix_overlapping_sources(spark):
     out = mixing.mix(df, ident="id", size=df["size"], members=df["members"]).collect()
     got = Counter()
     for r in out:
-        assert r.taken <= 2 * r.size
+        assert r.taken <= 2 * r.size and sum(n for _, n in r.routes) == r.taken
         for s, n in r.routes:
             assert s in r.sources
             got[s] += n
-    own = {"a": 2000, "b": 2000}
-    want = mixing.targets(own, mixing.cycled_weights(["a", "b"]), 1.5 * 3000 / 4000, 2.0)
+    want = {"a": 4500 * 5 / 7, "b": 4500 * 2 / 7}
     assert all(abs(got[s] - want[s]) <= 20 for s in want)
 
 
+def test_mix_routes_around_shared_texts(spark):
+    """Texts that sources a and b both hold go to b, since a has enough of its own; no text is used more than need be."""
+    data = [(i, f"only a {i}", "a") for i in range(400)] + [(1000 + i, f"in both {i}", s) for i in range(200) for s in "ab"]
+    df = spark.createDataFrame(data, "id long, text string, source string")
+    out = mixing.mix_copies(df, ident="id", size=F.lit(10), source=df["source"], text=df["text"], share=0.8, cycle=(1,)).collect()
+    by = Counter()
+    for r in out:
+        by[r.source, "own" if r.id < 1000 else "both"] += r.taken
+    # Quotas: 3200 words each, but b has 2000 and takes up to 4000.  The 2000 words of shared texts go to b once, and once
+    # more in part; a takes its own 4000 words' worth first.
+    assert abs(by["a", "own"] + by["a", "both"] - 3200) <= 20 and abs(by["b", "both"] - 3200) <= 20
+    assert by["a", "own"] == 3200 and by["a", "both"] == 0
+    # A flow by hand: the shared pattern gives to b; b's quota can only come from it.
+    flow = mixing.min_cost_flow({("a",): 4000, ("a", "b"): 2000}, {"a": 3200, "b": 3200}, 2, {(("a",), "a"): 8000, (("a", "b"), "a"): 4000, (("a", "b"), "b"): 4000})
+    assert flow == {(("a",), "a"): 3200, (("a", "b"), "b"): 3200}
+    # Words given to a first are taken back for b once a's own are as cheap.
+    flow = mixing.min_cost_flow({("a", "b"): 10, ("a",): 10}, {"a": 10, "b": 10}, 1)
+    assert flow == {(("a", "b"), "b"): 10, (("a",), "a"): 10}
+
+
+def test_mix_targets_of_many_sources(spark):
+    """More sources than any driver-side plan takes patterns; the excess is shared again more than once."""
+    rng = np.random.default_rng(3)
+    own = {f"s{i:05d}": int(rng.integers(1, 10_000) if i % 9 else rng.integers(1, 30)) for i in range(3000)}
+    df = spark.createDataFrame(list(own.items()), "source string, words long")
+    got = {r.source: r.target for r in mixing.targets(df, sum(own.values()), 1.5, 2.0, (5, 2, 1)).collect()}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(own))}
+    left, open_, want = 1.5 * sum(own.values()), set(own), {}
+    while over := {s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 2 * own[s]}:
+        want |= {s: 2.0 * own[s] for s in over}
+        left -= sum(want[s] for s in over)
+        open_ -= over
+    want |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    assert got == pytest.approx(want)
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(4)
+    data = [(int(g), int(u), int(w)) for g, u, w in zip(rng.choice([1, 1, 1, 1, 2, 3, -7], 3000), rng.integers(0, 500, 3000), rng.integers(0, 9, 3000))]
+    df = spark.createDataFrame(data, "g long, u long, w long").repartition(7)
+    got = common.running(df, "g", [F.col("u")], "w", "ahead").collect()
+    assert Counter((r.g, r.u, r.w) for r in got) == Counter(data)
+    for g in {r.g for r in got}:
+        at = 0
+        for r in sorted((r for r in got if r.g == g), key=lambda r: (r.ahead, r.w > 0)):
+            assert r.ahead == at
+            at += r.w
+        rows = sorted((r for r in got if r.g == g), key=lambda r: (r.ahead, r.u))
+        assert [r.u for r in rows if r.w] == sorted(r.u for r in rows if r.w)
+
+
 def test_language(spark, edge_dir, rows):
     got = queries.QUERIES["op2_language"](spark, edge_dir).collect()
     assert len(got) == len(rows)
