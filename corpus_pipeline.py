@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; run() applies them to documents.
 All stages but the last return the columns of documents.  A null id is a document of its own kind, above all others, and
-repeated rows are copies; see the operators for nulls, empty texts and ties.
+repeated rows are copies; see the operators for nulls, empty texts and ties.  Rows go by their number; docs that may come
+in another order when read again are stored first.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 
 from skuweave.llm.common import bounded, cut, documents, new_path, small_batches
 from skuweave.llm.lines import dedup_lines_in
-from skuweave.llm.mixing import mix, words
+from skuweave.llm.mixing import mix_copies, words
 from skuweave.llm.nearjoin import COPIES, near_duplicates
 from skuweave.llm.packing import pack_documents
 from skuweave.llm.quality import quality
+from skuweave.operators.store import remove, settled
 
 #: The stages' own column names, which tables aren't expected to have.
 ROW, TIMES, COPY = "__sw_row", "__sw_times", "__sw_copy"
@@ -30,6 +32,7 @@ def _keep(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents by the base rules and the certified cutoffs; the texts of the others are left as they are."""
+    docs = settled(docs)
     rows = docs.withColumn(ROW, F.monotonically_increasing_id())
     judged = quality(rows, documents(spark, sf_dir, "labels"), carry=[ROW])
     return _keep(docs, judged.where("not kept"))
@@ -46,14 +49,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the row with the smallest id, of those the first."""
+    docs = settled(docs)
     found = near_duplicates(docs)
     return _keep(docs, found.where("row != first").select(F.col("row").alias(ROW)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice; documents without words aren't taken."""
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    taken = mix(rows, ident=ROW, size=words(F.col("text")), members=F.array("source")).where("taken > 0").select(F.col("id").alias(ROW), F.size("routes").alias(TIMES))
+    rows = settled(docs).withColumn(ROW, F.monotonically_increasing_id())
+    mixed = mix_copies(rows, ident=ROW, size=words(F.col("text")), source=F.col("source"), text=F.col("text"))
+    taken = mixed.where("taken > 0").select(F.col("id").alias(ROW), F.col("times").alias(TIMES))
     again = rows.join(taken, ROW)
     return again.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col(TIMES)))).select(docs.columns)
 
@@ -78,12 +83,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written as Parquet to the shared folder and read by the next."""
-    docs = documents(spark, sf_dir)
+    """All stages over documents; each stage's rows are written as Parquet to the shared folder and read by the next.
+
+    A stage's rows are deleted once the next one's are written; those that the last stage reads stay.
+    """
+    docs, before = documents(spark, sf_dir), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = new_path(spark, f"pipeline-{k}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs

@@ -35,6 +35,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, if it is there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 #: Steps of a plan that yield the same rows in the same places whenever they run.
 _STEADY = ("Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "SubqueryAlias", "Range", "View", "Union", "Generate")
 
