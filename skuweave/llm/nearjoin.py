@@ -79,7 +79,9 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
 
 def _runs(x: np.ndarray):
     """Starts and ends of the runs of equal values."""
-    at = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1)] if len(x) else []
+    if not len(x):
+        return ()
+    at = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1)]
     return zip(at, [*at[1:], len(x)], strict=True)
 
 
