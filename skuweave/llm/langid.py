@@ -42,20 +42,25 @@ def _count(batches):
         yield pa.record_batch([pa.array([lang]), pa.array([n.tobytes()], pa.binary())], names=["lang", "counts"])
 
 
+def _summed(table: pa.Table) -> pa.Table:
+    """A language's tables from all tasks to their sum."""
+    total = sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("counts"))
+    return pa.table([table.column("lang")[:1], pa.array([total.tobytes()], pa.binary())], names=["lang", "counts"])
+
+
 def train(docs: DataFrame, text: str, lang: str, ident: str, limit: int = TRAIN) -> tuple[list, np.ndarray]:
     """Languages in code point order and the log probability of each table place in each.
 
     Counted on a sample of about ``limit`` rows with a language (all rows, if there are no more): the share that a hash
-    of the id picks.  16 tasks return a table for each language that they meet.
+    of the id picks.  16 tasks make a table for each language that they meet; these are summed by language before the
+    driver gets them, TABLE numbers for each of at most MAX_LANGS languages (more: ValueError).  No rows: no languages.
     """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     rows = known.count()
     part = min(1.0, limit / max(rows, 1))
     picked = known.where(F.pmod(F.xxhash64(F.lit(5), ident), F.lit(1_000_000)) < int(part * 1_000_000)) if part < 1 else known
-    tables = picked.select(F.col(lang).alias("lang"), F.col(text).alias("text")).repartition(16).mapInArrow(_count, "lang string, counts binary").limit(16 * MAX_LANGS + 1).collect()
-    sums: dict = {}
-    for r in tables:
-        sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.counts, dtype=np.int64)
+    tables = picked.select(F.col(lang).alias("lang"), F.col(text).alias("text")).repartition(16).mapInArrow(_count, "lang string, counts binary")
+    sums = {r.lang: np.frombuffer(r.counts, dtype=np.int64) for r in tables.groupBy("lang").applyInArrow(_summed, "lang string, counts binary").limit(MAX_LANGS + 1).collect()}
     if len(sums) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     langs = sorted(sums)
@@ -68,8 +73,9 @@ def mixture(places: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, float]:
 
     Starts from the single best language and adds the one of all others that raises the likelihood most, shares fitted by
     EM, for as long as twice the log likelihood gained exceeds log(n) per language (BIC); n-grams of a text depend on one
-    another, so their number counts for a third.  At the end languages that the others make needless go.  A language isn't fitted where the likelihood's slope at the current
-    shares, which bounds its gain (the likelihood is concave), stays below the penalty or the best gain so far.
+    another, so their number counts for a third.  At the end languages that the others make needless go.  A language isn't
+    fitted where the likelihood's slope at the current shares, which bounds its gain (the likelihood is concave), stays
+    below the penalty or the best gain so far.
     """
     uniq, n = np.unique(places, return_counts=True)
     lp = logp[:, uniq]
@@ -153,7 +159,9 @@ def identify(docs: DataFrame, model: tuple, *, ident: str = "doc_id", text: str
     """(id, lang_pred, score, shares) for each row, from the whole text alone.
 
     lang_pred: the language with the largest share; ``und`` (score 0) for null texts and texts without a letter, or if no
-    language was learned.  shares: the languages selected, with their proportions.
+    language was learned.  shares: the languages selected, with their proportions.  Repeated rows and null ids are judged
+    each by itself; languages of equal share: the first in code point order.  An empty table gives no rows; other columns
+    are ignored, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInArrow(_predict(sent), "id long, lang_pred string, score double, shares array<struct<lang:string,share:double>>")
@@ -165,6 +173,7 @@ def held_out(ident: str = "doc_id"):
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:
+    """identify() all documents by models of those not held out; nulls, texts without letters and empty tables as there."""
     docs = documents(spark, sf_dir)
     model = train(docs.where(~held_out()), "text", "lang", "doc_id")
     out = identify(docs, model)

@@ -22,8 +22,8 @@ TRAIN = 30_000
 MIN_TOXIC, PURITY, LEVEL = 3, 0.9, 0.05
 #: Lengths of word beginnings that are terms of their own.
 STEMS = (3, 4, 5, 6, 7, 8)
-#: Candidate terms, at most; those in most toxic documents.
-CANDIDATES = 200_000
+#: Words for each match over which its evidence halves.
+FADE = 4000
 
 # Characters that look like Latin letters.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁѵԝмткнвɡαορντικυβı", "aeopcyxijshdvwmtkhbgaopvtikubi")
@@ -195,8 +195,8 @@ def learn(labelled: DataFrame, text: str, label: str, ident: str, limit: int = T
     """A lexicon {term: weight}, exception phrases and the prior log odds, from labelled rows.
 
     Counted on a sample of about ``limit`` rows with a label (all rows, if there are no more), which a hash of the id
-    picks.  Candidates are words and beginnings of words in toxic documents; a second pass counts the clean documents
-    that hold them.  A phrase of a match and its neighbour that is found in clean documents (3 or more, nine in ten of
+    picks.  Candidates are words and beginnings of words in MIN_TOXIC toxic documents of the sample or more; a second pass
+    counts the clean documents that hold them.  A phrase of a match and its neighbour that is found in clean documents (3 or more, nine in ten of
     all) is an exception.
     """
     known = labelled.where(F.col(label).isin(0, 1)).select(F.col(ident).alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
@@ -209,7 +209,7 @@ def learn(labelled: DataFrame, text: str, label: str, ident: str, limit: int = T
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     spark = labelled.sparkSession
     toxic = known.where("label = 1").select("text").mapInArrow(_toxic_terms, "term string, toxic long").groupBy("term").agg(F.sum("toxic").alias("toxic"))
-    top = toxic.where(F.col("toxic") >= MIN_TOXIC).orderBy(F.desc("toxic"), "term").limit(CANDIDATES).collect()
+    top = toxic.where(F.col("toxic") >= MIN_TOXIC).orderBy(F.desc("toxic"), "term").collect()  # of the bounded sample
     candidates = spark.sparkContext.broadcast({r.term for r in top})
     clean = known.where("label = 0").select("text").mapInArrow(_clean_terms(candidates), "term string, clean long").groupBy("term").agg(F.sum("clean").alias("clean"))
     held = {r.term: r.clean for r in clean.collect()}
@@ -223,7 +223,7 @@ def learn(labelled: DataFrame, text: str, label: str, ident: str, limit: int = T
     model = {"lexicon": choose(passed, holders, n_toxic, n_clean, sure), "prior": math.log((n_toxic + 1) / (n_clean + 10)), "exceptions": {}}
     sent = spark.sparkContext.broadcast(model)
     around = known.select("label", "text").mapInArrow(_phrases(sent), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    free = around.where((F.col("clean") >= 3) & (F.col("clean") >= 9 * F.col("toxic"))).orderBy(F.desc("clean"), "phrase").limit(CANDIDATES).collect()
+    free = around.where((F.col("clean") >= 3) & (F.col("clean") >= 9 * F.col("toxic"))).orderBy(F.desc("clean"), "phrase").collect()
     return model | {"exceptions": {r.phrase: r.clean for r in free}}
 
 
@@ -261,8 +261,8 @@ class Scorer:
         for reading in other:
             hits = self.matches(reading) | hits
         n_words = folded.count(" ") - 1
-        # Evidence fades where matches are rarer than one in a thousand words.
-        total = sum(hits.values()) / (1 + max(0, n_words - 1000 * len(hits)) / 4000)
+        # Normalised by length: evidence counts by words for each match.
+        total = sum(hits.values()) / (1 + max(0, n_words) / (FADE * max(1, len(hits))))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.prior + total)))), len(hits)
 
 
@@ -277,12 +277,17 @@ def _score(sent):
 
 
 def toxicity(docs: DataFrame, model: dict, *, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, score, n_matches) for each row, from the whole text alone; null and empty texts get the prior."""
+    """(id, score, n_matches) for each row, from the whole text alone.
+
+    Null and empty texts get the prior.  Null ids and repeated rows are scored each by itself; of terms that begin at one
+    place the heaviest counts.  An empty table gives no rows; other columns are ignored, whatever their names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col(ident).alias("id"), F.col(text).alias("text")).mapInArrow(_score(sent), "id long, score double, n_matches long")
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """toxicity() of all documents by a lexicon of those not held out; a document with both labels counts as toxic."""
     docs, labels = documents(spark, sf_dir), documents(spark, sf_dir, "labels")
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     labelled = docs.select("doc_id", "text").join(known, "doc_id")

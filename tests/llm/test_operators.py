@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -205,6 +206,68 @@ def test_mixture_beyond_the_first_languages():
     assert set(np.flatnonzero(shares)) == {0, 4} and shares[4] == pytest.approx(0.2, abs=0.04) and sure < 0.9
 
 
+def brute_mixture(places, logp, steps=400):
+    """The best set of languages by BIC over all subsets, each with shares by a long EM: (value, set, shares)."""
+    weight = np.bincount(places, minlength=logp.shape[1]) / langid.GRAM
+    at = np.flatnonzero(weight)
+    p, w = np.exp(logp[:, at].astype(float)), weight[at]
+    best = None
+    for k in range(1, len(p) + 1):
+        for ids in combinations(range(len(p)), k):
+            q, pi = p[list(ids)], np.full(k, 1 / k)
+            for _ in range(steps if k > 1 else 0):
+                r = pi[:, None] * q
+                pi = (r / r.sum(axis=0)) @ w
+                pi /= pi.sum()
+            value = w @ np.log(pi @ q) - np.log(max(2.0, w.sum())) / 2 * (k - 1)
+            if best is None or value > best[0]:
+                best = value, ids, dict(zip(ids, pi))
+    return best
+
+
+def test_mixture_is_the_best_subset():
+    """Against every subset of up to six languages, some of them close to one another."""
+    rng = np.random.default_rng(12)
+    same = 0
+    for trial in range(12):
+        n = int(rng.integers(3, 7))
+        p = rng.dirichlet(np.full(langid.TABLE, 0.01), size=n)
+        p[-1] = 0.6 * p[0] + 0.4 * p[-1]
+        logs = np.log(p + 1e-9).astype(np.float32)
+        inside = rng.choice(n, int(rng.integers(1, min(n, 4) + 1)), replace=False)
+        places = np.concatenate([rng.choice(langid.TABLE, int(rng.integers(60, 700)), p=p[k]) for k in inside])
+        shares, _ = langid.mixture(places, logs)
+        _, ids, want = brute_mixture(places, logs)
+        same += set(np.flatnonzero(shares)) == set(ids)
+        if set(np.flatnonzero(shares)) == set(ids):
+            assert all(shares[k] == pytest.approx(want[k], abs=0.05) for k in ids)
+    assert same == 12
+
+
+def test_language_against_brute_force(spark):
+    """The whole query on the prose: counts by dictionaries, every subset of the languages."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    counts = defaultdict(Counter)
+    for r in docs:
+        if r.lang and r.text is not None and not held(r.doc_id):
+            counts[r.lang].update(langid.grams(r.text).tolist())
+    langs = sorted(counts)
+    table = np.array([[counts[x][k] + langid.SMOOTH for k in range(langid.TABLE)] for x in langs])
+    logs = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+    got = {r.doc_id: r for r in queries.QUERIES["op2_language"](spark, sf).collect()}
+    right = 0
+    for r in docs[::4]:
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert got[r.doc_id].lang_pred == "und"
+            right += 1
+            continue
+        _, ids, want = brute_mixture(langid.grams(r.text), logs, 60)
+        right += got[r.doc_id].lang_pred == langs[max(ids, key=want.get)] and {x.lang for x in got[r.doc_id].shares} == {langs[k] for k in ids}
+    assert right >= 0.98 * len(docs[::4])
+
+
 def test_shards(spark, edge_dir, rows):
     got = queries.QUERIES["op3_shards"](spark, edge_dir).collect()
     text = lambda t: (t or "").encode()
@@ -415,6 +478,55 @@ def test_toxicity_folding_and_exceptions():
     assert score("idiot " + "word " * 200_000)[0] < 0.3 < score("idiot " + "word " * 200)[0]
 
 
+def naive_matches(model, folded):
+    """Matches by looking for every term and phrase at every place."""
+    found = lambda t: [i for i in range(len(folded) - len(t) + 1) if folded.startswith(t, i)]
+    free = [(i, i + len(x) - 1) for x in model["exceptions"] for i in found(x)]
+    hits = {}
+    for t, w in model["lexicon"].items():
+        for i in found(t):
+            if not any(a <= i < z for a, z in free):
+                hits[i] = max(hits.get(i, 0.0), w)
+    return hits
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["idiot", "idiots", "clown", "fish", "the", "1diot", "cl0wns", "dumm", "dummkopf", "!", "傻瓜你"]), max_size=30).map(" ".join))
+def test_toxicity_matcher_against_naive(text):
+    model = {"lexicon": {" idiot ": 5.0, " idio": 3.0, " clow": 2.0, " dumm": 1.5, " dummk": 4.0, "傻瓜": 2.5}, "prior": -2.0, "exceptions": {" clown fish ": 4, " the idiot ": 3}}
+    score = toxicity.Scorer(model)
+    readings = toxicity.folds(text)
+    for folded in readings:
+        assert score.matches(folded) == naive_matches(model, folded)
+    hits = {}
+    for folded in reversed(readings):
+        hits |= naive_matches(model, folded)
+    n = len(readings[0].split())
+    total = sum(hits.values()) / (1 + n / (4000 * max(1, len(hits))))
+    assert score(text) == (pytest.approx(1 / (1 + np.exp(-(total - 2.0)))), len(hits))
+
+
+def test_toxicity_training_counts(spark):
+    """Learned weights against counts by hand, over all labelled rows."""
+    rng = np.random.default_rng(11)
+    data = []
+    for i in range(800):
+        w = rng.choice([f"wort{k}" for k in range(60)], 25).tolist()
+        if i % 6 == 0:
+            w[3:5] = ["lump", "schuft"] if i % 12 else ["lump", "halunke"]
+        elif i % 6 == 1:
+            w[3:5] = ["lump", "sammler"]
+        data.append((i, " ".join(w), int(i % 6 == 0)))
+    model = toxicity.learn(spark.createDataFrame(data, "doc_id long, text string, toxic int"), "text", "toxic", "doc_id")
+    n = Counter(y for _, _, y in data)
+    for term, weight in model["lexicon"].items():
+        has = Counter(y for _, t, y in data if term in f" {t} ")
+        assert weight == pytest.approx(np.log((has[1] + 0.5) / (n[1] + 1)) - np.log((has[0] + 0.5) / (n[0] + 1)))
+        assert has[1] >= 3 and has[1] >= 0.9 * (has[0] + has[1])
+    assert any("schuf".startswith(t.strip()[:5]) for t in model["lexicon"]) and not any(t.strip() in ("lump", "lum") for t in model["lexicon"])
+    assert model["prior"] == pytest.approx(np.log((n[1] + 1) / (n[0] + 10)))
+
+
 def test_toxicity_learns(spark):
     rng = np.random.default_rng(2)
     vocabulary = [f"w{i}" for i in range(300)]
