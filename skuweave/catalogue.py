@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from skuweave.functions import text as T
 from skuweave.functions import enrich as E
@@ -40,54 +41,64 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _product(k: str, model: str, words: str) -> str:
-    """Columns of a derived product with number k."""
+def _product(k: str, number: str, words: str) -> list:
+    """Columns of a derived product with number k.
+
+    Models stand in the name whole, without their last letter or in pieces, in a specification, or nowhere; sizes in
+    inches in the name or in centimetres in a specification; barcodes and ASINs recur every 840 products.
+    """
     brand = f"CASE {k} % 7 WHEN 0 THEN 'Samsung' WHEN 1 THEN 'LG' WHEN 2 THEN 'Bosch' WHEN 3 THEN 'Siemens' WHEN 4 THEN 'Philips' WHEN 5 THEN 'Miele' ELSE 'Noname' END"
     group = f"CAST(floor({k} / 7) AS BIGINT) % 6"
-    kind = f"CASE {group} WHEN 0 THEN 'OLED Fernseher 55 Zoll' WHEN 1 THEN 'Waschmaschine' WHEN 2 THEN 'Geschirrspüler' WHEN 3 THEN 'Wasserkocher' WHEN 4 THEN 'Toaster' ELSE 'Kopfhörer' END"
+    tv = f"'OLED ' || CASE WHEN {k} % 3 = 0 THEN '4K ' ELSE '' END || 'Fernseher' || CASE WHEN {k} % 2 = 0 THEN ' 55 Zoll' ELSE '' END"
+    kind = f"CASE {group} WHEN 0 THEN {tv} WHEN 1 THEN 'Waschmaschine' WHEN 2 THEN 'Geschirrspüler' WHEN 3 THEN 'Wasserkocher' WHEN 4 THEN 'Toaster' ELSE 'Kopfhörer' END"
     category = f"CASE {group} WHEN 0 THEN 'TV & Audio' WHEN 5 THEN 'TV & Audio' WHEN 1 THEN 'Large Appliances' WHEN 2 THEN 'Large Appliances' ELSE 'Small Appliances' END"
-    ref = f"'P_' || upper(substr(md5(CAST({k} AS STRING)), 1, 8))"
-    ean = f"CASE WHEN {k} % 3 = 0 THEN NULL ELSE lpad(CAST({k} % 900 AS STRING), 13, '4') END"
-    return f"{ref} AS reference, {brand} || ' ' || {model} || ' ' || {kind} || ' ' || {words} AS name, {model} AS model, {category} AS category, {ean} AS ean"
+    model = f"CASE {k} % 5 WHEN 0 THEN 'KX' || {number} || 'B ' WHEN 1 THEN 'KX' || {number} || ' ' WHEN 2 THEN 'KX ' || {number} || ' B ' ELSE '' END"
+    columns = {
+        "reference": f"'P_' || upper(substr(md5(CAST({k} AS STRING)), 1, 8))",
+        "name": f"{brand} || ' ' || {model} || {kind} || ' ' || {words}",
+        "shape": f"{k} % 5",
+        "number": number,
+        "spec_model": f"CASE WHEN {k} % 5 = 3 THEN 'KX' || {number} || 'B' END",
+        "spec_size": f"CASE WHEN {group} = 0 AND {k} % 2 = 1 THEN CASE WHEN {k} % 4 = 1 THEN '139,7 cm' ELSE '165 cm' END END",
+        "category": category,
+        "ean": f"CASE WHEN {k} % 3 = 0 THEN NULL ELSE lpad(CAST({k} % 840 AS STRING), 13, '4') END",
+        "asin": f"CASE WHEN {k} % 3 = 0 THEN 'B0' || upper(substr(md5(CAST({k} % 840 AS STRING)), 1, 8)) END",
+    }
+    return [f"{v} AS {c}" for c, v in columns.items()]
 
 
 _SHOP = "CASE p_partkey % 6 WHEN 0 THEN 'Expert AT' WHEN 1 THEN 'Cyberport AT' WHEN 2 THEN 'electronic4you.at' WHEN 3 THEN 'E-Tec' WHEN 4 THEN 'Amazon AT' ELSE 'MediaMarkt AT' END"
 LISTINGS = [
     "p_partkey AS listing_id",
-    _product("p_partkey", "'KX' || CAST(p_size + 100 AS STRING) || 'B'", "p_name"),
+    *_product("p_partkey", "CAST(p_size + 100 AS STRING)", "p_name"),
     f"{_SHOP} AS retailer",
     "'https://www.shop' || CAST(p_partkey % 6 AS STRING) || '.at//pdp/' || CAST(p_size AS STRING) || '-' || replace(p_name, ' ', '-') || '.html?ref=' || CAST(p_partkey AS STRING) AS url",
     "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_retailprice END AS price_eur",
     "p_partkey % 4 <> 0 AS visible",
     "p_size",
 ]
-SOURCES = ["s_suppkey AS source_id", _product("s_suppkey", "'KX' || CAST(s_suppkey % 50 + 101 AS STRING) || 'B'", "s_name"), "s_acctbal AS price_eur"]
+SOURCES = ["s_suppkey AS source_id", *_product("s_suppkey", "CAST(s_suppkey % 50 + 101 AS STRING)", "s_name"), "s_acctbal AS price_eur"]
 SQL_LISTINGS = f"SELECT {', '.join(LISTINGS)} FROM part"
 SQL_SOURCES = f"SELECT {', '.join(SOURCES)} FROM supplier"
 
 
-def _columns(parts: list) -> list:
-    """The select list as separate expressions: the derived product is one string of several."""
-    out, depth, at = [], 0, ""
-    for ch in ", ".join(parts):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
-            out.append(at.strip())
-            at = ""
-        else:
-            at += ch
-    return [*out, at.strip()]
+SIZE_FIELD, MODEL_FIELD = "Bildschirmdiagonale in cm, Zoll", "Modellnummer"
+
+
+def _specified(df: DataFrame) -> DataFrame:
+    specs = F.create_map(F.lit(MODEL_FIELD), F.col("spec_model"), F.lit(SIZE_FIELD), F.col("spec_size"))
+    return df.withColumn("specifications", F.map_filter(specs, lambda k, v: v.isNotNull()))
 
 
 def listings(spark, sf):
-    return table(spark, sf, "part").selectExpr(*_columns(LISTINGS))
+    return _specified(table(spark, sf, "part").selectExpr(*LISTINGS))
 
 
 def sources(spark, sf):
-    return table(spark, sf, "supplier").selectExpr(*_columns(SOURCES))
+    return _specified(table(spark, sf, "supplier").selectExpr(*SOURCES))
 
 
-# The oracles' own signals: names are made of a known brand, one model, kind words and plain words.
+# The oracles' own signals: by what the names are made of, a known brand, a model in one of its shapes, kind words and plain words.
 _NORM = "trim(regexp_replace(replace(lower(strip_accents({0})), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 _KNOWN = ", ".join(f"'{b}'" for b in V.KNOWN_BRANDS)
 _STOP = ", ".join(f"'{w}'" for w in [*V.NAME_STOPWORDS, *V.RETAILER_TOKENS])
@@ -98,10 +109,17 @@ def _kind_sql(text: str) -> str:
 
 
 def _signals_sql(source: str) -> str:
-    return f"""SELECT *, CASE WHEN split_part(name_norm, ' ', 1) IN ({_KNOWN}) THEN upper(split_part(name_norm, ' ', 1)) END AS brand_norm, {_kind_sql("name_norm")} AS kind,
+    """source with brand_norm, kind, tokens, inch, strong, family, models (both).
+
+    A model in pieces gives all that joins to a model, with a brand of two letters before it too.
+    """
+    return f"""SELECT *, list_concat(strong, family) AS models FROM (SELECT *, CASE WHEN split_part(name_norm, ' ', 1) IN ({_KNOWN}) THEN upper(split_part(name_norm, ' ', 1)) END AS brand_norm, {_kind_sql("name_norm")} AS kind,
   list_sort(list_distinct(list_filter(string_split(name_norm, ' '), lambda t: length(t) >= 2 AND t NOT IN ({_STOP}) AND NOT regexp_full_match(t, '[0-9]{{1,3}}')))) AS tokens,
-  CASE WHEN contains(name, ' 55 Zoll') THEN 55.0 END AS inch,
-  CASE WHEN regexp_full_match(regexp_extract(upper(name), '(KX[0-9]+B)', 1), 'KX[0-9]{{3,}}B') THEN regexp_extract(upper(name), '(KX[0-9]+B)', 1) END AS m FROM (SELECT *, {_NORM.format("name")} AS name_norm FROM ({source}))"""
+  CASE WHEN contains(name, ' 55 Zoll') OR spec_size = '139,7 cm' THEN 55e0 WHEN spec_size = '165 cm' THEN 65e0 END AS inch,
+  CASE WHEN shape IN (0, 3) THEN ['KX' || number || 'B'] WHEN shape = 1 THEN ['KX' || number] ELSE []::VARCHAR[] END AS strong,
+  CASE WHEN shape IN (0, 3) THEN ['KX' || number] WHEN shape = 2 AND starts_with(name, 'LG ') THEN ['KX' || number, 'KX' || number || 'B', 'LGKX' || number, 'LGKX' || number || 'B']
+    WHEN shape = 2 THEN ['KX' || number, 'KX' || number || 'B'] ELSE []::VARCHAR[] END AS family
+  FROM (SELECT *, {_NORM.format("name")} AS name_norm FROM ({source})))"""
 
 
 @query("normalize_text", f"SELECT doc_id, {_NORM.format('coalesce(text, ' + chr(39) * 2 + ')')} AS norm FROM documents")
@@ -134,7 +152,7 @@ def page_records(spark, sf):
     return parse_pages(table(spark, sf, "pages"))
 
 
-@query("slug_names")
+@query("slug_names", f"SELECT listing_id, trim(replace(CAST(p_size AS VARCHAR) || ' ' || words, '-', ' ')) AS slug FROM (SELECT *, substr(url, strpos(url, '-') + 1, length(url) - strpos(url, '-') - length('.html?ref=' || CAST(listing_id AS VARCHAR))) AS words FROM ({SQL_LISTINGS}))")
 def slug_names(spark, sf):
     return listings(spark, sf).select("listing_id", T.url_slug_name(F.col("url")).alias("slug"))
 
@@ -146,17 +164,24 @@ def json_lookup(spark, sf):
 
 @query(
     "product_signals",
-    f"""SELECT listing_id, name_norm, brand_norm, kind, array_to_string(tokens, ' ') AS tokens, inch AS screen_size_inch, coalesce(ean, '') AS eans, m AS strong, regexp_replace(m, 'B$', '') AS family
+    f"""SELECT listing_id, name_norm, brand_norm, kind, array_to_string(tokens, ' ') AS tokens, inch AS screen_size_inch, coalesce(ean, '') AS eans, coalesce(asin, '') AS asins, array_to_string(strong, ' ') AS strong, array_to_string(family, ' ') AS family
   FROM ({_signals_sql(SQL_LISTINGS)})""",
 )
 def product_signals(spark, sf):
     j = lambda c: F.array_join(c, " ")
     return with_signals(listings(spark, sf)).select(
-        "listing_id", "name_norm", "brand_norm", "kind", j("tokens").alias("tokens"), "screen_size_inch", j("eans").alias("eans"), j("strong_models").alias("strong"), j("family_models").alias("family")
+        "listing_id", "name_norm", "brand_norm", "kind", "screen_size_inch", *[j(c).alias(c) for c in ("tokens", "eans", "asins")], j("strong_models").alias("strong"), j("family_models").alias("family")
     )
 
 
-@query("search_terms")
+@query(
+    "search_terms",
+    f"""WITH t AS (SELECT source_id, b, name, strong, list_filter([ean, asin], lambda x: x IS NOT NULL) AS codes, string_split(name, ' ') AS w
+    FROM (SELECT *, CASE WHEN brand_norm IS NULL THEN '' ELSE brand_norm[1] || lower(brand_norm[2:]) END AS b FROM ({_signals_sql(SQL_SOURCES)}))),
+  every AS (SELECT source_id, list_concat(codes, flatten(list_transform(strong, lambda m: CASE WHEN b <> '' THEN [b || ' ' || m, m] ELSE [m] END)),
+    CASE WHEN b <> '' THEN [b || ' ' || name, name, b || ' ' || array_to_string(list_filter(w, lambda x: length(x) > 2)[1:4], ' ')] ELSE [name] END) AS x FROM t)
+  SELECT source_id, array_to_string(list_filter(x, lambda e, i: list_position(list_transform(x, lambda y: lower(y)), lower(e)) = i)[1:6], ' | ') AS terms FROM every""",
+)
 def search_terms(spark, sf):
     from skuweave.functions.signals import search_terms as terms
 
@@ -165,12 +190,13 @@ def search_terms(spark, sf):
 
 @query(
     "enriched_products",
-    f"""SELECT listing_id, CASE WHEN contains(name, ' 55 Zoll') THEN 55.0 END AS size, CASE WHEN contains(name, ' 55 Zoll') THEN 'Zoll' END AS unit, CAST(NULL AS VARCHAR) AS resolution,
+    f"""SELECT listing_id, CASE WHEN contains(name, ' 55 Zoll') THEN 55e0 WHEN spec_size = '139,7 cm' THEN 139.7e0 WHEN spec_size = '165 cm' THEN 165e0 END AS size,
+  CASE WHEN contains(name, ' 55 Zoll') THEN 'Zoll' WHEN spec_size IS NOT NULL THEN 'cm' END AS unit, CASE WHEN contains(name, '4K') THEN '4K' END AS resolution, spec_model AS model_number,
   CASE kind WHEN 'tv' THEN 'tv' WHEN 'headphone' THEN 'headphone' WHEN 'kettle' THEN 'kitchen_appliance' WHEN 'toaster' THEN 'kitchen_appliance' ELSE 'other' END AS product_type FROM ({_signals_sql(SQL_LISTINGS)})""",
 )
 def enriched_products(spark, sf):
-    df = E.enrich(with_signals(listings(spark, sf).withColumn("specifications", F.lit(None).cast("map<string,string>"))))
-    return df.select("listing_id", "size", F.col("size_unit").alias("unit"), "resolution", "product_type")
+    df = E.enrich(with_signals(listings(spark, sf)))
+    return df.select("listing_id", "size", F.col("size_unit").alias("unit"), "resolution", "model_number", "product_type")
 
 
 @query("point_ids", "SELECT page_id, CAST(('0x' || substr(md5(url), 17, 16))::UBIGINT & 9223372036854775807::UBIGINT AS BIGINT) AS id FROM pages")
@@ -178,19 +204,31 @@ def point_ids(spark, sf):
     return table(spark, sf, "pages").select("page_id", E.point_id(F.col("url")).alias("id"))
 
 
-@query("site_queries")
+_SITE_NAME = "regexp_replace(name, '(?i)\\s*[|\\-]\\s*(electronic4you|expert|cyberport|e-tec|amazon|mediamarkt).*$', '')"
+_SITE = f"""
+WITH w AS (SELECT *, string_split(name, ' ') AS ws FROM ({SQL_SOURCES})),
+m AS (SELECT *, ws[1] AS own, coalesce(spec_model, list_filter(ws, lambda x: regexp_full_match(x, 'KX[0-9]+B?'))[1]) AS model,
+  list_filter(ws[2:], lambda x: NOT regexp_full_match(x, '[0-9"''%]+') AND NOT regexp_full_match(x, '(?i)(cm|zoll|inch|watt|hz|kg|liter|ltr|l)'))[1:4] AS rest FROM w),
+q AS (SELECT source_id, list_filter([ean, own || ' ' || model, '"' || model || '"', '"' || name || '"', coalesce(ean, own || ' ' || model, own || ' ' || array_to_string(rest, ' '))], lambda x: x IS NOT NULL) AS every FROM m)
+SELECT source_id, array_to_string(list_filter(list_transform(every, lambda x: 'site:expert.at ' || x), lambda e, i: list_position(list_transform(every, lambda y: lower(y)), lower(every[i])) = i), ' | ') AS queries FROM q"""
+
+
+@query("site_queries", _SITE)
 def site_queries(spark, sf):
-    q = E.site_queries("expert.at", F.col("name"), F.lit(None).cast("string"), F.col("ean"), F.create_map().cast("map<string,string>"))
+    q = E.site_queries("expert.at", F.col("name"), F.lit(None).cast("string"), F.col("ean"), F.col("specifications"))
     return sources(spark, sf).select("source_id", F.array_join(q, " | ").alias("queries"))
 
 
-@query("chat_search")
-def chat_search(spark, sf):
-    """One question through the whole engine: reading it, choosing sources, candidates, matching, caps and top-k."""
-    from skuweave.plans.engine import Question, search
-
-    s = with_signals(sources(spark, sf).withColumn("brand", F.lit(None).cast("string")))
-    return search(spark, Question("Show all TVs under 1500 euros"), s, with_signals(listings(spark, sf)))[0]
+# The question's sources are all televisions (it asks for all; its other words are in no source, so they don't count); the
+# first by reference sets the category.
+_CHAT = f"""
+WITH s AS (SELECT * FROM ({_signals_sql(SQL_SOURCES)}) WHERE kind = 'tv'), t AS (SELECT * FROM ({_signals_sql(SQL_LISTINGS)})),
+first AS (SELECT category FROM s ORDER BY reference LIMIT 1),
+found AS (SELECT * FROM t WHERE (NOT visible OR category = (SELECT category FROM first)) AND kind = 'tv' AND (price_eur IS NULL OR price_eur <= 1500)),
+hits AS (SELECT s.reference AS source_reference, f.*, c.score, c.method FROM (CASCADE) c JOIN s USING (source_id) JOIN found f USING (listing_id) WHERE c.raw >= 0.8 AND (NOT f.visible OR s.category = f.category)),
+keyed AS (SELECT *, CASE WHEN visible THEN reference ELSE {_NORM.format("retailer")} || '|url|' || split_part(replace(url, '.at//', '.at/'), '?', 1) END AS k FROM hits),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_reference, k ORDER BY score DESC, listing_id) AS rn FROM keyed) WHERE rn = 1)
+SELECT source_reference, rank, reference, retailer, name, url, price_eur, visible, score, method FROM (SELECT *, row_number() OVER (PARTITION BY source_reference ORDER BY score DESC, listing_id) AS rank FROM one) WHERE rank <= 12"""
 
 
 @query(
@@ -229,7 +267,7 @@ def ean_overlap_join(spark, sf):
     return key(sources(spark, sf), "source_id").join(key(listings(spark, sf), "listing_id"), "ean").select("source_id", "listing_id").distinct()
 
 
-@query("model_overlap_join", f"SELECT s.source_id, count(DISTINCT t.listing_id) AS n FROM ({SQL_SOURCES}) s JOIN ({SQL_LISTINGS}) t ON s.model = t.model GROUP BY s.source_id")
+@query("model_overlap_join", f"SELECT s.source_id, count(*) AS n FROM ({_signals_sql(SQL_SOURCES)}) s JOIN ({_signals_sql(SQL_LISTINGS)}) t ON list_has_any(s.models, t.models) GROUP BY s.source_id")
 def model_overlap_join(spark, sf):
     key = lambda df, c: with_signals(df).select(c, F.explode(F.array_union("strong_models", "family_models")).alias("m"))
     pairs = key(sources(spark, sf), "source_id").join(key(listings(spark, sf), "listing_id"), "m").select("source_id", "listing_id").distinct()
@@ -259,7 +297,7 @@ def weighted_exact(spark, sf):
     return out.withColumn("score", F.round("score", 6))
 
 
-_JAC = "len(list_intersect(s.tokens, t.tokens)) / len(list_distinct(list_concat(s.tokens, t.tokens)))"
+_JAC = "len(list_intersect(s.tokens, t.tokens)) / len(list_distinct(list_concat(s.tokens, t.tokens)))"  # tokens are never empty here
 
 
 @query("jaccard_pairs", f"SELECT s.source_id, t.listing_id, round({_JAC}, 6) AS jac FROM ({_signals_sql(SQL_SOURCES)}) s JOIN ({_signals_sql(SQL_LISTINGS)}) t ON s.brand_norm = t.brand_norm AND s.kind = t.kind WHERE {_JAC} >= 0.3")
@@ -270,32 +308,85 @@ def jaccard_pairs(spark, sf):
     return s.join(t, ["brand_norm", "kind"]).where(j >= 0.3).select("source_id", "listing_id", F.round(j, 6).alias("jac"))
 
 
-_PAIR = f"""SELECT s.source_id, t.listing_id, s.brand_norm = t.brand_norm AS b, s.kind = t.kind AS k, abs(s.inch - t.inch) <= 1 AS z, {_JAC} AS jac, s.ean = t.ean AS e, s.m = t.m AS m, s.m <> t.m AS mm,
-  s.brand_norm <> t.brand_norm AS vb, s.kind <> t.kind AS vk FROM ({_signals_sql(SQL_SOURCES)}) s CROSS JOIN ({_signals_sql(SQL_LISTINGS)}) t"""
-_CASCADE = f"""
-WITH p AS ({_PAIR}), q AS (SELECT *, coalesce(b, false) AS sb, coalesce(k, false) AS sk, coalesce(z, false) AS sz FROM p WHERE NOT coalesce(vb, false) AND NOT coalesce(vk, false) AND NOT (coalesce(mm, false) AND coalesce(b, false))),
-r AS (SELECT *, CASE WHEN e THEN 0.99 ELSE 0 END AS i, CASE WHEN m THEN 0.92 + CASE WHEN sb THEN 0.03 ELSE 0 END + CASE WHEN sz THEN 0.03 ELSE 0 END + CASE WHEN jac >= 0.45 THEN 0.02 ELSE 0 END ELSE 0 END AS ms,
-  CASE WHEN sb THEN 0.22 ELSE 0 END + CASE WHEN sk THEN 0.18 ELSE 0 END + CASE WHEN sz THEN 0.18 ELSE 0 END + 0.28 * jac AS t FROM q),
-x AS (SELECT *, CASE WHEN ms > i THEN least(ms, 0.98) ELSE i END AS best FROM r),
-y AS (SELECT source_id, listing_id, CASE WHEN t > best THEN least(t, 0.89) ELSE best END AS score, CASE WHEN t > best THEN 'name_sim' WHEN ms > i THEN 'model' WHEN e THEN 'gtin' ELSE 'none' END AS method FROM x)
-SELECT source_id, listing_id, round(score, 4)::DOUBLE AS score, method FROM y WHERE score >= 0.8"""
+def _best_sql(x: str, y: str) -> str:
+    """struct(i, k): the longest stretch of x that y holds, the first of several, as place and length."""
+    lengths = f"list_transform(range(1, length({x}) + 1), lambda i: len(list_filter(range(1, length({x}) - i + 2), lambda n: contains({y}, substr({x}, i, n)))))"
+    return f"(SELECT {{'i': list_position(ks, list_max(ks)), 'k': list_max(ks)}} FROM (SELECT {lengths} AS ks))"
+
+
+def cascade_sql(with_ratio: bool = True) -> str:
+    """All pairs scored without blocking: source_id, listing_id, raw, score, method, reasons.
+
+    The name ratio is found by recursion: the longest common stretch, then what is left of it and right of it.
+    """
+    names = "SELECT DISTINCT sn AS a, tn AS b FROM f WHERE veto IS NULL AND sn <> '' AND tn <> ''"
+    rec = f"""seq AS (SELECT a, b, a AS x, b AS y, {_best_sql("a", "b")} AS m FROM ({names})
+    UNION ALL SELECT a, b, p.x, p.y, {_best_sql("p.x", "p.y")} FROM (SELECT a, b, unnest([{{'x': substr(x, 1, m.i - 1), 'y': substr(y, 1, strpos(y, substr(x, m.i, m.k)) - 1)}},
+      {{'x': substr(x, m.i + m.k), 'y': substr(y, strpos(y, substr(x, m.i, m.k)) + m.k)}}]) AS p FROM seq WHERE m.k > 0) WHERE p.x <> '' AND p.y <> ''),
+  ratios AS (SELECT a, b, 2e0 * sum(m.k) / (length(a) + length(b)) AS ratio FROM seq GROUP BY a, b)"""
+    add = lambda test, w: f"CASE WHEN {test} THEN {w} ELSE 0e0 END"
+    why = lambda test, text: f"CASE WHEN {test} THEN '{text}' END"
+    return f"""
+WITH RECURSIVE p AS (SELECT s.source_id, t.listing_id, s.name_norm AS sn, t.name_norm AS tn, s.reference = t.reference AS direct, coalesce(s.brand_norm = t.brand_norm, false) AS b, coalesce(s.kind = t.kind, false) AS k, coalesce(abs(s.inch - t.inch) <= 1, false) AS z, {_JAC}::DOUBLE AS jac,
+    coalesce(s.ean = t.ean, false) AS e, coalesce(s.asin = t.asin, false) AS a, list_has_any(s.strong, t.strong) AS m, list_has_any(s.models, t.models) AS fm,
+    CASE WHEN s.brand_norm <> t.brand_norm THEN 'brand_conflict' WHEN s.kind <> t.kind THEN 'kind_conflict' WHEN abs(s.inch - t.inch) > 1 THEN 'size_conflict'
+      WHEN len(s.models) > 0 AND len(t.models) > 0 AND NOT list_has_any(s.models, t.models) AND s.brand_norm = t.brand_norm THEN 'model_conflict' END AS veto
+    FROM ({_signals_sql(SQL_SOURCES)}) s CROSS JOIN ({_signals_sql(SQL_LISTINGS)}) t),
+  f AS (SELECT * FROM p WHERE veto IS NULL{" OR direct" if with_ratio else ""}),
+  {rec if with_ratio else "ratios AS (SELECT '' AS a, '' AS b, 0e0 AS ratio WHERE false)"},
+  g AS (SELECT f.*, coalesce(ratio, 0e0) AS r FROM f LEFT JOIN ratios ON sn = ratios.a AND tn = ratios.b),
+  i AS (SELECT *, CASE WHEN e THEN 99e-2 WHEN a THEN 985e-3 ELSE 0e0 END AS ident, 22e-2 * b::INT + 18e-2 * k::INT + 18e-2 * z::INT + 28e-2 * jac + 24e-2 * r AS text,
+    CASE WHEN m THEN 92e-2 + {add("b", "3e-2")} + {add("z", "3e-2")} + {add("r >= 0.70 OR jac >= 0.45", "2e-2")}
+      WHEN fm THEN 38e-2 + {add("b", "12e-2")} + {add("k", "16e-2")} + {add("z", "16e-2")} + {add("jac >= 0.45", "12e-2")} + {add("r >= 0.72", "12e-2")} ELSE 0e0 END AS model FROM g),
+  h AS (SELECT *, CASE WHEN model > ident THEN least(model, CASE WHEN m THEN 98e-2 ELSE 86e-2 END) ELSE ident END AS best FROM i),
+  d AS (SELECT source_id, listing_id, {"coalesce(direct, false)" if with_ratio else "false"} AS direct, CASE WHEN text > best THEN least(text, 89e-2) ELSE best END AS raw,
+    CASE WHEN text > best THEN 'name_sim' WHEN model > ident AND m THEN 'model' WHEN model > ident THEN 'family_model' WHEN e THEN 'gtin' WHEN a THEN 'asin' ELSE 'none' END AS method,
+    list_filter([{why("e", "ean_exact")}, {why("a AND NOT e", "asin_exact")}, {why("m", "model_exact")}, {why("fm AND NOT m", "model_family")}, {why("b", "brand_match")}, {why("k", "kind_match")}, {why("z", "size_match")},
+      {why("jac >= 0.45", "token_overlap")}, {why("r >= 0.72", "name_close")}], lambda x: x IS NOT NULL) AS reasons FROM h)
+SELECT source_id, listing_id, CASE WHEN direct THEN 1e0 ELSE raw END AS raw, CASE WHEN direct THEN 1e0 ELSE round(raw, 4) END AS score, CASE WHEN direct THEN 'direct_ref' ELSE method END AS method,
+  CASE WHEN direct THEN ['direct_ref'] ELSE reasons END AS reasons FROM d"""
+
+
+_CASCADE = f"SELECT source_id, listing_id, score, method FROM ({cascade_sql()}) WHERE raw >= 0.8"
+_PLAIN_CASCADE = f"SELECT source_id, listing_id, score, method FROM ({cascade_sql(False)}) WHERE raw >= 0.8"
+
+
+def _matches(spark, sf):
+    return M.match(with_signals(sources(spark, sf)), with_signals(listings(spark, sf)), source_id="source_id").withColumnsRenamed({"s_id": "source_id", "t_id": "listing_id"})
 
 
 def _cascade(spark, sf):
-    s, t = stored(with_signals(sources(spark, sf))), stored(with_signals(listings(spark, sf)))
-    pairs = S.flags(M.pair_up(M.candidates(s, t, "source_id"), s, t, "source_id")).where("veto is null")
-    return S.scores(pairs, F.lit(0.0)).where("matched").select(F.col("s_id").alias("source_id"), F.col("t_id").alias("listing_id"), "score", "method")
+    return _matches(spark, sf).select("source_id", "listing_id", "score", "method")
 
 
 @query("match_cascade", _CASCADE)
 def match_cascade(spark, sf):
-    """The cascade without the name ratio, over blocked candidates, against an unblocked cross join in SQL."""
+    """The whole cascade over blocked candidates, against an unblocked cross join in SQL."""
     return _cascade(spark, sf)
 
 
-@query("match_full")
+@query("match_full", f"SELECT c.source_id, c.listing_id, l.reference, l.retailer, l.name, score, method, array_to_string(reasons, ' ') AS reasons FROM ({cascade_sql()}) c JOIN ({SQL_LISTINGS}) l USING (listing_id) WHERE raw >= 0.8")
 def match_full(spark, sf):
-    return M.match(with_signals(sources(spark, sf)), with_signals(listings(spark, sf)), source_id="source_id").drop("reasons")
+    """Matches with the listing's columns and the reasons."""
+    out = _matches(spark, sf)
+    return out.select("source_id", "listing_id", *[F.col(f"t_{c}").alias(c) for c in ("reference", "retailer", "name")], "score", "method", F.array_join("reasons", " ").alias("reasons"))
+
+
+@query("match_cascade_no_ratio", _PLAIN_CASCADE)
+def match_cascade_no_ratio(spark, sf):
+    """The cascade without the name ratio and the same reference: built-in functions alone."""
+    s, t = stored(with_signals(sources(spark, sf))), stored(with_signals(listings(spark, sf)))
+    pairs = S.flags(M.candidates(s, t, "source_id")).where("veto is null")
+    return S.scores(pairs, F.lit(0.0)).where("matched").select(F.col("s_id").alias("source_id"), F.col("t_id").alias("listing_id"), "score", "method")
+
+
+@query("chat_search", _CHAT.replace("CASCADE", cascade_sql()))
+def chat_search(spark, sf):
+    """One question through the whole engine: reading it, choosing sources, candidates, matching, caps and top-k."""
+    from skuweave.plans.engine import Question, search
+
+    s = with_signals(sources(spark, sf).withColumn("brand", F.lit(None).cast("string")))
+    return search(spark, Question("Show all TVs under 1500 euros"), s, with_signals(listings(spark, sf)))[0]
 
 
 @query("method_histogram", f"SELECT method, count(*) AS n FROM ({_CASCADE}) GROUP BY method")
@@ -303,13 +394,28 @@ def method_histogram(spark, sf):
     return B.method_histogram(_cascade(spark, sf))
 
 
+_KEY = f"{_NORM.format('retailer')} || '|url|https://' || regexp_extract(url, 'https://www\\.([^/]*)', 1) || regexp_replace(regexp_extract(url, 'https://[^/]*([^?]*)', 1), '/+', '/', 'g')"
+
+
 @query(
     "dedup_listing",
-    f"SELECT source_id, url_key, listing_id, score FROM (SELECT c.*, split_part(l.url, '?', 1) AS url_key, row_number() OVER (PARTITION BY source_id, split_part(l.url, '?', 1) ORDER BY score DESC, listing_id) AS rn FROM ({_CASCADE}) c JOIN ({SQL_LISTINGS}) l USING (listing_id)) WHERE rn = 1",
+    f"SELECT source_id, k, listing_id, score FROM (SELECT c.*, {_KEY} AS k, row_number() OVER (PARTITION BY source_id, {_KEY} ORDER BY score DESC, listing_id) AS rn FROM ({_CASCADE}) c JOIN ({SQL_LISTINGS}) l USING (listing_id)) WHERE rn = 1",
 )
 def dedup_listing(spark, sf):
-    hits = _cascade(spark, sf).join(listings(spark, sf).select("listing_id", F.substring_index("url", "?", 1).alias("url_key")), "listing_id")
-    return M.first_by(hits, ["source_id", "url_key"], F.desc("score"), "listing_id").select("source_id", "url_key", "listing_id", "score")
+    from skuweave.functions.signals import listing_key
+
+    keys = with_signals(listings(spark, sf)).select("listing_id", listing_key(F.col("retailer"), F.col("url")).alias("k"))
+    return M.first_by(_cascade(spark, sf).join(keys, "listing_id"), ["source_id", "k"], F.desc("score"), "listing_id").select("source_id", "k", "listing_id", "score")
+
+
+@query(
+    "ordered_by_shop",
+    f"SELECT source_id, listing_id, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, retailer, name, listing_id) AS place FROM ({_CASCADE}) c JOIN ({SQL_LISTINGS}) l USING (listing_id)",
+)
+def ordered_by_shop(spark, sf):
+    """A source's matches in the batch order: score, retailer, name."""
+    place = F.row_number().over(Window.partitionBy("source_id").orderBy(*M.by_shop(), "listing_id"))
+    return _matches(spark, sf).select("source_id", "listing_id", place.cast("long").alias("place"))
 
 
 @query(
@@ -341,27 +447,53 @@ def upsert_merge(spark, sf):
 
 
 def _parted(spark, sf):
-    found = match_full(spark, sf).select(F.col("s_id").alias("source_id"), F.col("t_id").alias("listing_id"), "score", "method")
-    hits = M.top_k(found, 12, ["source_id"], F.desc("score"), "listing_id").join(listings(spark, sf), "listing_id")
+    hits = M.top_k(_cascade(spark, sf), 12, ["source_id"], F.desc("score"), "listing_id").join(listings(spark, sf), "listing_id")
     hits = hits.select(F.col("source_id").alias("s_id"), "rank", "reference", "retailer", "name", "url", F.col("price_eur").alias("price"), "visible")
     return hits.where("visible").drop("visible"), hits.where("not visible").drop("visible")
 
 
-@query("submission_merge")
+_SUBMITTED = f"""
+WITH top AS (SELECT * FROM (SELECT c.source_id, l.*, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, listing_id) AS rank FROM ({_CASCADE}) c JOIN ({SQL_LISTINGS}) l USING (listing_id)) WHERE rank <= 12),
+proper AS (SELECT *, CASE WHEN visible THEN 0 ELSE 1 END AS origin, {_KEY.split("|| '|url|", 1)[1].join(["'", ""])} AS k FROM top WHERE visible OR retailer IN ('Cyberport AT', 'Amazon AT', 'MediaMarkt AT')),
+one AS (SELECT *, row_number() OVER (PARTITION BY source_id, k ORDER BY origin, rank, reference) AS rn FROM proper)"""
+
+
+@query(
+    "submission_merge",
+    _SUBMITTED + """ SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY origin, rank, reference) AS place, reference, retailer, name, url, CASE WHEN price_eur > 10 AND price_eur < 50000 THEN round(price_eur, 2) END AS price FROM one WHERE rn = 1""",
+)
 def submission_merge(spark, sf):
-    return B.merge(*_parted(spark, sf)).select("source_reference", F.size("competitors").alias("n"), F.to_json("competitors").alias("competitors"))
+    out = B.merge(*_parted(spark, sf)).select(F.col("source_reference").alias("source_id"), F.posexplode("competitors").alias("place", "c"))
+    c = lambda f, name: F.col(f"c.{f}").alias(name)
+    return out.select("source_id", (F.col("place") + 1).cast("long").alias("place"), c("reference", "reference"), c("competitor_retailer", "retailer"), c("competitor_product_name", "name"), c("competitor_url", "url"), c("competitor_price", "price"))
+
+
+@query(
+    "submission_report",
+    f"""WITH top AS (SELECT * FROM (SELECT c.source_id, l.*, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, listing_id) AS rank FROM ({_CASCADE}) c JOIN ({SQL_LISTINGS}) l USING (listing_id)) WHERE rank <= 12),
+  g AS (SELECT *, visible OR retailer IN ('Cyberport AT', 'Amazon AT', 'MediaMarkt AT') AS good FROM top)
+  SELECT retailer, count(*) FILTER (WHERE good) AS competitors, count(*) FILTER (WHERE NOT good) AS skipped, count(*) FILTER (WHERE good AND retailer = 'E-Tec') AS unproven FROM g GROUP BY retailer
+  UNION ALL SELECT NULL, (SELECT count(*) FROM supplier WHERE s_suppkey NOT IN (SELECT source_id FROM g WHERE good)), 0, 0""",
+)
+def submission_report(spark, sf):
+    return B.report(*_parted(spark, sf), sources(spark, sf).select(F.col("source_id").alias("s_id")))
 
 
 @query(
     "quality_score",
     f"""WITH f AS (SELECT source_id, listing_id FROM ({_CASCADE})), t AS (SELECT s.source_id, t.listing_id FROM ({SQL_SOURCES}) s JOIN ({SQL_LISTINGS}) t ON s.ean = t.ean),
-  c AS (SELECT (SELECT count(*) FROM f SEMI JOIN t USING (source_id, listing_id)) AS hits, (SELECT count(*) FROM f) AS found, (SELECT count(*) FROM t) AS truth, (SELECT count(*) FROM supplier) AS sources, (SELECT count(DISTINCT source_id) FROM f) AS covered)
-  SELECT hits, found, truth, sources, covered, round(30 * hits / truth + 10 * hits / found + 10 * covered / sources, 6) AS score FROM c""",
+  v AS (SELECT listing_id, CASE WHEN visible THEN 'visible' ELSE 'hidden' END AS side FROM ({SQL_LISTINGS})),
+  c AS (SELECT side, (SELECT count(*) FROM f JOIN v USING (listing_id) SEMI JOIN t USING (source_id, listing_id) WHERE v.side = x.side) AS hits, (SELECT count(*) FROM f JOIN v USING (listing_id) WHERE v.side = x.side) AS found,
+    (SELECT count(*) FROM t JOIN v USING (listing_id) WHERE v.side = x.side) AS truth, (SELECT count(*) FROM supplier) AS sources,
+    (SELECT count(DISTINCT source_id) FROM f JOIN v USING (listing_id) SEMI JOIN t USING (source_id, listing_id) WHERE v.side = x.side) AS covered FROM (VALUES ('visible'), ('hidden')) x(side)),
+  r AS (SELECT *, round(30 * CASE WHEN truth > 0 THEN hits / truth ELSE 0 END + 10 * CASE WHEN found > 0 THEN hits / found ELSE 0 END + 10 * covered / sources, 6) AS score FROM c)
+  SELECT side, hits, found, truth, sources, covered, score FROM r UNION ALL SELECT 'both', sum(hits)::BIGINT, sum(found)::BIGINT, sum(truth)::BIGINT, max(sources), sum(covered)::BIGINT, round(sum(score), 6) FROM r""",
 )
 def quality_score(spark, sf):
-    found = stored(_cascade(spark, sf).select(F.col("source_id").alias("s_id"), F.col("listing_id").alias("key")))
-    truth = stored(ean_overlap_join(spark, sf)).select(F.col("source_id").alias("s_id"), F.col("listing_id").alias("key"))
-    return B.quality_score(found, truth, sources(spark, sf).select(F.col("source_id").alias("s_id"))).select("hits", "found", "truth", "sources", "covered", "score")
+    """Visible and hidden listings graded by themselves, 50 points each, and together."""
+    sides = listings(spark, sf).select(F.col("listing_id").alias("key"), F.when(F.col("visible"), "visible").otherwise("hidden").alias("side"))
+    pairs = lambda df: df.select(F.col("source_id").alias("s_id"), F.col("listing_id").alias("key")).join(sides, "key")
+    return B.quality_scores(pairs(_cascade(spark, sf)), pairs(ean_overlap_join(spark, sf)), sources(spark, sf).select(F.col("source_id").alias("s_id")))
 
 
 # Questions: all turns of conversations, and these.
@@ -475,9 +607,19 @@ def cosine_topk(spark, sf):
     return R.cosine_topk(e, e.where("vec_id % 50 = 0"), 10)
 
 
-@query("triage_bands", f"SELECT CASE WHEN score >= 0.95 THEN 'accept' WHEN score >= 0.55 THEN 'review' ELSE 'drop' END AS band, count(*) AS n FROM ({_CASCADE}) GROUP BY 1")
+@query(
+    "triage_bands",
+    f"""WITH x AS (SELECT count(*) FILTER (WHERE score >= 0.95) AS a, count(*) FILTER (WHERE raw >= 0.55 AND score < 0.95) AS r FROM ({cascade_sql()}))
+  SELECT unnest(['accept', 'review', 'drop']) AS band, unnest([a, r, (SELECT count(*) FROM supplier) * (SELECT count(*) FROM part) - a - r]) AS n FROM x""",
+)
 def triage_bands(spark, sf):
-    return _cascade(spark, sf).groupBy(R.triage(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+    """All pairs by band: those that reach review are found by blocks, the others are counted as what is left."""
+    s, t = sources(spark, sf), listings(spark, sf)
+    scored = M.match(with_signals(s), with_signals(t), threshold=R.REVIEW, source_id="source_id", extra=("reference",))
+    n = scored.agg(F.count_if(R.triage(F.col("score")) == "accept").alias("a"), F.count("*").alias("k"))
+    n = n.crossJoin(s.agg(F.count("*").alias("ns"))).crossJoin(t.agg(F.count("*").alias("nt")))  # single rows
+    bands = [("accept", F.col("a")), ("review", F.col("k") - F.col("a")), ("drop", F.col("ns") * F.col("nt") - F.col("k"))]
+    return n.select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), c.alias("n")) for b, c in bands])).alias("x")).select("x.*")
 
 
 @query("upload_validation", "SELECT count(*) AS rows, count(*) FILTER (WHERE coalesce(source, '') = '' OR coalesce(text, '') = '') AS missing, count(*) > 0 AND count(*) FILTER (WHERE coalesce(source, '') = '' OR coalesce(text, '') = '') = 0 AS valid FROM documents")

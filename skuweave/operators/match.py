@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,38 +15,75 @@ SIGNALS = ["brand_norm", "kind", "screen_size_inch", "eans", "asins", "strong_mo
 KEEP_ALWAYS = ["direct_ref", "gtin", "asin", "model"]
 
 
-def block_keys(ident: Column, spread: bool) -> Column:
-    """Keys of which a pair that can reach a threshold over 0.74 shares one.
+#: What the text score gives for the same brand, kind and size, for all words in common, and for the same name.
+EVIDENCE, WORDS, RATIO = {"b": 0.22, "k": 0.18, "z": 0.18}, 0.28, 0.24
+#: The least threshold that blocks are lossless for: words and name alone can't reach it.
+LEAST = WORDS + RATIO
+
+
+def evidence_blocks(threshold: float) -> list:
+    """(evidence, least likeness of words): combinations of the same brand, kind and size of which a pair shares one.
+
+    A pair without an identifier in common scores at most its evidence, RATIO for the name, and WORDS times the Jaccard
+    likeness of its words; so each combination asks for a likeness of its own.  Combinations that can't reach the
+    threshold are left out, and those that hold a smaller one which asks for no likeness.
+    """
+    sets = [s for n in (1, 2, 3) for s in combinations("bkz", n)]
+    least = {s: round((threshold - sum(EVIDENCE[x] for x in s) - RATIO) / WORDS, 6) for s in sets}
+    free = [s for s in sets if least[s] <= 0]
+    return [(s, max(0.0, least[s])) for s in sets if least[s] <= 1 and not any(set(f) < set(s) for f in free)]
+
+
+def _first_tokens(likeness: float) -> Column:
+    """Of the tokens, as many as two sets of such Jaccard likeness must share one of; those with digits, being rare, first."""
+    order = F.array_sort(F.transform("tokens", lambda t: F.struct((~t.rlike("[0-9]")).alias("plain"), F.xxhash64(t).alias("h"), t.alias("t"))))
+    n = F.size("tokens")
+    return F.transform(F.slice(order, 1, n - F.ceil(n * likeness - 1e-9).cast("int") + 1), lambda x: x.t)
+
 
-    Such a pair has the same reference, a barcode, ASIN or model in common, or two of brand, kind and size (within one
-    inch: with spread, sizes give the keys of the neighbouring whole inches too).
+def _crossed(keys: Column, values: Column) -> Column:
+    """Each key with each value, as keys."""
+    return F.flatten(F.transform(keys, lambda k: F.transform(values, lambda v: F.xxhash64(k, v))))
+
+
+def block_keys(ident: Column, spread: bool, threshold: float = THRESHOLD) -> Column:
+    """64-bit keys of which a pair that can reach the threshold shares one.
+
+    Such a pair has the same reference, a barcode, ASIN or model in common, or one of evidence_blocks() with, where it
+    asks for a likeness of words, one of the first tokens.  Sizes are alike within an inch: with spread, they give the
+    keys of the neighbouring whole inches too.
     """
-    inch = F.floor("screen_size_inch").cast("string")
     near = lambda d: F.floor(F.col("screen_size_inch") + d).cast("string")
-    sizes = F.array(*[near(d) for d in (-1, 0, 1)]) if spread else F.array(inch)
-    tag = lambda t, c: F.concat(F.lit(t), c)
-    pair = lambda t, a, b: F.concat_ws("|", F.when(a.isNotNull() & b.isNotNull(), F.lit(t)), a, b)
-    both = lambda t, a, b: F.when(a.isNotNull() & b.isNotNull(), pair(t, a, b))
-    b, k = F.col("brand_norm"), F.col("kind")
-    single = F.array(tag("r:", ident), both("bk", b, k))
-    many = [
-        F.transform("eans", lambda e: tag("e:", e)),
-        F.transform("asins", lambda e: tag("a:", e)),
-        F.transform(F.array_union("strong_models", "family_models"), lambda e: tag("m:", e)),
-        F.transform(sizes, lambda z: both("bs", b, z)),
-        F.transform(sizes, lambda z: both("ks", k, z)),
-    ]
-    return F.array_distinct(F.array_compact(F.concat(single, *many)))
-
-
-def candidates(sources: DataFrame, targets: DataFrame, source_id: str = "reference", target_id: str = "listing_id", ref: str = "reference") -> DataFrame:
-    """Distinct (s_id, t_id) pairs that share a block key: one equi-join on exploded keys, whose large keys Spark splits."""
-    left = sources.select(F.col(source_id).alias("s_id"), F.explode(block_keys(F.col(ref), False)).alias("key"))
-    right = targets.select(F.col(target_id).alias("t_id"), F.explode(block_keys(F.col(ref), True)).alias("key"))
-    return left.join(right, "key").select("s_id", "t_id").distinct()
+    sizes = F.filter(F.array(*[near(d) for d in ((-1, 0, 1) if spread else (0,))]), lambda z: z.isNotNull())
+    one = lambda c: F.when(F.col(c).isNotNull(), F.array(F.col(c))).otherwise(F.array().cast("array<string>"))
+    values = {"b": one("brand_norm"), "k": one("kind"), "z": sizes}
+    key = lambda tag: lambda v: F.xxhash64(F.lit(tag), v)
+    every = [F.when(ident.isNotNull(), F.array(F.xxhash64(F.lit("r"), ident))).otherwise(F.array().cast("array<bigint>"))]
+    every += [F.transform(c, key(t)) for t, c in (("e", F.col("eans")), ("a", F.col("asins")), ("m", F.array_union("strong_models", "family_models")))]
+    for evidence, likeness in evidence_blocks(threshold):
+        parts = [values[e] for e in evidence] + ([_first_tokens(likeness)] if likeness else [])
+        joined = F.transform(parts[0], key("".join(evidence)))
+        for p in parts[1:]:
+            joined = _crossed(joined, p)
+        every.append(joined)
+    return F.array_distinct(F.concat(*every))
+
+
+def candidates(sources: DataFrame, targets: DataFrame, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = (), threshold: float = THRESHOLD) -> DataFrame:
+    """Each pair that shares a block key once, with both sides' signals as s_* and t_*.
+
+    One equi-join on exploded keys, whose large keys Spark splits; a pair that shares several is kept at the least of
+    them, so that nothing is shuffled again to make pairs distinct or to fetch their columns.
+    """
+    keys = F.col("keys")
+    s = sources.select(F.col(source_id).alias("s_id"), F.col("reference").alias("s_reference"), *[F.col(c).alias(f"s_{c}") for c in SIGNALS], block_keys(F.col("reference"), False, threshold).alias("keys"))
+    t = targets.select(F.col(target_id).alias("t_id"), *[F.col(c).alias(f"t_{c}") for c in [*SIGNALS, *extra]], block_keys(F.col("reference"), True, threshold).alias("keys"))
+    s, t = s.withColumn("key", F.explode(keys)).withColumnRenamed("keys", "s_keys"), t.withColumn("key", F.explode(keys)).withColumnRenamed("keys", "t_keys")
+    return s.join(t, "key").where(F.col("key") == F.array_min(F.array_intersect("s_keys", "t_keys"))).drop("key", "s_keys", "t_keys")
 
 
 def pair_up(pairs: DataFrame, sources: DataFrame, targets: DataFrame, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = ()) -> DataFrame:
+    """Given pairs (s_id, t_id) with both sides' signals."""
     s = sources.select(F.col(source_id).alias("s_id"), F.col("reference").alias("s_reference"), *[F.col(c).alias(f"s_{c}") for c in SIGNALS])
     t = targets.select(F.col(target_id).alias("t_id"), *[F.col(c).alias(f"t_{c}") for c in [*SIGNALS, *extra]])
     return pairs.join(s, "s_id").join(t, "t_id")
@@ -53,20 +92,22 @@ def pair_up(pairs: DataFrame, sources: DataFrame, targets: DataFrame, source_id:
 def match(sources: DataFrame, targets: DataFrame, *, threshold: float = THRESHOLD, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = ("reference", "retailer", "name")) -> DataFrame:
     """Matched pairs with score, method and reasons; all signals come from with_signals() and are computed once.
 
-    Vetoed pairs are dropped before the ratio; then pairs whose score at the highest possible ratio stays below the
-    threshold, which loses nothing for thresholds up to 0.89.  Only what is left reaches the Arrow function.
-    Thresholds of 0.74 or less need blocks that this join doesn't have and are refused.  The same reference on both sides
-    scores 1 as direct_ref.
+    Vetoed pairs go where they meet, before the ratio; so do pairs whose score at the highest possible ratio stays below
+    the threshold, which loses nothing for thresholds up to 0.89.  Only what is left reaches the Arrow function.
+    Thresholds of LEAST or less need blocks that this join doesn't have and are refused.  The same reference on both
+    sides scores 1 as direct_ref.
     """
-    if not 0.74 < threshold:
-        raise ValueError("blocking is lossless for thresholds over 0.74 only")
+    if not LEAST < threshold:
+        raise ValueError(f"blocking is lossless for thresholds over {LEAST} only")
     sources, targets = stored(sources), stored(targets)
-    pairs = flags(pair_up(candidates(sources, targets, source_id, target_id), sources, targets, source_id, target_id, extra))
+    pairs = flags(candidates(sources, targets, source_id, target_id, extra, threshold))
     direct = F.coalesce(F.col("s_reference") == F.col("t_reference"), F.lit(False)) if "reference" in extra else F.lit(False)
     pairs = pairs.where(F.col("veto").isNull() | direct)
     if threshold <= 0.89:
         bounded = scores(pairs, ratio_bound(F.col("s_name_norm"), F.col("t_name_norm")), threshold)
         pairs = bounded.where(F.col("matched") | direct).select(*pairs.columns)
+    # Dealt anew: what is left of the pairs may lie in a few tasks, and the ratio is what costs most.
+    pairs = pairs.repartition(F.col("s_id"), F.col("t_id"))
     out = scores(pairs, sequence_ratio("s_name_norm", "t_name_norm"), threshold)
     out = out.withColumns(
         {
@@ -79,6 +120,12 @@ def match(sources: DataFrame, targets: DataFrame, *, threshold: float = THRESHOL
     return out.where("matched").select("s_id", "t_id", *[f"t_{c}" for c in extra], "score", "method", "reasons")
 
 
+def by_shop() -> list:
+    """The order of a source's matches: the best score first, then retailer and name, nulls as empty."""
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return [F.desc("score"), blank("t_retailer"), blank("t_name")]
+
+
 def first_by(df: DataFrame, keys: list, *order) -> DataFrame:
     """The first row of each key in the given order."""
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
@@ -113,10 +160,24 @@ def candidate_filter(targets: DataFrame, *, category=None, kinds=(), retailers=(
 
 
 def weighted_exact(sources: DataFrame, targets: DataFrame, weights: dict, threshold: float, source_id: str, target_id: str) -> DataFrame:
-    """Pairs whose equal non-null fields weigh at least threshold; blocked on the fields, so a pair shares at least one."""
-    keys = lambda: F.explode(F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.concat(F.lit(f + "="), F.col(f).cast("string"))) for f in weights])))
-    left = sources.select(F.col(source_id).alias("s_id"), keys().alias("key"))
-    right = targets.select(F.col(target_id).alias("t_id"), keys().alias("key"))
-    weight = F.element_at(F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, float(w))]), F.substring_index("key", "=", 1))
-    hits = left.join(right, "key").withColumn("w", weight)
-    return hits.groupBy("s_id", "t_id").agg(F.sum("w").alias("score")).where(F.col("score") >= threshold)
+    """Pairs whose equal non-null fields weigh at least threshold.
+
+    Blocked on the smallest sets of fields that reach the threshold together, so that a pair meets only if it passes;
+    the other fields are added where it does.  A pair that shares several sets is kept at the least of its keys.
+    """
+    fields = list(weights)
+    enough = [set(c) for n in range(1, len(fields) + 1) for c in combinations(fields, n) if sum(weights[f] for f in c) >= threshold - 1e-9]
+    least = [c for c in enough if not any(d < c for d in enough)]
+    text = lambda f: F.col(f).cast("string")
+
+    def side(df, ident, name):
+        keys = [F.when(F.concat(*map(text, sorted(c))).isNotNull(), F.xxhash64(F.lit("|".join(sorted(c))), *map(text, sorted(c)))) for c in least]
+        df = df.select(F.col(ident).alias(f"{name}_id"), *[text(f).alias(f"{name}_{f}") for f in fields], F.array_compact(F.array(*keys)).alias(f"{name}_keys"))
+        return df.withColumn("key", F.explode(f"{name}_keys"))
+
+    if not least:
+        raise ValueError("no fields together weigh as much as the threshold")
+    pairs = side(sources, source_id, "s").join(side(targets, target_id, "t"), "key")
+    pairs = pairs.where(F.col("key") == F.array_min(F.array_intersect("s_keys", "t_keys")))
+    score = sum((F.when(F.col(f"s_{f}") == F.col(f"t_{f}"), float(w)).otherwise(0.0) for f, w in weights.items()), F.lit(0.0))
+    return pairs.select("s_id", "t_id", score.alias("score")).where(F.col("score") >= threshold)

@@ -120,10 +120,37 @@ def test_blocking_loses_nothing(spark):
         elif r.matched:
             want[r.s_id, r.t_id] = (r.score, r.method)
     assert got == want and len(want) > 50
+    # A lower threshold has other blocks: single evidence with likeness of words.
+    low = {(r.s_id, r.t_id): r.score for r in M.match(s, t, threshold=0.55, extra=()).collect()}
+    assert low == {(r.s_id, r.t_id): r.score for r in S.scores(every, S.sequence_ratio("s_name_norm", "t_name_norm"), 0.55).collect() if r.matched} and len(low) > 200
     with pytest.raises(ValueError):
         M.match(s, t, threshold=0.5)
 
 
+def test_weighted_exact_meets_only_what_passes(spark):
+    s = spark.createDataFrame([(1, "a", "k", None), (2, "a", None, "e"), (3, None, None, None), (4, "b", "k", "f")], "s int, brand string, kind string, ean string")
+    t = spark.createDataFrame([(1, "a", "k", "e"), (2, "b", "k", "f"), (3, "a", "x", None), (4, None, None, None)], "t int, brand string, kind string, ean string")
+    w = {"brand": 0.5, "kind": 0.3, "ean": 1.0}
+    got = {(r.s_id, r.t_id): round(r.score, 6) for r in M.weighted_exact(s, t, w, 0.8, "s", "t").collect()}
+    want = {}
+    for a in s.collect():
+        for b in t.collect():
+            score = round(sum(x for f, x in w.items() if a[f] is not None and a[f] == b[f]), 6)
+            if score >= 0.8:
+                want[a.s, b.t] = score
+    assert got == want == {(1, 1): 0.8, (2, 1): 1.5, (4, 2): 1.8}
+
+
+def test_payload_filter_and_vectors(spark):
+    df = spark.createDataFrame([(1, "c", "tv", 5.0, 55.0, "Zoll"), (2, "c", "tv", None, None, None), (3, "c", "tv", 50.0, 55.0, "cm"), (4, "d", "tv", 5.0, 55.0, "Zoll")], "i int, category string, product_type string, price_eur double, size double, size_unit string")
+    ids = lambda **k: [r.i for r in R.payload_filter(df, **k).orderBy("i").collect()]
+    assert ids(category="c", price=(1, 10)) == [1, 2] and ids(price=(1, 10), price_or_null=False) == [1, 4]
+    assert ids(size=(50, 60), size_unit="Zoll") == [1, 2, 4] and ids(size=(50, 60)) == [1, 2, 3, 4] and ids(product_type="hob") == []
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [1.0]), (6, [2.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r.query_id, r.vec_id, r["rank"]) for r in R.cosine_topk(v, v.where("vec_id in (1, 5)"), 2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 6, 1), (1, 2, 2)]
+
+
 def test_cap_and_filter(spark):
     df = spark.createDataFrame([("s", "r", "name_sim", i / 100, i) for i in range(8)] + [("s", "r", "gtin", 0.5, 100 + i) for i in range(7)], "s_id string, t_retailer string, method string, score double, id int")
     kept = M.cap_per_retailer(df, F.desc("score"), "id").collect()
