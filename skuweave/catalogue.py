@@ -21,7 +21,7 @@ from skuweave.operators import submission as B
 from skuweave.operators.store import stored
 from skuweave.plans import questions as Q
 from skuweave.sources import ingest as I
-from skuweave.sources.pages import deep_get, parse_pages
+from skuweave.sources.pages import deep_get, page_counts, parse_pages
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -147,9 +147,38 @@ def page_titles(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.clean_title(T.html_title(h)).alias("title"), F.regexp_count(h, F.lit(r"(?i)<a\s[^>]*href=")).cast("long").alias("links"))
 
 
-@query("page_records")
+# Pages made of listings: a schema.org product with a breadcrumb, page data with a container of properties, a bare title, or
+# a failed page of which a search said something.
+_PAGE = [
+    "listing_id AS page_id",
+    "CASE listing_id % 4 WHEN 3 THEN 'https://www.e-tec.at/details.php?artnr=' || CAST(listing_id AS STRING) ELSE 'https://www.shop.at/tv-audio/' || replace(lower(p_word), ' ', '-') || '~p' || CAST(listing_id AS STRING) || '.html' END AS url",
+    """CASE listing_id % 4 WHEN 0 THEN '<title>t</title><script type="application/ld+json">[[{"@type":"BreadcrumbList","itemListElement":[{"name":"Home"},{"item":{"name":"TV"}}]},{"@type":["Thing","Product"],"name":" ' || name || ' ","brand":{"name":"' || split_part(name, ' ', 1) || '"},"gtin13":"' || coalesce(ean, 'none') || '","offers":[{"price":null,"lowPrice":"1.299,00"}],"sku":' || CAST(listing_id AS STRING) || ',"material":{"name":"steel"},"url":"u","image":["https://i.at/' || CAST(listing_id AS STRING) || '.jpg"],"additionalProperty":[{"propertyID":"Watt","unitText":"W"},{"name":"Farbe","value":"rot"}]}]]</script>'
+  WHEN 1 THEN '<script id="__NEXT_DATA__" type="application/json">{"a":{"Title":"' || name || '","b":[{"Preis":"249,90"},{"specs":[{"label":"Breite","val":"60 cm"},{"key":"Tiefe","data":5}],"model":"M' || CAST(listing_id AS STRING) || '"}],"categoryPath":["x",{"title":"Kat"}]}}</script>'
+  WHEN 2 THEN '<html><title> ' || name || ' </title></html>' ELSE '<title>Just a moment</title>' END AS html""",
+    "CASE WHEN listing_id % 8 = 3 THEN 'timeout' END AS error",
+    "CASE WHEN listing_id % 4 = 3 THEN name END AS source_name",
+]
+_PAGES = f"SELECT {', '.join(_PAGE)} FROM (SELECT *, name AS p_word FROM ({SQL_LISTINGS}))"
+
+
+@query(
+    "page_records",
+    f"""WITH d AS (SELECT *, listing_id % 4 AS m, lower({_NORM.format("name").replace("lower(strip_accents(name))", "name")}) AS plain FROM ({SQL_LISTINGS}))
+  SELECT listing_id AS page_id, 'P_SC_' || upper(substr(md5(url), 1, 8)) AS reference, CASE WHEN m < 3 THEN name ELSE 'product ' || listing_id END AS name, CASE m WHEN 3 THEN split_part(name, ' ', 1) WHEN 0 THEN split_part(name, ' ', 1) ELSE brand END AS brand,
+    CASE WHEN m = 0 THEN ean END AS ean, CASE m WHEN 0 THEN 1299e0 WHEN 1 THEN 2499e-1 END AS price_eur, CASE WHEN m = 0 THEN 'https://i.at/' || listing_id || '.jpg' END AS image_url,
+    CASE m WHEN 0 THEN 'Home > TV' WHEN 1 THEN 'Kat' WHEN 2 THEN 'tv audio' END AS category,
+    CASE m WHEN 0 THEN concat_ws(';', 'Farbe=rot', 'Watt=W', 'breadcrumb=Home', 'gtin13=' || coalesce(ean, 'none'), 'material=steel', 'sku=' || listing_id) WHEN 1 THEN 'Breite=60 cm;Tiefe=5;model=M' || listing_id END AS specifications,
+    listing_id % 8 = 3 AS failed FROM (SELECT d.*, brand, p.url FROM (SELECT * EXCLUDE (url) FROM d) d JOIN (SELECT page_id, url, regexp_replace(split_part(slug, '-', 1), '[^A-Za-z0-9&+.-]', '', 'g') AS brand FROM (SELECT *, regexp_extract(url, '([^/]*)$', 1) AS slug FROM ({_PAGES}))) p ON page_id = listing_id)""",
+)
 def page_records(spark, sf):
-    return parse_pages(table(spark, sf, "pages"))
+    pages = listings(spark, sf).withColumn("p_word", F.col("name")).selectExpr(*_PAGE)
+    specs = F.array_join(F.array_sort(F.transform(F.map_entries("specifications"), lambda e: F.concat(e.key, F.lit("="), e.value))), ";")
+    return parse_pages(pages).select("page_id", "reference", "name", "brand", "ean", "price_eur", "image_url", "category", specs.alias("specifications"), "failed")
+
+
+@query("page_counts", f"SELECT count(*) FILTER (WHERE listing_id % 8 <> 3) AS kept, count(*) FILTER (WHERE listing_id % 8 = 3) AS dropped_errors, 0::BIGINT AS dropped_empty FROM ({SQL_LISTINGS})")
+def page_count(spark, sf):
+    return page_counts(parse_pages(listings(spark, sf).withColumn("p_word", F.col("name")).selectExpr(*_PAGE)))
 
 
 @query("slug_names", f"SELECT listing_id, trim(replace(CAST(p_size AS VARCHAR) || ' ' || words, '-', ' ')) AS slug FROM (SELECT *, substr(url, strpos(url, '-') + 1, length(url) - strpos(url, '-') - length('.html?ref=' || CAST(listing_id AS VARCHAR))) AS words FROM ({SQL_LISTINGS}))")
@@ -157,6 +186,48 @@ def slug_names(spark, sf):
     return listings(spark, sf).select("listing_id", T.url_slug_name(F.col("url")).alias("slug"))
 
 
+@query(
+    "page_address_names",
+    f"""SELECT page_id, CASE WHEN contains(url, 'details.php') THEN 'product ' || page_id ELSE trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '~p[0-9]+\\.html$', ''), '[^A-Za-z0-9]+', ' ', 'g')) END AS name,
+  CASE WHEN NOT contains(url, 'details.php') THEN 'tv audio' END AS category, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^([A-Za-z]+)', 1) AS brand FROM ({_PAGES})""",
+)
+def page_address_names(spark, sf):
+    pages = listings(spark, sf).withColumn("p_word", F.col("name")).selectExpr(*_PAGE)
+    word = F.regexp_extract(F.regexp_extract("url", "([^/]*)$", 1), "^([A-Za-z]+)", 1)
+    return pages.select("page_id", T.page_name(F.col("url")).alias("name"), T.page_category(F.col("url")).alias("category"), T.first_brand(F.concat(word, F.lit("! and more"))).alias("brand"))
+
+
+@query("host_allowed", f"SELECT listing_id, retailer = 'Cyberport AT' AS own, false AS other FROM ({SQL_LISTINGS})")
+def host_allowed(spark, sf):
+    own = F.concat(F.lit("https://www.Cyberport.at/pdp/"), F.col("listing_id"))
+    return listings(spark, sf).select("listing_id", B.host_allowed(own, F.col("retailer")).alias("own"), B.host_allowed(F.col("url"), F.col("retailer")).alias("other"))
+
+
+@query(
+    "text_prices",
+    f"SELECT listing_id, round(p, 2) AS german, round(p, 2) AS told FROM (SELECT listing_id, round(listing_id * 7.5 + 1.25, 2) AS p FROM ({SQL_LISTINGS}))",
+)
+def text_prices(spark, sf):
+    p = F.round(F.col("listing_id") * 7.5 + 1.25, 2)
+    german = F.translate(F.format_number(p, 2), ",.", ".,")  # 1.234,50
+    df = listings(spark, sf).select("listing_id", german.alias("g"))
+    return df.select("listing_id", T.coerce_price(F.concat(F.col("g"), F.lit(" €"))).alias("german"), T.price_from_text(F.concat(F.lit("now only "), F.col("g"), F.lit(" EUR a piece"))).alias("told"))
+
+
+@query(
+    "target_upsert",
+    f"""WITH n AS (SELECT * FROM ({SQL_LISTINGS}) WHERE listing_id % 3 = 0), o AS (SELECT * FROM ({SQL_LISTINGS}) WHERE listing_id % 2 = 0)
+  SELECT reference, retailer, name || ' new' AS name, CASE WHEN listing_id % 2 = 0 THEN TIMESTAMP '2024-01-02 00:00:00' END AS updated_at, false AS visible FROM n
+  UNION ALL SELECT reference, retailer, name, NULL, true FROM o WHERE listing_id % 3 <> 0""",
+)
+def target_upsert(spark, sf):
+    """Prepared targets replaced by reference and retailer; rows that were there before are stamped."""
+    rows = listings(spark, sf).drop("visible", "shape", "number", "spec_model", "spec_size")
+    now = I.prepare_targets(rows.where("listing_id % 2 = 0"), True)
+    new = rows.where("listing_id % 3 = 0").withColumn("name", F.concat("name", F.lit(" new")))
+    return I.upsert_targets(now, new, False, "2024-01-02 00:00:00").select("reference", "retailer", "name", "updated_at", "visible")
+
+
 @query("json_lookup", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def json_lookup(spark, sf):
     return table(spark, sf, "events").select("event_id", deep_get("K")("props").alias("k"))

@@ -79,6 +79,36 @@ def url_slug_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(stem, r"[-_]+", " "))
 
 
+def page_name(c: Column) -> Column:
+    """A product's name from its page's address: the last segment without its extension and shop number, as words.
+
+    ``details.php`` gives product and the number asked for; under 3 characters: null.
+    """
+    parts = F.filter(F.split(F.regexp_extract(c, URL, 3), "/"), lambda s: s != "")
+    last = F.trim(F.url_decode(F.regexp_replace(F.regexp_replace(F.try_element_at(parts, F.lit(-1)), r"\+", "%2B"), r"%(?![0-9A-Fa-f]{2})", "%25")))
+    number = lambda key: F.regexp_extract(c, rf"[?&]{key}=([^&#]+)", 1)
+    asked = F.coalesce(blank_to_null(number("artnr")), blank_to_null(number("art")))
+    asked = F.btrim(F.url_decode(F.regexp_replace(asked, r"%(?![0-9A-Fa-f]{2})", "%25")), F.lit("+" + WHITE))
+    slug = F.regexp_replace(F.regexp_replace(F.regexp_replace(last, r"(?i)\.(?:html?|php)$", ""), r"(?i)~p\d+$", ""), r"(?i)-\d{5,7}(?:-l\d+)?$", "")
+    slug = F.trim(F.regexp_replace(slug, "[^A-Za-z0-9]+", " "))
+    by_number = F.when(asked != "", F.concat(F.lit("product "), asked))
+    return F.when(F.lower(last).startswith("details.php"), by_number).when(F.length(slug) >= 3, slug)
+
+
+def page_category(c: Column) -> Column:
+    """The first three path segments but the last, without route markers, as a breadcrumb with spaces for dashes; else null."""
+    parts = F.filter(F.split(F.regexp_extract(c, URL, 3), "/"), lambda s: s != "")
+    named = F.filter(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: ~s.isin("pdp", "shop", "produkt"))
+    return blank_to_null(F.array_join(F.transform(F.slice(named, 1, 3), lambda s: F.trim(F.replace(s, F.lit("-"), F.lit(" ")))), " > "))
+
+
+def first_brand(c: Column) -> Column:
+    """The first word, if it looks like a brand: letters, digits and & + . - of it, two at least and one a letter."""
+    word = F.regexp_replace(F.get(F.split(strip(c), r"\s+"), 0), r"[^A-Za-z0-9&+.\-]", "")
+    fits = lambda w: F.when((F.length(w) >= 2) & w.rlike("[A-Za-z]") & ~F.lower(w).isin("www", "http", "https", "de", "at"), w)
+    return bind(word, fits)
+
+
 def url_category(c: Column) -> Column:
     """Path segments but the last as a breadcrumb."""
     path = F.regexp_replace(F.regexp_extract(c, URL, 3), "/+$", "")
@@ -95,9 +125,15 @@ def html_title(c: Column) -> Column:
     return blank_to_null(strip(F.regexp_extract(c, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
+# A shop's name at the end of a title, and titles of pages that block readers.
+TITLE_SUFFIX = r"(?i)\s*[|\-]\s*(electronic4you|mediamarkt|expert\.at|cyberport|e-tec|amazon).*$"
+BLOCKED_TITLE = "(?i)access denied|attention required|forbidden|just a moment|cloudflare|captcha|verify"
+
+
 def clean_title(title: Column) -> Column:
-    """Null for the titles of block pages."""
-    return F.when(~title.rlike("(?i)access denied|just a moment|attention required|forbidden|captcha"), title)
+    """Without the shop's name at its end and dashes and bars around; null for empty titles and those of block pages."""
+    bare = F.btrim(F.regexp_replace(title, TITLE_SUFFIX, ""), F.lit(" -|\t"))
+    return bind(bare, lambda t: F.when((t != "") & ~t.rlike(BLOCKED_TITLE), t))
 
 
 # Prices: null unless within bounds.
@@ -107,14 +143,16 @@ def clean_price(c: Column) -> Column:
 
 
 def coerce_price(c: Column) -> Column:
-    """From text with European separators: a dot before three digits is dropped, a comma is the decimal point."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"[^0-9.,]", ""), r"\.(?=\d{3}(?:\D|$))", "")
-    p = F.replace(bare, F.lit(","), F.lit(".")).try_cast("double")
-    return F.when((p > 0.5) & (p < 50_000), p)
+    """A number with European separators, with or without euros: a dot before three digits goes, a comma is the point."""
+    bare = strip(F.regexp_replace(c, "\u00a0|€|EUR", ""))
+    p = F.replace(F.regexp_replace(bare, r"\.(?=\d{3})", ""), F.lit(","), F.lit("."))
+    return bind(F.when(p.rlike(r"^[+-]?(?:\d+\.?\d*|\.\d+)$"), p.try_cast("double")), lambda x: F.when((x > 0.5) & (x < 50_000), F.round(x, 2)))
+
+
+# Amounts in running text, in the order they are tried; any letter of EUR counts as the sign.
+AMOUNTS = [r"(?i)(\d{1,3}(?:\.\d{3})+,\d{2})\s*[€EUR]", r"(?i)(\d{1,4},\d{2})\s*[€EUR]", r"(?i)[€EUR]\s*(\d{1,4}(?:[.,]\d{1,2})?)"]
 
 
 def price_from_text(c: Column) -> Column:
-    """The first amount beside a euro sign or EUR."""
-    after = F.regexp_extract(c, r"(?:€|EUR)\s*(\d[\d.]*(?:,\d{1,2})?)", 1)
-    before = F.regexp_extract(c, r"(\d[\d.]*(?:,\d{1,2})?)\s*(?:€|EUR)", 1)
-    return F.coalesce(coerce_price(blank_to_null(after)), coerce_price(blank_to_null(before)))
+    """The first amount of a text, by the first of AMOUNTS that finds one within bounds."""
+    return F.coalesce(*[coerce_price(blank_to_null(F.regexp_extract(c, p, 1))) for p in AMOUNTS])

@@ -130,7 +130,7 @@ def search(spark: SparkSession, question: Question, sources: DataFrame, targets:
     more = signals["more"]
     if more:
         wanted = spark.createDataFrame(list(enumerate(question.shown_sources)), "place int, reference string")
-        last = wanted.groupBy("reference").agg(F.min("place").alias("place"))
+        last = wanted.groupBy("reference").agg(F.max("place").alias("place"))  # of repeats the last place counts
         chosen = sources.join(F.broadcast(last), "reference")
     else:
         chosen = select_sources(sources, signals, max_sources)
@@ -186,8 +186,11 @@ def normalize_word(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).lower()
 
 
-def answer(competitors: DataFrame, counts: dict, shown: int = 3) -> str:
-    """A short text: what was found, and for each source the best competitors with shop and price."""
+def answer(competitors: DataFrame, counts: dict, shown: int = 3, names: DataFrame | None = None) -> str:
+    """A short text: what was found, and for each source its shops and the best competitors with shop and price.
+
+    names: (reference, name) of the sources; where it has none, the reference stands.  Shops come in the order of rank.
+    """
     if not counts["total_links"]:
         return "No further results." if counts["follow_up_expand"] else "No matching products were found."
     lines = [f"Found {counts['total_links']} listings for {counts['matched_sources']} of {counts['selected_sources']} products."]
@@ -196,8 +199,18 @@ def answer(competitors: DataFrame, counts: dict, shown: int = 3) -> str:
     low, high = counts["price_filter"]["min"], counts["price_filter"]["max"]
     if low is not None or high is not None:
         lines.append("Price: " + " ".join(x for x in (f"from {low:g}" if low is not None else "", f"up to {high:g}" if high is not None else "") if x) + ".")
-    best = competitors.withColumn("__n", F.row_number().over(Window.partitionBy("source_reference").orderBy("rank"))).where(F.col("__n") <= shown)
+    best = competitors.withColumn("__n", F.row_number().over(Window.partitionBy("source_reference").orderBy("rank")))
+    shops = F.transform(F.array_sort(F.collect_list(F.struct("rank", "retailer"))), lambda x: x.retailer)
+    per_source = best.groupBy("source_reference").agg(F.array_distinct(shops).alias("shops"))
+    best = best.where(F.col("__n") <= shown).join(per_source, "source_reference").withColumn("source_name", F.col("source_reference"))
+    if names is not None:
+        own = names.select(F.col("reference").alias("source_reference"), F.col("name").alias("__name"))
+        best = best.join(own, "source_reference", "left").withColumn("source_name", F.coalesce(F.when(F.col("__name") != "", F.col("__name")), F.col("source_reference")))
+    last = None
     for r in best.orderBy("source_reference", "rank").limit(60).collect():
+        if r.source_reference != last:
+            lines.append(f"{r.source_name} ({', '.join(x for x in r.shops if x)}):")
+            last = r.source_reference
         price = f" for {r.price_eur:.2f} EUR" if r.price_eur is not None else ""
-        lines.append(f"- {r.source_reference}: {r.name} at {r.retailer}{price}")
+        lines.append(f"- {r.name} at {r.retailer}{price}")
     return "\n".join(lines)

@@ -26,7 +26,10 @@ def read_products(spark: SparkSession, path: str, schema: str = PRODUCT) -> Data
 
 
 def product_rows(df: DataFrame) -> DataFrame:
-    """Rows with a reference and a name."""
+    """Rows with a reference and a name that aren't a submission's (these have competitors or a source's reference)."""
+    for c in ("competitors", "source_reference"):
+        if c in df.columns:
+            df = df.where(F.col(c).isNull())
     return df.where((F.coalesce("reference", F.lit("")) != "") & (F.coalesce("name", F.lit("")) != ""))
 
 
@@ -46,6 +49,30 @@ def upsert(current: DataFrame, new: DataFrame, keys: list) -> DataFrame:
     return current.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def upsert_stamped(current: DataFrame, new: DataFrame, keys: list, now) -> DataFrame:
+    """upsert() with updated_at: ``now`` for rows that were there before and are replaced, null for new ones, else as it was."""
+    before = current if "updated_at" in current.columns else current.withColumn("updated_at", F.lit(None).cast("timestamp"))
+    known = current.select(*keys, F.lit(True).alias("__known"))
+    stamp = F.when(F.col("__known"), F.lit(now).cast("timestamp"))
+    return upsert(before, new.drop("updated_at").join(known, keys, "left").withColumn("updated_at", stamp).drop("__known"), keys)
+
+
+def upsert_targets(current: DataFrame, products: DataFrame, visible: bool, now) -> DataFrame:
+    """current, prepared targets, with the products' rows in place of those of the same reference and retailer."""
+    return upsert_stamped(current, prepare_targets(products, visible), ["reference", "retailer"], now)
+
+
+def read_seed(spark: SparkSession, pattern: str, data_dir: str, output_dir: str, schema: str = PRODUCT) -> DataFrame:
+    """Rows of all files of a name pattern in both folders, with _file and category (from the file's name where a row has none).
+
+    A file of output_dir stands in for one of the same name in data_dir.
+    """
+    new, old = (product_rows(read_products(spark, f"{d.rstrip('/')}/{pattern}", schema)) for d in (output_dir, data_dir))
+    both = new.unionByName(old.join(new.select("_file").distinct(), "_file", "left_anti"))
+    named = F.when(F.coalesce("category", F.lit("")) != "", F.col("category")).otherwise(category_from_file(F.col("_file")))
+    return both.withColumn("category", named)
+
+
 def prepare_targets(df: DataFrame, visible: bool) -> DataFrame:
     """Target rows with signals, canonical_url, visible and listing_key, one per reference and retailer."""
     df = with_signals(product_rows(df)).withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("visible", F.lit(visible))

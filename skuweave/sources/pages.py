@@ -1,135 +1,324 @@
-"""Raw product pages: embedded JSON, titles, and records parsed from schema.org products."""
+"""Raw product pages: embedded JSON, titles, and records parsed from schema.org products and page data."""
 
 from __future__ import annotations
 
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
-from skuweave.functions.text import clean_title, coerce_price, html_title, url_category, url_host, url_slug_name
+from skuweave.functions.text import clean_title, coerce_price, first_brand, html_title, make_ref, page_category, page_name, price_from_text, url_host
 
 LD_JSON = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
-FIELDS = ["name", "brand", "ean", "price", "image", "category"]
-RECORD = StructType([StructField(c, StringType()) for c in FIELDS] + [StructField("specifications", MapType(StringType(), StringType()))])
 NEXT_DATA = r'(?is)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>'
-#: Objects deeper than this aren't searched.
-DEPTH = 32
+#: Variables that pages assign their data to, as JSON up to the end of the statement's line or script.
+HYDRATION = r"(?is)window\.(?:__NUXT__|__INITIAL_STATE__|__APP_STATE__|__PRELOADED_STATE__|__STORE__|__DATA__)\s*=\s*(\{.*?\}|\[.*?\])\s*;?\s*(?:</script>|$)"
 
+# Keys that fields are looked for under, in a product and anywhere in a page's data.
+OFFER_PRICES = ["price", "lowPrice", "highPrice"]
+PRODUCT_EANS = ["gtin13", "gtin12", "gtin8", "gtin", "ean", "isbn", "mpn"]
+ANYWHERE = {
+    "name": ["name", "title", "productName", "product_name", "displayName", "produktName", "bezeichnung"],
+    "brand": ["brand", "brandName", "manufacturer", "marke", "hersteller", "vendorName", "maker"],
+    "price": ["price", "salePrice", "currentPrice", "regularPrice", "finalPrice", "offerPrice", "preis", "verkaufspreis", "listPrice", "netPrice", "grossPrice"],
+    "ean": ["ean", "gtin", "gtin13", "gtin12", "barcode", "ean13", "EAN", "EAN-Code", "GTIN", "gtin/ean", "europeanArticleNumber", "internationalArticleNumber"],
+    "image": ["image", "imageUrl", "image_url", "thumbnail", "primaryImage", "mainImage", "coverImage", "defaultImage", "productImage", "imgUrl"],
+    "category": ["category", "categoryName", "productCategory", "categoryPath", "breadcrumb", "kategorien"],
+}
+NOT_SPECIFICATIONS = ["@type", "@context", "@id", "image", "offers", "brand", "name", "description", "url", "@graph"]
+CONTAINERS = ["attributes", "specs", "specifications", "technicalDetails", "properties", "productDetails", "technicalSpecs", "featuresList", "details"]
+LOOSE_FIELDS = ["ean", "gtin", "brand", "model", "sku", "mpn", "weight", "color", "colour", "dimensions"]
+IMAGE_KEYS = ["url", "contentUrl", "src", "originalSrc"]
+DESCRIPTION_CHARS = 800
 
-def _deep(data, keys, depth=0):
-    """The first value of any key, whatever its case: this level first, then what is below, in order."""
-    if depth > DEPTH:
-        return None
-    if isinstance(data, dict):
-        low = {str(k).lower(): v for k, v in reversed(data.items())}
-        for k in keys:
-            if low.get(k) not in (None, "", [], {}):
-                return low[k]
-        below = data.values()
-    elif isinstance(data, list):
-        below = data
-    else:
-        return None
-    for x in below:
-        found = _deep(x, keys, depth + 1)
-        if found is not None:
-            return found
-    return None
+FIELDS = ["name", "brand", "ean", "image", "category"]
+RECORD = StructType([StructField(c, StringType()) for c in FIELDS] + [StructField("prices", ArrayType(StringType())), StructField("specifications", MapType(StringType(), StringType()))])
+
+
+def _filled(v) -> bool:
+    return v not in (None, "", [], {})
+
+
+def _nodes(data):
+    """Every value that search looks at, in its order: an object's own values first, then what is below, left to right.
+
+    Kept on a stack of its own, so no depth of nesting is too deep; yields (key, value), key null for objects.
+    """
+    stack = [data]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, dict):
+            yield from x.items()
+            stack += reversed(x.values())
+        elif isinstance(x, list):
+            stack += reversed(x)
+
+
+def _deep(data, keys):
+    """The first filled value of any of the keys (lower case), whatever their case; among an object's own in its order."""
+    return next((v for k, v in _nodes(data) if k.lower() in keys and _filled(v)), None)
+
+
+def _below(data, keys) -> list:
+    """All filled values of the keys: an object's entry, then what is inside it, before the next entry."""
+    out, stack = [], [(None, data)]
+    while stack:
+        key, x = stack.pop()
+        if key is not None and key.lower() in keys and _filled(x):
+            out.append(x)
+        if isinstance(x, dict):
+            stack += reversed(x.items())
+        elif isinstance(x, list):
+            stack += [(None, y) for y in reversed(x)]
+    return out
+
+
+def _as_text(v) -> str | None:
+    return v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
 
 
 def deep_get(*keys: str):
     """An Arrow function: the first value of any of the keys anywhere in a JSON text, as text; null if there is none."""
-    keys = tuple(k.lower() for k in keys)
+    keys = {k.lower() for k in keys}
 
     @F.pandas_udf(StringType())
     def get(texts: pd.Series) -> pd.Series:
-        def one(t):
-            try:
-                v = _deep(json.loads(t), keys) if t else None
-            except ValueError:
-                return None
-            return v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
-
-        return texts.map(one)
+        return texts.map(lambda t: _as_text(_deep(_loaded(t), keys)))
 
     return get
 
 
-def _product(blob):
-    if isinstance(blob, list):
-        return next((p for p in map(_product, blob) if p), None)
-    if isinstance(blob, dict):
-        kind = blob.get("@type")
-        if any("product" in str(k).lower() for k in (kind if isinstance(kind, list) else [kind])):
-            return blob
-        return _product(blob.get("@graph"))
-    return None
+def deep_collect(*keys: str):
+    """An Arrow function: all values of any of the keys in a JSON text, as texts."""
+    keys = {k.lower() for k in keys}
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def collect(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [_as_text(v) for v in _below(_loaded(t), keys)])
+
+    return collect
+
+
+def field(column: str, path: str) -> Column:
+    """A dotted path in a JSON text column: each step a key, as far as objects go; null beyond."""
+    steps = "".join("['" + p.replace("'", "\\'") + "']" for p in path.split("."))
+    return F.get_json_object(F.col(column), "$" + steps)
+
+
+def _loaded(text):
+    try:
+        return json.loads(text) if text else None
+    except (ValueError, RecursionError):
+        return None
+
+
+def _flat(blocks) -> list:
+    """Objects of lists in lists."""
+    out, stack = [], [blocks]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, list):
+            stack += reversed(x)
+        elif isinstance(x, dict):
+            out.append(x)
+    return out
+
+
+def _is_product(x) -> bool:
+    kind = x.get("@type", "")
+    return any("product" in k.lower() for k in (kind if isinstance(kind, list) else [kind]) if isinstance(k, str))
+
 
+def _product(blocks: list) -> dict:
+    """The first product among the blocks and their graphs."""
+    for block in blocks:
+        graph = block.get("@graph")
+        for x in (block, *(graph if isinstance(graph, list) else [])):
+            if isinstance(x, dict) and _is_product(x):
+                return x
+    return {}
 
-def _text(v):
+
+def _line(v) -> str | None:
+    """A text that isn't blank, or an object's name that isn't."""
     if isinstance(v, dict):
-        v = v.get("name") or v.get("url")
+        v = v.get("name")
+    return v.strip() if isinstance(v, str) and v.strip() else None
+
+
+def _digits(v) -> str | None:
+    s = str(v).strip() if v is not None and not isinstance(v, (dict, list)) else ""
+    return s if len(s) >= 8 and s.isdigit() else None
+
+
+def _image(v) -> str | None:
     if isinstance(v, list):
-        return _text(v[0]) if v else None
-    return v if isinstance(v, str) else None if v is None else json.dumps(v)
+        v = v[0] if v else None
+    found = [v.get(k) for k in IMAGE_KEYS] if isinstance(v, dict) else [v]
+    return next((u for u in found if isinstance(u, str) and u.startswith("http")), None)
+
+
+def _crumbs(blocks: list, linked: bool) -> list:
+    """Names of each breadcrumb list among the blocks; linked: items named by what they link to count too."""
+    out = []
+    for block in blocks:
+        if block.get("@type") == "BreadcrumbList":
+            names = []
+            for x in block.get("itemListElement") or []:
+                if isinstance(x, dict):
+                    item = x.get("item") if linked and isinstance(x.get("item"), dict) else {}
+                    names.append(x.get("name") or item.get("name") or "")
+            out.append(" > ".join(str(n).strip() for n in names if n))
+    return [c for c in out if c]
 
 
-def _specifications(p: dict) -> dict:
-    """Named properties first, then the product's own plain values, then the description's first 800 characters."""
+def _category(v) -> str | None:
+    if isinstance(v, list) and v:
+        v = v[-1]
+        v = (v.get("name") or v.get("item") or v.get("title")) if isinstance(v, dict) else v
+    return v.strip() if isinstance(v, str) and v.strip() else None
+
+
+def _specifications(product: dict, blocks: list, data: list) -> dict:
+    """The product's plain values and named objects, its properties, description and breadcrumb; then what page data adds."""
     out: dict = {}
-    extra = p.get("additionalProperty")
-    for x in extra if isinstance(extra, list) else [extra]:
-        if isinstance(x, dict) and x.get("name") and x.get("value") not in (None, ""):
-            out.setdefault(str(x["name"]), _text(x["value"]))
-    for k, v in p.items():
-        if not k.startswith("@") and k not in ("name", "description") and isinstance(v, (str, int, float)) and v != "":
-            out.setdefault(k, str(v))
-    if isinstance(p.get("description"), str) and p["description"]:
-        out.setdefault("description", p["description"][:800])
-    return out
+    for k, v in product.items():
+        if k not in NOT_SPECIFICATIONS:
+            if isinstance(v, (str, int, float)):
+                out[k] = v
+            elif isinstance(v, dict) and "name" in v:
+                out[k] = v["name"]
+    extra = product.get("additionalProperty")
+    for x in extra if isinstance(extra, list) else []:
+        if isinstance(x, dict):
+            key, value = x.get("name") or x.get("propertyID"), x.get("value") if x.get("value") is not None else x.get("unitText")
+            if key and value is not None:
+                out[str(key)] = value
+    if isinstance(product.get("description"), str) and product["description"]:
+        out["description"] = product["description"][:DESCRIPTION_CHARS]
+    for crumbs in _crumbs(blocks, linked=False):
+        out["breadcrumb"] = crumbs
+    for blob in data:
+        for name in CONTAINERS:
+            held = _deep(blob, {name.lower()})
+            if isinstance(held, dict):
+                pairs = [(k, v) for k, v in held.items() if isinstance(v, (str, int, float))]
+            else:
+                either = lambda x, *keys: next((x[k] for k in keys if x.get(k)), x.get(keys[-1]))
+                pairs = [(either(x, "name", "label", "key", "attribute"), either(x, "value", "val", "data")) for x in held if isinstance(x, dict)] if isinstance(held, list) else []
+            for k, v in pairs:
+                if k and v is not None:
+                    out.setdefault(str(k), v)
+        for name in LOOSE_FIELDS:
+            if name not in out and _filled(v := _deep(blob, {name})):
+                out[name] = v
+    return {k: _as_text(v) for k, v in out.items() if v is not None}
 
 
-def _record(texts) -> tuple:
-    blobs = []
-    for t in texts if texts is not None else []:
-        try:
-            blobs.append(json.loads(t))
-        except ValueError:
-            continue
-    p = next((x for x in map(_product, blobs) if x), {})
-    offer = p.get("offers")
-    offer = offer[0] if isinstance(offer, list) and offer else offer
-    price = (offer.get("price") or offer.get("lowPrice")) if isinstance(offer, dict) else None
-    ean = next((p[k] for k in ("gtin13", "gtin", "gtin14", "gtin12", "gtin8", "ean") if p.get(k)), None)
-    first = [p.get("name"), p.get("brand"), ean, price, p.get("image"), p.get("category")]
-    # What the product lacks is looked for anywhere in the page's data.
-    names = [("productname", "producttitle"), ("brand", "manufacturer"), ("gtin13", "gtin", "ean", "eancode"), ("price", "currentprice", "sellingprice"), ("imageurl", "image"), ("categoryname", "category")]
-    found = [_text(v) or (_text(_deep(blobs, keys)) if blobs else None) for v, keys in zip(first, names, strict=True)]
-    return (*found, _specifications(p) or None)
+def _record(ld, data) -> tuple:
+    """Fields from a page's schema.org texts and its data texts: the product first, then anywhere in either, in order."""
+    load = lambda texts: [x for x in map(_loaded, texts if texts is not None else []) if _filled(x)]
+    ld, data = load(ld), load(data)
+    blocks = _flat(ld)
+    p, blobs = _product(blocks), [*ld, *data]
+    search = lambda f, keys, fit: next((x for x in (fit(_deep(b, {k.lower() for k in keys})) for b in blobs) if x), None)
+    text = lambda v: v.strip() if isinstance(v, str) and len(v.strip()) > 1 else None
+    name = (_line(p.get("name")) if isinstance(p.get("name"), str) else None) or search("name", ANYWHERE["name"], text)
+    brand = _line(p.get("brand")) or search("brand", ANYWHERE["brand"], _line)
+    ean = next((x for x in (_digits(p.get(k)) for k in PRODUCT_EANS if isinstance(p.get(k), str)) if x), None) or search("ean", ANYWHERE["ean"], _digits)
+    image = _image(p.get("image")) or search("image", ANYWHERE["image"], _image)
+    own = p.get("category")
+    category = (str(own[-1]).strip() if isinstance(own, list) and own else _category(own)) or next(iter(_crumbs(blocks, linked=True)), None) or search("category", ANYWHERE["category"], _category)
+    offers = p.get("offers") or {}
+    offers = (offers[0] if offers else {}) if isinstance(offers, list) else offers
+    prices = [offers.get(k) for k in OFFER_PRICES] if isinstance(offers, dict) else []
+    prices += [_deep(b, {k.lower() for k in ANYWHERE["price"]}) for b in blobs]
+    return name, brand, ean, image, category, [str(v) for v in prices if v is not None and not isinstance(v, (dict, list))], _specifications(p, blocks, data) or None
 
 
 @F.pandas_udf(RECORD)
-def schema_product(blobs: pd.Series) -> pd.DataFrame:
-    """Fields of the first schema.org product among a page's JSON texts, else from anywhere in them."""
-    return pd.DataFrame([_record(texts) for texts in blobs], columns=[*FIELDS, "specifications"])
-
-
-def parse_pages(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """A record per page: schema.org fields first, then title and address; useful: any field was found beside the name."""
-    blobs = F.concat(*[F.regexp_extract_all(F.col(html), F.lit(p), F.lit(1)) for p in (LD_JSON, NEXT_DATA)])
-    df = pages.withColumn("p", schema_product(blobs)).withColumn("title", clean_title(html_title(F.col(html))))
-    return df.select(
-        *[c for c in pages.columns if c not in (html, "name", "category")],
-        F.coalesce("p.name", "title", url_slug_name(F.col(url))).alias("name"),
-        F.col("p.brand").alias("brand"),
-        F.when(F.col("p.ean").rlike(r"^\d{8,}$"), F.col("p.ean")).alias("ean"),
-        coerce_price(F.col("p.price")).alias("price_eur"),
-        F.col("p.image").alias("image_url"),
-        F.coalesce("p.category", url_category(F.col(url))).alias("category"),
+def page_product(ld: pd.Series, data: pd.Series) -> pd.DataFrame:
+    """Fields of the first schema.org product among a page's JSON texts, else from anywhere in them and in its data."""
+    return pd.DataFrame([_record(a, b) for a, b in zip(ld, data, strict=True)], columns=[*FIELDS, "prices", "specifications"])
+
+
+#: What a scrape knew before it read a page; all of it may be missing.
+PROVENANCE = {"error": "string", "retailer": "string", "reference": "string", "source_name": "string", "source_brand": "string", "search_result": "struct<title:string,description:string,extra_snippets:array<string>,thumbnail:string,image:string,image_url:string>"}
+
+
+def parse_pages(pages: DataFrame, *, url: str = "url", html: str = "html", ld: str | None = None, data: str | None = None) -> DataFrame:
+    """A record per page with what is known of it; useful: any field beside category and address was found.
+
+    The schema.org product comes first, then the page's data, its title, what the search said of it (search_result), the
+    source's brand (source_brand, source_name) and the address.  ld, data: columns with arrays of JSON texts, for pages
+    that were taken apart before; else both are found in the html.  Columns that pages lacks count as null; JSON that
+    can't be read counts as none.  Null html and addresses give rows without fields.
+    """
+    have = {f.name for f in pages.schema}
+    known = lambda c: F.col(c) if c in have else F.lit(None).cast(PROVENANCE[c])
+    texts = lambda *patterns: F.concat(*[F.regexp_extract_all(F.coalesce(F.col(html), F.lit("")), F.lit(p), F.lit(1)) for p in patterns])
+    p = page_product(F.col(ld) if ld else texts(LD_JSON), F.col(data) if data else texts(NEXT_DATA, HYDRATION))
+    search = known("search_result")
+    title = clean_title(html_title(F.col(html))) if html in have else F.lit(None).cast("string")
+    df = pages.withColumn("p", p).withColumn("title", title).withColumn("__found", clean_title(search["title"]))
+    df = df.withColumn("__name", page_name(F.col(url)))
+    snippets = F.concat(F.array(search["description"], search["title"]), F.coalesce(search["extra_snippets"], F.array().cast("array<string>")))
+    first = lambda c: F.get(F.array_compact(c), 0)
+    price = F.coalesce(first(F.transform("p.prices", coerce_price)), first(F.transform(snippets, price_from_text)))
+    own = F.coalesce(F.when(F.trim(known("source_brand")) != "", F.trim(known("source_brand"))), first_brand(known("source_name")))
+    thumb = first(F.transform(F.array(search["thumbnail"], search["image"], search["image_url"]), lambda u: F.when(u.startswith("http"), u)))
+    out = df.select(
+        *[c for c in pages.columns if c not in (html, ld, data, "name", "brand", "category", "reference", "retailer", "error", "search_result", "source_name", "source_brand")],
+        F.coalesce(F.when(known("reference") != "", known("reference")), make_ref(F.coalesce(F.col(url), F.lit("")))).alias("reference"),
+        known("retailer").alias("retailer"),
+        F.coalesce("p.name", "title", "__found", "__name").alias("name"),
+        F.coalesce(F.col("p.brand"), own, first_brand(F.col("__found")), first_brand(F.col("__name"))).alias("brand"),
+        F.col("p.ean").alias("ean"),
+        price.alias("price_eur"),
+        F.coalesce("p.image", thumb).alias("image_url"),
+        F.coalesce(F.col("p.category"), page_category(F.col(url))).alias("category"),
         F.col("p.specifications").alias("specifications"),
         url_host(F.col(url)).alias("host"),
-        F.coalesce("p.ean", "p.name", "p.brand", "p.image", "p.price", "title").isNotNull().alias("useful"),
+        (F.coalesce(known("error"), F.lit("")) != "").alias("failed"),
+    )
+    any_ = F.coalesce("ean", "name", "brand", "image_url").isNotNull() | F.col("specifications").isNotNull() | F.col("price_eur").isNotNull()
+    return out.withColumn("useful", any_)
+
+
+def kept_pages(records: DataFrame) -> DataFrame:
+    """Records to go on with: pages that were read and said anything."""
+    return records.where("not failed and useful").drop("failed", "useful")
+
+
+def page_counts(records: DataFrame) -> DataFrame:
+    """One row: kept, dropped_errors (the page wasn't read), dropped_empty (it said nothing)."""
+    return records.agg(
+        F.count_if(~F.col("failed") & F.col("useful")).alias("kept"), F.count_if("failed").alias("dropped_errors"), F.count_if(~F.col("failed") & ~F.col("useful")).alias("dropped_empty")
     )
+
+
+SCRAPED = (
+    "url STRING, reference STRING, retailer STRING, error STRING, page_title STRING, source_name STRING, source_brand STRING, search_result "
+    + PROVENANCE["search_result"]
+    + ", ld_json ARRAY<STRING>, next_data STRING, hydration_data ARRAY<STRUCT<data:STRING>>"
+)
+
+
+def read_scraped(spark: SparkSession, paths: list) -> DataFrame:
+    """Entries of scraped JSON files, those that exist, as pages with ld and data texts for parse_pages()."""
+    out = None
+    for path in paths:
+        try:
+            df = spark.read.schema(SCRAPED).option("multiLine", True).json(path)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        out = df if out is None else out.unionByName(df)
+    out = spark.createDataFrame([], SCRAPED) if out is None else out
+    data = F.array_compact(F.concat(F.array("next_data"), F.coalesce(F.transform("hydration_data", lambda h: h["data"]), F.array().cast("array<string>"))))
+    html = F.concat(F.lit("<title>"), F.coalesce("page_title", F.lit("")), F.lit("</title>"))
+    return out.withColumn("ld", F.coalesce("ld_json", F.array().cast("array<string>"))).withColumn("data", data).withColumn("html", html).drop("ld_json", "next_data", "hydration_data", "page_title")

