@@ -6,6 +6,8 @@ by SQL that both engines read alike.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -711,9 +713,42 @@ def source_relevance(spark, sf):
 
 @query("stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stream_dedup(spark, sf):
-    """First events by user and type from a file stream run until it has read all, against the batch result."""
-    from skuweave.streaming.incremental import run_to_end
+    """First events by user and type from a file stream run until it has read all, against the batch result.
+
+    The watermark's delay of 60 days is more than the 30 that events span, so all repeats fall within it; state of keys
+    that weren't seen for so long is dropped.
+    """
+    from skuweave.streaming.incremental import new_listings, run_to_end
 
     schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").dropDuplicates(["user_id", "event_type"])
-    return run_to_end(stream.select("user_id", "event_type")).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    first = new_listings(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["user_id", "event_type"], "60 days")
+    return run_to_end(first.select("user_id", "event_type")).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    "stream_windows",
+    """SELECT hour, event_type, count(*) AS n FROM (SELECT *, date_trunc('hour', ts) AS hour FROM events) WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY GROUP BY ALL""",
+)
+def stream_windows(spark, sf):
+    """Events by hour and type: the hours that the watermark, two days behind the latest event, has closed."""
+    from skuweave.streaming.incremental import run_to_end, windowed_counts
+
+    stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    counts = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "2 days", "event_type")
+    return run_to_end(counts.select(F.col("window.start").alias("hour"), "event_type", "n")).withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+
+
+@query("stream_upsert", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def stream_upsert(spark, sf):
+    """Each user's latest event, merged by user from two batches of a stream."""
+    from skuweave.operators.store import shared_dir
+    from skuweave.streaming.incremental import read_upserted, upsert_into
+
+    at = f"{shared_dir(spark).rstrip('/')}/users-{uuid.uuid4().hex}"
+    merge = upsert_into(at, ["user_id"], [F.desc("ts"), F.desc("event_id")], 16)
+    events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
+    middle = F.lit("2024-01-16").cast("timestamp")
+    for k, part in enumerate((F.col("ts") < middle, F.col("ts") >= middle)):
+        merge(events.where(part), k)
+    return read_upserted(spark, at).select("user_id", "event_type")

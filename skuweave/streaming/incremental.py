@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuweave.operators.store import shared_dir
+from skuweave.operators.store import shared_dir, stored
 from skuweave.sources.ingest import first_wins, upsert
 
 
@@ -21,25 +20,55 @@ def windowed_counts(stream: DataFrame, event_time: str, width: str, delay: str,
     return stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width), *keys).agg(F.count("*").alias("n"))
 
 
-def upsert_into(table: str, keys: list, order: list):
+#: Parts that an upserted table is cut into by key; a batch rewrites those that its keys fall into.
+BUCKETS = 64
+
+
+def _versions(spark: SparkSession, table: str) -> list:
+    """Numbers of the whole versions of a table, the newest first, each with the buckets it holds."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = lambda p: [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(p))]
+    found = [int(n[1:]) for n in (names(table) if fs.exists(path) else []) if n.startswith("v")]
+    whole = [v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{table}/v{v}/_SUCCESS"))]
+    return [(v, {int(n.split("=")[1]) for n in names(f"{table}/v{v}") if n.startswith("__bucket=")}) for v in sorted(whole, reverse=True)]
+
+
+def read_upserted(spark: SparkSession, table: str, buckets: set | None = None, before: int | None = None) -> DataFrame | None:
+    """The table's rows: of each bucket those of the newest whole version that holds it; null if there is none."""
+    out, seen = None, set()
+    for v, held in _versions(spark, table):
+        if before is not None and v >= before:
+            continue
+        new = held - seen
+        wanted = new if buckets is None else new & buckets
+        seen |= new
+        if wanted:
+            df = spark.read.option("basePath", f"{table}/v{v}").parquet(*[f"{table}/v{v}/__bucket={b}" for b in sorted(wanted)]).drop("__bucket")
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def upsert_into(table: str, keys: list, order: list, buckets: int = BUCKETS):
     """A foreachBatch function that merges each batch into a Parquet table by key; a replayed batch changes nothing.
 
-    Versions are written side by side and the newest whole one is read, so a lost executor or driver can't leave half.
+    The table is cut into buckets by key, and a batch writes, as a version beside the others, only the buckets that its
+    keys fall into; read_upserted() takes each bucket from its newest whole version, so a lost executor or driver can't
+    leave half.  An empty batch writes nothing.
     """
 
-    def versions(spark: SparkSession):
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
-        done = [int(n[1:]) for n in names if n.startswith("v") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/{n}/_SUCCESS"))]
-        return sorted(done)
-
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        have = [v for v in versions(spark) if v < batch_id]
-        new = first_wins(batch, keys, *order)
-        out = upsert(spark.read.parquet(os.path.join(table, f"v{have[-1]}")), new, keys) if have else new
-        out.write.mode("overwrite").parquet(os.path.join(table, f"v{batch_id}"))
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        new = stored(first_wins(batch, keys, *order))
+        touched = {r[0] for r in new.select(bucket.alias("b")).distinct().collect()}  # at most ``buckets`` numbers
+        if not touched:
+            return
+        have = read_upserted(spark, table, touched, batch_id)
+        out = upsert(have, new, keys) if have is not None else new
+        out = out.withColumn("__bucket", bucket).repartition(F.col("__bucket"))
+        out.write.mode("overwrite").partitionBy("__bucket").parquet(f"{table}/v{batch_id}")
 
     return run
 

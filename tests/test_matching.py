@@ -384,10 +384,15 @@ def test_engine(spark):
 
 
 def test_stream_upsert(spark, tmp_path):
-    from skuweave.streaming.incremental import upsert_into
-
-    merge = upsert_into(str(tmp_path / "t"), ["k"], ["v"])
-    merge(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), 0)
-    for _ in range(2):
-        merge(spark.createDataFrame([(2, "z"), (3, "c")], "k int, v string"), 1)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/v1")).collect())) == [(1, "a"), (2, "z"), (3, "c")]
+    from skuweave.streaming.incremental import _versions, read_upserted, upsert_into
+
+    at = str(tmp_path / "t")
+    merge = upsert_into(at, ["k"], ["v"])
+    merge(spark.createDataFrame([(i, "a") for i in range(100)], "k int, v string"), 0)
+    for _ in range(2):  # a batch that is replayed
+        merge(spark.createDataFrame([(2, "z"), (2, "y"), (300, "c")], "k int, v string"), 1)
+    merge(spark.createDataFrame([], "k int, v string"), 2)
+    want = {(i, "a") for i in range(100) if i != 2} | {(2, "y"), (300, "c")}
+    assert {tuple(r) for r in read_upserted(spark, at).collect()} == want and read_upserted(spark, at).count() == 101
+    (one, few), (zero, all_) = _versions(spark, at)
+    assert (one, zero) == (1, 0) and len(few) <= 2 < len(all_)  # only the buckets of its keys
