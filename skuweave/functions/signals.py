@@ -88,30 +88,35 @@ def family_variants(c: Column) -> Column:
 
 
 def _joined_windows(name: Column) -> Column:
-    """Models split over two to five neighbouring words of the name."""
-    pieces = F.regexp_extract_all(name, F.lit("([A-Z0-9]+)"), F.lit(1))
-    stop = words([*V.MODEL_BLOCKLIST, *V.MODEL_JOIN_STOPWORDS, *[t.upper() for t in V.RETAILER_TOKENS]])
+    """Models split over two to five neighbouring words of the name.
 
-    def count(w, pattern):
-        return F.size(F.filter(w, lambda t: t.rlike(pattern)))
+    Words are looked at once each; windows then read what was found, since a pattern inside them would be matched again
+    for every window that a word is in.
+    """
+    stop = [*V.MODEL_BLOCKLIST, *V.MODEL_JOIN_STOPWORDS, *[t.upper() for t in V.RETAILER_TOKENS]]
+    found = F.transform(
+        F.regexp_extract_all(name, F.lit("([A-Z0-9]+)"), F.lit(1)),
+        lambda t: F.struct(t.alias("t"), t.rlike("^[A-Z]+$").alias("alpha"), t.rlike("^[0-9]+$").alias("number"), t.rlike("[0-9]").alias("digit"), t.rlike("[A-Z][0-9]|[0-9][A-Z]").alias("mixed"), t.isin(stop).alias("stop")),
+    )
+
+    def count(w, what):
+        return F.size(F.filter(w, lambda x: x[what]))
 
     def fits(w):
-        alpha = F.filter(w, lambda t: t.rlike("^[A-Z]+$"))
-        last = F.element_at(w, -1)
-        long_alpha = F.exists(alpha, lambda t: (F.length(t) > 3) & ((t != last) | (F.length(t) > 6)))
-        digits = count(w, "[0-9]")
-        some = (count(w, "^[0-9]+$") > 0) & (F.size(alpha) > 0)
-        enough = (count(w, "[A-Z][0-9]|[0-9][A-Z]") > 0) | (digits >= 2) | (F.size(alpha) >= 2)
-        return ~F.arrays_overlap(w, stop) & (F.size(w) >= 2) & some & enough & ~long_alpha
-
-    def at(i):
-        return F.transform(F.array(*[F.lit(k) for k in range(2, 6)]), lambda k: F.slice(pieces, i, k))
-
-    n = F.size(pieces)
+        last = F.element_at(w, -1)["t"]
+        long_alpha = F.exists(w, lambda x: x["alpha"] & (F.length(x["t"]) > 3) & ((x["t"] != last) | (F.length(x["t"]) > 6)))
+        some = F.exists(w, lambda x: x["number"]) & F.exists(w, lambda x: x["alpha"])
+        enough = F.exists(w, lambda x: x["mixed"]) | (count(w, "digit") >= 2) | (count(w, "alpha") >= 2)
+        return (F.size(w) >= 2) & some & ~F.exists(w, lambda x: x["stop"]) & ~long_alpha & enough
+
+    def windows(words_):
+        at = lambda i: F.transform(F.array(*[F.lit(k) for k in range(2, 6)]), lambda k: F.slice(words_, i, k))
+        every = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words_)), at))
+        return F.transform(F.filter(every, fits), lambda w: canonical_model(F.array_join(F.transform(w, lambda x: x["t"]), "")))
+
     # A window needs a word of digits alone; most names have none.
     some_number = name.rlike("(?<![A-Z0-9])[0-9]+(?![A-Z0-9])")
-    windows = F.when((n >= 2) & some_number, F.flatten(F.transform(F.sequence(F.lit(1), n), at))).otherwise(F.array().cast("array<array<string>>"))
-    return F.transform(F.filter(windows, fits), lambda w: canonical_model(F.array_join(w, "")))
+    return F.when(some_number, bind(found, lambda x: F.when(F.size(x) >= 2, windows(x)))).otherwise(empty())
 
 
 def certain_models(upper: Column, specs: Column) -> Column:
@@ -123,7 +128,7 @@ def certain_models(upper: Column, specs: Column) -> Column:
 
 def joined_models(upper: Column) -> Column:
     """Candidates from neighbouring words of the name."""
-    return F.array_distinct(F.array_compact(_joined_windows(upper)))
+    return F.array_distinct(F.array_compact(F.coalesce(_joined_windows(upper), empty())))
 
 
 def name_tokens(normalized: Column) -> Column:

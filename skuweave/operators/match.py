@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skuweave.functions.text import bind
 from skuweave.operators.score import THRESHOLD, flags, ratio_bound, scores, sequence_ratio
 from skuweave.operators.store import stored
 
@@ -43,7 +44,7 @@ def _first_tokens(likeness: float) -> Column:
 
 def _crossed(keys: Column, values: Column) -> Column:
     """Each key with each value, as keys."""
-    return F.flatten(F.transform(keys, lambda k: F.transform(values, lambda v: F.xxhash64(k, v))))
+    return bind(values, lambda vs: F.flatten(F.transform(keys, lambda k: F.transform(vs, lambda v: F.xxhash64(k, v)))))
 
 
 def block_keys(ident: Column, spread: bool, threshold: float = THRESHOLD) -> Column:
@@ -69,6 +70,12 @@ def block_keys(ident: Column, spread: bool, threshold: float = THRESHOLD) -> Col
     return F.array_distinct(F.concat(*every))
 
 
+def _signals(side: str, extra: tuple) -> list:
+    """A side's columns of a pair: signals, all its models in one array, and what else is asked for."""
+    models = F.array_union("strong_models", "family_models").alias(f"{side}_models")
+    return [*[F.col(c).alias(f"{side}_{c}") for c in [*SIGNALS, *extra]], models]
+
+
 def candidates(sources: DataFrame, targets: DataFrame, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = (), threshold: float = THRESHOLD) -> DataFrame:
     """Each pair that shares a block key once, with both sides' signals as s_* and t_*.
 
@@ -76,16 +83,16 @@ def candidates(sources: DataFrame, targets: DataFrame, source_id: str = "referen
     them, so that nothing is shuffled again to make pairs distinct or to fetch their columns.
     """
     keys = F.col("keys")
-    s = sources.select(F.col(source_id).alias("s_id"), F.col("reference").alias("s_reference"), *[F.col(c).alias(f"s_{c}") for c in SIGNALS], block_keys(F.col("reference"), False, threshold).alias("keys"))
-    t = targets.select(F.col(target_id).alias("t_id"), *[F.col(c).alias(f"t_{c}") for c in [*SIGNALS, *extra]], block_keys(F.col("reference"), True, threshold).alias("keys"))
+    s = sources.select(F.col(source_id).alias("s_id"), *_signals("s", ("reference",)), block_keys(F.col("reference"), False, threshold).alias("keys"))
+    t = targets.select(F.col(target_id).alias("t_id"), *_signals("t", extra), block_keys(F.col("reference"), True, threshold).alias("keys"))
     s, t = s.withColumn("key", F.explode(keys)).withColumnRenamed("keys", "s_keys"), t.withColumn("key", F.explode(keys)).withColumnRenamed("keys", "t_keys")
     return s.join(t, "key").where(F.col("key") == F.array_min(F.array_intersect("s_keys", "t_keys"))).drop("key", "s_keys", "t_keys")
 
 
 def pair_up(pairs: DataFrame, sources: DataFrame, targets: DataFrame, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = ()) -> DataFrame:
     """Given pairs (s_id, t_id) with both sides' signals."""
-    s = sources.select(F.col(source_id).alias("s_id"), F.col("reference").alias("s_reference"), *[F.col(c).alias(f"s_{c}") for c in SIGNALS])
-    t = targets.select(F.col(target_id).alias("t_id"), *[F.col(c).alias(f"t_{c}") for c in [*SIGNALS, *extra]])
+    s = sources.select(F.col(source_id).alias("s_id"), *_signals("s", ("reference",)))
+    t = targets.select(F.col(target_id).alias("t_id"), *_signals("t", extra))
     return pairs.join(s, "s_id").join(t, "t_id")
 
 

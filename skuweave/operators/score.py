@@ -34,15 +34,14 @@ def overlap(a: Column, b: Column) -> Column:
 
 
 def flags(pairs: DataFrame) -> DataFrame:
-    """pairs (columns s_* and t_* of with_signals()) with veto, same_*, jac and the identifier overlaps."""
+    """pairs (columns s_* and t_* of with_signals(), and models, all of a side's) with veto, same_*, jac and the identifier overlaps."""
     s, t = (lambda c: F.col(f"s_{c}")), (lambda c: F.col(f"t_{c}"))
     equal = lambda c: F.coalesce(s(c) == t(c), F.lit(False))
     differ = lambda c: F.coalesce(s(c) != t(c), F.lit(False))
     near = F.coalesce(F.abs(s("screen_size_inch") - t("screen_size_inch")) <= 1.0, F.lit(False))
     far = F.coalesce(F.abs(s("screen_size_inch") - t("screen_size_inch")) > 1.0, F.lit(False))
-    s_all, t_all = F.array_union(s("strong_models"), s("family_models")), F.array_union(t("strong_models"), t("family_models"))
-    any_model = overlap(s_all, t_all)
-    models_differ = (F.size(s_all) > 0) & (F.size(t_all) > 0) & ~any_model & equal("brand_norm")
+    any_model = overlap(s("models"), t("models"))
+    models_differ = equal("brand_norm") & (F.size(s("models")) > 0) & (F.size(t("models")) > 0) & ~any_model
     veto = (
         F.when(differ("brand_norm"), "brand_conflict")
         .when(differ("kind"), "kind_conflict")
