@@ -629,7 +629,8 @@ FROM (SELECT *, list_sort(list_distinct(list_filter(string_split(q, ' '), lambda
 
 @query(
     "question_signals",
-    f"SELECT conv_id, turn, array_to_string(refs, ' ') AS refs, array_to_string(shops, ',') AS retailers, low, high, array_to_string(cats, ',') AS categories, array_to_string(kinds, ',') AS kinds, array_to_string(anchors, ' ') AS anchors, anchored FROM ({_READ})",
+    f"""SELECT conv_id, turn, array_to_string(refs, ' ') AS refs, array_to_string(shops, ',') AS retailers, low, high, array_to_string(cats, ',') AS categories, array_to_string(kinds, ',') AS kinds, array_to_string(anchors, ' ') AS anchors, anchored,
+    list_has_any(string_split(q, ' '), {_quoted(V.EXPAND_TOKENS)}) OR {" OR ".join(f"contains(q, '{x}')" for x in [p.replace("'", "''") for p in V.EXPAND_PHRASES])} AS more FROM ({_READ})""",
 )
 def question_signals(spark, sf):
     j = lambda c, by=",": F.array_join(c, by)
@@ -644,9 +645,22 @@ def question_signals(spark, sf):
         j("q_kinds").alias("kinds"),
         j("q_anchors", " ").alias("anchors"),
         F.col("q_anchored").alias("anchored"),
+        F.col("q_more").alias("more"),
     )
 
 
+@query(
+    "question_text",
+    f"""SELECT conv_id, turn, array_to_string(list_filter([replace(array_to_string(kinds, ' '), '_', ' '), array_to_string(cats, ' '), array_to_string(shops, ' '), 'under ' || high::VARCHAR, 'over ' || low::VARCHAR, array_to_string(refs, ' ')],
+    lambda x: x IS NOT NULL AND x <> ''), ' ') AS said FROM ({_READ})""",
+)
+def question_text(spark, sf):
+    """What a question asks for, said again as a question."""
+    c = F.col
+    said_again = Q.query_text(c("q_kinds"), F.array().cast("array<string>"), c("q_categories"), c("q_retailers"), c("q_min"), c("q_max"), c("q_refs"), F.lit(None).cast("string"))
+    return Q.read_questions(said(spark, sf), "text").select("conv_id", "turn", said_again.alias("said"))
+
+
 @query(
     "followup_questions",
     f"""SELECT conv_id, turn, CASE WHEN cur <> '' AND NOT anchored AND (len(shops) > 0 OR low IS NOT NULL OR high IS NOT NULL OR len(toks) <= 4) AND before IS NOT NULL THEN before || ' ' || cur ELSE cur END AS effective
@@ -700,15 +714,37 @@ def upload_validation(spark, sf):
     return I.validate_upload(table(spark, sf, "documents").select(F.col("source").alias("reference"), F.col("text").alias("name")))
 
 
+_ASKED = "Samsung OLED Fernseher KX101B P_CFCD2084"
+
+
 @query(
     "source_relevance",
-    f"""SELECT source_id, round(len(list_intersect(tokens, ['samsung', 'fernseher', 'oled', 'kx101b'])) / 4.0, 6)::DOUBLE AS overlap FROM ({_signals_sql(SQL_SOURCES)}) WHERE len(list_intersect(tokens, ['samsung', 'fernseher', 'oled', 'kx101b'])) > 0""",
+    f"""WITH RECURSIVE s AS (SELECT *, {_NORM.format("category")} AS cat FROM ({_signals_sql(SQL_SOURCES)})),
+  n AS (SELECT DISTINCT {_NORM.format(f"'{_ASKED}'")} AS a, name_norm AS b FROM s),
+  seq AS (SELECT a, b, a AS x, b AS y, {_best_sql("a", "b")} AS m FROM n
+    UNION ALL SELECT a, b, p.x, p.y, {_best_sql("p.x", "p.y")} FROM (SELECT a, b, unnest([{{'x': substr(x, 1, m.i - 1), 'y': substr(y, 1, strpos(y, substr(x, m.i, m.k)) - 1)}},
+      {{'x': substr(x, m.i + m.k), 'y': substr(y, strpos(y, substr(x, m.i, m.k)) + m.k)}}]) AS p FROM seq WHERE m.k > 0) WHERE p.x <> '' AND p.y <> ''),
+  r AS (SELECT a, b, 2e0 * sum(m.k) / (length(a) + length(b)) AS ratio FROM seq GROUP BY a, b),
+  w AS (SELECT *, list_distinct(list_filter(string_split(lower(reference) || ' ' || name_norm || ' ' || cat, ' '), lambda t: t <> '' AND NOT list_contains({_quoted(V.QUERY_STOPWORDS)}, t))) AS own FROM s),
+  asked AS (SELECT list_sort(list_distinct(list_filter(string_split({_NORM.format(f"'{_ASKED}'")}, ' '), lambda t: length(t) > 1 AND NOT list_contains({_quoted(V.QUERY_STOPWORDS)}, t)))) AS q)
+  SELECT source_id, round(62e-2 * len(list_intersect(own, q)) / len(q) + 38e-2 * ratio + CASE WHEN contains(a, lower(reference)) THEN 8e-1 ELSE 0e0 END, 6) AS relevance FROM w JOIN r ON r.b = name_norm CROSS JOIN asked""",
 )
 def source_relevance(spark, sf):
-    asked = spark.createDataFrame([("Samsung OLED Fernseher KX101B",)], "q string").select(Q.query_tokens(T.normalize(F.col("q"))).alias("asked"))
-    df = with_signals(sources(spark, sf)).crossJoin(F.broadcast(asked))
-    part = F.size(F.array_intersect("tokens", "asked")) / F.size("asked")
-    return df.where(part > 0).select("source_id", F.round(part, 6).alias("overlap"))
+    """Every source's relevance to a question: words in common, likeness of names, a reference that is named."""
+    from skuweave.plans.engine import Question, relevance, understand
+
+    signals = understand(spark, Question(_ASKED))
+    df = with_signals(sources(spark, sf).withColumn("brand", F.lit(None).cast("string")))
+    return df.select("source_id", F.round(relevance(signals), 6).alias("relevance"))
+
+
+@query(
+    "payload_filter",
+    f"""SELECT listing_id FROM ({_signals_sql(SQL_LISTINGS)}) WHERE category = 'TV & Audio' AND kind = 'tv' AND (price_eur IS NULL OR price_eur BETWEEN 900 AND 1050) AND (contains(name, ' 55 Zoll') OR (spec_size IS NULL AND NOT contains(name, ' 55 Zoll')))""",
+)
+def payload_filter(spark, sf):
+    df = E.enrich(with_signals(listings(spark, sf)))
+    return R.payload_filter(df, category="TV & Audio", product_type="tv", price=(900, 1050), size=(50, 60), size_unit="Zoll").select("listing_id")
 
 
 @query("stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
