@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from skuweave.functions.text import bind
+
 THRESHOLD = 0.80
 
 
@@ -63,31 +65,58 @@ def flags(pairs: DataFrame) -> DataFrame:
     )
 
 
-def scores(flagged: DataFrame, ratio: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """flagged with score (4 places), matched (by the score before rounding), method and reasons."""
-    df = flagged.withColumn("ratio", ratio)
-    c = F.col
+#: What a pair's score is made of, beside the name ratio.
+INPUTS = ["veto", "same_brand", "same_kind", "same_size", "jac", "ean_hit", "asin_hit", "strong_hit", "family_hit"]
+
+
+def _evidence(x: Column) -> Column:
+    """x with the scores of identifiers and models.
+
+    Evidence is compared before its cap: a strong model beside a barcode can lower the score to the cap.
+    """
+    add = lambda test, w: F.when(test, F.lit(w)).otherwise(0.0)
+    ident = F.when(x["ean_hit"], 0.99).when(x["asin_hit"], 0.985).otherwise(0.0)
+    strong = 0.92 + add(x["same_brand"], 0.03) + add(x["same_size"], 0.03) + add((x["ratio"] >= 0.70) | (x["jac"] >= 0.45), 0.02)
+    family = 0.38 + add(x["same_brand"], 0.12) + add(x["same_kind"], 0.16) + add(x["same_size"], 0.16) + add(x["jac"] >= 0.45, 0.12) + add(x["ratio"] >= 0.72, 0.12)
+    model = F.when(x["strong_hit"], strong).when(x["family_hit"], family).otherwise(0.0)
+    return F.struct(x.alias("x"), ident.alias("ident"), model.alias("model"))
+
+
+def _compared(y: Column) -> Column:
+    """y with the best of identifiers and models, capped, and the text score."""
+    x = y["x"]
     add = lambda test, w: F.when(test, F.lit(w)).otherwise(0.0)
-    close = (c("ratio") >= 0.70) | (c("jac") >= 0.45)
-    ident = F.when(c("ean_hit"), 0.99).when(c("asin_hit"), 0.985).otherwise(0.0)
-    # Evidence is compared before its cap: a strong model beside a barcode can lower the score to the cap.
-    strong = 0.92 + add(c("same_brand"), 0.03) + add(c("same_size"), 0.03) + add(close, 0.02)
-    family = 0.38 + add(c("same_brand"), 0.12) + add(c("same_kind"), 0.16) + add(c("same_size"), 0.16) + add(c("jac") >= 0.45, 0.12) + add(c("ratio") >= 0.72, 0.12)
-    df = df.withColumn("__ident", ident).withColumn("__model", F.when(c("strong_hit"), strong).when(c("family_hit"), family).otherwise(0.0))
-    cap = F.when(c("strong_hit"), 0.98).otherwise(0.86)
-    df = df.withColumn("__best", F.when(c("__model") > c("__ident"), F.least("__model", cap)).otherwise(c("__ident")))
-    df = df.withColumn("__text", add(c("same_brand"), 0.22) + add(c("same_kind"), 0.18) + add(c("same_size"), 0.18) + 0.28 * c("jac") + 0.24 * c("ratio"))
-    by_text = c("__text") > c("__best")
-    score = F.when(c("veto").isNotNull(), 0.0).when(by_text, F.least("__text", F.lit(0.89))).otherwise(c("__best"))
+    cap = F.when(x["strong_hit"], 0.98).otherwise(0.86)
+    best = F.when(y["model"] > y["ident"], F.least(y["model"], cap)).otherwise(y["ident"])
+    text = add(x["same_brand"], 0.22) + add(x["same_kind"], 0.18) + add(x["same_size"], 0.18) + 0.28 * x["jac"] + 0.24 * x["ratio"]
+    return F.struct(x.alias("x"), (y["model"] > y["ident"]).alias("by_model"), best.alias("best"), text.alias("text"))
+
+
+def _verdict(z: Column) -> Column:
+    x = z["x"]
+    by_text = z["text"] > z["best"]
+    score = F.when(x["veto"].isNotNull(), 0.0).when(by_text, F.least(z["text"], F.lit(0.89))).otherwise(z["best"])
     method = (
-        F.when(c("veto").isNotNull(), c("veto"))
+        F.when(x["veto"].isNotNull(), x["veto"])
         .when(by_text, "name_sim")
-        .when((c("__model") > c("__ident")) & c("strong_hit"), "model")
-        .when(c("__model") > c("__ident"), "family_model")
-        .when(c("ean_hit"), "gtin")
-        .when(c("asin_hit"), "asin")
+        .when(z["by_model"] & x["strong_hit"], "model")
+        .when(z["by_model"], "family_model")
+        .when(x["ean_hit"], "gtin")
+        .when(x["asin_hit"], "asin")
         .otherwise("none")
     )
+    return F.struct(x["ratio"].alias("ratio"), score.alias("score"), method.alias("method"))
+
+
+def scores(flagged: DataFrame, ratio: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """flagged with ratio, score (4 places), matched (by the score before rounding), method and reasons.
+
+    Each step is bound to the one before it, so that a filter on the outcome, which Catalyst moves down to where the
+    inputs are, computes these once and not for every place that names them.
+    """
+    c = F.col
+    result = bind(bind(bind(F.struct(*INPUTS, ratio.alias("ratio")), _evidence), _compared), _verdict)
+    df = flagged.withColumn("__r", result)
     reason = lambda test, text: F.when(test, F.lit(text))
     reasons = F.array_compact(
         F.array(
@@ -99,14 +128,15 @@ def scores(flagged: DataFrame, ratio: Column, threshold: float = THRESHOLD) -> D
             reason(c("same_kind"), "kind_match"),
             reason(c("same_size"), "size_match"),
             reason(c("jac") >= 0.45, "token_overlap"),
-            reason(c("ratio") >= 0.72, "name_close"),
+            reason(c("__r.ratio") >= 0.72, "name_close"),
         )
     )
-    df = df.withColumns(
+    return df.withColumns(
         {
-            "__score": score,
-            "method": method,
+            "ratio": c("__r.ratio"),
+            "matched": c("__r.score") >= threshold,
+            "score": F.round("__r.score", 4),
+            "method": c("__r.method"),
             "reasons": F.when(c("veto").isNotNull(), F.array("veto")).otherwise(reasons),
         }
-    )
-    return df.withColumn("matched", c("__score") >= threshold).withColumn("score", F.round("__score", 4)).drop("__ident", "__model", "__best", "__text", "__score")
+    ).drop("__r")
