@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skuweave.llm.embedjoin import op9_embeddings
+from skuweave.llm.infill import OP13_SQL, op13_infill
 from skuweave.llm.langid import op2_language
 from skuweave.llm.lines import OP4_SQL, op4_lines
 from skuweave.llm.mixing import op1_mix
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
+    "op13_infill": op13_infill,
 }
 
-ORACLES = {"op4_lines": OP4_SQL, "op10_quality": OP10_SQL}
+ORACLES = {"op4_lines": OP4_SQL, "op10_quality": OP10_SQL, "op13_infill": OP13_SQL}
