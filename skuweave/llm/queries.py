@@ -9,6 +9,7 @@ from skuweave.llm.lines import OP4_SQL, op4_lines
 from skuweave.llm.mixing import op1_mix
 from skuweave.llm.nearjoin import op8_jaccard
 from skuweave.llm.packing import op5_pack
+from skuweave.llm.phrases import OP12_SQL, op12_phrases
 from skuweave.llm.quality import OP10_SQL, op10_quality
 from skuweave.llm.sharding import op3_shards
 from skuweave.llm.tokens import op7_tokens
@@ -25,7 +26,8 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
+    "op12_phrases": op12_phrases,
     "op13_infill": op13_infill,
 }
 
-ORACLES = {"op4_lines": OP4_SQL, "op10_quality": OP10_SQL, "op13_infill": OP13_SQL}
+ORACLES = {"op4_lines": OP4_SQL, "op10_quality": OP10_SQL, "op12_phrases": OP12_SQL, "op13_infill": OP13_SQL}
