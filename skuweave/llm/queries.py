@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skuweave.llm.ann import op11_nearest
 from skuweave.llm.embedjoin import op9_embeddings
 from skuweave.llm.infill import OP13_SQL, op13_infill
 from skuweave.llm.langid import op2_language
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_embeddings": op9_embeddings,
     "op10_quality": op10_quality,
+    "op11_nearest": op11_nearest,
     "op12_phrases": op12_phrases,
     "op13_infill": op13_infill,
 }
