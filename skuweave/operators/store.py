@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
-import re
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,16 +43,29 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Steps of a plan that yield the same rows in the same places whenever they run.
-_STEADY = ("Project", "Filter", "Relation", "LogicalRDD", "LocalRelation", "SubqueryAlias", "Range", "View", "Union", "Generate")
+#: Steps that leave each row what it is in its file.
+_IN_PLACE = ("Project", "Filter", "SubqueryAlias", "View", "LogicalRelation")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df if its rows come in the same places on every run, else a stored copy.
+def _read_in_place(df: DataFrame) -> bool:
+    """Whether df's rows are rows of files, one each, at most with other columns or fewer of them."""
+    plan = df._jdf.queryExecution().analyzed()
+    steps, ok = [plan], plan.deterministic()
+    while ok and steps:
+        step = steps.pop()
+        ok = step.nodeName() in _IN_PLACE
+        steps += [step.children().apply(i) for i in range(step.children().size())]
+    return ok
 
-    Row numbers by place are the same in two runs over a plain scan; after a shuffle they needn't be.
+
+def identified(df: DataFrame, name: str) -> DataFrame:
+    """df with ``name``, a struct (file, at) of longs that tells rows apart and is the same whenever df is read.
+
+    Rows of files go by a hash of the file's path and their place in the file, whatever executors there are and however
+    files are split; other rows are stored first, each with a number.  Rows of a file keep their order.
     """
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    steps = [line.lstrip(" +-:").split(" ", 1)[0].split("(", 1)[0] for line in plan.splitlines()]
-    steady = all(not s or s.startswith(_STEADY) for s in steps) and not re.search(r"\b(rand|randn|uuid|shuffle)\(", plan)
-    return df if steady else stored(df)
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    if _read_in_place(df):
+        with contextlib.suppress(AnalysisException):  # a format whose rows have no index
+            return df.withColumn(name, place)
+    return stored(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))))
