@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skuweave.llm.common import SPACE_BYTES, cut, documents, give_back
-from skuweave.operators.store import settled
+from skuweave.operators.store import identified
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -24,18 +24,18 @@ def line_key(line: bytes, min_chars: int = MIN_CHARS) -> bytes | None:
 
 
 def line_keys(min_chars: int):
-    """Arrow batches (id, row, text) to a row (id, row, h1, h2) for each document and each of its distinct keys."""
+    """Arrow batches (id, file, at, text) to a row (id, file, at, h1, h2) for each document and each of its distinct keys."""
 
     def run(batches):
         for b in batches:
             at, keys = [], []
-            for k, text in enumerate(b.column(2).cast(pa.binary()).to_pylist()):
+            for k, text in enumerate(b.column(3).cast(pa.binary()).to_pylist()):
                 own = {line_key(x, min_chars) for x in (text or b"").split(b"\n")} - {None}
                 at += [k] * len(own)
                 keys += own
             both = np.frombuffer(b"".join(keys), dtype=">i8").reshape(-1, 2)
             at = pa.array(at, pa.int64())
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(both[:, 0].astype(np.int64)), pa.array(both[:, 1].astype(np.int64))], names=["id", "row", "h1", "h2"])
+            yield pa.record_batch([*(b.column(k).take(at) for k in range(3)), *(pa.array(both[:, k].astype(np.int64)) for k in range(2))], names=["id", "file", "at", "h1", "h2"])
         give_back()
 
     return run
@@ -67,30 +67,36 @@ def line_filter(min_chars: int, names: tuple):
     return run
 
 
+#: The column that tells rows apart, which tables aren't expected to have.
+ROW = "__sw_line_row"
+
+
 def _named(ident: str) -> list:
-    """A document's name as two columns: its id, or, where that is null, its row number (else null)."""
+    """A document's name: its id, or, where that is null, its row (else null), as (file, at)."""
     ident = F.col(ident).cast("long")
-    return [ident.alias("id"), F.when(ident.isNull(), F.monotonically_increasing_id()).alias("row")]
+    return [ident.alias("id"), *[F.when(ident.isNull(), F.col(ROW)[c]).alias(c) for c in ("file", "at")]]
 
 
 def repeated_lines(docs: DataFrame, ident: str, text: str, min_chars: int, min_docs: int) -> DataFrame:
-    """(id, row, drop): per document the keys (16 bytes each) whose lines it loses; row is null but where id is.
+    """(id, file, at, drop): per document the keys (16 bytes each) whose lines it loses; docs has ROW, which names rows without an id.
 
     A key's count of documents and its first one come from a pre-aggregated group-by; only keys over the threshold meet
     the (document, key) rows again, in a sort-merge join whose large keys Spark splits.
     """
     slim = docs.select(*_named(ident), F.col(text).alias("text"))
-    pairs = cut(slim.mapInArrow(line_keys(min_chars), "id long, row long, h1 long, h2 long"))
-    least = [F.min("id").alias("first_id"), F.min("row").alias("first_row")]
+    pairs = cut(slim.mapInArrow(line_keys(min_chars), "id long, file long, at long, h1 long, h2 long"))
+    row = F.when(F.col("id").isNull(), F.struct("file", "at"))
+    least = [F.min("id").alias("first_id"), F.min(row).alias("first_row")]
     if min_docs == 2:
         # Two documents or more: two ids, two rows without an id, or one of each.
         many = "last_id > first_id or last_row > first_row or (first_id is not null and first_row is not null)"
-        counts = pairs.groupBy("h1", "h2").agg(*least, F.max("id").alias("last_id"), F.max("row").alias("last_row")).where(many).drop("last_id", "last_row")
+        counts = pairs.groupBy("h1", "h2").agg(*least, F.max("id").alias("last_id"), F.max(row).alias("last_row")).where(many).drop("last_id", "last_row")
     else:
         counts = pairs.distinct().groupBy("h1", "h2").agg(*least, F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
     counts = cut(counts)
-    lost = pairs.join(counts, ["h1", "h2"]).where("id != first_id or (id is null and (first_id is not null or row != first_row))")
-    return lost.groupBy("id", "row").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+    other = "id != first_id or (id is null and (first_id is not null or file != first_row.file or at != first_row.at))"
+    lost = pairs.join(counts, ["h1", "h2"]).where(other)
+    return lost.groupBy("id", "file", "at").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -99,7 +105,7 @@ def dedup_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", m
     A line's key is the line stripped of ASCII white space, A-Z lower-cased.  Keys of at least ``min_chars`` code points
     in at least ``min_docs`` documents lose all their lines except in the smallest id that holds them.  Null or empty
     text: one empty line.  Each row with a null id is a document of its own, above all ids and in the order of its place
-    in the input; rows that share an id are one document and are each returned.  An empty table gives no rows; other
+    in its file (of several files, in a fixed order); rows that share an id are one document and are each returned.  An empty table gives no rows; other
     columns are ignored, whatever their names.
     """
     slim = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text"))
@@ -109,18 +115,16 @@ def dedup_lines(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", m
 def dedup_lines_in(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, names: tuple = ("kept", "n_lines", "n_dropped")) -> DataFrame:
     """docs, all its columns but the text as they are, with dedup_lines()'s results under ``names``.
 
-    A column of docs that has one of these names is replaced.  docs that may come in another order when read again are
-    stored first, since rows without an id go by their place.
+    A column of docs that has one of these names is replaced.
     """
-    docs = settled(docs)
-    drops = repeated_lines(docs, ident, text, min_chars, min_docs)
-    name = lambda i, r: [F.coalesce(i, F.lit(0)).alias("__sw_id"), F.coalesce(r, F.lit(-1)).alias("__sw_row")]
+    drops = repeated_lines(docs := identified(docs, ROW), ident, text, min_chars, min_docs)
+    name = lambda i, f, a: [F.coalesce(i, F.lit(0)).alias("__sw_id"), F.coalesce(f, F.lit(0)).alias("__sw_file"), F.coalesce(a, F.lit(-1)).alias("__sw_at")]
     drops = drops.select(
-        *name(F.col("id"), F.col("row")), F.transform("drop", lambda d: F.concat(F.unhex(F.lpad(F.hex(d.h1), 16, "0")), F.unhex(F.lpad(F.hex(d.h2), 16, "0")))).alias("__sw_drop")
+        *name(*map(F.col, ("id", "file", "at"))), F.transform("drop", lambda d: F.concat(F.unhex(F.lpad(F.hex(d.h1), 16, "0")), F.unhex(F.lpad(F.hex(d.h2), 16, "0")))).alias("__sw_drop")
     )
-    rest = [c for c in docs.columns if c not in (text, *names)]
+    rest = [c for c in docs.columns if c not in (text, ROW, *names)]
     # Null ids have a name of their own each, so they don't meet under one join key.
-    slim = docs.select(*rest, F.col(text).alias("__sw_text"), *name(*_named(ident))).join(drops, ["__sw_id", "__sw_row"], "left")
+    slim = docs.select(*rest, F.col(text).alias("__sw_text"), *name(*_named(ident))).join(drops, ["__sw_id", "__sw_file", "__sw_at"], "left")
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), f"`{names[0]}` string, `{names[1]}` long, `{names[2]}` long"])
     return slim.select(*rest, "__sw_text", "__sw_drop").mapInArrow(line_filter(min_chars, names), schema)
