@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skuweave.llm.common import NO_ID, bounded, components, cut, documents, give_back, local_forest, numbered, parts
-from skuweave.operators.store import settled
+from skuweave.operators.store import identified
 
 WORDS = 5
 #: Similarity at least NUM / DEN.
@@ -40,6 +40,8 @@ BLOCK, LEAF, FAN, WIDE = 128, 8, 4, 16
 BITMAP, TOGETHER, COPIES = 64, 512, 4_000_000
 #: From so many texts of a part on, a hash goes on as one row with its count.
 HOT = 16
+#: The column that tells rows apart, which tables aren't expected to have.
+ROW = "__sw_text_row"
 
 
 class _Hashes(dict):
@@ -431,19 +433,19 @@ def class_links(texts: DataFrame) -> DataFrame:
     return small if largest <= BLOCK else small.unionByName(large_links(sized.where(F.col("size") > BLOCK).drop("size")))
 
 
-def near_duplicates(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", size: int = WORDS) -> DataFrame:
-    """Per row of docs: id, row (its number in the input, as monotonically_increasing_id()), n_shingles, component, first.
+def near_duplicates(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", size: int = WORDS, row: str | None = None) -> DataFrame:
+    """Per row of docs: id, row, n_shingles, component, first.
+
+    row: what identified() gives, or the column of docs that the parameter names and that tells its rows apart in the same way.
 
     component: the smallest id reachable by links (similarity at least NUM / DEN).  Null, empty and blank texts have no
     shingles and link with nothing, copies included: their component is their own id.  A null id counts as the largest;
-    its component is null if no other id is in reach.  Repeated rows are copies of each other.  first: the row number of
+    its component is null if no other id is in reach.  Repeated rows are copies of each other.  first: the row of
     the component's representative, the row with the smallest id and of those the first; it tells null-id components apart.
-    An empty table gives no rows; other columns are ignored, whatever their names.  docs that may come in another order
-    when read again are stored first.
+    An empty table gives no rows; other columns are ignored, whatever their names.
     """
-    docs = settled(docs)
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(ident).cast("long").alias("id"), body.alias("text")).withColumn("row", F.monotonically_increasing_id())
+    docs, row = (docs, row) if row else (identified(docs, ROW), ROW)
+    rows = docs.select(F.col(ident).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(row).alias("row"))
     keyed = rows.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "row", "text", F.xxhash64("text").alias("node"), F.xxhash64(F.lit(1), "text").alias("check"))
     slim = cut(keyed.drop("text"))
     # One row of each class goes on: the least by (id, row).  The other rows, if few, are broadcast to drop them.
