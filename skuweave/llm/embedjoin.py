@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skuweave.llm.common import NO_ID, components, cut, documents, local_forest, numbered
-from skuweave.operators.store import settled
+from skuweave.operators.store import identified
 
 MIN_COSINE = 0.9
 #: Vectors that the principal axes are fitted on, about; the axes steer the order only, never the result.
@@ -29,6 +29,8 @@ GRID, BOX, FIRST = 8, 16, 32
 BLOCK, BLOCK_BYTES, LEAF = 2048, 4 << 20, 256
 #: Parts of an interval; blocks on each side of a tile.
 FAN, TILE = 16, 4
+#: The column that tells rows apart, which tables aren't expected to have.
+ROW = "__sw_vector_row"
 
 
 def _by_length(lists: pa.ListArray):
@@ -204,9 +206,8 @@ def near_vectors(df: DataFrame, *, ident: str = "vec_id", vector: str = "embeddi
     counts as the largest; its component is null if no other id is in reach.  Repeated rows are linked copies.  An empty
     table gives no rows; other columns are ignored, whatever their names.
     """
-    df = settled(df)
     kind = "<f4" if "float" in dict(df.dtypes)[vector] else "<f8"
-    rows = df.select(F.coalesce(F.col(ident).cast("long"), F.lit(NO_ID)).alias("id"), F.col(vector).alias("vec")).withColumn("row", F.monotonically_increasing_id())
+    rows = identified(df, ROW).select(F.coalesce(F.col(ident).cast("long"), F.lit(NO_ID)).alias("id"), F.col(vector).alias("vec"), F.col(ROW).alias("row"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     ok = F.coalesce(F.when(F.size("vec") > 0, finite), F.lit(False))
     # -0.0 and 0.0 are one: adding 0.0 makes them equal bits.
