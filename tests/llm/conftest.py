@@ -1,6 +1,11 @@
+import itertools
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skuweave.llm import common
+
 SF = "/root/testdata/sf0.001"
 
 #: Rows beside the prose: nulls, empty and blank texts, ties, repeated rows, short and long texts, near copies.
@@ -52,3 +57,38 @@ def empty_dir(spark, edge_dir, tmp_path_factory):
 @pytest.fixture(scope="session")
 def rows(spark, edge_dir):
     return spark.read.parquet(f"{edge_dir}/documents.parquet").collect()
+
+
+@pytest.fixture
+def restless(spark, monkeypatch):
+    """From one stored step to the next, scans of many files are split for another number of cores."""
+    cores = itertools.cycle([3, 29, 1, 11, 40])
+    kept, key = common.stored, "spark.sql.leafNodeDefaultParallelism"
+
+    def stored(df):
+        spark.conf.set(key, str(next(cores)))
+        return kept(df)
+
+    monkeypatch.setattr(common, "stored", stored)
+    yield stored
+    spark.conf.unset(key)
+
+
+@pytest.fixture(scope="session")
+def many_files(spark, tmp_path_factory):
+    """Texts of three kinds in 50 files: rows with and without ids, near copies, shared lines; and vectors."""
+    at, rng = str(tmp_path_factory.mktemp("many")), np.random.default_rng(8)
+    data = []
+    for i in range(1500):
+        words = [f"w{rng.integers(4000)}" for _ in range(40)]
+        if i % 5 == 0 and data:
+            words = [*data[-1][1].split()[:-1], "other"]
+        line = f"a line that {i % 40} documents share, of some length"
+        data.append((None if i % 4 == 0 else i, " ".join(words) + (f"\n{line}" if i % 3 == 0 else "") + ("\n" + "# % & " * 30 if i % 7 == 0 else "")))
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 9}", len(t)) for k, (i, t) in enumerate(data)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(50).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, i % 7 != 0) for i in range(1500)], "doc_id long, q boolean").select("doc_id", F.col("q").cast("int").alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{at}/labels.parquet")
+    x = rng.normal(size=(400, 16))
+    x = np.concatenate([x, x[:200] + rng.normal(size=(200, 16)) * 0.05, x[:50]])
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(40).write.parquet(f"{at}/embeddings.parquet")
+    return at

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from skuweave.llm import common, embedjoin, langid, lines, mixing, nearjoin, packing, quality, queries, sharding, tokens, toxicity
+from skuweave.operators import store
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 NO_ID = 2**63 - 1
@@ -756,3 +757,43 @@ def test_kept_by_certified_cutoffs(spark, tmp_path):
     assert key(got) == key(want)
     certified = got[~got.base_failed & ~got.kept]
     assert len(certified) > 100 and set(certified.doc_id % 3) <= {1, 2}
+
+
+# Row identity: executors that come and go change how a scan is split, and so which rows come where.
+
+
+@pytest.mark.parametrize("name", ["op1_mix", "op4_lines", "op8_jaccard", "op9_embeddings", "op10_quality"])
+def test_results_do_not_depend_on_how_scans_are_split(spark, many_files, restless, name):
+    got = Counter(map(tuple, queries.QUERIES[name](spark, many_files).collect()))
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    docs = spark.read.parquet(f"{many_files}/documents.parquet").collect()
+    if name == "op4_lines":
+        # Which of the rows without an id comes first is fixed by their files, so for those the number of lost lines is compared.
+        want = digest(brute_lines(docs))
+        own = lambda rows: {r: n for r, n in rows.items() if r[0] is not None}
+        lost = lambda rows: sum(r[2] * n for r, n in rows.items())
+        assert own(got) == own(want) and lost(got) == lost(want) and sum(got.values()) == len(docs)
+    elif name == "op8_jaccard":
+        assert got == Counter(brute_near(docs))
+    elif name == "op9_embeddings":
+        rows = spark.read.parquet(f"{many_files}/embeddings.parquet").collect()
+        u = np.array([np.array(r.embedding) / np.linalg.norm(r.embedding) for r in sorted(rows, key=lambda r: r.vec_id)])
+        near = u @ u.T >= 0.9
+        comp = components(len(u), [(int(a), int(b)) for a, b in np.argwhere(np.triu(near, 1))])
+        assert {(r[0], r[1], r[2]) for r in got} == {(i, int(near[i].sum()) - 1, comp[i]) for i in range(len(u))}
+    else:
+        assert sum(got.values()) == len(docs) and got == Counter(map(tuple, queries.QUERIES[name](spark, many_files).collect()))
+
+
+def test_rows_are_told_apart_wherever_they_come_from(spark, many_files):
+    docs = spark.read.parquet(f"{many_files}/documents.parquet")
+    scans = [docs, docs.where("doc_id > 9").select("doc_id", "text"), docs.selectExpr("doc_id as a")]
+    others = [docs.limit(700), docs.unionByName(docs), docs.sample(0.5, seed=1), docs.repartition(3), docs.select("doc_id", F.explode(F.split("text", " "))), docs.groupBy("lang").count(), docs.where(F.rand(3) < 0.5)]
+    for df in scans + others:
+        rows = store.identified(df, "row")
+        assert rows.columns == [*df.columns, "row"]
+        first = rows.select("row", F.xxhash64(*df.columns).alias("h")).collect()
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "37")
+        second = rows.select("row", F.xxhash64(*df.columns).alias("h")).collect()
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        assert len(set(first)) == len(first) == len({r.row for r in first}) and set(first) == set(second)

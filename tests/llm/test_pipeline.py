@@ -75,3 +75,22 @@ def test_all_is_packed(steps):
 
 def test_run_and_empty(spark, empty_dir):
     assert P.run(spark, empty_dir).count() == 0
+
+
+def test_stages_do_not_depend_on_how_scans_are_split(spark, many_files, restless):
+    """Each stage decides on the rows that it judged, though files are split differently from one step to the next."""
+    docs = spark.read.parquet(f"{many_files}/documents.parquet")
+    judged = queries.QUERIES["op10_quality"](spark, many_files).collect()
+    kept = P.quality_rules(spark, docs, many_files).collect()
+    assert Counter(r.doc_id for r in kept) == Counter(r.doc_id for r in judged if r.kept) and len(kept) < len(judged)
+    rows, left = docs.collect(), P.near_dedup(spark, docs, many_files).collect()
+    found = brute_near(rows)
+    want = Counter({c: 1 for i, n, c in found if n and c is not None})
+    assert Counter(r.doc_id for r in left if r.doc_id is not None) == want
+    assert not Counter((r.doc_id, r.text) for r in left) - Counter((r.doc_id, r.text) for r in rows)
+    # What is left links with nothing.
+    assert all(i == c for i, _, c in brute_near(left) if c is not None)
+    mixed = Counter((r.doc_id, r.text) for r in P.mix_sources(spark, docs, many_files).collect())
+    assert all(n <= 2 * m for k, m in Counter((r.doc_id, r.text) for r in rows).items() if (n := mixed[k]))
+    size = lambda c: sum(n * len(WORDS.findall(t)) for (_, t), n in c.items())
+    assert size(mixed) == pytest.approx(1.5 * size(Counter((r.doc_id, r.text) for r in rows)), rel=0.05)
