@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; run() applies them to documents.
 All stages but the last return the columns of documents.  A null id is a document of its own kind, above all others, and
-repeated rows are copies; see the operators for nulls, empty texts and ties.  Rows go by their number; docs that may come
-in another order when read again are stored first.
+repeated rows are copies; see the operators for nulls, empty texts and ties.  Rows go by file and place in the file, so that
+no decision depends on which executors there are; docs that aren't rows of files are stored first.
 """
 
 from __future__ import annotations
@@ -17,29 +17,35 @@ from skuweave.llm.mixing import mix_copies, words
 from skuweave.llm.nearjoin import COPIES, near_duplicates
 from skuweave.llm.packing import pack_documents
 from skuweave.llm.quality import quality
-from skuweave.operators.store import remove, settled
+from skuweave.operators.store import identified, remove
 
 #: The stages' own column names, which tables aren't expected to have.
 ROW, TIMES, COPY = "__sw_row", "__sw_times", "__sw_copy"
 LINES = ("__sw_kept", "__sw_lines", "__sw_dropped")
 
 
-def _keep(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows named by ROW in gone: a broadcast if they are few, else a shuffle of both."""
+def _keep(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows without those that gone names by ROW: a broadcast if they are few, else a shuffle of both."""
     gone = cut(gone.select(ROW))
-    return docs.withColumn(ROW, F.monotonically_increasing_id()).join(bounded(gone, gone.count(), COPIES), ROW, "left_anti").select(docs.columns)
+    return rows.join(bounded(gone, gone.count(), COPIES), ROW, "left_anti").drop(ROW)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents by the base rules and the certified cutoffs; the texts of the others are left as they are."""
-    docs = settled(docs)
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    """Rejects documents by the base rules and the certified cutoffs; the texts of the others are left as they are.
+
+    A null or empty text has under 10 words and goes; repeated rows are judged each by itself; an empty table stays one.
+    """
+    rows = identified(docs, ROW)
     judged = quality(rows, documents(spark, sf_dir, "labels"), carry=[ROW])
-    return _keep(docs, judged.where("not kept"))
+    return _keep(rows, judged.where("not kept")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines; every document stays, if need be with an empty text.  n_chars is counted again."""
+    """Drops repeated lines; every document stays, if need be with an empty text.  n_chars is counted again.
+
+    A null text becomes an empty one; of documents that share a line the smallest id keeps it, of rows without an id the
+    first in its file; rows with the same id are one document; an empty table stays one.
+    """
     small_batches(spark)
     out = dedup_lines_in(docs, names=LINES).withColumn("text", F.col(LINES[0]))
     if "n_chars" in docs.columns:
@@ -48,15 +54,23 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the row with the smallest id, of those the first."""
-    docs = settled(docs)
-    found = near_duplicates(docs)
-    return _keep(docs, found.where("row != first").select(F.col("row").alias(ROW)))
+    """One document of each component stays: the row with the smallest id, of those the first.
+
+    Texts without words (null ones too) link with nothing and stay; rows without an id are above all ids; repeated rows
+    are copies; an empty table stays one.
+    """
+    rows = identified(docs, ROW)
+    found = near_duplicates(rows, row=ROW)
+    return _keep(rows, found.where("row != first").select(F.col("row").alias(ROW))).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice; documents without words aren't taken."""
-    rows = settled(docs).withColumn(ROW, F.monotonically_increasing_id())
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Documents without words (null texts too) aren't taken; a null source is a source; repeated rows are copies; an empty
+    table stays one.
+    """
+    rows = identified(docs, ROW)
     mixed = mix_copies(rows, ident=ROW, size=words(F.col("text")), source=F.col("source"), text=F.col("text"))
     taken = mixed.where("taken > 0").select(F.col("id").alias(ROW), F.col("times").alias(TIMES))
     again = rows.join(taken, ROW)
@@ -64,7 +78,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece with its place in a training sequence."""
+    """A row per piece with its place in a training sequence.
+
+    A null or empty text is the end id alone; repeated rows are packed each by itself, a null id stays null; pieces of
+    equal length go by id, piece and checksum; an empty table gives no rows.
+    """
     import public_tokenizers as P
 
     return pack_documents(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
