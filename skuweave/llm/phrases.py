@@ -22,9 +22,8 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from skuweave.llm.common import cut, documents, give_back, new_path, parts
+from skuweave.llm.common import cut, documents, give_back, new_path, numbered, parts
 from skuweave.operators.store import remove
 
 #: Words of a phrase at most, its least count, per cent of a phrase's count from which a longer one stands for it, rows per stratum.
@@ -348,8 +347,10 @@ def collocations(
     cuts = F.zip_with("firsts", "lasts", lambda f, s: F.struct(score(F.col("n"), f, s).alias("score"), f.alias("l"), s.alias("r")))
     worst = F.array_min(F.transform(cuts, lambda c, k: F.struct(c.score.alias("score"), (k + 1).alias("first_words"), c.l.alias("l"), c.r.alias("r"))))
     scored = every.select("stratum", F.array_join("words", " ").alias("phrase"), F.col("n").alias("a"), worst.alias("cut")).select("stratum", "phrase", "a", "cut.*")
-    best = Window.partitionBy("stratum").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= top)
+    # One range sort of all strata: no stratum gathers in one task.
+    placed = cut(numbered(scored, [F.col("stratum"), F.desc("score"), F.desc("a"), F.col("phrase")], "place"))
+    starts = placed.groupBy("stratum").agg(F.min("place").alias("start"))
+    ranked = placed.join(starts, "stratum").withColumn("rank", F.col("place") - F.col("start") + 1).where(F.col("rank") <= top)
     out = ranked.join(totals, "stratum").select("stratum", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score", F.col("first_words").cast("int").alias("first_words"))
     out = cut(out)  # at most ``top`` rows of each stratum
     remove(spark, folder)
