@@ -23,7 +23,7 @@ from skuweave.operators import submission as B
 from skuweave.operators.store import stored
 from skuweave.plans import questions as Q
 from skuweave.sources import ingest as I
-from skuweave.sources.pages import deep_get, page_counts, parse_pages
+from skuweave.sources.pages import deep_collect, deep_get, page_counts, parse_pages
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -143,42 +143,64 @@ def canonical_url(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.canonical_url(u).alias("canonical"), T.url_host(u).alias("host"), T.make_ref(u).alias("ref"), T.blank_to_null(T.url_category(u)).alias("category"))
 
 
-@query("page_titles", r"SELECT page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '') AS title, len(regexp_extract_all(html, '(?i)<a\s[^>]*href='))::BIGINT AS links FROM pages")
+# Titles as they come, with a shop's name behind them, with dashes around, or of a page that blocks readers.
+_TITLE_END = "CASE page_id % 7 WHEN 0 THEN ' | Cyberport Onlineshop' WHEN 1 THEN ' - E-Tec' WHEN 2 THEN ' -' WHEN 3 THEN ' | expert.at | TV' WHEN 4 THEN ' - Other shop' ELSE '' END"
+_TITLE = "CASE WHEN page_id % 11 = 5 THEN 'Just a moment... | Cyberport' WHEN page_id % 11 = 6 THEN ' Amazon - amazon.de ' ELSE own || {end} END"
+_RAW_TITLE = f"SELECT page_id, html, {_TITLE.format(end=_TITLE_END)} AS title FROM (SELECT page_id, html, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS own FROM pages)"
+
+
+@query(
+    "page_titles",
+    rf"""WITH t AS (SELECT page_id, html, trim(title, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS title FROM ({_RAW_TITLE})),
+  c AS (SELECT page_id, html, trim(regexp_replace(title, '\s*[|\-]\s*(electronic4you|mediamarkt|expert\.at|cyberport|e-tec|amazon).*$', '', 'i'), ' -|' || chr(9)) AS title FROM t)
+  SELECT page_id, CASE WHEN title <> '' AND NOT regexp_matches(title, 'access denied|attention required|forbidden|just a moment|cloudflare|captcha|verify', 'i') THEN title END AS title,
+    len(regexp_extract_all(html, '(?i)<a\s[^>]*href='))::BIGINT AS links FROM c""",
+)
 def page_titles(spark, sf):
     h = F.col("html")
-    return table(spark, sf, "pages").select("page_id", T.clean_title(T.html_title(h)).alias("title"), F.regexp_count(h, F.lit(r"(?i)<a\s[^>]*href=")).cast("long").alias("links"))
+    own = table(spark, sf, "pages").select("page_id", "html", F.regexp_extract(h, r"(?is)<title[^>]*>(.*?)</title>", 1).alias("own"))
+    told = own.select("page_id", F.concat(F.lit("<title>"), F.expr(_TITLE.format(end=_TITLE_END)), F.lit("</title>"), F.col("html")).alias("html"))
+    return told.select("page_id", T.clean_title(T.html_title(h)).alias("title"), F.regexp_count(h, F.lit(r"(?i)<a\s[^>]*href=")).cast("long").alias("links"))
 
 
-# Pages made of listings: a schema.org product with a breadcrumb, page data with a container of properties, a bare title, or
-# a failed page of which a search said something.
+# Pages made of listings, by number modulo 8: schema.org lists with a breadcrumb (0) or a graph (4), page data with listed (1) or
+# named (5) properties, bare titles (2, 6), and pages of which only the address and the source are known (3, which failed, and 7).
 _PAGE = [
     "listing_id AS page_id",
-    "CASE listing_id % 4 WHEN 3 THEN 'https://www.e-tec.at/details.php?artnr=' || CAST(listing_id AS STRING) ELSE 'https://www.shop.at/tv-audio/' || replace(lower(p_word), ' ', '-') || '~p' || CAST(listing_id AS STRING) || '.html' END AS url",
-    """CASE listing_id % 4 WHEN 0 THEN '<title>t</title><script type="application/ld+json">[[{"@type":"BreadcrumbList","itemListElement":[{"name":"Home"},{"item":{"name":"TV"}}]},{"@type":["Thing","Product"],"name":" ' || name || ' ","brand":{"name":"' || split_part(name, ' ', 1) || '"},"gtin13":"' || coalesce(ean, 'none') || '","offers":[{"price":null,"lowPrice":"1.299,00"}],"sku":' || CAST(listing_id AS STRING) || ',"material":{"name":"steel"},"url":"u","image":["https://i.at/' || CAST(listing_id AS STRING) || '.jpg"],"additionalProperty":[{"propertyID":"Watt","unitText":"W"},{"name":"Farbe","value":"rot"}]}]]</script>'
-  WHEN 1 THEN '<script id="__NEXT_DATA__" type="application/json">{"a":{"Title":"' || name || '","b":[{"Preis":"249,90"},{"specs":[{"label":"Breite","val":"60 cm"},{"key":"Tiefe","data":5}],"model":"M' || CAST(listing_id AS STRING) || '"}],"categoryPath":["x",{"title":"Kat"}]}}</script>'
-  WHEN 2 THEN '<html><title> ' || name || ' </title></html>' ELSE '<title>Just a moment</title>' END AS html""",
+    "CASE WHEN listing_id % 16 = 15 THEN 'https://www.e-tec.at' WHEN listing_id % 4 = 3 THEN 'https://www.e-tec.at/details.php?artnr=' || CAST(listing_id AS STRING) ELSE 'https://www.shop.at/tv-audio/' || replace(lower(p_word), ' ', '-') || '~p' || CAST(listing_id AS STRING) || '.html' END AS url",
+    """CASE listing_id % 8 WHEN 0 THEN '<title>t</title><script type="application/ld+json">[[{"@type":"BreadcrumbList","itemListElement":[{"name":"Home"},{"item":{"name":"TV"}}]},{"@type":["Thing","Product"],"name":" ' || name || ' ","brand":{"name":"' || split_part(name, ' ', 1) || '"},"gtin13":"' || coalesce(ean, 'none') || '","offers":[{"price":null,"lowPrice":"1.299,00"}],"sku":' || CAST(listing_id AS STRING) || ',"material":{"name":"steel"},"url":"u","image":["https://i.at/' || CAST(listing_id AS STRING) || '.jpg"],"additionalProperty":[{"propertyID":"Watt","unitText":"W"},{"name":"Farbe","value":"rot"},{"name":"Farbe","value":"blau"}]}]]</script>'
+  WHEN 4 THEN '<script type="application/ld+json">{"@context":"x","@graph":[{"@type":"WebPage","name":"w"},{"@type":"IndividualProduct","name":"' || name || '","brand":" B1 ","ean":"' || coalesce(ean, 'none') || '","category":["A","B"],"offers":{"highPrice":"49,90"},"image":{"contentUrl":"https://c.at/' || CAST(listing_id AS STRING) || '"},"description":"a description","color":{"name":"rot","code":1},"weight":2.5,"isNew":true,"size":["x"]}]}</script><script type="application/ld+json">{"@type":"BreadcrumbList","itemListElement":[{"name":"One"},{"name":"Two"}]}</script><script type="application/ld+json">{broken</script>'
+  WHEN 1 THEN '<script id="__NEXT_DATA__" type="application/json">{"a":{"Title":"' || name || '","b":[{"Preis":"249,90"},{"specs":[{"label":"Breite","val":"60 cm"},{"key":"Tiefe","data":5},{"attribute":"Leer","val":0}],"model":"M' || CAST(listing_id AS STRING) || '"}],"categoryPath":["x",{"title":"Kat"}]}}</script>'
+  WHEN 5 THEN '<script>window.__INITIAL_STATE__ = {"product":{"displayName":"' || name || '","currentPrice":99,"vendorName":{"name":"V"},"details":{"Breite":"70 cm","Tiefe":7,"sub":{"x":1}},"gtin":"' || coalesce(ean, 'none') || '","thumbnail":[{"src":"https://t.at/' || CAST(listing_id AS STRING) || '"}]}}; var other = {"price":1}; window.__DATA__ = {"attributes":{"Breite":"later","Hoch":"9"}};</script>'
+  WHEN 2 THEN '<html><title> ' || name || ' </title></html>' WHEN 6 THEN '<html><title>' || name || ' | Cyberport Onlineshop</title></html>' ELSE '<title>Just a moment</title>' END AS html""",
     "CASE WHEN listing_id % 8 = 3 THEN 'timeout' END AS error",
-    "CASE WHEN listing_id % 4 = 3 THEN name END AS source_name",
+    "CASE WHEN listing_id % 4 = 3 AND listing_id % 16 <> 15 THEN name END AS source_name",
 ]
 _PAGES = f"SELECT {', '.join(_PAGE)} FROM (SELECT *, name AS p_word FROM ({SQL_LISTINGS}))"
 
 
 @query(
     "page_records",
-    f"""WITH d AS (SELECT *, listing_id % 4 AS m, lower({_NORM.format("name").replace("lower(strip_accents(name))", "name")}) AS plain FROM ({SQL_LISTINGS}))
-  SELECT listing_id AS page_id, 'P_SC_' || upper(substr(md5(url), 1, 8)) AS reference, CASE WHEN m < 3 THEN name ELSE 'product ' || listing_id END AS name, CASE m WHEN 3 THEN split_part(name, ' ', 1) WHEN 0 THEN split_part(name, ' ', 1) ELSE brand END AS brand,
-    CASE WHEN m = 0 THEN ean END AS ean, CASE m WHEN 0 THEN 1299e0 WHEN 1 THEN 2499e-1 END AS price_eur, CASE WHEN m = 0 THEN 'https://i.at/' || listing_id || '.jpg' END AS image_url,
-    CASE m WHEN 0 THEN 'Home > TV' WHEN 1 THEN 'Kat' WHEN 2 THEN 'tv audio' END AS category,
-    CASE m WHEN 0 THEN concat_ws(';', 'Farbe=rot', 'Watt=W', 'breadcrumb=Home', 'gtin13=' || coalesce(ean, 'none'), 'material=steel', 'sku=' || listing_id) WHEN 1 THEN 'Breite=60 cm;Tiefe=5;model=M' || listing_id END AS specifications,
-    listing_id % 8 = 3 AS failed FROM (SELECT d.*, brand, p.url FROM (SELECT * EXCLUDE (url) FROM d) d JOIN (SELECT page_id, url, regexp_replace(split_part(slug, '-', 1), '[^A-Za-z0-9&+.-]', '', 'g') AS brand FROM (SELECT *, regexp_extract(url, '([^/]*)$', 1) AS slug FROM ({_PAGES}))) p ON page_id = listing_id)""",
+    f"""WITH d AS (SELECT *, listing_id % 8 AS m, listing_id % 16 = 15 AS none FROM ({SQL_LISTINGS}))
+  SELECT listing_id AS page_id, 'P_SC_' || upper(substr(md5(url), 1, 8)) AS reference, CASE WHEN none THEN NULL WHEN m IN (3, 7) THEN 'product ' || listing_id ELSE name END AS name,
+    CASE WHEN none THEN NULL WHEN m IN (0, 3, 7) THEN split_part(name, ' ', 1) WHEN m = 4 THEN 'B1' WHEN m = 5 THEN 'V' ELSE brand END AS brand,
+    CASE WHEN m IN (0, 4, 5) THEN ean END AS ean, CASE m WHEN 0 THEN 1299e0 WHEN 1 THEN 2499e-1 WHEN 4 THEN 499e-1 WHEN 5 THEN 99e0 END AS price_eur,
+    CASE m WHEN 0 THEN 'https://i.at/' || listing_id || '.jpg' WHEN 4 THEN 'https://c.at/' || listing_id WHEN 5 THEN 'https://t.at/' || listing_id END AS image_url,
+    CASE WHEN m = 0 THEN 'Home > TV' WHEN m = 1 THEN 'Kat' WHEN m = 4 THEN 'B' WHEN m IN (2, 5, 6) THEN 'tv audio' END AS category,
+    CASE m WHEN 0 THEN concat_ws(';', 'Farbe=blau', 'Watt=W', 'breadcrumb=Home', 'gtin13=' || coalesce(ean, 'none'), 'material=steel', 'sku=' || listing_id) WHEN 1 THEN 'Breite=60 cm;Tiefe=5;model=M' || listing_id
+      WHEN 4 THEN 'breadcrumb=One > Two;color=rot;description=a description;ean=' || coalesce(ean, 'none') || ';isNew=true;weight=2.5' WHEN 5 THEN 'Breite=70 cm;Hoch=9;Tiefe=7;gtin=' || coalesce(ean, 'none') END AS specifications,
+    m = 3 AS failed, NOT none AS useful FROM (SELECT d.*, brand, p.url FROM (SELECT * EXCLUDE (url) FROM d) d JOIN (SELECT page_id, url, regexp_replace(split_part(slug, '-', 1), '[^A-Za-z0-9&+.-]', '', 'g') AS brand FROM (SELECT *, regexp_extract(url, '([^/]*)$', 1) AS slug FROM ({_PAGES}))) p ON page_id = listing_id)""",
 )
 def page_records(spark, sf):
     pages = listings(spark, sf).withColumn("p_word", F.col("name")).selectExpr(*_PAGE)
     specs = F.array_join(F.array_sort(F.transform(F.map_entries("specifications"), lambda e: F.concat(e.key, F.lit("="), e.value))), ";")
-    return parse_pages(pages).select("page_id", "reference", "name", "brand", "ean", "price_eur", "image_url", "category", specs.alias("specifications"), "failed")
+    return parse_pages(pages).select("page_id", "reference", "name", "brand", "ean", "price_eur", "image_url", "category", specs.alias("specifications"), "failed", "useful")
 
 
-@query("page_counts", f"SELECT count(*) FILTER (WHERE listing_id % 8 <> 3) AS kept, count(*) FILTER (WHERE listing_id % 8 = 3) AS dropped_errors, 0::BIGINT AS dropped_empty FROM ({SQL_LISTINGS})")
+@query(
+    "page_counts",
+    f"SELECT count(*) FILTER (WHERE listing_id % 8 <> 3 AND listing_id % 16 <> 15) AS kept, count(*) FILTER (WHERE listing_id % 8 = 3) AS dropped_errors, count(*) FILTER (WHERE listing_id % 16 = 15) AS dropped_empty FROM ({SQL_LISTINGS})",
+)
 def page_count(spark, sf):
     return page_counts(parse_pages(listings(spark, sf).withColumn("p_word", F.col("name")).selectExpr(*_PAGE)))
 
@@ -190,30 +212,48 @@ def slug_names(spark, sf):
 
 @query(
     "page_address_names",
-    f"""SELECT page_id, CASE WHEN contains(url, 'details.php') THEN 'product ' || page_id ELSE trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '~p[0-9]+\\.html$', ''), '[^A-Za-z0-9]+', ' ', 'g')) END AS name,
-  CASE WHEN NOT contains(url, 'details.php') THEN 'tv audio' END AS category, regexp_extract(regexp_extract(url, '([^/]*)$', 1), '^([A-Za-z]+)', 1) AS brand FROM ({_PAGES})""",
+    f"""SELECT page_id, CASE WHEN page_id % 16 = 15 THEN NULL WHEN contains(url, 'details.php') THEN 'product ' || page_id ELSE trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '~p[0-9]+\\.html$', ''), '[^A-Za-z0-9]+', ' ', 'g')) END AS name,
+  CASE WHEN page_id % 4 <> 3 THEN 'tv audio' END AS category, CASE page_id % 9 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 'B&O' WHEN 4 THEN 'D-Link2' WHEN 5 THEN NULL WHEN 6 THEN 'be.quiet' ELSE CASE WHEN page_id % 16 <> 15 THEN regexp_extract(url, '([a-z]+)[^/]*$', 1) END END AS brand FROM ({_PAGES})""",
 )
 def page_address_names(spark, sf):
     pages = listings(spark, sf).withColumn("p_word", F.col("name")).selectExpr(*_PAGE)
-    word = F.regexp_extract(F.regexp_extract("url", "([^/]*)$", 1), "^([A-Za-z]+)", 1)
-    return pages.select("page_id", T.page_name(F.col("url")).alias("name"), T.page_category(F.col("url")).alias("category"), T.first_brand(F.concat(word, F.lit("! and more"))).alias("brand"))
+    word = F.regexp_extract("url", "([a-z]+)[^/]*$", 1)
+    told = F.expr("CASE page_id % 9 WHEN 0 THEN '  ' WHEN 1 THEN 'WWW shop' WHEN 2 THEN '123 go' WHEN 3 THEN '\t(B&O) tv' WHEN 4 THEN 'D-Link2, new' WHEN 5 THEN 'x y' WHEN 6 THEN '»be.quiet!« PC' END")
+    brand = T.first_brand(F.when(F.col("page_id") % 9 > 6, F.concat(word, F.lit("! and more"))).otherwise(told))
+    return pages.select("page_id", T.page_name(F.col("url")).alias("name"), T.page_category(F.col("url")).alias("category"), brand.alias("brand"))
+
 
+_HOSTS = ["www.Cyberport.at", "cyberport.at", "shop.cyberport.at", "EXPERT.at", "www.electronic4you.at", "e-tec.at", "www.amazon.at.example.org", ""]
+_ON_HOST = f"CASE CAST(floor(listing_id / 6) AS BIGINT) % {len(_HOSTS)} {' '.join(f'WHEN {i} THEN {chr(39)}{h}{chr(39)}' for i, h in enumerate(_HOSTS))} END"
 
-@query("host_allowed", f"SELECT listing_id, retailer = 'Cyberport AT' AS own, false AS other FROM ({SQL_LISTINGS})")
+
+@query(
+    "host_allowed",
+    f"""SELECT listing_id, host, CASE retailer {" ".join(f"WHEN '{r}' THEN regexp_replace(lower(host), '^www[.]', '') IN ({', '.join(repr(x) for x in hs)})" for r, hs in B.ALLOWED_HOSTS.items())} ELSE false END AS own
+  FROM (SELECT *, {_ON_HOST} AS host FROM ({SQL_LISTINGS}))""",
+)
 def host_allowed(spark, sf):
-    own = F.concat(F.lit("https://www.Cyberport.at/pdp/"), F.col("listing_id"))
-    return listings(spark, sf).select("listing_id", B.host_allowed(own, F.col("retailer")).alias("own"), B.host_allowed(F.col("url"), F.col("retailer")).alias("other"))
+    at = F.concat(F.lit("https://"), F.col("host"), F.lit("/pdp/"), F.col("listing_id"))
+    df = listings(spark, sf).withColumn("host", F.expr(_ON_HOST))
+    return df.select("listing_id", "host", B.host_allowed(F.when(F.col("host") != "", at), F.col("retailer")).alias("own"))
 
 
 @query(
     "text_prices",
-    f"SELECT listing_id, round(p, 2) AS german, round(p, 2) AS told FROM (SELECT listing_id, round(listing_id * 7.5 + 1.25, 2) AS p FROM ({SQL_LISTINGS}))",
+    f"""WITH a AS (SELECT *, round(p - floor(e / 1000) * 1000, 2) AS x, left(e::VARCHAR, 4)::DOUBLE AS four FROM (SELECT listing_id, listing_id % 8 AS m, round(listing_id * 7.5 + 1.25, 2) AS p, CAST(floor(listing_id * 7.5 + 1.25) AS BIGINT) AS e FROM ({SQL_LISTINGS})))
+  SELECT listing_id, CASE WHEN m IN (0, 1, 5) AND p < 50000 THEN p WHEN m IN (2, 3) AND e < 50000 THEN e::DOUBLE END AS field,
+    CASE WHEN m = 0 AND p < 50000 THEN p WHEN m IN (0, 1) AND x > 0.5 THEN x WHEN m IN (2, 3) AND four > 0.5 THEN four WHEN m = 4 THEN 19.9 WHEN m = 6 THEN 12.5 END AS told FROM a""",
 )
 def text_prices(spark, sf):
-    p = F.round(F.col("listing_id") * 7.5 + 1.25, 2)
+    p, e = F.round(F.col("listing_id") * 7.5 + 1.25, 2), F.floor(F.col("listing_id") * 7.5 + 1.25).cast("string")
     german = F.translate(F.format_number(p, 2), ",.", ".,")  # 1.234,50
-    df = listings(spark, sf).select("listing_id", german.alias("g"))
-    return df.select("listing_id", T.coerce_price(F.concat(F.col("g"), F.lit(" €"))).alias("german"), T.price_from_text(F.concat(F.lit("now only "), F.col("g"), F.lit(" EUR a piece"))).alias("told"))
+    df = listings(spark, sf).select("listing_id", (F.col("listing_id") % 8).alias("m"), german.alias("g"), e.alias("e"))
+    # As a field's value, and in running text.
+    g, e, m = F.col("g"), F.col("e"), F.col("m")
+    field = F.when(m == 0, F.concat(g, F.lit(" €"))).when(m == 1, F.concat(F.lit("EUR\u00a0"), g)).when(m == 2, e).when(m == 3, F.concat(F.lit("+"), e, F.lit("."))).when(m == 4, F.concat(e, F.lit(" pieces"))).when(m == 5, g).when(m == 6, F.lit("0,5")).otherwise(F.lit("50000"))
+    text = F.when(m == 0, F.concat(F.lit("now only "), g, F.lit(" EUR a piece"))).when(m == 1, F.concat(F.lit("at "), F.replace(g, F.lit("."), F.lit("_")), F.lit("€")))
+    text = text.when(m == 2, F.concat(F.lit("€ "), e, F.lit(" only"))).when(m == 3, F.concat(F.lit("size "), e)).when(m == 4, F.lit("was 0,10 EUR now EUR 19,9")).when(m == 6, F.lit("$ 3 or € 12.50 a piece"))
+    return df.select("listing_id", T.coerce_price(field).alias("field"), T.price_from_text(text).alias("told"))
 
 
 @query(
@@ -230,9 +270,19 @@ def target_upsert(spark, sf):
     return I.upsert_targets(now, new, False, "2024-01-02 00:00:00").select("reference", "retailer", "name", "updated_at", "visible")
 
 
-@query("json_lookup", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+# Keys in several places: an object's own before what is below it, the first of a list, filled values only, any case.
+_NESTED = """CASE event_id % 6 WHEN 0 THEN '{"a":{"K":' || n || '},"k":"own"}' WHEN 1 THEN '{"a":[{"b":1},{"k":[' || n || ']},{"k":2}]}' WHEN 2 THEN '{"k":"","a":{"b":{"K":"' || n || '"}}}'
+  WHEN 3 THEN '{"a":{"kk":' || n || '}}' WHEN 4 THEN props ELSE '{"k":' END"""
+
+
+@query(
+    "json_lookup",
+    f"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'own' WHEN 1 THEN '[' || n || ']' WHEN 2 THEN n WHEN 4 THEN json_extract_string(props, '$.k') END AS k,
+  CASE event_id % 6 WHEN 0 THEN n || '|own' WHEN 1 THEN '[' || n || ']|2' WHEN 2 THEN n WHEN 4 THEN json_extract_string(props, '$.k') ELSE '' END AS every FROM (SELECT *, CAST(event_id AS VARCHAR) AS n FROM events)""",
+)
 def json_lookup(spark, sf):
-    return table(spark, sf, "events").select("event_id", deep_get("K")("props").alias("k"))
+    df = table(spark, sf, "events").withColumn("n", F.col("event_id").cast("string")).select("event_id", F.expr(_NESTED).alias("json"))
+    return df.select("event_id", deep_get("K")("json").alias("k"), F.array_join(deep_collect("k")("json"), "|").alias("every"))
 
 
 @query(

@@ -14,7 +14,7 @@ from skuweave.operators import score as S
 from skuweave.operators import submission as B
 from skuweave.plans import questions as Q
 from skuweave.sources import ingest as I
-from skuweave.sources.pages import deep_collect, deep_get, field, kept_pages, page_counts, parse_pages, read_scraped
+from skuweave.sources.pages import deep_collect, deep_get, field, kept_pages, page_counts, page_nodes, parse_pages, read_scraped
 
 PRODUCT = "reference string, name string, brand string, ean string, specifications map<string,string>"
 
@@ -238,6 +238,42 @@ def test_specifications_of_pages(spark):
     assert (r.category, r.brand, r.image_url) == ("tv audio", "b", "http://i")
 
 
+def test_page_nodes_in_the_order_of_search(spark):
+    """An object's own values come before what is below them; lists in lists are at any depth; texts that aren't JSON are none."""
+    ld, data = ['[[{"a":{"b":1},"c":[]}],{"d":null}]', "{broken", None], ['{"x":"y"}; var z = {};', "[]"]
+    df = spark.createDataFrame([(ld, data)], "ld array<string>, data array<string>")
+    nodes = df.select(F.explode(page_nodes("ld", "data")).alias("n")).select("n.*").orderBy("at").collect()
+    got = [(n.blob, n.ld, n.of, n.via, n.key, n.deep, n.kind, n.filled, n.text) for n in nodes]
+    assert got == [
+        (0, True, -1, None, None, 0, "l", True, None), (0, True, -1, None, None, 1, "l", True, None), (0, True, -1, None, None, 2, "o", True, None),
+        (0, True, 2, "a", "a", 0, "o", True, None), (0, True, 2, "c", "c", 0, "l", False, None), (0, True, 3, "b", "b", 0, "n", True, "1"),
+        (0, True, -1, None, None, 1, "o", True, None), (0, True, 6, "d", "d", 0, None, False, None), (1, False, -1, None, None, 0, "o", True, None), (1, False, 8, "x", "x", 0, "s", True, "y"),
+    ]
+
+
+def test_pages_of_odd_shapes(spark):
+    """Values of other types than expected say nothing and stop nothing; what comes first counts."""
+    product = lambda **x: json.dumps({"@type": "Product", **x})
+    cases = [
+        ([product(name=5, brand=["b"], offers=7, image={"url": "http://o"}, category={"name": "c"}, additionalProperty="x")], [], (None, None, None, "http://o", None, None)),
+        ([product(name=" ", title="T2", brand={"name": " "}, maker="M"), '{"@type":"Product","name":"later"}'], [], ("later", None, None, None, None, None)),
+        ([product(offers=[{"price": "x", "lowPrice": 0.1, "highPrice": "7,50"}], gtin8="1234", mpn="12345678", image=["ftp://x", "http://no"], thumbnail="http://t")], [], (None, None, 7.5, "http://t", None, "12345678")),
+        (['[{"@graph":[{"@type":"ProductGroup","name":"graph"}]},{"@type":"Product","name":"block"}]'], [], ("graph", None, None, None, None, None)),
+        (['{"@type":"BreadcrumbList","itemListElement":[{"item":"x"},{"name":3},7,{"item":{"name":" b "}}]}'], [], (None, None, None, None, "3 > b", None)),
+        ([], ['{"breadcrumb":["a",{"name":"","item":"i","title":"t"}],"price":null,"x":{"PRICE":"12"}}', '{"name":"n","title":"tt"}'], ("tt", None, 12.0, None, "i", None)),
+    ]
+    df = spark.createDataFrame([(k, "https://x.at", ld, data) for k, (ld, data, _) in enumerate(cases)], "i int, url string, ld array<string>, data array<string>")
+    got = parse_pages(df, ld="ld", data="data").orderBy("i").collect()
+    assert [(r.name, r.brand, r.price_eur, r.image_url, r.category, r.ean) for r in got] == [c[2] for c in cases]
+    assert got[0].specifications is None and got[2].specifications == {"gtin8": "1234", "mpn": "12345678", "thumbnail": "http://t"}
+
+
+def test_every_assignment_of_a_script_is_read(spark):
+    html = '<script>window.__DATA__ = {"name":"first };"}; var y = 1; window.__STORE__=[{"ean":"4242003867112"}] ; f();</script>'
+    r = parse_pages(spark.createDataFrame([("https://x.at", html)], "url string, html string")).first()
+    assert (r.name, r.ean) == ("first };", "4242003867112")
+
+
 def test_scraped_files(spark, tmp_path):
     rows = [
         {"url": "https://www.e-tec.at/details.php?artnr=+77+", "retailer": "E-Tec", "page_title": "Attention Required! | Cloudflare", "search_result": {"title": "Bosch Mixer | Amazon", "description": "ab 49,90 € bei uns", "thumbnail": "https://i/1"}},
