@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skuweave.functions.text import bind
-from skuweave.operators.score import THRESHOLD, flags, ratio_bound, scores, sequence_ratio
+from skuweave.operators.score import INPUTS, THRESHOLD, flags, letters, ratio_bound, scores, sequence_ratio
 from skuweave.operators.store import stored
 
 SIGNALS = ["brand_norm", "kind", "screen_size_inch", "eans", "asins", "strong_models", "family_models", "name_norm", "tokens"]
@@ -71,9 +71,9 @@ def block_keys(ident: Column, spread: bool, threshold: float = THRESHOLD) -> Col
 
 
 def _signals(side: str, extra: tuple) -> list:
-    """A side's columns of a pair: signals, all its models in one array, and what else is asked for."""
-    models = F.array_union("strong_models", "family_models").alias(f"{side}_models")
-    return [*[F.col(c).alias(f"{side}_{c}") for c in [*SIGNALS, *extra]], models]
+    """A side's columns of a pair: signals, all its models in one array, its name's letters, and what else is asked for."""
+    models, bag = F.array_union("strong_models", "family_models").alias(f"{side}_models"), letters(F.col("name_norm")).alias(f"{side}_letters")
+    return [*[F.col(c).alias(f"{side}_{c}") for c in [*SIGNALS, *extra]], models, bag]
 
 
 def candidates(sources: DataFrame, targets: DataFrame, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = (), threshold: float = THRESHOLD) -> DataFrame:
@@ -99,8 +99,9 @@ def pair_up(pairs: DataFrame, sources: DataFrame, targets: DataFrame, source_id:
 def match(sources: DataFrame, targets: DataFrame, *, threshold: float = THRESHOLD, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = ("reference", "retailer", "name")) -> DataFrame:
     """Matched pairs with score, method and reasons; all signals come from with_signals() and are computed once.
 
-    Vetoed pairs go where they meet, before the ratio; so do pairs whose score at the highest possible ratio stays below
-    the threshold, which loses nothing for thresholds up to 0.89.  Only what is left reaches the Arrow function.
+    Vetoed pairs go where they meet, before the ratio; so do pairs whose score at the highest ratio that their names'
+    letters allow stays below the threshold, which loses nothing for thresholds up to 0.89.  Only what is left, and of
+    its columns only those that go on, is dealt anew and reaches the Arrow function, once.
     Thresholds of LEAST or less need blocks that this join doesn't have and are refused.  The same reference on both
     sides scores 1 as direct_ref.
     """
@@ -111,10 +112,12 @@ def match(sources: DataFrame, targets: DataFrame, *, threshold: float = THRESHOL
     direct = F.coalesce(F.col("s_reference") == F.col("t_reference"), F.lit(False)) if "reference" in extra else F.lit(False)
     pairs = pairs.where(F.col("veto").isNull() | direct)
     if threshold <= 0.89:
-        bounded = scores(pairs, ratio_bound(F.col("s_name_norm"), F.col("t_name_norm")), threshold)
+        bounded = scores(pairs, ratio_bound(F.col("s_letters"), F.col("t_letters")), threshold)
         pairs = bounded.where(F.col("matched") | direct).select(*pairs.columns)
     # Dealt anew: what is left of the pairs may lie in a few tasks, and the ratio is what costs most.
-    pairs = pairs.repartition(F.col("s_id"), F.col("t_id"))
+    needed = ["s_id", "t_id", "s_name_norm", "t_name_norm", *INPUTS, *[f"t_{c}" for c in extra]]
+    pairs = pairs.withColumn("direct", direct).select(*dict.fromkeys(needed), "direct").repartition(F.col("s_id"), F.col("t_id"))
+    direct = F.col("direct")
     out = scores(pairs, sequence_ratio("s_name_norm", "t_name_norm"), threshold)
     out = out.withColumns(
         {

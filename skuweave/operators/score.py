@@ -14,16 +14,32 @@ from skuweave.functions.text import bind
 THRESHOLD = 0.80
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of the first to the second (not symmetric); 0 if either is empty."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Each distinct pair once; the second text is prepared once for all first ones that meet it."""
+    out, matcher = {}, SequenceMatcher(None)
+    for y, x in sorted({(y, x) for x, y in zip(a, b, strict=True) if x and y}):
+        if matcher.b != y:
+            matcher.set_seq2(y)
+        matcher.set_seq1(x)
+        out[x, y] = matcher.ratio()
+    return pd.Series([out.get((x, y), 0.0) for x, y in zip(a, b, strict=True)], dtype=float)
+
+
+#: Ratcliff-Obershelp similarity of the first to the second text (not symmetric); 0 if either is empty.  Said to be
+#: non-deterministic so that Catalyst doesn't move a filter on the outcome below a shuffle and compute it on both sides.
+sequence_ratio = F.pandas_udf(_ratios, DoubleType()).asNondeterministic()
+
+
+def letters(name: Column) -> Column:
+    """A name's characters as distinct numbers: the character and how often it came before, so that sets compare as bags."""
+    ordered = bind(F.array_sort(F.filter(F.split(name, ""), lambda c: c != "")), lambda cs: F.transform(cs, lambda c, i: F.ascii(c) * 65536 + i - F.array_position(cs, c).cast("int")))
+    return F.coalesce(ordered, F.array().cast("array<int>"))
 
 
 def ratio_bound(a: Column, b: Column) -> Column:
-    """The most that sequence_ratio can be, by length."""
-    la, lb = F.length(a), F.length(b)
-    return F.when((la > 0) & (lb > 0), 2.0 * F.least(la, lb) / (la + lb)).otherwise(0.0)
+    """The most that sequence_ratio can be by the names' letters(): it counts a character as often as both have it."""
+    la, lb = F.size(a), F.size(b)
+    return F.when((la > 0) & (lb > 0), 2.0 * F.size(F.array_intersect(a, b)) / (la + lb)).otherwise(0.0)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -31,6 +47,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), common / union).otherwise(0.0)
 
 
+def once(df: DataFrame, columns: dict) -> DataFrame:
+    """df with columns added as the one row of a generator: Catalyst leaves them where they are, so that filters on several
+    of them compute none of them again (nor plan with their expressions)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.arrays_overlap(a, b), F.lit(False))
 
@@ -50,7 +72,8 @@ def flags(pairs: DataFrame) -> DataFrame:
         .when(far, "size_conflict")
         .when(models_differ, "model_conflict")
     )
-    return pairs.withColumns(
+    return once(
+        pairs,
         {
             "veto": veto,
             "same_brand": equal("brand_norm"),
@@ -61,7 +84,7 @@ def flags(pairs: DataFrame) -> DataFrame:
             "asin_hit": overlap(s("asins"), t("asins")),
             "strong_hit": overlap(s("strong_models"), t("strong_models")),
             "family_hit": any_model,
-        }
+        },
     )
 
 
@@ -111,12 +134,11 @@ def _verdict(z: Column) -> Column:
 def scores(flagged: DataFrame, ratio: Column, threshold: float = THRESHOLD) -> DataFrame:
     """flagged with ratio, score (4 places), matched (by the score before rounding), method and reasons.
 
-    Each step is bound to the one before it, so that a filter on the outcome, which Catalyst moves down to where the
-    inputs are, computes these once and not for every place that names them.
+    Each step is bound to the one before it, and their outcome is added once.
     """
     c = F.col
-    result = bind(bind(bind(F.struct(*INPUTS, ratio.alias("ratio")), _evidence), _compared), _verdict)
-    df = flagged.withColumn("__r", result)
+    result = bind(bind(bind(F.struct(*INPUTS, F.col("__ratio").alias("ratio")), _evidence), _compared), _verdict)
+    df = once(flagged.drop("ratio", "score", "method").withColumn("__ratio", ratio), {"__r": result}).drop("__ratio")
     reason = lambda test, text: F.when(test, F.lit(text))
     reasons = F.array_compact(
         F.array(

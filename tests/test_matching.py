@@ -127,6 +127,34 @@ def test_blocking_loses_nothing(spark):
         M.match(s, t, threshold=0.5)
 
 
+def test_ratio_runs_once_on_few_pairs(spark):
+    """One Arrow node, above the shuffle that deals the pairs anew; the letters leave out pairs that lengths let through."""
+    letter = lambda i: chr(97 + i % 20)
+    names = [" ".join(["Fernseher 55 Zoll", *(letter(i * k) * (4 + k) for k in (1, 3, 7, 9))]) for i in range(120)]
+    s = products(spark, *[{"name": n, "brand": "Samsung"} for n in names])
+    t = s.withColumn("listing_id", F.monotonically_increasing_id()).withColumn("retailer", F.lit("x"))
+    out = M.match(s, t)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Exchange hashpartitioning(s_id") > plan.index("ArrowEvalPython")
+    pairs = S.flags(M.candidates(s, t, extra=("reference",))).where("veto is null")
+    by = lambda bound: S.scores(pairs, bound).where("matched").count()
+    lengths = F.when(F.length("s_name_norm") > 0, 2.0 * F.least(F.length("s_name_norm"), F.length("t_name_norm")) / (F.length("s_name_norm") + F.length("t_name_norm")))
+    exact, bags, long = by(S.sequence_ratio("s_name_norm", "t_name_norm")), by(S.ratio_bound(F.col("s_letters"), F.col("t_letters"))), by(lengths)
+    assert exact <= bags < long
+    over = pairs.where(S.sequence_ratio("s_name_norm", "t_name_norm") > S.ratio_bound(F.col("s_letters"), F.col("t_letters")) + 1e-12)
+    assert over.count() == 0
+
+
+def test_letters_count_as_often_as_they_occur(spark):
+    df = spark.createDataFrame([("aab", "abb"), ("", "a"), (None, "a"), ("x y x", "yxxx ")], "a string, b string")
+    from collections import Counter
+
+    got = df.select("a", "b", F.size(S.letters(F.col("a"))).alias("n"), S.ratio_bound(S.letters(F.col("a")), S.letters(F.col("b"))).alias("r")).collect()
+    for r in got:
+        common = sum((Counter(r.a or "") & Counter(r.b)).values())
+        assert r.n == len(r.a or "") and r.r == (2 * common / (len(r.a) + len(r.b)) if r.a else 0.0)
+
+
 def test_weighted_exact_meets_only_what_passes(spark):
     s = spark.createDataFrame([(1, "a", "k", None), (2, "a", None, "e"), (3, None, None, None), (4, "b", "k", "f")], "s int, brand string, kind string, ean string")
     t = spark.createDataFrame([(1, "a", "k", "e"), (2, "b", "k", "f"), (3, "a", "x", None), (4, None, None, None)], "t int, brand string, kind string, ean string")
@@ -257,7 +285,7 @@ def test_pages_of_odd_shapes(spark):
     cases = [
         ([product(name=5, brand=["b"], offers=7, image={"url": "http://o"}, category={"name": "c"}, additionalProperty="x")], [], (None, None, None, "http://o", None, None)),
         ([product(name=" ", title="T2", brand={"name": " "}, maker="M"), '{"@type":"Product","name":"later"}'], [], ("later", None, None, None, None, None)),
-        ([product(offers=[{"price": "x", "lowPrice": 0.1, "highPrice": "7,50"}], gtin8="1234", mpn="12345678", image=["ftp://x", "http://no"], thumbnail="http://t")], [], (None, None, 7.5, "http://t", None, "12345678")),
+        ([product(offers=[{"price": "x", "lowPrice": 0.1, "highPrice": "7,50"}], gtin8="1234", mpn="12345678", image=["ftp://x", "http://no"], thumbnail="http://t")], [], (None, None, 7.5, None, None, "12345678")),
         (['[{"@graph":[{"@type":"ProductGroup","name":"graph"}]},{"@type":"Product","name":"block"}]'], [], ("graph", None, None, None, None, None)),
         (['{"@type":"BreadcrumbList","itemListElement":[{"item":"x"},{"name":3},7,{"item":{"name":" b "}}]}'], [], (None, None, None, None, "3 > b", None)),
         ([], ['{"breadcrumb":["a",{"name":"","item":"i","title":"t"}],"price":null,"x":{"PRICE":"12"}}', '{"name":"n","title":"tt"}'], ("tt", None, 12.0, None, "i", None)),
