@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuweave.llm.common import cut, documents, give_back, new_path, numbered, parts
+from skuweave.llm.common import bounded, cut, documents, give_back, new_path, numbered, parts
 from skuweave.operators.store import remove
 
 #: Words of a phrase at most, its least count, per cent of a phrase's count from which a longer one stands for it, rows per stratum.
@@ -31,6 +31,9 @@ WORDS, LEAST, WITHIN, TOP = 3, 10, 50, 2000
 #: Words of a chunk; words a task remembers before it starts a new dictionary; bytes of a text taken at once; ranges at most.
 CHUNK, VOCABULARY, SLICE, RANGES = 1 << 20, 300_000, 1 << 20, 1 << 16
 
+#: Strata named in a broadcast at most.
+STRATA = 100_000
+
 BREAK = b"\xff"  # no byte of UTF-8
 _FOLD = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", BREAK * 10 + b" ")
 
@@ -349,9 +352,9 @@ def collocations(
     scored = every.select("stratum", F.array_join("words", " ").alias("phrase"), F.col("n").alias("a"), worst.alias("cut")).select("stratum", "phrase", "a", "cut.*")
     # One range sort of all strata: no stratum gathers in one task.
     placed = cut(numbered(scored, [F.col("stratum"), F.desc("score"), F.desc("a"), F.col("phrase")], "place"))
-    starts = placed.groupBy("stratum").agg(F.min("place").alias("start"))
-    ranked = placed.join(starts, "stratum").withColumn("rank", F.col("place") - F.col("start") + 1).where(F.col("rank") <= top)
-    out = ranked.join(totals, "stratum").select("stratum", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score", F.col("first_words").cast("int").alias("first_words"))
+    strata = cut(placed.groupBy("stratum").agg(F.min("place").alias("start")).join(totals, "stratum"))
+    ranked = placed.join(bounded(strata, strata.count(), STRATA), "stratum").withColumn("rank", F.col("place") - F.col("start") + 1)
+    out = ranked.where(F.col("rank") <= top).select("stratum", "rank", "phrase", "a", "l", "r", F.col("total").alias("n"), "score", F.col("first_words").cast("int").alias("first_words"))
     out = cut(out)  # at most ``top`` rows of each stratum
     remove(spark, folder)
     return out
