@@ -6,7 +6,6 @@ by SQL that both engines read alike.
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,9 @@ from skuweave.operators import match as M
 from skuweave.operators import retrieval as R
 from skuweave.operators import score as S
 from skuweave.operators import submission as B
-from skuweave.operators.store import stored
+from skuweave.operators.postings import search_postings, write_postings
+from skuweave.operators.store import new_path, stored
+from skuweave.operators.vectors import search_index, write_index
 from skuweave.plans import questions as Q
 from skuweave.sources import ingest as I
 from skuweave.sources.pages import deep_collect, deep_get, page_counts, parse_pages
@@ -734,6 +735,43 @@ def bm25_topk(spark, sf):
     return R.bm25(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 10, doc_id="doc_id", doc_text="text", query_id="item_id", query_text="text")
 
 
+# Searches of a few words: the second to fifth of each passage.
+@query("bm25_index_topk", _BM25.replace(_TERMS.format("item_id", _NORM.format("text"), "benchmark"), _TERMS.format("item_id", f"array_to_string(string_split({_NORM.format('text')}, ' ')[2:5], ' ')", "benchmark")))
+def bm25_index_topk(spark, sf):
+    """The best documents for short searches, from stored postings; ranges that can't reach them are left alone."""
+    path = new_path(spark, "postings")
+    write_postings(table(spark, sf, "documents"), path, ident="doc_id", text="text")
+    few = F.array_join(F.slice(F.split(T.normalize(F.col("text")), " "), 2, 4), " ")
+    return search_postings(path, table(spark, sf, "benchmark").withColumn("few", few), 10, query_id="item_id", query_text="few").rows
+
+
+@query("bm25_filtered", _BM25.replace("FROM s)", "FROM s WHERE score > 12 AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND (n_chars IS NULL OR n_chars BETWEEN 300 AND 4000)))"))
+def bm25_filtered(spark, sf):
+    """The best documents of a language and length, with a least score, from stored postings; the filter is that of products."""
+    path = new_path(spark, "postings")
+    write_postings(table(spark, sf, "documents"), path, ident="doc_id", text="text", keep=("lang", "n_chars"))
+    only = lambda d: R.payload_filter(d.withColumnsRenamed({"lang": "category", "n_chars": "price_eur"}), category="en", price=(300, 4000))
+    return search_postings(path, table(spark, sf, "benchmark"), 10, query_id="item_id", query_text="text", only=only, least=12.0).rows
+
+
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@query(
+    "dense_index_topk",
+    f"""WITH v AS (SELECT listing_id AS id, [{", ".join(f"(length(n) - length(replace(n, '{c}', '')))::DOUBLE" for c in _LETTERS)}] AS v FROM (SELECT listing_id, lower(name) AS n FROM ({SQL_LISTINGS})))
+  SELECT query_id, vec_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM (SELECT q.id AS query_id, v.id AS vec_id, round(list_cosine_similarity(q.v, v.v), 6) AS cosine
+  FROM v q JOIN v ON q.id <> v.id WHERE q.id % 40 = 0)) WHERE rank <= 10""",
+)
+def dense_index_topk(spark, sf):
+    """Listings with names of like letters, from a stored vector index that is exact by its bounds."""
+    n = F.lower("name")
+    counts = F.transform(F.lit(list(_LETTERS)), lambda c: (F.length(n) - F.length(F.replace(n, c, F.lit("")))).cast("double"))
+    rows, path = stored(listings(spark, sf).select(F.col("listing_id").alias("vec_id"), counts.alias("embedding"))), new_path(spark, "vectors")
+    write_index(rows, path)
+    return search_index(path, rows.where("vec_id % 40 = 0"), 10).rows
+
+
 @query(
     "cosine_topk",
     """SELECT query_id, vec_id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS cosine
@@ -827,14 +865,13 @@ def stream_windows(spark, sf):
 
 @query("stream_upsert", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def stream_upsert(spark, sf):
-    """Each user's latest event, merged by user from two batches of a stream."""
-    from skuweave.operators.store import shared_dir
-    from skuweave.streaming.incremental import read_upserted, upsert_into
+    """Each user's latest event, by a stream that merges file after file; it ends, more files come, and it goes on."""
+    from skuweave.streaming.incremental import read_upserted, upsert_into, upsert_stream
 
-    at = f"{shared_dir(spark).rstrip('/')}/users-{uuid.uuid4().hex}"
-    merge = upsert_into(at, ["user_id"], [F.desc("ts"), F.desc("event_id")], 16)
+    at = new_path(spark, "users")
     events = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    middle = F.lit("2024-01-16").cast("timestamp")
-    for k, part in enumerate((F.col("ts") < middle, F.col("ts") >= middle)):
-        merge(events.where(part), k)
-    return read_upserted(spark, at).select("user_id", "event_type")
+    middle, into = F.lit("2024-01-16").cast("timestamp"), upsert_into(f"{at}/table", ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    for part in (F.col("ts") >= middle, F.col("ts") < middle):
+        events.where(part).repartition(2, "event_id").write.mode("append").parquet(f"{at}/in")
+        upsert_stream(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), into, f"{at}/state")
+    return read_upserted(spark, f"{at}/table", ["user_id"], ["ts", "event_id"]).select("user_id", "event_type")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import os
 import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of the shared store that nothing has written to yet."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder; a lost executor can't take it along.
 

@@ -19,6 +19,9 @@ from skuweave.operators.store import stored
 
 #: Rows that centres are fitted on, about, and cells at most.  Both steer how much is read, never what is found.
 SAMPLE, CELLS = 20_000, 1024
+#: Folders of rows for each length.
+PARTS = 32
+ROWS = "id long, vec array<double>, cell long, dist double, norm double, dims int, part int"
 #: What rounded cosines and sums of doubles may be off by, as a squared distance.
 SLACK = 4e-6
 
@@ -101,7 +104,7 @@ def _slim(df: DataFrame, ident: str, vector: str) -> DataFrame:
 def write_index(df: DataFrame, path: str, *, ident: str = "vec_id", vector: str = "embedding", cells: int | None = None) -> None:
     """Writes df's vectors to a folder: rows by length and cell, and the cells' centres.
 
-    cells: for each length; by default about the square root of the rows, at most CELLS.  Vectors without a direction
+    cells: for each length; by default one for about 16 rows, at most CELLS.  Vectors without a direction
     and rows without an id have no place in it.
     """
     spark, rows = df.sparkSession, _slim(df, ident, vector)
@@ -109,7 +112,7 @@ def write_index(df: DataFrame, path: str, *, ident: str = "vec_id", vector: str
     for r in sampled(rows, F.col("id"), SAMPLE):
         by_length.setdefault(len(r.vec), []).append(r.vec)
     n = rows.count()
-    wanted = cells or max(1, min(CELLS, int(n**0.5)))
+    wanted = cells or max(1, min(CELLS, n // 16))
     centers = {}
     for d, x in by_length.items():
         x = np.array(x)
@@ -119,11 +122,20 @@ def write_index(df: DataFrame, path: str, *, ident: str = "vec_id", vector: str
     _write(rows, centers, path, "overwrite")
 
 
+def _part(cell: str) -> Column:
+    """The folder that a cell's rows are in: neighbours in number aren't neighbours in space, so any even deal will do."""
+    return (F.col(cell) % PARTS).cast("int")
+
+
+def _dot(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def _write(rows: DataFrame, centers: dict, path: str, mode: str) -> None:
     sent = rows.sparkSession.sparkContext.broadcast(centers)  # at most CELLS centres for each length
-    placed = rows.mapInArrow(_assign(sent), "id long, vec array<double>, dims int, cell long, dist double")
-    placed = placed.repartition("dims", "cell").sortWithinPartitions("dims", "cell", "dist")
-    placed.write.mode(mode).partitionBy("dims", "cell").parquet(f"{path}/rows")
+    placed = rows.mapInArrow(_assign(sent), "id long, vec array<double>, dims int, cell long, dist double").withColumn("norm", F.sqrt(_dot("vec", "vec")))
+    placed = placed.withColumn("part", _part("cell")).repartition("dims", "part").sortWithinPartitions("dims", "part", "cell", "dist")
+    placed.write.mode(mode).partitionBy("dims", "part").parquet(f"{path}/rows")
 
 
 def _centers(spark: SparkSession, path: str) -> dict:
@@ -140,12 +152,12 @@ def add_to_index(df: DataFrame, path: str, *, ident: str = "vec_id", vector: str
 
 @dataclass
 class Found:
-    """A search's rows (query_id, vec_id, cosine, rank), and how much of the index it looked at."""
+    """A search's rows (query_id, vec_id, cosine, rank), and over all queries: cells, those looked into, pairs, those compared."""
 
     rows: DataFrame
     cells: int
-    cells_read: int
-    indexed: int
+    looked: int
+    pairs: int
     compared: int
 
 
@@ -194,11 +206,6 @@ def _second_look(sent):
     return run
 
 
-def _cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return F.round(dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), 6)
-
-
 def search_index(path: str, queries: DataFrame, k: int, *, ident: str = "vec_id", vector: str = "embedding") -> Found:
     """The k rows of the index with the largest cosine for each query, its own id left out: exactly those of a full scan.
 
@@ -206,7 +213,7 @@ def search_index(path: str, queries: DataFrame, k: int, *, ident: str = "vec_id"
     rows of other lengths don't appear.
     """
     spark = queries.sparkSession
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = spark.read.schema(ROWS).parquet(f"{path}/rows")
     centers, info = _centers(spark, path), {}
     held = rows.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).collect()  # a row for each cell
     for r in held:
@@ -218,20 +225,28 @@ def search_index(path: str, queries: DataFrame, k: int, *, ident: str = "vec_id"
 
     def compared(looks: DataFrame, near: Column) -> tuple:
         looks = stored(looks.withColumn("dims", F.size("vec")).withColumnsRenamed({"id": "query_id", "vec": "asked"}))
-        read = looks.select("dims", "cell").distinct().collect()  # at most all cells
-        # Only the partitions of these cells are listed and read.
-        own = rows.where(F.struct("dims", "cell").isin([F.struct(F.lit(r.dims).alias("dims"), F.lit(r.cell).alias("cell")) for r in read])) if read else rows.where("false")
-        pairs = looks.join(own, ["dims", "cell"]).where(near & (F.col("id") != F.col("query_id")))
-        return pairs.select("query_id", F.col("id").alias("vec_id"), _cosine("asked", "vec").alias("cosine")), len(read), {(r.dims, r.cell) for r in read}
+        looks = looks.withColumn("part", _part("cell")).withColumn("asked_norm", F.sqrt(_dot("asked", "asked")))
+        # Only the folders of cells that are looked into are read.
+        folders = sorted(r.part for r in looks.select("part").distinct().collect())
+        pairs = looks.join(rows.where(F.col("part").isin(folders)), ["dims", "part", "cell"]).where(near & (F.col("id") != F.col("query_id")))
+        return pairs.select("query_id", F.col("id").alias("vec_id"), F.round(_dot("asked", "vec") / (F.col("asked_norm") * F.col("norm")), 6).alias("cosine")), looks.count()
 
     first = stored(asked.mapInArrow(_first_look(sent, k), "id long, vec array<double>, cell long, far double"))
-    found, _, read = compared(first.drop("far"), F.lit(True))
+    found, looked = compared(first.drop("far"), F.lit(True))
     found = stored(found)
     kth = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine") + SLACK)).alias("reach"))
     seen = first.groupBy("id").agg(F.collect_set("cell").alias("seen"))
     again = asked.join(kth, "id", "left").join(seen, "id", "left").select("id", "vec", F.coalesce("reach", F.lit(9.0)).alias("reach"), F.coalesce("seen", F.array().cast("array<long>")).alias("seen"))
     second = again.mapInArrow(_second_look(sent), "id long, vec array<double>, reach double, cell long, far double")
-    more, _, also = compared(second, F.abs(F.col("far") - F.col("dist")) <= F.col("reach"))
+    more, again_ = compared(second, F.abs(F.col("far") - F.col("dist")) <= F.col("reach"))
     both = stored(found.unionByName(more))
     ranked = both.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
-    return Found(ranked, len(held), len(read | also), sum(r.n for r in held), both.count())
+    asked_of = {r.d: r["count"] for r in asked.groupBy(F.size("vec").alias("d")).count().collect()}  # a row for each length
+    whole = {d: sum(n for n, _, _ in cells.values()) for d, cells in info.items()}
+    return Found(
+        ranked,
+        sum(n * len(info.get(d, ())) for d, n in asked_of.items()),
+        looked + again_,
+        sum(n * whole.get(d, 0) for d, n in asked_of.items()),
+        both.count(),
+    )

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuweave.operators.store import shared_dir, stored
-from skuweave.sources.ingest import first_wins, upsert
+from skuweave.operators.store import shared_dir
+from skuweave.sources.ingest import first_wins
 
 
 def new_listings(stream: DataFrame, event_time: str, keys: list, delay: str = "1 day") -> DataFrame:
@@ -20,57 +20,37 @@ def windowed_counts(stream: DataFrame, event_time: str, width: str, delay: str,
     return stream.withWatermark(event_time, delay).groupBy(F.window(event_time, width), *keys).agg(F.count("*").alias("n"))
 
 
-#: Parts that an upserted table is cut into by key; a batch rewrites those that its keys fall into.
-BUCKETS = 64
+def upsert_into(table: str, keys: list, order: list):
+    """A foreachBatch function that adds each batch's first row of a key, in order, to a Parquet table under its number.
 
+    A batch writes only its own folder, ``batch=N``, and writes it anew when it is replayed, so that whatever is lost on
+    the way, each batch counts once.  An empty batch writes nothing.
+    """
 
-def _versions(spark: SparkSession, table: str) -> list:
-    """Numbers of the whole versions of a table, the newest first, each with the buckets it holds."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(table)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = lambda p: [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(p))]
-    found = [int(n[1:]) for n in (names(table) if fs.exists(path) else []) if n.startswith("v")]
-    whole = [v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{table}/v{v}/_SUCCESS"))]
-    return [(v, {int(n.split("=")[1]) for n in names(f"{table}/v{v}") if n.startswith("__bucket=")}) for v in sorted(whole, reverse=True)]
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = first_wins(batch, keys, *order)
+        if not batch.isEmpty():
+            rows.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
+    return run
 
-def read_upserted(spark: SparkSession, table: str, buckets: set | None = None, before: int | None = None) -> DataFrame | None:
-    """The table's rows: of each bucket those of the newest whole version that holds it; null if there is none."""
-    out, seen = None, set()
-    for v, held in _versions(spark, table):
-        if before is not None and v >= before:
-            continue
-        new = held - seen
-        wanted = new if buckets is None else new & buckets
-        seen |= new
-        if wanted:
-            df = spark.read.option("basePath", f"{table}/v{v}").parquet(*[f"{table}/v{v}/__bucket={b}" for b in sorted(wanted)]).drop("__bucket")
-            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
 
+def upsert_stream(stream: DataFrame, into, state: str) -> None:
+    """Runs a stream to the end of what is there, batch by batch; from the same state folder it goes on where it ended."""
+    stream.writeStream.foreachBatch(into).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
-def upsert_into(table: str, keys: list, order: list, buckets: int = BUCKETS):
-    """A foreachBatch function that merges each batch into a Parquet table by key; a replayed batch changes nothing.
 
-    The table is cut into buckets by key, and a batch writes, as a version beside the others, only the buckets that its
-    keys fall into; read_upserted() takes each bucket from its newest whole version, so a lost executor or driver can't
-    leave half.  An empty batch writes nothing.
-    """
+def read_upserted(spark: SparkSession, table: str, keys: list, newest: list) -> DataFrame:
+    """The table's rows, one for each key: the largest by the columns named in newest, of equal ones the latest batch's."""
+    rows = spark.read.parquet(table)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    best = F.max_by(F.struct(*rest), F.struct(*newest, "batch"))
+    return rows.groupBy(*keys).agg(best.alias("__row")).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-        new = stored(first_wins(batch, keys, *order))
-        touched = {r[0] for r in new.select(bucket.alias("b")).distinct().collect()}  # at most ``buckets`` numbers
-        if not touched:
-            return
-        have = read_upserted(spark, table, touched, batch_id)
-        out = upsert(have, new, keys) if have is not None else new
-        out = out.withColumn("__bucket", bucket).repartition(F.col("__bucket"))
-        out.write.mode("overwrite").partitionBy("__bucket").parquet(f"{table}/v{batch_id}")
 
-    return run
+def compacted(spark: SparkSession, table: str, keys: list, newest: list, to: str) -> None:
+    """Writes the table's rows, one for each key, to another folder, as what came before any batch."""
+    read_upserted(spark, table, keys, newest).write.mode("overwrite").parquet(f"{to}/batch=-1")
 
 
 def run_to_end(stream: DataFrame) -> DataFrame:

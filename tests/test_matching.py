@@ -2,6 +2,7 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,9 @@ from skuweave.functions import text as T
 from skuweave.functions.signals import search_terms, with_signals
 from skuweave.operators import match as M
 from skuweave.operators import retrieval as R
+from skuweave.operators import postings as P
 from skuweave.operators import score as S
+from skuweave.operators import vectors as V
 from skuweave.operators import submission as B
 from skuweave.plans import questions as Q
 from skuweave.sources import ingest as I
@@ -179,6 +182,60 @@ def test_payload_filter_and_vectors(spark):
     assert got == [(1, 6, 1), (1, 2, 2)]
 
 
+def test_vector_index_is_exact_and_skips(spark, tmp_path):
+    """Clustered vectors of two lengths, odd ones, ties: as a full scan finds them, from a part of the cells and pairs; also after more are added."""
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 12))
+    x = [(i, (centers[i % 40] + rng.normal(size=12) * 0.15).tolist()) for i in range(3000)] + [(i, [1.0, float(i % 3), 2.0]) for i in range(3000, 3040)]
+    x += [(5000, None), (5001, [0.0] * 12), (5002, [float("nan")] * 12), (None, [1.0] * 12)] + [(6000 + i, x[7][1]) for i in range(15)]
+    more = [(7000 + i, (centers[i % 40] * 1.5 + rng.normal(size=12) * 0.2).tolist()) for i in range(200)]
+    df = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    path, asked = str(tmp_path / "v"), df([r for r in x if r[0] in (7, 100, 2999, 3001, 5000, 5001)] + [(9999, [1.0] * 12)])
+    V.write_index(df(x), path)
+    for rows in (x, x + more):
+        if rows is not x:
+            V.add_to_index(df(more), path)
+        found = V.search_index(path, asked, 12)
+        want = {(r.query_id, r.vec_id, r["rank"]) for r in R.cosine_topk(df(rows), asked, 12).collect()}
+        assert {(r.query_id, r.vec_id, r["rank"]) for r in found.rows.collect()} == {w for w in want if w[0] != 5002}
+        assert found.looked < 0.5 * found.cells and found.compared < 0.3 * found.pairs
+
+
+def test_vector_index_of_nothing(spark, tmp_path):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    V.write_index(empty, str(tmp_path / "v"))
+    some = spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert V.search_index(str(tmp_path / "v"), some, 5).rows.count() == 0
+    V.add_to_index(some, str(tmp_path / "v"))
+    assert [r.vec_id for r in V.search_index(str(tmp_path / "v"), some.withColumn("vec_id", F.lit(2)), 5).rows.collect()] == [1]
+
+
+def test_postings_score_as_a_scan_does(spark, tmp_path):
+    """Stored postings against bm25() over all documents, with and without a filter and a least score; most postings are left alone."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(rng.choice(words, 5 + i % 60, p=np.arange(400, 0, -1) / 80200)) + (" rare gem" if i % 500 == 3 else ""), "ab"[i % 2], float(i % 50)) for i in range(4000)]
+    docs += [(4000, None, "a", 1.0), (4001, "", "b", None), (4002, "rare rare gem", "a", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, category string, price_eur double")
+    asked = spark.createDataFrame([(1, "rare gem"), (2, "w390 w395 w3"), (3, "nothing known"), (4, None), (5, "gem w0 w1")], "q long, t string")
+    P.write_postings(df, str(tmp_path / "p"), ident="doc_id", text="text", keep=("category", "price_eur"), size=32)
+    scan = R.bm25(df, asked, 5000, doc_id="doc_id", doc_text="text", query_id="q", query_text="t")
+    key = lambda rows: {(r.query_id, r.doc_id, r.score) for r in rows.collect()}
+    found = P.search_postings(str(tmp_path / "p"), asked, 6, query_id="q", query_text="t")
+    assert key(found.rows) == key(scan.where("rank <= 6")) and found.scored < 0.6 * found.postings
+    only = lambda d: R.payload_filter(d, category="a", price=(10, 20))
+    some = P.search_postings(str(tmp_path / "p"), asked, 6, query_id="q", query_text="t", only=only, least=1.5)
+    fit = only(scan.join(df, "doc_id").where("score > 1.5"))
+    want = {(q, d, s) for q in (1, 2, 5) for d, s in sorted(((r.doc_id, r.score) for r in fit.collect() if r.query_id == q), key=lambda x: (-x[1], x[0]))[:6]}
+    assert key(some.rows) == want and want
+
+
+def test_postings_of_nothing(spark, tmp_path):
+    P.write_postings(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "p"), ident="doc_id", text="text")
+    asked = spark.createDataFrame([(1, "rare gem")], "q long, t string")
+    assert P.search_postings(str(tmp_path / "p"), asked, 6, query_id="q", query_text="t").rows.count() == 0
+
+
 def test_cap_and_filter(spark):
     df = spark.createDataFrame([("s", "r", "name_sim", i / 100, i) for i in range(8)] + [("s", "r", "gtin", 0.5, 100 + i) for i in range(7)], "s_id string, t_retailer string, method string, score double, id int")
     kept = M.cap_per_retailer(df, F.desc("score"), "id").collect()
@@ -288,12 +345,12 @@ def test_pages_of_odd_shapes(spark):
         ([product(offers=[{"price": "x", "lowPrice": 0.1, "highPrice": "7,50"}], gtin8="1234", mpn="12345678", image=["ftp://x", "http://no"], thumbnail="http://t")], [], (None, None, 7.5, None, None, "12345678")),
         (['[{"@graph":[{"@type":"ProductGroup","name":"graph"}]},{"@type":"Product","name":"block"}]'], [], ("graph", None, None, None, None, None)),
         (['{"@type":"BreadcrumbList","itemListElement":[{"item":"x"},{"name":3},7,{"item":{"name":" b "}}]}'], [], (None, None, None, None, "3 > b", None)),
-        ([], ['{"breadcrumb":["a",{"name":"","item":"i","title":"t"}],"price":null,"x":{"PRICE":"12"}}', '{"name":"n","title":"tt"}'], ("tt", None, 12.0, None, "i", None)),
+        ([], ['{"breadcrumb":["a",{"name":"","item":"i","title":"t"}],"price":null,"x":{"PRICE":"12"}}', '{"name":"n","title":"tt"}'], (None, None, 12.0, None, "i", None)),
     ]
     df = spark.createDataFrame([(k, "https://x.at", ld, data) for k, (ld, data, _) in enumerate(cases)], "i int, url string, ld array<string>, data array<string>")
     got = parse_pages(df, ld="ld", data="data").orderBy("i").collect()
     assert [(r.name, r.brand, r.price_eur, r.image_url, r.category, r.ean) for r in got] == [c[2] for c in cases]
-    assert got[0].specifications is None and got[2].specifications == {"gtin8": "1234", "mpn": "12345678", "thumbnail": "http://t"}
+    assert got[0].specifications == {"category": "c", "additionalProperty": "x"} and got[2].specifications == {"gtin8": "1234", "mpn": "12345678", "thumbnail": "http://t"}
 
 
 def test_every_assignment_of_a_script_is_read(spark):
@@ -447,16 +504,35 @@ def test_engine(spark):
     assert n["total_links"] == 0 and answer(out, n) == "No matching products were found."
 
 
-def test_stream_upsert(spark, tmp_path):
-    from skuweave.streaming.incremental import _versions, read_upserted, upsert_into
-
-    at = str(tmp_path / "t")
-    merge = upsert_into(at, ["k"], ["v"])
-    merge(spark.createDataFrame([(i, "a") for i in range(100)], "k int, v string"), 0)
-    for _ in range(2):  # a batch that is replayed
-        merge(spark.createDataFrame([(2, "z"), (2, "y"), (300, "c")], "k int, v string"), 1)
-    merge(spark.createDataFrame([], "k int, v string"), 2)
-    want = {(i, "a") for i in range(100) if i != 2} | {(2, "y"), (300, "c")}
-    assert {tuple(r) for r in read_upserted(spark, at).collect()} == want and read_upserted(spark, at).count() == 101
-    (one, few), (zero, all_) = _versions(spark, at)
-    assert (one, zero) == (1, 0) and len(few) <= 2 < len(all_)  # only the buckets of its keys
+def test_stream_upsert_restarts_where_it_failed(spark, tmp_path):
+    """A batch fails after it has written; the stream goes on from its checkpoint, and each row counts once."""
+    from skuweave.streaming.incremental import compacted, read_upserted, upsert_into, upsert_stream
+
+    files, table, state = (str(tmp_path / x) for x in ("in", "table", "state"))
+    events = [(i % 30, i, f"v{i}") for i in range(300)]
+    spark.createDataFrame(events[:150], "k int, at int, v string").repartition(3).write.parquet(files)
+    stream = lambda: spark.readStream.schema("k int, at int, v string").option("maxFilesPerTrigger", 1).parquet(files)
+    broken = {"left": 1}
+
+    def flaky(batch, number):
+        upsert_into(table, ["k"], [F.desc("at")])(batch, number)
+        if number == 1 and broken["left"]:
+            broken["left"] -= 1
+            raise RuntimeError("lost in the second batch")
+
+    with pytest.raises(Exception, match="lost in the second batch"):
+        upsert_stream(stream(), flaky, state)
+    assert read_upserted(spark, table, ["k"], ["at"]).count() > 0
+    upsert_stream(stream(), flaky, state)
+    spark.createDataFrame(events[150:], "k int, at int, v string").repartition(2).write.mode("append").parquet(files)
+    upsert_stream(stream(), flaky, state)
+    upsert_stream(stream(), flaky, state)  # nothing new
+    want = {(k, 270 + k, f"v{270 + k}") for k in range(30)}
+    got = read_upserted(spark, table, ["k"], ["at"])
+    assert {tuple(r) for r in got.select("k", "at", "v").collect()} == want and got.count() == 30
+    batches = {r.batch for r in spark.read.parquet(table).select("batch").distinct().collect()}
+    assert batches == {0, 1, 2, 3, 4}
+    compacted(spark, table, ["k"], ["at"], str(tmp_path / "small"))
+    upsert_into(str(tmp_path / "small"), ["k"], [F.desc("at")])(spark.createDataFrame([(5, 999, "new"), (5, 1000, "newer"), (77, 1, "other")], "k int, at int, v string"), 9)
+    after = {r.k: r.v for r in read_upserted(spark, str(tmp_path / "small"), ["k"], ["at"]).collect()}
+    assert len(after) == 31 and after[5] == "newer" and after[77] == "other" and after[6] == "v276"
