@@ -513,6 +513,36 @@ def chat_search(spark, sf):
     return search(spark, Question("Show all TVs under 1500 euros"), s, with_signals(listings(spark, sf)))[0]
 
 
+@query("stored_match", f"SELECT source_id, listing_id, score, method FROM ({_CASCADE}) JOIN (SELECT listing_id, visible, category FROM ({SQL_LISTINGS})) USING (listing_id) WHERE NOT visible OR category = 'TV & Audio'")
+def stored_match(spark, sf):
+    """Matches against a stored, bucketed table of targets: hidden ones and those of a category, other folders left unread."""
+    path, by = new_path(spark, "targets"), ("visible", "category")
+    name = "matchable_" + path.rsplit("-", 1)[1]
+    M.write_matchable(with_signals(listings(spark, sf)), name, path, by=by, buckets=8)
+    some = spark.table(name).where("not visible or category = 'TV & Audio'")
+    out = M.match_stored(with_signals(sources(spark, sf)), some, source_id="source_id", by=by)
+    return out.select(F.col("s_id").alias("source_id"), F.col("t_id").alias("listing_id"), "score", "method")
+
+
+_COUNTS = ["selected_sources", "candidates_fetched", "matched_sources", "total_links", "visible_links", "hidden_links", "excluded_previous_links"]
+
+
+@query(
+    "answer_counts",
+    _CHAT.replace("CASCADE", cascade_sql()).replace("SELECT source_reference, rank, reference", ", ranked AS (SELECT source_reference, rank, reference", 1)
+    + """)
+  SELECT (SELECT count(*) FROM s) AS selected_sources, (SELECT count(*) FROM found) AS candidates_fetched, count(DISTINCT source_reference) AS matched_sources, count(*) AS total_links,
+    count(*) FILTER (WHERE visible) AS visible_links, count(*) FILTER (WHERE NOT visible) AS hidden_links, 0::BIGINT AS excluded_previous_links FROM ranked""",
+)
+def answer_counts(spark, sf):
+    """What the answer to chat_search's question counts, gathered along its plan."""
+    from skuweave.plans.engine import Question, search
+
+    s = with_signals(sources(spark, sf).withColumn("brand", F.lit(None).cast("string")))
+    counts = search(spark, Question("Show all TVs under 1500 euros"), s, with_signals(listings(spark, sf)))[1]
+    return spark.createDataFrame([tuple(counts[c] for c in _COUNTS)], ", ".join(f"{c} long" for c in _COUNTS))
+
+
 @query("method_histogram", f"SELECT method, count(*) AS n FROM ({_CASCADE}) GROUP BY method")
 def method_histogram(spark, sf):
     return B.method_histogram(_cascade(spark, sf))

@@ -76,17 +76,46 @@ def _signals(side: str, extra: tuple) -> list:
     return [*[F.col(c).alias(f"{side}_{c}") for c in [*SIGNALS, *extra]], models, bag]
 
 
+def _source_side(sources: DataFrame, source_id: str, threshold: float) -> DataFrame:
+    s = sources.select(F.col(source_id).alias("s_id"), *_signals("s", ("reference",)), block_keys(F.col("reference"), False, threshold).alias("s_keys"))
+    return s.withColumn("key", F.explode("s_keys"))
+
+
+def _target_side(targets: DataFrame, target_id: str, extra: tuple, threshold: float) -> DataFrame:
+    t = targets.select(F.col(target_id).alias("t_id"), *_signals("t", extra), block_keys(F.col("reference"), True, threshold).alias("t_keys"))
+    return t.withColumn("key", F.explode("t_keys"))
+
+
+def _meet(s: DataFrame, t: DataFrame) -> DataFrame:
+    """Pairs that share a key, at the least of those that they share."""
+    return s.join(t, "key").where(F.col("key") == F.array_min(F.array_intersect("s_keys", "t_keys"))).drop("key", "s_keys", "t_keys")
+
+
 def candidates(sources: DataFrame, targets: DataFrame, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = (), threshold: float = THRESHOLD) -> DataFrame:
     """Each pair that shares a block key once, with both sides' signals as s_* and t_*.
 
     One equi-join on exploded keys, whose large keys Spark splits; a pair that shares several is kept at the least of
     them, so that nothing is shuffled again to make pairs distinct or to fetch their columns.
     """
-    keys = F.col("keys")
-    s = sources.select(F.col(source_id).alias("s_id"), *_signals("s", ("reference",)), block_keys(F.col("reference"), False, threshold).alias("keys"))
-    t = targets.select(F.col(target_id).alias("t_id"), *_signals("t", extra), block_keys(F.col("reference"), True, threshold).alias("keys"))
-    s, t = s.withColumn("key", F.explode(keys)).withColumnRenamed("keys", "s_keys"), t.withColumn("key", F.explode(keys)).withColumnRenamed("keys", "t_keys")
-    return s.join(t, "key").where(F.col("key") == F.array_min(F.array_intersect("s_keys", "t_keys"))).drop("key", "s_keys", "t_keys")
+    return _meet(_source_side(sources, source_id, threshold), _target_side(targets, target_id, extra, threshold))
+
+
+def write_matchable(targets: DataFrame, table: str, path: str, *, target_id: str = "listing_id", extra: tuple = ("reference", "retailer", "name"), by: tuple = (), threshold: float = THRESHOLD, buckets: int = 64) -> None:
+    """Writes targets (with_signals() rows), a row for each block key, as a table that is matched against again and again.
+
+    The table is bucketed and sorted by key, so that joins with it shuffle the sources alone, and cut by the columns
+    named in by (such as visible and category), so that filters on those leave folders unread.
+    """
+    rows = _target_side(targets, target_id, tuple(dict.fromkeys((*extra, *by))), threshold).withColumnsRenamed({f"t_{c}": c for c in by})
+    out = rows.repartition(buckets, "key").write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, "key").sortBy("key")
+    (out.partitionBy(*by) if by else out).saveAsTable(table)
+
+
+def match_stored(sources: DataFrame, stored_targets: DataFrame, *, threshold: float = THRESHOLD, source_id: str = "reference", extra: tuple = ("reference", "retailer", "name"), by: tuple = ()) -> DataFrame:
+    """match() against a table of write_matchable() or rows of it, for the threshold that it was written for."""
+    _checked(threshold)
+    targets = stored_targets.withColumnsRenamed({c: f"t_{c}" for c in by})
+    return _matched(_meet(_source_side(stored(sources), source_id, threshold), targets), threshold, extra)
 
 
 def pair_up(pairs: DataFrame, sources: DataFrame, targets: DataFrame, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = ()) -> DataFrame:
@@ -105,10 +134,17 @@ def match(sources: DataFrame, targets: DataFrame, *, threshold: float = THRESHOL
     Thresholds of LEAST or less need blocks that this join doesn't have and are refused.  The same reference on both
     sides scores 1 as direct_ref.
     """
+    _checked(threshold)
+    return _matched(candidates(stored(sources), stored(targets), source_id, target_id, extra, threshold), threshold, extra)
+
+
+def _checked(threshold: float) -> None:
     if not LEAST < threshold:
         raise ValueError(f"blocking is lossless for thresholds over {LEAST} only")
-    sources, targets = stored(sources), stored(targets)
-    pairs = flags(candidates(sources, targets, source_id, target_id, extra, threshold))
+
+
+def _matched(pairs: DataFrame, threshold: float, extra: tuple) -> DataFrame:
+    pairs = flags(pairs)
     direct = F.coalesce(F.col("s_reference") == F.col("t_reference"), F.lit(False)) if "reference" in extra else F.lit(False)
     pairs = pairs.where(F.col("veto").isNull() | direct)
     if threshold <= 0.89:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -134,12 +134,16 @@ def search(spark: SparkSession, question: Question, sources: DataFrame, targets:
         chosen = sources.join(F.broadcast(last), "reference")
     else:
         chosen = select_sources(sources, signals, max_sources)
-    chosen = stored(chosen)
+    # Counts are gathered while the rows that they are about are stored, not by jobs of their own.
+    seen = {name: Observation() for name in ("chosen", "found", "top", "rest")}
+    rows = F.count(F.lit(1)).alias("rows")
+    chosen = stored(chosen.observe(seen["chosen"], rows))
     first = chosen.orderBy("place", "reference").select("category").first()
     found = M.candidate_filter(
         targets, category=first.category if first else None, kinds=signals["q_kinds"], retailers=signals["q_retailers"], min_price=signals["q_min"], max_price=signals["q_max"]
     )
-    found = stored(found.withColumn("__key", F.when(F.col("visible") & (F.col("reference") != ""), F.col("reference")).otherwise(listing_key(F.col("retailer"), F.col("url")))))
+    key = F.when(F.col("visible") & (F.col("reference") != ""), F.col("reference")).otherwise(listing_key(F.col("retailer"), F.col("url")))
+    found = stored(found.withColumn("__key", key).observe(seen["found"], rows))
     if signals["q_kinds"]:
         words = [normalize_word(w) for k in signals["q_kinds"] for w in V.KIND_KEYWORDS.get(k, [])]
         named = lambda c: c.rlike("|".join(words))
@@ -154,25 +158,29 @@ def search(spark: SparkSession, question: Question, sources: DataFrame, targets:
     matched = matched.where(~F.col("t_visible") | blank | alike)
     one = M.first_by(matched, ["s_id", "t___key"], F.desc("score"), "t_id")
     top = M.top_k(one, max(max_competitors, MORE) if more else max_competitors, ["s_id"], F.desc("score"), "t_id")
-    top = stored(top.withColumn("key", result_key(F.col("t_visible"), F.col("t_reference"), F.col("t_url"), F.col("t_id"))))
+    top = stored(top.withColumn("key", result_key(F.col("t_visible"), F.col("t_reference"), F.col("t_url"), F.col("t_id"))).observe(seen["top"], rows))
     rest = exclude_shown(top, question.shown) if question.shown is not None else top
-    rest = stored(rest)
-    n = rest.agg(F.count_distinct("s_id").alias("matched"), F.count_if("t_visible").alias("visible"), F.count_if(~F.col("t_visible")).alias("hidden")).first()
+    # The first link that is left to a source stands for it.
+    own = F.row_number().over(Window.partitionBy("s_id").orderBy("rank", "t_id"))
+    links = [F.count_if(F.col("__own") == 1).alias("matched"), F.count_if("t_visible").alias("visible"), F.count_if(~F.col("t_visible")).alias("hidden")]
+    rest = stored(rest.withColumn("__own", own).observe(seen["rest"], *links))
+    chosen_n, found_n, top_n = (seen[x].get["rows"] for x in ("chosen", "found", "top"))
+    n = seen["rest"].get
     counts = {
         "query": question.text,
         "effective_query": signals["effective"],
-        "selected_sources": chosen.count(),
-        "matched_sources": n.matched,
-        "total_links": n.visible + n.hidden,
-        "visible_links": n.visible,
-        "hidden_links": n.hidden,
+        "selected_sources": chosen_n,
+        "matched_sources": n["matched"],
+        "total_links": n["visible"] + n["hidden"],
+        "visible_links": n["visible"],
+        "hidden_links": n["hidden"],
         "retailer_filter": signals["q_retailers"],
         "kind_filter": signals["q_kinds"],
         "anchor_tokens": signals["q_anchors"],
         "price_filter": {"min": signals["q_min"], "max": signals["q_max"]},
-        "candidates_fetched": found.count(),
+        "candidates_fetched": found_n,
         "follow_up_expand": more,
-        "excluded_previous_links": top.count() - n.visible - n.hidden,
+        "excluded_previous_links": top_n - n["visible"] - n["hidden"],
     }
     out = rest.select(
         F.col("s_id").alias("source_reference"), "rank", *[F.col(f"t_{c}").alias(c) for c in ("reference", "retailer", "name", "url", "price_eur", "visible")], "score", "method"

@@ -148,6 +148,28 @@ def test_ratio_runs_once_on_few_pairs(spark):
     assert over.count() == 0
 
 
+def test_stored_targets_are_not_shuffled(spark, tmp_path):
+    """Matching against a bucketed table: only the sources are shuffled by key, filters on its folders leave others unread, same matches."""
+    names = [f"Samsung OLED Fernseher {n} {m}" for n in ("55 Zoll", "65 Zoll", "") for m in ("QE55Q7F", "KX101B", "GQ65S90", "")]
+    s = products(spark, *[{"name": n, "ean": f"400000000000{i % 10}"} for i, n in enumerate(names)])
+    t = s.withColumn("listing_id", F.monotonically_increasing_id()).withColumn("retailer", F.lit("x")).withColumn("visible", F.col("listing_id") % 2 == 0).withColumn("category", F.concat(F.lit("c"), (F.col("listing_id") % 3).cast("string")))
+    name = f"matchable_{tmp_path.name}".replace("-", "_")
+    M.write_matchable(t, name, str(tmp_path / "t"), by=("visible", "category"), buckets=4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        table = spark.table(name)
+        joined = M._meet(M._source_side(s, "reference", 0.8), table.where("visible and category = 'c1'").withColumnsRenamed({c: f"t_{c}" for c in ("visible", "category")}))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        scan = plan[plan.index("FileScan parquet") :]
+        assert plan.count("Exchange hashpartitioning(key") == 1 and "Bucketed: true" in scan and "PartitionFilters: [isnotnull(visible" in scan.replace("t_visible", "visible")
+        got = {(r.s_id, r.t_id, r.score, r.method) for r in M.match_stored(s, table, by=("visible", "category")).collect()}
+        assert got == {(r.s_id, r.t_id, r.score, r.method) for r in M.match(s, t).collect()} and got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_letters_count_as_often_as_they_occur(spark):
     df = spark.createDataFrame([("aab", "abb"), ("", "a"), (None, "a"), ("x y x", "yxxx ")], "a string, b string")
     from collections import Counter
