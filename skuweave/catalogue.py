@@ -316,11 +316,13 @@ def search_terms(spark, sf):
     "enriched_products",
     f"""SELECT listing_id, CASE WHEN contains(name, ' 55 Zoll') THEN 55e0 WHEN spec_size = '139,7 cm' THEN 139.7e0 WHEN spec_size = '165 cm' THEN 165e0 END AS size,
   CASE WHEN contains(name, ' 55 Zoll') THEN 'Zoll' WHEN spec_size IS NOT NULL THEN 'cm' END AS unit, CASE WHEN contains(name, '4K') THEN '4K' END AS resolution, spec_model AS model_number,
-  CASE kind WHEN 'tv' THEN 'tv' WHEN 'headphone' THEN 'headphone' WHEN 'kettle' THEN 'kitchen_appliance' WHEN 'toaster' THEN 'kitchen_appliance' ELSE 'other' END AS product_type FROM ({_signals_sql(SQL_LISTINGS)})""",
+  CASE kind WHEN 'tv' THEN 'tv' WHEN 'headphone' THEN 'headphone' WHEN 'kettle' THEN 'kitchen_appliance' WHEN 'toaster' THEN 'kitchen_appliance' ELSE 'other' END AS product_type,
+  CASE WHEN listing_id % 5 = 0 THEN 'EIGENMARKE' WHEN lower(split_part(name, ' ', 1)) IN ({', '.join(repr(b) for b in V.ENRICHMENT_BRANDS)}) THEN upper(split_part(name, ' ', 1)) END AS own_brand FROM ({_signals_sql(SQL_LISTINGS)})""",
 )
 def enriched_products(spark, sf):
-    df = E.enrich(with_signals(listings(spark, sf)))
-    return df.select("listing_id", "size", F.col("size_unit").alias("unit"), "resolution", "model_number", "product_type")
+    told = F.when(F.col("listing_id") % 5 == 0, F.map_concat("specifications", F.create_map(F.lit("Hersteller"), F.lit(" Eigenmarke ")))).otherwise(F.col("specifications"))
+    df = E.enrich(with_signals(listings(spark, sf)).withColumn("specifications", told))
+    return df.select("listing_id", "size", F.col("size_unit").alias("unit"), "resolution", "model_number", "product_type", "own_brand")
 
 
 @query("point_ids", "SELECT page_id, CAST(('0x' || substr(md5(url), 17, 16))::UBIGINT & 9223372036854775807::UBIGINT AS BIGINT) AS id FROM pages")
@@ -814,16 +816,18 @@ def cosine_topk(spark, sf):
 
 @query(
     "triage_bands",
-    f"""WITH x AS (SELECT count(*) FILTER (WHERE score >= 0.95) AS a, count(*) FILTER (WHERE raw >= 0.55 AND score < 0.95) AS r FROM ({cascade_sql()}))
-  SELECT unnest(['accept', 'review', 'drop']) AS band, unnest([a, r, (SELECT count(*) FROM supplier) * (SELECT count(*) FROM part) - a - r]) AS n FROM x""",
+    f"""WITH x AS (SELECT count(*) FILTER (WHERE score >= 0.95) AS a, count(*) FILTER (WHERE raw >= 0.55 AND score < 0.95) AS r FROM ({cascade_sql()}) WHERE source_id <> listing_id)
+  SELECT unnest(['accept', 'review', 'drop']) AS band, unnest([a, r, (SELECT count(*) FROM supplier) * (SELECT count(*) FROM part) - (SELECT count(*) FROM supplier JOIN part ON s_suppkey = p_partkey) - a - r]) AS n FROM x""",
 )
 def triage_bands(spark, sf):
-    """All pairs by band: those that reach review are found by blocks, the others are counted as what is left."""
+    """All pairs but those of a product with itself, by band: those that reach review are found by blocks, the rest is counted."""
     s, t = sources(spark, sf), listings(spark, sf)
-    scored = M.match(with_signals(s), with_signals(t), threshold=R.REVIEW, source_id="source_id", extra=("reference",))
+    matched = M.match(with_signals(s), with_signals(t), threshold=R.REVIEW, source_id="reference", extra=("reference",))
+    scored = R.without_itself(matched, "s_id", "t_reference")
     n = scored.agg(F.count_if(R.triage(F.col("score")) == "accept").alias("a"), F.count("*").alias("k"))
-    n = n.crossJoin(s.agg(F.count("*").alias("ns"))).crossJoin(t.agg(F.count("*").alias("nt")))  # single rows
-    bands = [("accept", F.col("a")), ("review", F.col("k") - F.col("a")), ("drop", F.col("ns") * F.col("nt") - F.col("k"))]
+    itself = s.select("reference").join(t.select("reference"), "reference").agg(F.count("*").alias("same"))
+    n = n.crossJoin(s.agg(F.count("*").alias("ns"))).crossJoin(t.agg(F.count("*").alias("nt"))).crossJoin(itself)  # single rows
+    bands = [("accept", F.col("a")), ("review", F.col("k") - F.col("a")), ("drop", F.col("ns") * F.col("nt") - F.col("same") - F.col("k"))]
     return n.select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), c.alias("n")) for b, c in bands])).alias("x")).select("x.*")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skuweave.functions import vocabulary as V
 from skuweave.functions.signals import first_of, spec_values
 from skuweave.functions.text import bind, clean_name, strip
 
@@ -62,8 +63,17 @@ def filled(c: Column) -> Column:
     return F.when(strip(c) != "", strip(c))
 
 
+def own_brand(products: DataFrame, specs: Column) -> Column:
+    """The brand that retrieval goes by, upper case: a field of the specification or, under the same name in small letters,
+    of the product; else the name's first word, if it is a known brand."""
+    column = {c: F.col(c).cast("string") for c in products.columns}
+    fields = [x for k in BRAND_FIELDS for x in (spec_values(specs, [k])[0], column.get(k.lower())) if x is not None]
+    first = bind(F.rtrim(F.lower(F.get(F.split(strip(F.col("name")), r"\s+"), 0)), F.lit("®™")), lambda w: F.when(w.isin(V.ENRICHMENT_BRANDS), w))
+    return F.upper(F.coalesce(first_of(fields, filled), first))
+
+
 def enrich(products: DataFrame) -> DataFrame:
-    """with_signals() rows with product_type, size, size_unit, model_number, resolution and chunk, a text for retrieval."""
+    """with_signals() rows with product_type, size, size_unit, model_number, resolution, own_brand and chunk, a text for retrieval."""
     specs = F.coalesce("specifications", F.create_map().cast("map<string,string>"))
     df = products.withColumn("__size", F.coalesce(size_with_unit(F.col("name")), first_of(spec_values(specs, SIZE_FIELDS), size_with_unit)))
     df = df.withColumns(
@@ -72,9 +82,11 @@ def enrich(products: DataFrame) -> DataFrame:
             "size": F.col("__size.size"),
             "size_unit": F.col("__size.unit"),
             "model_number": first_of(spec_values(specs, MODEL_FIELDS), filled),
+            "own_brand": own_brand(products, specs),
             "resolution": resolution(F.concat_ws(" ", F.col("name"), F.map_values(specs))),
         }
     ).drop("__size")
+    # The labels of a chunk's lines, in their order.
     label = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))
     tags = [
         label("Product type", "product_type"),

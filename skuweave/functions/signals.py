@@ -75,7 +75,7 @@ def _proper_model(text: Column) -> Column:
 
 
 def is_generic_model(c: Column) -> Column:
-    return c.isin(V.MODEL_BLOCKLIST) | c.startswith("DVB") | c.rlike(V.GENERIC_MODEL)
+    return c.isin(V.MODEL_BLOCKLIST) | c.startswith("DVB") | c.rlike("|".join(V.GENERIC_MODELS))
 
 
 def family_variants(c: Column) -> Column:
@@ -207,8 +207,11 @@ def listing_key(retailer: Column, url: Column) -> Column:
     return F.concat(shop, best)
 
 
-def search_terms(max_terms: int = 6) -> Column:
-    """Over with_signals() rows: barcodes, ASINs, models and names to search for, without repeats whatever the case."""
+def search_terms(max_terms: int = 6, proposed: Column | None = None) -> Column:
+    """Over with_signals() rows: barcodes, ASINs, models and names to search for, without repeats whatever the case.
+
+    proposed: an array of further terms, such as a model's lines, which come after these, without bullets before them.
+    """
     b = F.initcap(F.lower(F.coalesce("brand_norm", F.lit(""))))
     name = strip(F.coalesce("name", F.lit("")))
     both = lambda x: F.concat(b, F.lit(" "), x)
@@ -217,7 +220,13 @@ def search_terms(max_terms: int = 6) -> Column:
     tail = F.array_compact(
         F.array(F.when((b != "") & (name != ""), both(name)), F.when(name != "", name), F.when((b != "") & (F.size(words_) > 0), both(F.array_join(F.slice(words_, 1, 4), " "))))
     )
-    every = F.filter(F.transform(F.concat("eans", "asins", by_model, tail), lambda t: strip(F.regexp_replace(t, r"\s+", " "))), lambda t: t != "")
+    further = F.array().cast("array<string>") if proposed is None else F.coalesce(F.transform(proposed, lambda t: strip(F.ltrim(strip(t), F.lit("-•*→")))), F.array().cast("array<string>"))
+    own = F.slice(_distinct_terms(F.concat("eans", "asins", by_model, tail)), 1, max_terms)
+    return F.slice(_distinct_terms(F.concat(own, further)), 1, max_terms)
+
+
+def _distinct_terms(terms: Column) -> Column:
+    """Terms with single spaces, blank ones and repeats whatever the case left out."""
+    every = F.filter(F.transform(terms, lambda t: strip(F.regexp_replace(t, r"\s+", " "))), lambda t: t != "")
     seen = F.transform(every, F.lower)
-    first = F.filter(every, lambda t, i: F.array_position(seen, F.lower(t)) == i + 1)
-    return F.slice(first, 1, max_terms)
+    return F.filter(every, lambda t, i: F.array_position(seen, F.lower(t)) == i + 1)

@@ -14,7 +14,6 @@ SIZE_KEYS = [
     "Bildschirmdiagonale", "Bildschirmdiagonale (cm/Zoll)", "Bildschirmdiagonale in cm, Zoll", "Größe", "Fassungsvermögen",
     "Kabellänge", "Länge", "Abmessungen", "Produktabmessungen",
 ]
-DEBUG_SPEC_PREFIXES = ["_", "source_"]
 
 # Words that say nothing about a product, by place.
 NAME_STOPWORDS = [
@@ -38,7 +37,8 @@ MODEL_BLOCKLIST = [
     "SERIE6", "SERIE7", "SERIE8", "SERIE9", "SERIES4", "SERIES5", "SERIES6", "SERIES7", "SERIES8", "SERIES9", "SILBER",
     "SILVER", "SMARTTV", "TRIPLE", "UHD", "WASHTOWER", "WEISS", "WHITE", "WIFI", "WLAN",
 ]
-GENERIC_MODEL = r"^(?:(?:IQ|SERIE|SERIES)\d{2,4}|\d{2,4}(?:SERIE|SERIES)|(?:A|X|Q)PRO|SMART(?:TV)?|FULLHD|HDR\d*PLUS?)$"
+# Patterns of words that look like models and aren't.
+GENERIC_MODELS = [r"^(?:IQ|SERIE|SERIES)\d{2,4}$", r"^\d{2,4}(?:SERIE|SERIES)$", r"^(?:A|X|Q)PRO$", r"^SMART(?:TV)?$", r"^FULLHD$", r"^HDR\d*PLUS?$"]
 MODEL_JOIN_STOPWORDS = [
     "A", "AND", "CM", "C7", "DB", "DISPLAYPORT", "FULL", "G", "GOOGLE", "GRAMM", "HD", "HZ", "INCH", "KG", "L", "LED",
     "LITER", "M", "MIN", "ML", "MM", "EURO", "HDMI", "IEC", "LIGHTNING", "PRO", "RJ45", "SMART", "TV", "U", "UHD", "USB",
@@ -127,3 +127,12 @@ KIND_KEYWORDS = {
     "washer": ["washer", "washers", "washing machine", "washing machines", "waschmaschine", "waschmaschinen"],
     "washer_dryer": ["washer dryer", "washer dryers", "waschtrockner", "waschtrocknern"],
 }
+
+# First words of names that count as a brand when products are enriched for retrieval.
+ENRICHMENT_BRANDS = [
+    "samsung", "lg", "sony", "philips", "sharp", "tcl", "hisense", "xiaomi", "grundig", "telefunken", "panasonic", "toshiba",
+    "jvc", "metz", "loewe", "nokia", "peaq", "chiq", "dyon", "ok", "ok.", "thomson", "strong", "jbl", "bose", "sonos",
+    "harman", "sennheiser", "jabra", "apple", "remington", "braun", "rowenta", "dyson", "bosch", "siemens", "delonghi",
+    "nespresso", "krups", "melitta", "jura", "saeco", "tefal", "wmf", "sage", "ninja", "cosori", "instant", "miele", "aeg",
+    "electrolux", "gorenje", "haier", "arçelik", "hama", "goobay", "deleycon", "ancable", "sonero", "mcbazel",
+]
