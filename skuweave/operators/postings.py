@@ -39,7 +39,8 @@ def write_postings(docs: DataFrame, path: str, *, ident: str, text: str, keep: t
     Ids are unique and not null (rows without one are left out); a null text has no terms, its document counts all the same.
     """
     slim = docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), *keep, tokens(normalize(F.col(text))).alias("words"))
-    slim = slim.withColumn("dl", F.size("words")).withColumn("band", F.floor(2 * F.log2(F.col("dl") + 1)).cast("long"))
+    # Words are read three times and made once.
+    slim = stored(slim.withColumn("dl", F.size("words")).withColumn("band", F.floor(2 * F.log2(F.col("dl") + 1)).cast("long")))
     bands = stored(slim.groupBy("band").agg(F.ceil(F.count("*") / size).alias("ranges"), F.count("*").alias("docs"), F.sum("dl").alias("words_")))
     total = bands.agg(F.sum("docs").alias("n"), (F.sum("words_") / F.sum("docs")).alias("avgdl"))
     total.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")

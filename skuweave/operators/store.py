@@ -49,6 +49,14 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores behind it as it takes to differ from all of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Steps that leave each row what it is in its file.
 _IN_PLACE = ("Project", "Filter", "SubqueryAlias", "View", "LogicalRelation")
 
