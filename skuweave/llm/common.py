@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuweave.operators.store import shared_dir, stored
+from skuweave.operators.store import free_name, shared_dir, stored
 
 #: The white space that separates words, as the characters of ``[\x20\x09-\x0D]``.
 SPACE = " \t\n\x0b\x0c\r"
@@ -62,7 +62,7 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     Rows that tie in ``order`` are told apart by their place in the input, so no tie fills one range.
     """
     spark = df.sparkSession
-    tie, pos = "__sw_tie", "__sw_pos"
+    tie, pos, held, start = (free_name(df, f"__sw_{n}") for n in ("tie", "pos", "part", "start"))
     placed = df.withColumn(tie, F.monotonically_increasing_id())
     kept = cut(placed.repartitionByRange(parts(spark), *order, F.col(tie)).sortWithinPartitions(*order, F.col(tie)).drop(tie))
     kept = kept.withColumn(pos, F.monotonically_increasing_id())
@@ -72,13 +72,8 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     for p, n in counts:
         starts.append((p, before))
         before += n
-    offsets = spark.createDataFrame(starts or [(0, 0)], "__sw_part long, __sw_start long")
-    return (
-        kept.withColumn("__sw_part", part)
-        .join(F.broadcast(offsets), "__sw_part")
-        .withColumn(name, F.col("__sw_start") + low)
-        .drop(pos, "__sw_part", "__sw_start")
-    )
+    offsets = spark.createDataFrame(starts or [(0, 0)], f"{held} long, {start} long")
+    return kept.withColumn(held, part).join(F.broadcast(offsets), held).withColumn(name, F.col(start) + low).drop(pos, held, start)
 
 
 def _ends(group: str, weight: str):
@@ -128,7 +123,7 @@ def running(df: DataFrame, group: str, order: list, weight: str, name: str) -> D
     lies; a row for each partition goes to the driver, which carries sums over to the partitions that a group runs into.
     Rows that tie in ``order`` follow in the order of their place in the input.
     """
-    tie = "__sw_tie"
+    tie = free_name(df, "__sw_tie")
     keys = [F.col(group), *order, F.col(tie)]
     placed = df.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange(parts(df.sparkSession), *keys).sortWithinPartitions(*keys)
     kept = cut(placed.drop(tie))

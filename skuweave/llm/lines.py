@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skuweave.llm.common import SPACE_BYTES, cut, documents, give_back
-from skuweave.operators.store import identified
+from skuweave.operators.store import free_name, identified
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -67,30 +67,26 @@ def line_filter(min_chars: int, names: tuple):
     return run
 
 
-#: The column that tells rows apart, which tables aren't expected to have.
-ROW = "__sw_line_row"
-
-
-def _named(ident: str) -> list:
+def _named(ident: str, row: str) -> list:
     """A document's name: its id, or, where that is null, its row (else null), as (file, at)."""
     ident = F.col(ident).cast("long")
-    return [ident.alias("id"), *[F.when(ident.isNull(), F.col(ROW)[c]).alias(c) for c in ("file", "at")]]
+    return [ident.alias("id"), *[F.when(ident.isNull(), F.col(row)[c]).alias(c) for c in ("file", "at")]]
 
 
-def repeated_lines(docs: DataFrame, ident: str, text: str, min_chars: int, min_docs: int) -> DataFrame:
-    """(id, file, at, drop): per document the keys (16 bytes each) whose lines it loses; docs has ROW, which names rows without an id.
+def repeated_lines(docs: DataFrame, ident: str, text: str, row: str, min_chars: int, min_docs: int) -> DataFrame:
+    """(id, file, at, drop): per document the keys (16 bytes each) whose lines it loses; row names rows without an id.
 
     A key's count of documents and its first one come from a pre-aggregated group-by; only keys over the threshold meet
     the (document, key) rows again, in a sort-merge join whose large keys Spark splits.
     """
-    slim = docs.select(*_named(ident), F.col(text).alias("text"))
+    slim = docs.select(*_named(ident, row), F.col(text).alias("text"))
     pairs = cut(slim.mapInArrow(line_keys(min_chars), "id long, file long, at long, h1 long, h2 long"))
-    row = F.when(F.col("id").isNull(), F.struct("file", "at"))
-    least = [F.min("id").alias("first_id"), F.min(row).alias("first_row")]
+    place = F.when(F.col("id").isNull(), F.struct("file", "at"))
+    least = [F.min("id").alias("first_id"), F.min(place).alias("first_row")]
     if min_docs == 2:
         # Two documents or more: two ids, two rows without an id, or one of each.
         many = "last_id > first_id or last_row > first_row or (first_id is not null and first_row is not null)"
-        counts = pairs.groupBy("h1", "h2").agg(*least, F.max("id").alias("last_id"), F.max(row).alias("last_row")).where(many).drop("last_id", "last_row")
+        counts = pairs.groupBy("h1", "h2").agg(*least, F.max("id").alias("last_id"), F.max(place).alias("last_row")).where(many).drop("last_id", "last_row")
     else:
         counts = pairs.distinct().groupBy("h1", "h2").agg(*least, F.count("*").alias("n")).where(F.col("n") >= min_docs).drop("n")
     counts = cut(counts)
@@ -117,17 +113,17 @@ def dedup_lines_in(docs: DataFrame, *, ident: str = "doc_id", text: str = "text"
 
     A column of docs that has one of these names is replaced.
     """
-    drops = repeated_lines(docs := identified(docs, ROW), ident, text, min_chars, min_docs)
-    name = lambda i, f, a: [F.coalesce(i, F.lit(0)).alias("__sw_id"), F.coalesce(f, F.lit(0)).alias("__sw_file"), F.coalesce(a, F.lit(-1)).alias("__sw_at")]
-    drops = drops.select(
-        *name(*map(F.col, ("id", "file", "at"))), F.transform("drop", lambda d: F.concat(F.unhex(F.lpad(F.hex(d.h1), 16, "0")), F.unhex(F.lpad(F.hex(d.h2), 16, "0")))).alias("__sw_drop")
+    row, body, drop, *key = (free_name(docs, f"__sw_{n}") for n in ("line_row", "text", "drop", "id", "file", "at"))
+    rest, types = [c for c in docs.columns if c not in (text, *names)], dict(docs.dtypes)
+    docs = identified(docs, row)
+    name = lambda *parts: [F.coalesce(p, F.lit(none)).alias(k) for p, none, k in zip(parts, (0, 0, -1), key, strict=True)]
+    drops = repeated_lines(docs, ident, text, row, min_chars, min_docs).select(
+        *name(*map(F.col, ("id", "file", "at"))), F.transform("drop", lambda d: F.concat(F.unhex(F.lpad(F.hex(d.h1), 16, "0")), F.unhex(F.lpad(F.hex(d.h2), 16, "0")))).alias(drop)
     )
-    rest = [c for c in docs.columns if c not in (text, ROW, *names)]
     # Null ids have a name of their own each, so they don't meet under one join key.
-    slim = docs.select(*rest, F.col(text).alias("__sw_text"), *name(*_named(ident))).join(drops, ["__sw_id", "__sw_file", "__sw_at"], "left")
-    types = dict(docs.dtypes)
+    slim = docs.select(*rest, F.col(text).alias(body), *name(*_named(ident, row))).join(drops, key, "left")
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in rest), f"`{names[0]}` string, `{names[1]}` long, `{names[2]}` long"])
-    return slim.select(*rest, "__sw_text", "__sw_drop").mapInArrow(line_filter(min_chars, names), schema)
+    return slim.select(*rest, body, drop).mapInArrow(line_filter(min_chars, names), schema)
 
 
 def op4_lines(spark, sf_dir: str) -> DataFrame:

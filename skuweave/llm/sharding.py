@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skuweave.llm.common import documents, numbered
+from skuweave.operators.store import free_name
 
 ROUNDS = 6
 
@@ -71,12 +72,14 @@ def shard(df: DataFrame, order: list, shards: int, seed: int = 29) -> DataFrame:
     def place(r: pd.Series) -> pd.Series:
         return pd.Series(permute(r.to_numpy(), n, seed))
 
-    at = "__sw_place"
+    at = free_name(rows, "__sw_place")
     rows = rows.withColumn(at, place("row_number"))
     return rows.withColumn("shard", (F.col(at) % shards).cast("int")).withColumn("slot", F.expr(f"`{at}` div {shards}")).drop(at)
 
 
 def op3_shards(spark, sf_dir: str) -> DataFrame:
+    """shard() of all documents into 16 by id, size and checksum; a null text is empty, a null id comes first, repeated rows
+    take a slot each, an empty table gives no rows."""
     text = F.coalesce("text", F.lit(""))
     slim = documents(spark, sf_dir).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     out = shard(slim, [F.col("doc_id"), F.col("size"), F.col("text_crc32")], 16)

@@ -237,3 +237,25 @@ def test_a_text_of_a_million_words(spark, tmp_path):
     assert got[6] == (n, hashlib.sha256(output.encode()).hexdigest()) and n == 1_000_001
     best = phrases.collocations(df.withColumn("lang", F.lit("xx"))).collect()
     assert sorted(tuple(r)[:8] for r in best) == sorted(brute_phrases([("xx", long), ("xx", "short one")])) and len(best) == 997
+
+
+def test_a_million_words_through_the_other_operators(spark, tmp_path):
+    """A text of a million words beside its near copy and a short one: counted, compared, packed and encoded as a whole."""
+    n = 1_000_000
+    words = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64(i), F.lit(50_000)).cast("string")))
+    long = spark.range(2).select(F.col("id").alias("doc_id"), F.concat(F.array_join(words, " "), F.when(F.col("id") == 1, "\na last line that is longer").otherwise("\nshort")).alias("text"))
+    docs = long.unionByName(spark.createDataFrame([(2, "a short text of six words\na last line that is longer")], "doc_id long, text string"))
+    docs = docs.withColumn("lang", F.lit("en")).withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("long"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    run = lambda name: {r[0]: r for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert {i: r.size for i, r in run("op1_mix").items()} == {0: n + 1, 1: n + 6, 2: 12}
+    assert {i: r.n_dropped for i, r in run("op4_lines").items()} == {0: 0, 1: 1, 2: 1}  # the long line is in both
+    near = run("op8_jaccard")
+    assert near[1].component_id == 0 and near[2].component_id == 2 and abs(near[0].n_shingles - (n - 3)) < 10
+    assert {i: r.n_words for i, r in run("op10_quality").items()} == {0: n + 1, 1: n + 6, 2: 12}
+    tokens = run("op7_tokens")
+    assert tokens[0].n_tokens > n and tokens[1].start == tokens[0].n_tokens
+    assert {r.lang_pred for r in run("op2_language").values()} <= {"en", "und"} and len(run("op6_toxicity")) == 3
+    pieces = queries.QUERIES["op5_pack"](spark, str(tmp_path)).where("doc_id = 0").collect()
+    assert len({r.piece for r in pieces}) == len(pieces) > 500 and max(r.length for r in pieces) == 2048

@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from skuweave.llm import queries
 from tests.llm.test_operators import brute_lines, brute_near, WORDS
@@ -94,3 +96,22 @@ def test_stages_do_not_depend_on_how_scans_are_split(spark, many_files, restless
     assert all(n <= 2 * m for k, m in Counter((r.doc_id, r.text) for r in rows).items() if (n := mixed[k]))
     size = lambda c: sum(n * len(WORDS.findall(t)) for (_, t), n in c.items())
     assert size(mixed) == pytest.approx(1.5 * size(Counter((r.doc_id, r.text) for r in rows)), rel=0.05)
+
+
+def test_columns_named_like_the_stages_own(spark, tmp_path):
+    """Every stage keeps columns that have the names of its own, with their values."""
+    names = ["__sw_row", "__sw_id", "__sw_tie", "__sw_text", "__sw_times", "__sw_kept", "__sw_drop", "__sw_at", "__SW_LINE_ROW", "row", "id", "file"]
+    line = "a line that all of these documents share"
+    data = [(i if i % 3 else None, " ".join(f"w{i % 40}x{k}" for k in range(30)) + f"\n{line}", "en", f"s{i % 2}", 1) for i in range(80)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(n), F.sha2("text", 256)).alias(n) for n in names])
+    docs.coalesce(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, told = spark.read.parquet(str(tmp_path / "documents.parquet")), {r["__sw_row"] for r in docs.collect()}
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage-{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage-{k}"))
+        rows = docs.collect()
+        assert docs.columns[5:] == names and rows and {r["__sw_row"] for r in rows} <= told
+        assert all(r[n][len(n) :] == r["__sw_row"][len("__sw_row") :] for r in rows for n in names)
+    assert P.best_fit_packing(spark, docs, str(tmp_path)).count() >= docs.count() > 0
