@@ -17,17 +17,17 @@ from skuweave.llm.mixing import mix_copies, words
 from skuweave.llm.nearjoin import COPIES, near_duplicates
 from skuweave.llm.packing import pack_documents
 from skuweave.llm.quality import quality
-from skuweave.operators.store import identified, remove
+from skuweave.operators.store import free_name, identified, remove
 
-#: The stages' own column names, which tables aren't expected to have.
+#: The stages' own column names; where a table has such a column, an underscore more.
 ROW, TIMES, COPY = "__sw_row", "__sw_times", "__sw_copy"
 LINES = ("__sw_kept", "__sw_lines", "__sw_dropped")
 
 
-def _keep(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """rows without those that gone names by ROW: a broadcast if they are few, else a shuffle of both."""
-    gone = cut(gone.select(ROW))
-    return rows.join(bounded(gone, gone.count(), COPIES), ROW, "left_anti").drop(ROW)
+def _keep(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """rows without those that gone names: a broadcast if they are few, else a shuffle of both."""
+    gone = cut(gone.select(row))
+    return rows.join(bounded(gone, gone.count(), COPIES), row, "left_anti").drop(row)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +35,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text has under 10 words and goes; repeated rows are judged each by itself; an empty table stays one.
     """
-    rows = identified(docs, ROW)
-    judged = quality(rows, documents(spark, sf_dir, "labels"), carry=[ROW])
-    return _keep(rows, judged.where("not kept")).select(docs.columns)
+    row = free_name(docs, ROW)
+    rows = identified(docs, row)
+    judged = quality(rows, documents(spark, sf_dir, "labels"), carry=[row])
+    return _keep(rows, row, judged.where("not kept")).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first in its file; rows with the same id are one document; an empty table stays one.
     """
     small_batches(spark)
-    out = dedup_lines_in(docs, names=LINES).withColumn("text", F.col(LINES[0]))
+    names = tuple(free_name(docs, n) for n in LINES)
+    out = dedup_lines_in(docs, names=names).withColumn("text", F.col(names[0]))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
@@ -59,9 +61,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words (null ones too) link with nothing and stay; rows without an id are above all ids; repeated rows
     are copies; an empty table stays one.
     """
-    rows = identified(docs, ROW)
-    found = near_duplicates(rows, row=ROW)
-    return _keep(rows, found.where("row != first").select(F.col("row").alias(ROW))).select(docs.columns)
+    row = free_name(docs, ROW)
+    rows = identified(docs, row)
+    found = near_duplicates(rows, row=row)
+    return _keep(rows, row, found.where("row != first").select(F.col("row").alias(row))).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,11 +73,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without words (null texts too) aren't taken; a null source is a source; repeated rows are copies; an empty
     table stays one.
     """
-    rows = identified(docs, ROW)
-    mixed = mix_copies(rows, ident=ROW, size=words(F.col("text")), source=F.col("source"), text=F.col("text"))
-    taken = mixed.where("taken > 0").select(F.col("id").alias(ROW), F.col("times").alias(TIMES))
-    again = rows.join(taken, ROW)
-    return again.withColumn(COPY, F.explode(F.sequence(F.lit(1), F.col(TIMES)))).select(docs.columns)
+    row, times, copy = (free_name(docs, n) for n in (ROW, TIMES, COPY))
+    rows = identified(docs, row)
+    mixed = mix_copies(rows, ident=row, size=words(F.col("text")), source=F.col("source"), text=F.col("text"))
+    taken = mixed.where("taken > 0").select(F.col("id").alias(row), F.col("times").alias(times))
+    again = rows.join(taken, row)
+    return again.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
