@@ -831,6 +831,13 @@ def triage_bands(spark, sf):
     return n.select(F.explode(F.array(*[F.struct(F.lit(b).alias("band"), c.alias("n")) for b, c in bands])).alias("x")).select("x.*")
 
 
+@query("unvisited_events", "SELECT event_id FROM events e WHERE event_id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM events v WHERE v.event_id % 4 = 0 AND v.user_id = e.user_id AND v.event_type = e.event_type AND v.props = e.props)")
+def unvisited_events(spark, sf):
+    """Events whose user, type and properties no event of a fourth of them had, by a Bloom filter before the exact join."""
+    e = table(spark, sf, "events")
+    return I.unvisited(e.where("event_id % 4 <> 0"), e.where("event_id % 4 = 0"), ["user_id", "event_type", "props"], 1 << 20).select("event_id")
+
+
 @query("upload_validation", "SELECT count(*) AS rows, count(*) FILTER (WHERE coalesce(source, '') = '' OR coalesce(text, '') = '') AS missing, count(*) > 0 AND count(*) FILTER (WHERE coalesce(source, '') = '' OR coalesce(text, '') = '') = 0 AS valid FROM documents")
 def upload_validation(spark, sf):
     return I.validate_upload(table(spark, sf, "documents").select(F.col("source").alias("reference"), F.col("text").alias("name")))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from skuweave.functions.signals import listing_key, with_signals
 from skuweave.functions.text import canonical_url
+from skuweave.operators.store import stored
 
 PRODUCT = "reference STRING, name STRING, brand STRING, ean STRING, category STRING, image_url STRING, price_eur DOUBLE, specifications MAP<STRING,STRING>"
 TARGET = PRODUCT + ", retailer STRING, url STRING"
@@ -97,6 +98,39 @@ def not_visited(df: DataFrame, visited: DataFrame, keys: list) -> DataFrame:
     return df.join(visited.select(*keys).distinct(), keys, "left_anti")
 
 
+#: Bits of a Bloom filter (2 MB) and of them those that a key sets.
+BLOOM_BITS, BLOOM_HASHES = 1 << 24, 4
+
+
+def _places(keys: list, bits: int, hashes: int):
+    """The bits that a key sets: steps of one half of its hash from the other."""
+    h = F.xxhash64(*keys)
+    return F.array(*[F.pmod(h.bitwiseAND(0xFFFFFFFF) + i * F.shiftrightunsigned(h, 32), F.lit(bits)) for i in range(hashes)])
+
+
+def bloom_filter(rows: DataFrame, keys: list, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> DataFrame:
+    """One row with ``bloom``, the filter's bits as longs; the keys are ORed together where they lie and by word."""
+    at = rows.select(F.explode(_places(keys, bits, hashes)).alias("at"))
+    words = at.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("set"))
+    every = rows.sparkSession.range(bits // 64).withColumnRenamed("id", "word").join(words, "word", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("word", F.coalesce("set", F.lit(0).cast("long")).alias("set"))))
+    return every.agg(F.transform(ordered, lambda x: x.set).alias("bloom"))
+
+
+def may_hold(df: DataFrame, bloom: DataFrame, keys: list, name: str, bits: int = BLOOM_BITS, hashes: int = BLOOM_HASHES) -> DataFrame:
+    """df with ``name``: false for keys that the filter can't hold.  The filter is a single row of ``bits``, so it is broadcast."""
+    bit = lambda p: F.call_function("shiftright", F.get("bloom", F.call_function("div", p, F.lit(64)).cast("int")), (p % 64).cast("int")).bitwiseAND(1)
+    return df.crossJoin(F.broadcast(bloom)).withColumn(name, F.forall(_places(keys, bits, hashes), lambda p: bit(p) == 1)).drop("bloom")
+
+
+def unvisited(df: DataFrame, visited: DataFrame, keys: list, bits: int = BLOOM_BITS) -> DataFrame:
+    """not_visited() for large sets: rows that a Bloom filter of what was visited can't hold pass at once, the others meet
+    the visited keys in the exact anti join; of df only those are shuffled.  Null keys were never visited."""
+    told = may_hold(df, stored(bloom_filter(visited, keys, bits)), keys, "__seen", bits)
+    sure, open_ = told.where("not __seen").drop("__seen"), told.where("__seen").drop("__seen")
+    return sure.unionByName(not_visited(open_, visited, keys))
+
+
 def pool_records(scraped: DataFrame) -> DataFrame:
     """Scraped hits (source_reference, scraped: array of structs) as listings named after their address, one per shop and URL."""
     from skuweave.functions.text import make_ref, url_category, url_slug_name

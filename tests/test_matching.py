@@ -436,6 +436,19 @@ def test_seed_and_pools(spark):
     assert [(r.name, r.category) for r in I.pool_records(hits).collect()] == [("red ring", "shop")]
 
 
+def test_unvisited_meets_few(spark):
+    """A Bloom filter lets most new keys by, holds all visited ones, and the exact join mends what it can't tell."""
+    visited = spark.range(0, 2000).select(F.col("id").alias("k"), F.lit("x").alias("s"))
+    df = spark.range(1000, 9000).select(F.col("id").alias("k"), F.lit("x").alias("s"), "id").unionByName(spark.createDataFrame([(None, "x", -1), (5, None, -2), (5, "x", -3)], "k long, s string, id long"))
+    got = {r.id for r in I.unvisited(df, visited, ["k", "s"], 1 << 15).collect()}
+    assert got == set(range(2000, 9000)) | {-1, -2}
+    told = I.may_hold(df, I.bloom_filter(visited, ["k", "s"], 1 << 15), ["k", "s"], "seen", 1 << 15)
+    assert told.where("id between 1000 and 1999 and not seen").count() == 0 and 0 < told.where("id >= 2000 and seen").count() < 700
+    tight = I.unvisited(df, visited, ["k", "s"], 1 << 7)
+    assert {r.id for r in tight.collect()} == got
+    assert I.unvisited(df, visited.where("false"), ["k", "s"], 1 << 10).count() == df.count()
+
+
 def test_report_and_multi_term(spark):
     shown = spark.createDataFrame([("s", "A", None)], "s_id string, retailer string, url string")
     hidden = spark.createDataFrame([("t", "Expert AT", "https://x/list")], "s_id string, retailer string, url string")

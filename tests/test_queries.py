@@ -47,9 +47,13 @@ def test_submissions_hold_matches_by_name_ratio(spark):
     assert got == want and want
 
 
-def test_entry_without_the_corpus_subpackage(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_without_the_corpus_subpackage(tmp_path, pipeline):
+    """The folders of the subpackage are gone, the pipeline's file with them or not."""
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(os.path.join(top, "skuweave"), tmp_path / "skuweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(os.path.join(top, "__spark_entry__.py"), tmp_path)
+    for name in ["__spark_entry__.py", *(["corpus_pipeline.py"] if pipeline else [])]:
+        if os.path.exists(os.path.join(top, name)):
+            shutil.copy(os.path.join(top, name), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
