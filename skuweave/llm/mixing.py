@@ -1,7 +1,8 @@
 """Mixing sources to target weights: a min-cost flow from membership patterns to source quotas.
 
 A document's membership pattern is the set of the sources that hold it: those given for it, or those of all rows with the
-same text.  Patterns of several sources, and the sources in them, go through the flow on the driver; a source that shares
+same text.  All patterns of several sources, and the sources in them, go through the flow: a small network is solved on the
+driver, a larger one by rounds over DataFrames, and both flows are the cheapest that there are.  A source that shares
 nothing has a flow of one arc, which is an expression.  Documents are then laid out by pattern in an order that the seed
 fixes, and each source takes its stretch of that order, so that sources that share texts take different ones first.
 """
@@ -10,18 +11,22 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skuweave.llm.common import bounded, cut, documents, numbered, running
+from skuweave.llm.common import bounded, cut, documents, new_path, numbered, running
+from skuweave.operators.store import remove
 
 #: Words that separate nothing: a word is a run of anything but these.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Patterns of several sources that the flow sees, the largest by words, and sources in one of them.  Documents of other
-#: such patterns count for their own source alone: quotas are met all the same, only the order of preference is lost.
-MAX_PATTERNS, MAX_SOURCES = 512, 32
+#: Arcs (pairs of a pattern and a source of it) that the driver solves; more go by rounds.  A parameter of the speed alone:
+#: both ways meet the same share of the quotas at the same cost.
+LOCAL_ARCS = 200_000
 #: Repetitions that have a cost each; beyond them costs go by powers of two.
 SINGLY = 8
+#: Fixed point of the places at which stretches start, where they are summed over DataFrames.
+PLACES = 1 << 40
 #: Rows of a plan that are broadcast; a larger plan is joined by a shuffle.
 PLAN_ROWS = 100_000
 
@@ -33,58 +38,137 @@ def step(used: int, words: int) -> tuple[int, int]:
     return k * k, k * words
 
 
+def _ahead(group: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each row the sum of ``weight`` over the rows of its group before it."""
+    order = np.argsort(group, kind="stable")
+    g, w = group[order], weight[order]
+    before = np.cumsum(w) - w
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, int)
+    out = np.empty_like(w)
+    out[order] = before - np.repeat(before[start], np.diff(np.append(start, len(g))))
+    return out
+
+
 def min_cost_flow(capacity: dict, quota: dict, epochs: int, arcs: dict | None = None) -> dict:
     """Words that each pattern (a tuple of sources) gives each of its sources, as {(pattern, source): words}.
 
-    A pattern's words cost k * k each the k-th time.  Without arcs a pattern gives them ``epochs`` times in all; with
-    arcs, {(pattern, source): words}, each source gets at most so many.  The flow meets as much of the quotas as it can
-    and is the cheapest that does: successive shortest paths, along which words that a pattern gave to one source may be
-    taken back for another.
+    A pattern's words cost k * k each the k-th time (see step()).  Without arcs a pattern gives them ``epochs`` times in
+    all; with arcs, {(pattern, source): words}, each source gets at most so many.  The flow meets as much of the quotas as
+    it can and is the cheapest that does.
+
+    What a pattern gives costs more from one use of its words to the next, the same for all patterns, so the flow is made
+    largest for one use, then from there for the next, and is the cheapest after each.  Within one use words are pulled:
+    a source that lacks words asks the patterns on its shortest way to spare words; those that have none to spare take
+    them back from another source, nearer to spare words, which then lacks them itself.  What a pattern gives never falls.
+    Distances are found anew in every round, so each round pulls along shortest ways only (push-relabel with exact
+    labels), and a use is done when no source that lacks words has a way to any.
     """
     patterns = [p for p in capacity if capacity[p] > 0]
-    most = {p: epochs * capacity[p] if arcs is None else sum(arcs.get((p, s), 0) for s in p) for p in patterns}
-    arc = {(p, s): most[p] if arcs is None else arcs.get((p, s), 0) for p in patterns for s in p}
-    used, flow = dict.fromkeys(patterns, 0), dict.fromkeys(arc, 0)
-    left = {s: quota.get(s, 0) for p in patterns for s in p}
-    givers = defaultdict(list)
-    for p, s in arc:
-        givers[s].append(p)
+    keys = [(p, s) for p in patterns for s in p]
+    names = sorted({s for _, s in keys})
+    at = {s: i for i, s in enumerate(names)}
+    words = np.array([capacity[p] for p in patterns], np.int64)
+    pat = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
+    src = np.array([at[s] for _, s in keys], np.int64)
+    cap = np.array([epochs * capacity[p] if arcs is None else arcs.get((p, s), 0) for p, s in keys], np.int64)
+    most, left = epochs * words, np.array([quota.get(s, 0) for s in names], np.int64)
+    if arcs is not None:
+        most = np.zeros(len(patterns), np.int64)
+        np.add.at(most, pat, cap)
+    flow, used = np.zeros(len(keys), np.int64), np.zeros(len(patterns), np.int64)
+
+    def total(group: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        np.add.at(out, group, of)
+        return out
+
+    use, last, turn = 1, int((-(-most // words)).max(initial=0)), 0
+    while (left > 0).any():
+        offer, held, seen = np.maximum(np.minimum(use * words, most) - used, 0), None, np.zeros(len(names), bool)
+        while True:
+            room = np.where(seen[src], 0, np.minimum(cap - flow, offer[pat]))
+            reach = total(src, room, len(names))
+            if not reach.any() or (reach[left > 0] > 0).any():
+                break
+            seen |= reach > 0
+            held = np.minimum(flow, reach[src])
+            offer = total(pat, held, len(patterns))
+        if not reach.any():
+            if use >= last:
+                break
+            use = use + 1 if use < SINGLY else 2 * use
+            continue
+        turn += 1
+        order = np.random.default_rng(turn).permutation(len(keys))
+        p, s = pat[order], src[order]
+        ask = np.maximum(np.minimum(room[order], left[s]), 0)
+        grant = np.clip(offer[p] - _ahead(p, ask), 0, ask)
+        take = np.clip(np.maximum(left[s], 0) - _ahead(s, grant), 0, grant)
+        due = total(p, take, len(patterns))
+        change = take
+        if held is None:
+            used += due
+        else:
+            change = take - np.clip(due[p] - _ahead(p, held[order]), 0, held[order])
+        flow[order] += change
+        left -= total(s, change, len(names))
+    return {k: int(v) for k, v in zip(keys, flow) if v > 0}
+
+
+def flow_by_rounds(arcs: DataFrame, quota: DataFrame) -> DataFrame:
+    """arcs with ``flow``, a flow as min_cost_flow() finds it, for networks of any size.
+
+    arcs: (gid, pid, sid, arc, words, most), longs: a pattern's source gets at most ``arc`` words, all of them together
+    ``most``; quota: (sid, quota).  The rounds are those of min_cost_flow().  Patterns grant and sources accept in an order
+    of hashes, by prefix sums, so that neither is a group in one task.
+    """
+    spark, written = arcs.sparkSession, None
+    arcs = cut(arcs.withColumn("flow", F.lit(0).cast("long")))
+    n_sources = quota.count()
+    last = arcs.where("words > 0").agg(F.max(F.ceil(F.col("most") / F.col("words")))).first()[0] or 0
+    use, turn = 1, 0
     while True:
-        # The cheapest new words that reach each pattern, from itself or through a source that another pattern takes over.
-        best = {p: step(used[p], capacity[p])[0] for p in patterns if used[p] < most[p]}
-        came, reach = {}, {}
-        queue = sorted(best, key=best.get)
-        while queue:
-            again = []
-            for p in queue:
-                for s in p:
-                    if flow[p, s] < arc[p, s] and best[p] < reach.get(s, (float("inf"),))[0]:
-                        reach[s] = (best[p], p)
-                        for q in givers[s]:
-                            if q != p and flow[q, s] > 0 and best[p] < best.get(q, float("inf")):
-                                best[q], came[q] = best[p], s
-                                again.append(q)
-            queue = again
-        ends = [(c, s is None, s or "", s) for s, (c, _) in reach.items() if left[s] > 0]
-        if not ends:
-            return {k: v for k, v in flow.items() if v > 0}
-        s = min(ends)[3]
-        path, at, p, amount = [], s, reach[s][1], left[s]
+        met = arcs.groupBy("sid").agg(F.sum("flow").alias("met"))
+        lacking = cut(quota.join(met, "sid").select("sid", (F.col("quota") - F.col("met")).alias("lack")).where("lack > 0"))
+        if lacking.isEmpty():
+            return arcs
+        spare = F.least(F.first("words") * use, F.first("most")) - F.sum("flow")
+        offers, givers, seen = arcs.groupBy("pid").agg(spare.alias("offer")).where("offer > 0"), None, None
         while True:
-            path.append((p, at))
-            amount = min(amount, arc[p, at] - flow[p, at])
-            if p not in came:
+            open_ = arcs.where("arc > flow").join(offers, "pid")
+            if seen is not None:
+                open_ = open_.join(bounded(seen, n_sources, PLAN_ROWS), "sid", "left_anti")
+            near = open_.groupBy("sid").agg(F.sum(F.least(F.col("arc") - F.col("flow"), F.col("offer"))).alias("reach"))
+            near = cut(near.join(bounded(lacking, n_sources, PLAN_ROWS), "sid", "left"))
+            found = near.agg(F.count("*").alias("near"), F.count("lack").alias("asking")).first()
+            if not found.near or found.asking:
                 break
-            back = came[p]
-            amount = min(amount, flow[p, back])
-            at, p = back, reach[back][1]
-        amount = min(amount, step(used[p], capacity[p])[1] - used[p], most[p] - used[p])
-        for i, (q, to) in enumerate(path):
-            flow[q, to] += amount
-            if i + 1 < len(path):
-                flow[q, path[i + 1][1]] -= amount
-        used[p] += amount
-        left[s] -= amount
+            seen = near.select("sid") if seen is None else seen.unionByName(near.select("sid"))
+            givers = arcs.where("flow > 0").join(bounded(near, n_sources, PLAN_ROWS), "sid").select("gid", "pid", F.least("flow", "reach").alias("held"))
+            offers = givers.groupBy("pid").agg(F.sum("held").alias("offer"))
+        if not found.near:
+            if use >= last:
+                return arcs
+            use = use + 1 if use < SINGLY else 2 * use
+            continue
+        turn += 1
+        order = [F.xxhash64("gid", F.lit(turn)), F.col("gid")]
+        asking = near.where("lack is not null").select("sid", "lack")
+        asks = open_.join(bounded(asking, n_sources, PLAN_ROWS), "sid").select("gid", "pid", "sid", "offer", "lack", F.least(F.col("arc") - F.col("flow"), "offer", "lack").alias("ask"))
+        grants = running(asks, "pid", order, "ask", "ahead").withColumn("grant", F.least(F.col("ask"), F.col("offer") - F.col("ahead"))).where("grant > 0").drop("ahead")
+        takes = running(grants, "sid", order, "grant", "ahead").select("gid", "pid", F.least(F.col("grant"), F.col("lack") - F.col("ahead")).alias("change")).where("change > 0")
+        moved = takes
+        if givers is not None:
+            takes = cut(takes)
+            due = givers.join(takes.groupBy("pid").agg(F.sum("change").alias("due")), "pid")
+            back = running(due, "pid", order, "held", "ahead").select("gid", "pid", F.least(F.col("held"), F.col("due") - F.col("ahead")).alias("back")).where("back > 0")
+            moved = takes.unionByName(back.select("gid", "pid", (-F.col("back")).alias("change")))
+        # Written and read again: a file's size is known, while a checkpoint keeps an estimate that multiplies from round to round.
+        written, before = new_path(spark, "flow"), written
+        arcs.join(moved.drop("pid"), "gid", "left").withColumn("flow", F.col("flow") + F.coalesce("change", F.lit(0))).drop("change").write.parquet(written)
+        arcs = spark.read.schema(arcs.schema).parquet(written)
+        if before:
+            remove(spark, before)
 
 
 def targets(own: DataFrame, total: int, share: float, most: float, cycle: tuple) -> DataFrame:
@@ -115,36 +199,51 @@ def _tag(source: Column) -> Column:
 def _quotas(entries: DataFrame, whole: DataFrame, total: int, share: float, epochs: int, cycle: tuple, apart: bool) -> DataFrame:
     """(gid, target, source_words, first, part): for each pattern and source the stretch of the pattern's order it takes.
 
-    entries: (gid, sources, source, size), a row for each document and source; whole: (sources, words), each text once.
-    apart: rows of a text are copies that may be taken ``epochs`` times each, not one document held by several.
+    entries: (gid, pid, many, source, size), a row for each document and source, many if the pattern has several sources;
+    whole: (pid, words), each text once.  apart: rows of a text are copies that may be taken ``epochs`` times each, not
+    one document held by several.
     """
     spark = entries.sparkSession
-    arcs = cut(entries.groupBy("gid", "sources", "source").agg(F.sum("size").alias("arc")))
+    arcs = cut(entries.groupBy("gid", "pid", "many", "source").agg(F.sum("size").alias("arc")).withColumn("tag", _tag(F.col("source"))))
     wanted = cut(targets(arcs.groupBy("source").agg(F.sum("arc").alias("words")), total, share, float(epochs), cycle))
-    shared = arcs.where(F.size("sources") > 1).select(F.explode("sources").alias("tag")).distinct()
-    near = F.broadcast(shared)  # at most MAX_PATTERNS * MAX_SOURCES names
-    linked = arcs.withColumn("tag", _tag(F.col("source"))).join(near, "tag", "left_semi").collect()
-    words = {tuple(r.sources): r.words for r in whole.join(F.broadcast(arcs.join(near.withColumnRenamed("tag", "t"), F.array_contains("sources", F.col("t")), "left_semi").select("sources").distinct()), "sources").collect()}
-    quota = {r.tag: round(r.target) for r in wanted.withColumn("tag", _tag(F.col("source"))).join(near, "tag", "left_semi").collect()}
-    most = {(tuple(r.sources), r.tag): epochs * r.arc for r in linked}
-    flow = min_cost_flow(words, quota, epochs, most if apart else None)
-    gid = {(tuple(r.sources), r.tag): (r.gid, r.arc) for r in linked}
-    rows, ahead = [], defaultdict(float)
-    for key in sorted(gid):
-        ident, arc = gid[key]
-        part = flow.get(key, 0) / arc if arc else 0.0
-        rows.append((ident, ahead[key[0]], part))
-        ahead[key[0]] += part
-    routed = spark.createDataFrame(rows, "gid long, first double, part double")
+    near = cut(arcs.where("many").select("tag").distinct())
+    n_near = near.count()
+    quota = cut(wanted.withColumn("tag", _tag(F.col("source"))).join(bounded(near, n_near, PLAN_ROWS), "tag").select("tag", F.bround("target").cast("long").alias("quota")))
+    most = F.col("arc") * epochs if apart else F.col("words") * epochs
+    linked = cut(arcs.join(bounded(near, n_near, PLAN_ROWS), "tag").join(whole, "pid").select("gid", "pid", "tag", "arc", "words", most.alias("most")))
+    n_linked = linked.count()
+    if n_linked <= LOCAL_ARCS:
+        held = defaultdict(list)
+        for r in linked.orderBy("pid", "tag").collect():
+            held[r.pid].append(r)
+        held = {tuple(r.tag for r in p): p for p in held.values()}
+        caps = {(key, r.tag): r.most for key, p in held.items() for r in p}
+        flow = min_cost_flow({key: p[0].words for key, p in sorted(held.items())}, {r.tag: r.quota for r in quota.collect()}, epochs, caps if apart else None)
+        rows = []
+        for key, p in held.items():
+            ahead = 0.0
+            for r in p:
+                part = flow.get((key, r.tag), 0) / r.arc if r.arc else 0.0
+                rows.append((r.gid, ahead, part))
+                ahead += part
+        routed = spark.createDataFrame(rows, "gid long, first double, part double")
+    else:
+        sid = F.xxhash64("tag")
+        together = linked.groupBy("pid").agg(F.sum("most").alias("together")) if apart else whole.select("pid", (F.col("words") * epochs).alias("together"))
+        network = linked.join(together, "pid").select("gid", "pid", sid.alias("sid"), F.col("most").alias("arc"), "words", F.col("together").alias("most"))
+        flow = flow_by_rounds(network, cut(quota.select(sid.alias("sid"), "quota"))).select("gid", "flow")
+        part = F.coalesce(F.col("flow") / F.nullif(F.col("arc"), F.lit(0)), F.lit(0.0))
+        laid = linked.join(flow, "gid").select("gid", "pid", "tag", part.alias("part"), F.floor(part * PLACES).alias("place"))
+        routed = running(laid, "pid", [F.col("tag")], "place", "first").select("gid", (F.col("first") / PLACES).alias("first"), "part")
     alone = F.when(F.col("arc") > 0, F.least(F.col("target"), F.col("arc") * float(epochs)) / F.col("arc"))
-    plan = arcs.join(wanted.withColumnRenamed("words", "source_words"), arcs["source"].eqNullSafe(wanted["source"])).join(F.broadcast(routed), "gid", "left")
+    plan = arcs.join(wanted.withColumnRenamed("words", "source_words"), arcs["source"].eqNullSafe(wanted["source"])).join(bounded(routed, n_linked, PLAN_ROWS), "gid", "left")
     return plan.select("gid", "target", "source_words", "arc", F.coalesce("first", F.lit(0.0)).alias("first"), F.coalesce("part", alone, F.lit(0.0)).alias("part"))
 
 
 def _placed(entries: DataFrame, whole: DataFrame, total: int, share: float, epochs: int, cycle: tuple, apart: bool) -> DataFrame:
     """entries with target, source_words and times, how often its source takes the document."""
     plan = cut(_quotas(entries, whole, total, share, epochs, cycle, apart))
-    rows = running(entries.drop("sources"), "gid", [F.col("u"), F.col("row")], "size", "ahead")
+    rows = running(entries.drop("pid", "many"), "gid", [F.col("u"), F.col("row")], "size", "ahead")
     rows = rows.join(bounded(plan, plan.count(), PLAN_ROWS), "gid")
     # The k-th pass over the pattern's order is from k to k + 1; a document is taken if its middle is in the stretch.
     middle = (F.col("ahead") + F.col("size") / 2) / F.nullif(F.col("arc"), F.lit(0))
@@ -164,16 +263,15 @@ def mix_copies(docs: DataFrame, *, ident: str, size: Column, source: Column, tex
     row = F.monotonically_increasing_id()
     rows = docs.select(F.col(ident).alias("id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), source.cast("string").alias("source"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(seed), text).alias("h2"), row.alias("row"))
     rows = cut(rows)
-    texts = cut(rows.where("size > 0").groupBy("h1", "h2").agg(F.array_sort(F.collect_set(_tag(F.col("source")))).alias("sources"), F.max("size").alias("size")))
-    several = texts.where(F.size("sources").between(2, MAX_SOURCES))
-    patterns = several.groupBy("sources").agg(F.sum("size").alias("words")).orderBy(F.desc("words"), "sources").limit(MAX_PATTERNS)
-    several = cut(several.join(F.broadcast(patterns.select("sources")), "sources").select("h1", "h2", "sources"))
-    alone = F.array(_tag(F.col("source")))
-    entries = rows.join(bounded(several, several.count(), PLAN_ROWS), ["h1", "h2"], "left").withColumn("sources", F.coalesce("sources", alone))
-    entries = entries.withColumn("gid", F.xxhash64(F.concat_ws("\x00", "sources"), _tag(F.col("source")))).withColumn("u", F.col("h2"))
-    entries = cut(entries.drop("h2"))
-    # A text of a pattern counts once; one that stays with its own source counts once in each of them.
-    whole = entries.groupBy("h1", "u", "sources").agg(F.max("size").alias("size")).groupBy("sources").agg(F.sum("size").alias("words"))
+    tag = _tag(F.col("source"))
+    # A pattern goes by a hash of its sources' number and hashes, in no order: no row holds a list of them.
+    held = rows.where("size > 0").select("h1", "h2", tag.alias("tag")).distinct()
+    texts = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("tag")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "tag")).alias("b"))
+    several = cut(texts.where("n > 1").select("h1", "h2", F.xxhash64("n", "a", "b").alias("pid")))
+    alone = F.xxhash64(F.lit(1).cast("long"), F.xxhash64(tag), F.xxhash64(F.lit(1), tag))
+    entries = rows.join(bounded(several, several.count(), PLAN_ROWS), ["h1", "h2"], "left").withColumn("many", F.col("pid").isNotNull() & (F.col("size") > 0)).withColumn("pid", F.coalesce("pid", alone))
+    entries = cut(entries.withColumn("gid", F.xxhash64("pid", tag)).withColumnRenamed("h2", "u"))
+    whole = entries.groupBy("h1", "u", "pid").agg(F.max("size").alias("size")).groupBy("pid").agg(F.sum("size").alias("words"))
     total = rows.agg(F.sum("size")).first()[0] or 0
     out = _placed(entries.drop("h1"), cut(whole), total, share, epochs, cycle, True)
     return out.select("id", "size", "source", F.col("source_words").alias("source_size"), "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "times")
@@ -189,14 +287,10 @@ def mix(docs: DataFrame, *, ident: str, size: Column, members: Column, share: fl
     """
     members = F.when(F.coalesce(F.size(members), F.lit(0)) > 0, F.array_distinct(members)).otherwise(F.array(F.lit(None).cast("string")))
     rows = docs.select(F.col(ident).alias("id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), members.alias("own"), F.monotonically_increasing_id().alias("row"))
-    rows = cut(rows.withColumn("sources", F.array_sort(F.transform("own", _tag))))
-    known = rows.where(F.size("sources").between(2, MAX_SOURCES)).groupBy("sources").agg(F.sum("size").alias("words")).orderBy(F.desc("words"), "sources").limit(MAX_PATTERNS)
-    entries = rows.withColumn("source", F.explode("own")).join(F.broadcast(known.select("sources", F.lit(True).alias("known"))), "sources", "left")
-    # A document whose pattern the flow doesn't see stays with its first source.
-    entries = entries.where((F.size("sources") == 1) | F.col("known") | (_tag(F.col("source")) == F.get("sources", 0)))
-    entries = entries.withColumn("sources", F.when((F.size("sources") == 1) | F.col("known"), F.col("sources")).otherwise(F.array(_tag(F.col("source")))))
-    entries = cut(entries.select("id", "size", "source", "sources", "row", F.xxhash64(F.lit(seed), "row").alias("u"), F.xxhash64(F.concat_ws("\x00", "sources"), _tag(F.col("source"))).alias("gid")))
-    whole = cut(entries.dropDuplicates(["row"]).groupBy("sources").agg(F.sum("size").alias("words")))
+    rows = cut(rows.withColumn("pid", F.xxhash64(F.array_sort(F.transform("own", _tag)))))
+    entries = rows.select("id", "size", F.explode("own").alias("source"), "pid", (F.size("own") > 1).alias("many"), "row", F.xxhash64(F.lit(seed), "row").alias("u"))
+    entries = cut(entries.withColumn("gid", F.xxhash64("pid", _tag(F.col("source")))))
+    whole = cut(rows.groupBy("pid").agg(F.sum("size").alias("words")))
     total = rows.agg(F.sum("size")).first()[0] or 0
     placed = _placed(entries, whole, total, share, epochs, cycle, False).where("times > 0 and size > 0")
     routes = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("source", (F.col("times") * F.col("size")).cast("long").alias("words")))).alias("routes"))

@@ -137,6 +137,69 @@ def test_mix_routes_around_shared_texts(spark):
     assert flow == {(("a", "b"), "b"): 10, (("a",), "a"): 10}
 
 
+@pytest.mark.parametrize("local_arcs", [mixing.LOCAL_ARCS, 0])
+@pytest.mark.parametrize("per_text", [2, 40])
+def test_mix_sees_all_patterns(spark, monkeypatch, per_text, local_arcs):
+    """780 patterns of two sources, or one of 40: quotas that one use of each text meets use no text twice."""
+    monkeypatch.setattr(mixing, "LOCAL_ARCS", local_arcs)
+    held = [p for p in combinations(range(40), per_text) for _ in range(4 if per_text == 2 else 200)]
+    data = [(f"text {i}", f"s{s:02d}") for i, p in enumerate(held) for s in p]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "id long, text string, source string")
+    out = mixing.mix_copies(df, ident="id", size=F.lit(10), source=df["source"], text=df["text"], share=1 / per_text, cycle=(1,)).collect()
+    used, met = Counter(), Counter()
+    for r in out:
+        used[data[r.id][0]] += r.taken
+        met[r.source] += r.taken
+    assert set(used.values()) == {10} and len(used) == len(held)
+    # A stretch misses half a text at most at either end, in each of a source's patterns.
+    assert all(abs(met[f"s{s:02d}"] - 10 * len(held) / 40) <= 10 * (39 if per_text == 2 else 1) for s in range(40))
+
+
+@pytest.mark.parametrize("local_arcs", [mixing.LOCAL_ARCS, 0])
+def test_mix_routes_documents_of_many_sources(spark, monkeypatch, local_arcs):
+    """Documents that 40 sources hold go to all of them, not to the first."""
+    monkeypatch.setattr(mixing, "LOCAL_ARCS", local_arcs)
+    df = spark.createDataFrame([(i, [f"s{s:02d}" for s in range(40)]) for i in range(400)], "id long, members array<string>")
+    got = Counter()
+    for r in mixing.mix(df, ident="id", size=F.lit(10), members=df["members"], cycle=(1,)).collect():
+        assert r.taken <= 20
+        got += Counter({s: n for s, n in r.routes})
+    assert len(got) == 40 and all(abs(n - 150) <= 10 for n in got.values())
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_flow_by_rounds_is_the_cheapest_largest(spark, seed):
+    """Rounds meet as much of the quotas as the driver's flow, at the same cost, with and without arcs of their own."""
+    rng = np.random.default_rng(seed)
+    names, apart = [f"s{i}" for i in range(7)], seed % 2 == 0
+    patterns = sorted({tuple(sorted(rng.choice(names, rng.integers(1, 5), replace=False).tolist())) for _ in range(40)})
+    words = {p: int(rng.integers(0, 50)) for p in patterns}
+    caps = {(p, s): 2 * words[p] * int(rng.integers(1, 12)) if apart else 2 * words[p] for p in patterns for s in p}
+    total = sum(words.values())
+    quota = {s: int(q) for s, q in zip(names, rng.dirichlet([0.5] * 7) * total * (4 if apart else 1.5))}
+    most = {p: sum(caps[p, s] for s in p) if apart else 2 * words[p] for p in patterns}
+    arcs = spark.createDataFrame([(100 * i + names.index(s), i, names.index(s), caps[p, s], words[p], most[p]) for i, p in enumerate(patterns) for s in p], "gid long, pid long, sid long, arc long, words long, most long")
+    out = mixing.flow_by_rounds(arcs, spark.createDataFrame([(i, quota[s]) for i, s in enumerate(names)], "sid long, quota long")).collect()
+    rounds = {(patterns[r.pid], names[r.sid]): r.flow for r in out}
+    local = mixing.min_cost_flow(words, quota, 2, caps if apart else None)
+
+    def result(flow):
+        used, met, cost = Counter(), Counter(), 0
+        for (p, s), n in flow.items():
+            assert 0 <= n <= caps[p, s]
+            used[p] += n
+            met[s] += n
+        for p, n in used.items():
+            at = 0
+            while at < n:
+                each, end = mixing.step(at, words[p])
+                cost, at = cost + each * (min(end, n) - at), min(end, n)
+        assert all(used[p] <= most[p] for p in used) and all(met[s] <= quota[s] for s in met)
+        return sum(met.values()), cost
+
+    assert result(rounds) == result(local)
+
+
 def test_mix_targets_of_many_sources(spark):
     """More sources than any driver-side plan takes patterns; the excess is shared again more than once."""
     rng = np.random.default_rng(3)
