@@ -571,3 +571,53 @@ def test_stream_upsert_restarts_where_it_failed(spark, tmp_path):
     upsert_into(str(tmp_path / "small"), ["k"], [F.desc("at")])(spark.createDataFrame([(5, 999, "new"), (5, 1000, "newer"), (77, 1, "other")], "k int, at int, v string"), 9)
     after = {r.k: r.v for r in read_upserted(spark, str(tmp_path / "small"), ["k"], ["at"]).collect()}
     assert len(after) == 31 and after[5] == "newer" and after[77] == "other" and after[6] == "v276"
+
+
+def test_ratio_is_that_of_sequence_matcher():
+    """Also of texts whose frequent characters SequenceMatcher leaves out (200 and more)."""
+    import random
+    from difflib import SequenceMatcher
+
+    dice = random.Random(5)
+    text = lambda of, most: "".join(dice.choice(of) for _ in range(dice.randint(1, most)))
+    pairs = [(text(of, most), text(of, most)) for of, most in [("abc ", 12)] * 300 + [("abcdefgh 12", 60)] * 300 + [("ab ", 260)] * 30]
+    assert [S._ratio(a, b) for a, b in pairs] == [SequenceMatcher(None, a, b).ratio() for a, b in pairs]
+
+
+def test_vetoed_pairs_do_not_meet_and_copies_go_once(spark):
+    """The same model under another brand or of another kind, and the same evidence with other models, share no block; equal products are one row."""
+    source = {"name": "Samsung KX101B Toaster", "ean": "4444444400001"}
+    others = ["LG KX101B Toaster", "Samsung KX101B Wasserkocher", "Samsung KX909C Toaster"]
+    s = products(spark, source)
+    t = products(spark, *[{"name": n, "ean": "4444444400001" if "KX909C" in n else None} for n in others]).withColumn("listing_id", F.lit(1))
+    assert M.candidates(s, t, extra=("reference",), source_id="name").where("s_id is not null").where("s_reference <> t_reference").count() == 0
+    copies = products(spark, *[source | {"reference": f"C{i}"} for i in range(M.MEMBERS + 40)]).withColumn("listing_id", F.monotonically_increasing_id()).withColumn("retailer", F.lit("x"))
+    assert M.classes(copies, "listing_id", ("reference",)).count() == 2
+    got = M.match(products(spark, source | {"reference": "C7"}, source | {"reference": "other"}), copies)
+    assert got.count() == 2 * (M.MEMBERS + 40) and {(r.s_id, r.t_reference) for r in got.where("method = 'direct_ref'").collect()} == {("C7", "C7")}
+
+
+def test_weighted_exact_expands_classes_of_any_size(spark):
+    n = M.MEMBERS + 30
+    s = spark.createDataFrame([(i, "a", "k", None) for i in range(3)], "s int, brand string, kind string, ean string")
+    t = spark.createDataFrame([(i, "a", "k", None) for i in range(n)] + [(n, "a", "x", None)], "t int, brand string, kind string, ean string")
+    out = M.weighted_exact(s, t, {"brand": 0.5, "kind": 0.3, "ean": 1.0}, 0.8, "s", "t")
+    assert "explode(t_members" in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.s, r.t) for r in out.select(F.col("s_id").alias("s"), F.col("t_id").alias("t")).collect()) == [(i, j) for i in range(3) for j in range(n)]
+
+
+def test_jaccard_join_by_classes(spark):
+    rows = [(i, "b" if i % 5 else None, [f"w{j}" for j in range(8) if i >> j & 1] + ([f"own{i}"] if i % 3 == 0 else [])) for i in range(1, 120)]
+    s = spark.createDataFrame([*rows, (1, "b", None), (2, "b", [])], "i int, on string, tokens array<string>")
+    t = spark.createDataFrame([(i, b, [w for w in ws if w[0] == "w"]) for i, b, ws in rows] * 2, "i int, on string, tokens array<string>")
+    got = sorted((r.s_id, r.t_id, round(r.jac, 6)) for r in M.jaccard_join(s, t, ["on"], 0.4, "i", "i").collect())
+    want = [(a, b, round(len(x & y) / len(x | y), 6)) for a, p, x in ((i, b, set(w)) for i, b, w in rows) for b, q, y in ((i, b, {v for v in w if v[0] == "w"}) for i, b, w in rows) if p and p == q and x and y and len(x & y) / len(x | y) >= 0.4]
+    assert got == sorted(want * 2) and want
+
+
+def test_counts_of_joins_come_from_counted_rows(spark):
+    """Sizes and sets of models are counted before they meet, so that pairs aren't made."""
+    from skuweave import catalogue as C
+
+    for name, total in (("size_range_join", "sum(listings"), ("model_overlap_join", "sum(n")):
+        assert total in C.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
