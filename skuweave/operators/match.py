@@ -278,8 +278,9 @@ def candidate_filter(targets: DataFrame, *, category=None, kinds=(), retailers=(
 def weighted_exact(sources: DataFrame, targets: DataFrame, weights: dict, threshold: float, source_id: str, target_id: str) -> DataFrame:
     """Pairs whose equal non-null fields weigh at least threshold.
 
-    Blocked on the smallest sets of fields that reach the threshold together, so that a pair meets only if it passes;
-    the other fields are added where it does.  A pair that shares several sets is kept at the least of its keys.
+    Rows with equal fields are one class, which is compared once.  Classes are blocked on the smallest sets of fields that
+    reach the threshold together, so that a pair meets only if it passes; the other fields are added where it does.  A
+    pair that shares several sets is kept at the least of its keys.
     """
     fields = list(weights)
     enough = [set(c) for n in range(1, len(fields) + 1) for c in combinations(fields, n) if sum(weights[f] for f in c) >= threshold - 1e-9]
@@ -287,8 +288,10 @@ def weighted_exact(sources: DataFrame, targets: DataFrame, weights: dict, thresh
     text = lambda f: F.col(f).cast("string")
 
     def side(df, ident, name):
-        keys = [F.when(F.concat(*map(text, sorted(c))).isNotNull(), F.xxhash64(F.lit("|".join(sorted(c))), *map(text, sorted(c)))) for c in least]
-        df = df.select(F.col(ident).alias(f"{name}_id"), *[text(f).alias(f"{name}_{f}") for f in fields], F.array_compact(F.array(*keys)).alias(f"{name}_keys"))
+        names = {f: f"{name}_{f}" for f in fields}
+        df = grouped(df.select(F.col(ident).alias("__id"), *[text(f).alias(names[f]) for f in fields]), list(names.values()), F.col("__id"))
+        keys = [F.when(F.concat(*[names[f] for f in sorted(c)]).isNotNull(), F.xxhash64(F.lit("|".join(sorted(c))), *[names[f] for f in sorted(c)])) for c in least]
+        df = df.select(F.col("members").alias(f"{name}_members"), *names.values(), F.array_compact(F.array(*keys)).alias(f"{name}_keys"))
         return df.withColumn("key", F.explode(f"{name}_keys"))
 
     if not least:
@@ -296,4 +299,26 @@ def weighted_exact(sources: DataFrame, targets: DataFrame, weights: dict, thresh
     pairs = side(sources, source_id, "s").join(side(targets, target_id, "t"), "key")
     pairs = pairs.where(F.col("key") == F.array_min(F.array_intersect("s_keys", "t_keys")))
     score = sum((F.when(F.col(f"s_{f}") == F.col(f"t_{f}"), float(w)).otherwise(0.0) for f, w in weights.items()), F.lit(0.0))
-    return pairs.select("s_id", "t_id", score.alias("score")).where(F.col("score") >= threshold)
+    pairs = expanded(pairs.withColumn("score", score).where(F.col("score") >= threshold), "score")
+    return pairs.select(F.col("s").alias("s_id"), F.col("t").alias("t_id"), "score")
+
+
+def known_tokens(df: DataFrame, other: DataFrame, ident: str, tokens: str = "tokens") -> DataFrame:
+    """df (a row for each ident) with ``known``, those of its tokens that rows of other have too, sorted."""
+    there = other.select(F.explode(tokens).alias("__t")).distinct()
+    known = df.select(ident, F.explode(tokens).alias("__t")).join(there, "__t", "left_semi").groupBy(ident).agg(F.array_sort(F.collect_list("__t")).alias("known"))
+    return df.join(known, ident, "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+
+
+def jaccard_join(sources: DataFrame, targets: DataFrame, on: list, least: float, source_id: str, target_id: str, tokens: str = "tokens") -> DataFrame:
+    """(s_id, t_id, jac): pairs with equal columns ``on`` whose tokens (distinct, not null) have a Jaccard likeness of ``least`` (over 0).
+
+    A source's tokens that no target has only count; rows that are equal but for those are one class, compared once.
+    """
+    t = grouped(targets, [*on, tokens], F.col(target_id))
+    s = stored(sources.select(F.col(source_id).alias("__id"), *on, tokens).withColumn("__row", F.monotonically_increasing_id()))
+    s = grouped(known_tokens(s, t, "__row", tokens).withColumn("n", F.size(tokens)), [*on, "known", "n"], F.col("__id"))
+    pairs = s.select(*on, "known", "n", F.col("members").alias("s_members")).join(t.select(*on, tokens, F.col("members").alias("t_members")), on)
+    common = F.size(F.array_intersect("known", tokens))
+    pairs = once(pairs, {"common": common}).withColumn("jac", F.when(F.col("common") > 0, F.col("common") / (F.col("n") + F.size(tokens) - F.col("common"))).otherwise(0.0))
+    return expanded(pairs.where(F.col("jac") >= least), "jac").select(F.col("s").alias("s_id"), F.col("t").alias("t_id"), "jac")
