@@ -621,3 +621,56 @@ def test_counts_of_joins_come_from_counted_rows(spark):
 
     for name, total in (("size_range_join", "sum(listings"), ("model_overlap_join", "sum(n")):
         assert total in C.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_rounds_cosines_as_sql_does(spark, tmp_path):
+    """Whole numbers whose cosine lies just between two values of six digits: by one root it's exact, by two a little less."""
+    import duckdb
+
+    a, b = [5, 2, 5, 3, 1, 3, 1, 5, 4, 0, 3, 2], [0, 2, 2, 2, 1, 0, 5, 3, 5, 4, 6, 2]
+    rows = spark.createDataFrame([(1, [float(x) for x in a]), (2, [float(x) for x in b])], "vec_id long, embedding array<double>")
+    V.write_index(rows, str(tmp_path / "i"))
+    got = {(r.query_id, r.cosine) for r in V.search_index(str(tmp_path / "i"), rows, 1).rows.collect()}
+    want = duckdb.execute("SELECT round(list_cosine_similarity(?::DOUBLE[], ?::DOUBLE[]), 6)", [a, b]).fetchone()[0]
+    assert got == {(1, want), (2, want)}
+
+
+def test_upsert_keeps_listings_of_one_reference(spark, tmp_path):
+    """Listings 35487 and 667335, and 274993 and 9019, share reference and retailer (a hash of 32 bits); each is a row, as in SQL."""
+    import duckdb
+
+    from skuweave import catalogue as C
+
+    rows = [(k, f"old anvil {k}", 16, 900.5) for k in (35487, 667335, 274993, 9019, 40236, 400704, 7, 8, 9, 12)]
+    part = spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int, p_retailprice double")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(map(repr, (tuple(r) for r in C.QUERIES["target_upsert"](spark, str(tmp_path)).select("reference", "retailer", "name", "visible").collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(map(repr, con.execute(f"SELECT reference, retailer, name, visible FROM ({C.SQL['target_upsert']})").fetchall()))
+    assert got == want and len({eval(x)[:2] for x in got}) < len(got)
+
+
+def test_vector_products_stay_small():
+    """A batch against many queries is multiplied in pieces; the best are those of a whole product."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    dice = np.random.default_rng(3)
+    ids, asked, x = np.arange(3000), dice.normal(size=(3000, 4)), dice.normal(size=(9000, 4))
+    batch = pa.record_batch([pa.array(np.arange(9000)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["id", "v"])
+    tracemalloc.start()
+    (out,) = R._best_of(SimpleNamespace(value=(ids, asked)), 2)(iter([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100_000_000
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    cosine = np.round(unit(asked[:40]) @ unit(x).T, 6)
+    want = {q: sorted((-c, i) for i, c in enumerate(cosine[q].tolist()) if i != q)[:2] for q in range(40)}
+    got: dict = {}
+    for q, i, c in zip(*(out.column(n).to_pylist() for n in range(3)), strict=True):
+        got.setdefault(q, []).append((-c, i))
+    assert len(got) == 3000 and {q: got[q] for q in want} == want
