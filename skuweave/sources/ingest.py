@@ -58,9 +58,9 @@ def upsert_stamped(current: DataFrame, new: DataFrame, keys: list, now) -> DataF
     return upsert(before, new.drop("updated_at").join(known, keys, "left").withColumn("updated_at", stamp).drop("__known"), keys)
 
 
-def upsert_targets(current: DataFrame, products: DataFrame, visible: bool, now) -> DataFrame:
-    """current, prepared targets, with the products' rows in place of those of the same reference and retailer."""
-    return upsert_stamped(current, prepare_targets(products, visible), ["reference", "retailer"], now)
+def upsert_targets(current: DataFrame, products: DataFrame, visible: bool, now, also: tuple = ()) -> DataFrame:
+    """current, prepared targets, with the products' rows in place of those of the same reference and retailer (and columns named in also)."""
+    return upsert_stamped(current, prepare_targets(products, visible, also), ["reference", "retailer", *also], now)
 
 
 def read_seed(spark: SparkSession, pattern: str, data_dir: str, output_dir: str, schema: str = PRODUCT) -> DataFrame:
@@ -74,11 +74,14 @@ def read_seed(spark: SparkSession, pattern: str, data_dir: str, output_dir: str,
     return both.withColumn("category", named)
 
 
-def prepare_targets(df: DataFrame, visible: bool) -> DataFrame:
-    """Target rows with signals, canonical_url, visible and listing_key, one per reference and retailer."""
+def prepare_targets(df: DataFrame, visible: bool, also: tuple = ()) -> DataFrame:
+    """Target rows with signals, canonical_url, visible and listing_key, one per reference and retailer.
+
+    also: columns that tell rows apart beside these, where references are short hashes that several listings may share.
+    """
     df = with_signals(product_rows(df)).withColumn("canonical_url", canonical_url(F.col("url"))).withColumn("visible", F.lit(visible))
     df = df.withColumn("listing_key", listing_key(F.col("retailer"), F.col("url")))
-    return first_wins(df, ["reference", "retailer"], "name", "url")
+    return first_wins(df, ["reference", "retailer", *also], "name", "url")
 
 
 def category_from_file(name):
