@@ -189,7 +189,7 @@ def pair_up(pairs: DataFrame, sources: DataFrame, targets: DataFrame, source_id:
     return pairs.join(s, "s_id").join(t, "t_id")
 
 
-def match(sources: DataFrame, targets: DataFrame, *, threshold: float = THRESHOLD, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = ("reference", "retailer", "name")) -> DataFrame:
+def match(sources: DataFrame, targets: DataFrame, *, threshold: float = THRESHOLD, source_id: str = "reference", target_id: str = "listing_id", extra: tuple = ("reference", "retailer", "name"), ratio: bool = True) -> DataFrame:
     """Matched pairs with score, method and reasons; all signals come from with_signals() and are computed once.
 
     Products with equal signals are matched once, as a class, and matches go to their members in the end.  Vetoed pairs
@@ -197,11 +197,11 @@ def match(sources: DataFrame, targets: DataFrame, *, threshold: float = THRESHOL
     letters allow stays below the threshold, which loses nothing for thresholds up to 0.89.  Only what is left, and of
     its columns only those that go on, is dealt anew and reaches the Arrow function, once.
     Thresholds of LEAST or less need blocks that this join doesn't have and are refused.  The same reference on both
-    sides scores 1 as direct_ref.
+    sides scores 1 as direct_ref.  Without ``ratio`` names count as unlike, and built-in functions do it all.
     """
     _checked(threshold)
     t = _target_side(classes(targets, target_id, extra), "class", ("members",), threshold)
-    return _matched(_meet(_source_classes(sources, source_id, threshold, extra), t), threshold, extra)
+    return _matched(_meet(_source_classes(sources, source_id, threshold, extra), t), threshold, extra, ratio)
 
 
 def _checked(threshold: float) -> None:
@@ -209,17 +209,17 @@ def _checked(threshold: float) -> None:
         raise ValueError(f"blocking is lossless for thresholds over {LEAST} only")
 
 
-def _matched(pairs: DataFrame, threshold: float, extra: tuple) -> DataFrame:
+def _matched(pairs: DataFrame, threshold: float, extra: tuple, ratio: bool = True) -> DataFrame:
     """Of pairs of classes the matched pairs of their members."""
     named = "reference" in extra
     pairs = once(flags(pairs), {"direct": overlap(F.col("s_references"), F.col("t_references")) if named else F.lit(False)})
     pairs = pairs.where(F.col("veto").isNull() | F.col("direct"))
-    if threshold <= 0.89:
-        bounded = scores(pairs, ratio_bound(F.col("s_letters"), F.col("t_letters")), threshold)
+    if threshold <= 0.89 or not ratio:
+        bounded = scores(pairs, ratio_bound(F.col("s_letters"), F.col("t_letters")) if ratio else F.lit(0.0), threshold)
         pairs = bounded.where(F.col("matched") | F.col("direct")).select(*pairs.columns)
     # Dealt anew: what is left of the pairs may lie in a few tasks, and the ratio is what costs most.
     pairs = pairs.select("s_id", "t_id", "s_name_norm", "t_name_norm", *INPUTS, "s_members", "t_members", "direct").repartition(F.col("s_id"), F.col("t_id"))
-    out = scores(pairs, sequence_ratio("s_name_norm", "t_name_norm"), threshold).where(F.col("matched") | F.col("direct"))
+    out = scores(pairs, sequence_ratio("s_name_norm", "t_name_norm") if ratio else F.lit(0.0), threshold).where(F.col("matched") | F.col("direct"))
     out = out.select("score", "method", "reasons", "matched", "direct", F.explode("s_members").alias("s"), "t_members")
     out = out.select("score", "method", "reasons", "matched", "direct", "s", F.explode("t_members").alias("t"))
     if named:
