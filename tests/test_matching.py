@@ -1,6 +1,7 @@
 """Signals, scores, blocking, questions and sources: fixed cases and properties."""
 
 import json
+import re
 
 import numpy as np
 import pytest
@@ -674,3 +675,17 @@ def test_vector_products_stay_small():
     for q, i, c in zip(*(out.column(n).to_pylist() for n in range(3)), strict=True):
         got.setdefault(q, []).append((-c, i))
     assert len(got) == 3000 and {q: got[q] for q in want} == want
+
+
+def test_scores_are_summed_where_documents_lie(spark, tmp_path):
+    """No shuffle by query and document: only each query's best rows leave the tasks."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(12) if i >> j & 1)) for i in range(1, 600)], "i long, t string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q + 2}") for q in range(8)], "q long, s string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    scan = R.bm25(docs, asked, 3, doc_id="i", doc_text="t", query_id="q", query_text="s")
+    P.write_postings(docs, str(tmp_path / "p"), ident="i", text="t")
+    hits = P.search_postings(str(tmp_path / "p"), asked, 3, query_id="q", query_text="s").rows
+    for out in (scan, hits):
+        assert "hashpartitioning(query_id" in plan(out) and not re.search(r"hashpartitioning\(query_id#\d+L?, (id|doc_id)", plan(out))
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect()))
+    assert rows(scan) == rows(hits) and not (tmp_path / "p" / "norm").exists()
