@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skuweave.functions.text import normalize, tokens
-from skuweave.operators.retrieval import B, K1, terms
-from skuweave.operators.store import stored
+from skuweave.operators.retrieval import B, K1, MAX_TERMS, terms
+from skuweave.operators.store import remove, stored
 
 #: Documents of a range, about; folders that terms are dealt to; ranges that a query is scored in first.
 RANGE, PARTS, FIRST = 128, 64, 8
@@ -38,9 +38,12 @@ def write_postings(docs: DataFrame, path: str, *, ident: str, text: str, keep: t
 
     Ids are unique and not null (rows without one are left out); a null text has no terms, its document counts all the same.
     """
-    slim = docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), *keep, tokens(normalize(F.col(text))).alias("words"))
-    # Words are read three times and made once.
-    slim = stored(slim.withColumn("dl", F.size("words")).withColumn("band", F.floor(2 * F.log2(F.col("dl") + 1)).cast("long")))
+    spark, norm = docs.sparkSession, f"{path}/norm"
+    slim = docs.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), *keep, normalize(F.col(text)).alias("norm"))
+    # Texts are read three times and normalised once; as files they take less than the texts, as arrays of words several times as much.
+    slim = slim.withColumn("dl", F.size(tokens(F.col("norm")))).withColumn("band", F.floor(2 * F.log2(F.col("dl") + 1)).cast("long"))
+    slim.write.mode("overwrite").parquet(norm)
+    slim = spark.read.schema(slim.schema).parquet(norm)
     bands = stored(slim.groupBy("band").agg(F.ceil(F.count("*") / size).alias("ranges"), F.count("*").alias("docs"), F.sum("dl").alias("words_")))
     total = bands.agg(F.sum("docs").alias("n"), (F.sum("words_") / F.sum("docs")).alias("avgdl"))
     total.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
@@ -48,13 +51,16 @@ def write_postings(docs: DataFrame, path: str, *, ident: str, text: str, keep: t
     slim = slim.join(F.broadcast(bands.select("band", "ranges")), "band").withColumn("range", F.col("band") * (1 << 32) + F.pmod(F.xxhash64("id"), "ranges"))
     slim.select("id", "range", "dl", *keep).write.mode("overwrite").parquet(f"{path}/documents")
     avgdl = docs.sparkSession.read.parquet(f"{path}/totals").select("avgdl")
-    counts = slim.select("id", "range", "dl", F.explode("words").alias("term")).groupBy("term", "range", "id", "dl").agg(F.count("*").alias("tf"))
+    counts = slim.select("id", "range", "dl", F.explode(tokens(F.col("norm"))).alias("term")).groupBy("term", "range", "id", "dl").agg(F.count("*").alias("tf"))
     posting = F.struct("id", "tf", "dl")
-    heads = counts.crossJoin(F.broadcast(avgdl)).groupBy("term", "range").agg(  # a single row
+    # Dealt as they are written, and grouped there.
+    counts = counts.withColumn("part", _part(F.col("term"))).withColumn("deal", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(4))).repartition("part", "deal")
+    heads = counts.crossJoin(F.broadcast(avgdl)).groupBy("part", "deal", "term", "range").agg(  # a single row
         F.count("*").alias("n"), F.max(_impact(F.col("tf"), F.col("dl"), F.col("avgdl"))).alias("most"), F.array_sort(F.collect_list(posting)).alias("postings")
     )
-    heads = heads.withColumn("part", _part(F.col("term"))).repartition("part", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(4))).sortWithinPartitions("term", "range")
+    heads = heads.drop("deal").sortWithinPartitions("part", "term", "range")
     heads.write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
+    remove(spark, norm)
     index = _read_postings(docs.sparkSession, path)
     index.groupBy("part", "term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
 
@@ -86,6 +92,7 @@ def search_postings(path: str, queries: DataFrame, k: int, *, query_id: str, que
     known = spark.read.parquet(f"{path}/terms").join(wanted.select("part", "term").distinct(), ["part", "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wanted = stored(wanted.join(known.crossJoin(F.broadcast(total)).select("term", idf.alias("idf"), "avgdl"), "term"))  # a single row of totals
+    told, few = wanted.select("part", "term").distinct(), wanted.count() <= MAX_TERMS
     allowed = None if only is None else stored(only(documents).select("id", "range"))
     heads = postings.select("part", "term", "range", "n", "most").join(wanted, ["part", "term"])
     if allowed is not None:
@@ -96,9 +103,14 @@ def search_postings(path: str, queries: DataFrame, k: int, *, query_id: str, que
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
 
     def scored(some: DataFrame) -> DataFrame:
-        near = wanted.join(some.select("query_id", "range"), "query_id")
-        each = postings.select("part", "term", "range", "postings").join(near, ["part", "term", "range"]).select("query_id", "idf", "avgdl", F.inline("postings"))
-        sums = each.groupBy("query_id", "id").agg(F.round(F.sum(F.col("idf") * _impact(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
+        # Postings are dealt by range and meet the terms of the range's queries there: a range has all of a document's postings,
+        # so scores are summed where they lie, and no posting is shuffled for each of the queries that ask for it.
+        asked = some.groupBy("range").agg(F.collect_set("query_id").alias("asked"))
+        held = postings.join(F.broadcast(told), ["part", "term"], "left_semi") if few else postings.join(told, ["part", "term"], "left_semi")
+        held = held.select("term", "range", "postings").repartition("range").join(asked.repartition("range"), "range")
+        each = held.join(F.broadcast(wanted) if few else wanted, "term").where(F.array_contains("asked", F.col("query_id")))
+        each = each.select("range", "query_id", "idf", "avgdl", F.inline("postings"))
+        sums = each.groupBy("range", "query_id", "id").agg(F.round(F.sum(F.col("idf") * _impact(F.col("tf"), F.col("dl"), F.col("avgdl"))), 6).alias("score"))
         sums = sums.where(F.col("score") > least)
         return (sums if allowed is None else sums.join(allowed.select("id"), "id", "left_semi")).select("query_id", F.col("id").alias("doc_id"), "score")
 
